@@ -10,10 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 MODULES = {
     "op1_packing": "packing",
+    "op3_language_id": "langid",
     "op4_suffix_dedup": "suffixdedup",
     "op5_token_counts": "tokencount",
     "op6_simhash": "simhash",
     "op7_token_binary": "tokenbin",
+    "op8_decontamination": "decontam",
 }
 
 
