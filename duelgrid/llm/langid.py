@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from duelgrid.llm.common import crc_mod, small_batches, table
+from duelgrid.llm.common import crc_mod, small_batches, table, texts_of
 
 #: The classifier is fitted on about so many documents of each language (all, where there are fewer).
 SAMPLE_PER_LANGUAGE = 2500
@@ -40,62 +40,74 @@ def grams(word: str, n: int) -> list[str]:
 
 
 class Model:
-    """Log frequencies per language. A word's row is found by word, else from its longest n-grams that are known."""
+    """Log frequencies per language, a row per entry. A word's row is found by word, else from its longest known n-grams."""
 
-    def __init__(self, languages: list[str], words: dict[str, np.ndarray], tables: list[dict[str, np.ndarray]]):
-        self.languages, self.words, self.tables = languages, words, tables
+    def __init__(self, languages: list[str], rows: np.ndarray, words: dict[str, int], tables: list[dict[str, int]]):
+        self.languages, self.matrix, self.words, self.tables = languages, rows, words, tables
         self._clear()
 
     def __getstate__(self):
-        return self.languages, self.words, self.tables
+        return self.languages, self.matrix, self.words, self.tables
 
     def __setstate__(self, state):
         self.__init__(*state)
 
     def _clear(self) -> None:
         self.memo: dict[str, int] = {"": 0}
-        self.rows = np.zeros((1024, len(self.languages)), np.float32)
-        self.used = 1
+        self.rows = np.zeros((1, len(self.languages)), np.float32)
 
-    def word_row(self, word: str) -> np.ndarray | None:
+    def _entries(self, word: str) -> list[int]:
         row = self.words.get(word)
         if row is not None:
-            return row
-        for n in range(LONGEST_GRAM, 0, -1):
-            known = [r for r in map(self.tables[n].get, grams(word, n)) if r is not None]
+            return [row]
+        marked = f"^{word}$"
+        for n in range(min(LONGEST_GRAM, len(marked)), 0, -1):
+            get = self.tables[n].get
+            known = [r for k in range(len(marked) - n + 1) if (r := get(marked[k : k + n])) is not None]
             if known:
-                return np.mean(known, 0)
-        return None
-
-    def _learn(self, chunk: str) -> int:
-        rows = [r for r in map(self.word_row, words_of(chunk)) if r is not None]
-        if not rows:
-            self.memo[chunk] = 0
-            return 0
-        if self.used == len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        self.rows[self.used] = np.sum(rows, 0)
-        self.memo[chunk] = self.used
-        self.used += 1
-        return self.used - 1
-
-    def predict(self, text: str) -> tuple[str, float]:
-        """(language, probability); `und` with 0 for a text without a letter."""
-        chunks = text.split()
+                return known
+        return []
+
+    def _learn(self, missing: list[str]) -> None:
+        """Rows for chunks: the sum over their words, of a word's row or the mean of its n-grams' rows."""
+        entries, weights, starts, used = [], [], [], []
+        for chunk in missing:
+            first = len(entries)
+            for w in words_of(chunk):
+                found = self._entries(w)
+                entries += found
+                weights += [1 / len(found)] * len(found)
+            if len(entries) > first:
+                used.append(chunk)
+                starts.append(first)
+            else:
+                self.memo[chunk] = 0
+        if used:
+            made = np.add.reduceat(self.matrix[entries] * np.array(weights, np.float32)[:, None], starts)
+            self.memo.update(zip(used, range(len(self.rows), len(self.rows) + len(used))))
+            self.rows = np.concatenate([self.rows, made])
+
+    def predict(self, texts: list[str]) -> list[tuple[str, float]]:
+        """(language, probability) of each text; `und` with 0 for a text without a letter."""
         if len(self.memo) > MEMO:
             self._clear()
-        memo = self.memo
-        found = [memo[c] if c in memo else self._learn(c) for c in chunks]
-        if not self.languages or not any(map(str.isalpha, text)):
-            return UNKNOWN, 0.0
-        total, n = self.rows[found].sum(0, dtype=np.float64), max(1, np.count_nonzero(found))
-        total *= min(1.0, EVIDENCE_WORDS / n)
-        p = np.exp(total - total.max())
-        best = int(p.argmax())
-        return self.languages[best], float(p[best] / p.sum())
-
-
-def _log_rows(counts: dict[str, Counter], languages: list[str], keep: int) -> dict[str, np.ndarray]:
+        chunks = [t.split() for t in texts]
+        self._learn(sorted(set().union(*chunks) - self.memo.keys()))
+        get, out = self.memo.__getitem__, []
+        for text, words in zip(texts, chunks, strict=True):
+            if not self.languages or not any(map(str.isalpha, text)):
+                out.append((UNKNOWN, 0.0))
+                continue
+            found = np.fromiter(map(get, words), np.int64, len(words))
+            total = self.rows[found].sum(0, dtype=np.float64)
+            total *= min(1.0, EVIDENCE_WORDS / max(1, np.count_nonzero(found)))
+            p = np.exp(total - total.max())
+            best = int(p.argmax())
+            out.append((self.languages[best], float(p[best] / p.sum())))
+        return out
+
+
+def _log_rows(counts: dict[str, Counter], languages: list[str], keep: int) -> tuple[list[str], np.ndarray]:
     total: Counter[str] = Counter()
     for c in counts.values():
         total.update(c)
@@ -105,7 +117,7 @@ def _log_rows(counts: dict[str, Counter], languages: list[str], keep: int) -> di
         c, n = counts[lang], sum(counts[lang].values())
         base = math.log(n + SMOOTHING * (len(kept) + 1))
         out[:, k] = np.log(np.array([c[w] for w in kept]) + SMOOTHING) - base
-    return dict(zip(kept, out))
+    return kept, out
 
 
 def _count(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,7 +148,7 @@ def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
     sizes = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(sizes)
     if not languages:
-        return Model([], {}, [{} for _ in range(LONGEST_GRAM + 1)])
+        return Model([], np.zeros((0, 0), np.float32), {}, [{} for _ in range(LONGEST_GRAM + 1)])
     limit = F.create_map(*(F.lit(x) for k in languages for x in (k, int(1_000_000 * min(1, per_language / sizes[k])))))
     sample = labelled.where(F.col("h") < limit[F.col("lang")]).select("lang", "text")
     counted = sample.mapInArrow(_count, "lang string, size int, gram string, n long")
@@ -146,8 +158,13 @@ def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
     for batch in counted.toArrow().to_batches():
         for lang, size, gram, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             counts[size][lang][gram] = n
-    words = _log_rows(counts[0], languages, MODEL_WORDS)
-    return Model(languages, words, [{}, *(_log_rows(counts[n], languages, MODEL_GRAMS) for n in range(1, LONGEST_GRAM + 1))])
+    tables, rows, used = [], [], 0
+    for n, keep in enumerate([MODEL_WORDS, *[MODEL_GRAMS] * LONGEST_GRAM]):
+        names, made = _log_rows(counts[n], languages, keep)
+        tables.append(dict(zip(names, range(used, used + len(names)))))
+        rows.append(made)
+        used += len(names)
+    return Model(languages, np.concatenate(rows), tables[0], [{}, *tables[1:]])
 
 
 def with_language(docs: DataFrame, model: Model, language: str = "lang_pred", score: str = "score") -> DataFrame:
@@ -165,7 +182,7 @@ def with_language(docs: DataFrame, model: Model, language: str = "lang_pred", sc
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted = shared.value
         for batch in source:
-            found = [fitted.predict(t or "") for t in batch.column("text").to_pylist()]
+            found = fitted.predict(texts_of(batch))
             more = [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[f.name for f in arrow])
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 MODULES = {
     "op1_packing": "packing",
+    "op10_hmm_scoring": "hmm",
     "op3_language_id": "langid",
     "op4_suffix_dedup": "suffixdedup",
     "op5_token_counts": "tokencount",
