@@ -11,12 +11,14 @@ Query = Callable[[SparkSession, str], DataFrame]
 MODULES = {
     "op1_packing": "packing",
     "op10_hmm_scoring": "hmm",
+    "op2_quality": "quality",
     "op3_language_id": "langid",
     "op4_suffix_dedup": "suffixdedup",
     "op5_token_counts": "tokencount",
     "op6_simhash": "simhash",
     "op7_token_binary": "tokenbin",
     "op8_decontamination": "decontam",
+    "op9_topk_search": "topk",
 }
 
 
