@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 MODULES = {
     "op1_packing": "packing",
-    "op10_hmm_scoring": "hmm",
     "op2_quality": "quality",
     "op3_language_id": "langid",
     "op4_suffix_dedup": "suffixdedup",
@@ -19,11 +18,13 @@ MODULES = {
     "op7_token_binary": "tokenbin",
     "op8_decontamination": "decontam",
     "op9_topk_search": "topk",
+    "op10_hmm_scoring": "hmm",
 }
 
 
 def llm_queries() -> dict[str, Query]:
-    return {name: getattr(importlib.import_module(f"duelgrid.llm.{m}"), name) for name, m in MODULES.items()}
+    found = {name: getattr(importlib.import_module(f"duelgrid.llm.{m}"), name) for name, m in MODULES.items()}
+    return found | {"pipeline": importlib.import_module("corpus_pipeline").run}
 
 
 def llm_sql() -> dict[str, str]:

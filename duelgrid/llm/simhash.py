@@ -18,62 +18,105 @@ SHINGLE, MOST_DIFFERING = 4, 4
 SHIFTED = 8
 
 
-def fingerprint(text: str, shingle: int = SHINGLE) -> int:
-    """The 64-bit SimHash of a text's word shingles, repeats included: a bit is set if it is in over half the hashes."""
+def fingerprint(text: str, shingle: int = SHINGLE, lanes: int = 1) -> np.ndarray:
+    """The SimHash of a text's word shingles, repeats included, as `lanes` uint64: a bit is set if it is in over half the hashes.
+
+    The first lane takes the shingles' hashes, the others scrambled ones.
+    """
     import xxhash
 
     words = text.encode().lower().split()
     if not words:
-        return 0
+        return np.zeros(lanes, np.uint64)
     joined = b" ".join(words)
     digest = xxhash.xxh64_intdigest
     if len(words) <= shingle:
-        return digest(joined, SEED)
-    starts = np.cumsum([0, *map(len, words)][:-1]) + np.arange(len(words))
-    ends = starts + np.fromiter(map(len, words), np.int64, len(words))
-    spans = zip(starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)
-    hashes = np.array([digest(joined[a:b], SEED) for a, b in spans], "<u8")
+        hashes = np.array([digest(joined, SEED)], "<u8")
+    else:
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        ends = np.cumsum(sizes + 1) - 1
+        spans = zip((ends - sizes)[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)
+        hashes = np.array([digest(joined[a:b], SEED) for a, b in spans], "<u8")
+    return np.concatenate([_majority(_scrambled(hashes, k)) for k in range(lanes)])
+
+
+def _scrambled(hashes: np.ndarray, lane: int) -> np.ndarray:
+    if not lane:
+        return hashes
+    with np.errstate(over="ignore"):
+        h = hashes + np.uint64(lane) * np.uint64(0x9E3779B97F4A7C15)
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def _majority(hashes: np.ndarray) -> np.ndarray:
     total = np.zeros(BITS, np.int64)
     for k in range(0, len(hashes), 1 << 16):
         bits = np.unpackbits(hashes[k : k + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         total += bits.sum(0, dtype=np.int64)
-    return int(np.packbits(2 * total > len(hashes), bitorder="little").view("<u8")[0])
+    return np.packbits(2 * total > len(hashes), bitorder="little").view("<u8")
+
+
+def _kind(lanes: int) -> str:
+    return "long" if lanes == 1 else "binary"
+
 
+def _column(fp: np.ndarray) -> pa.Array:
+    """Fingerprints, a row each, as a column: signed longs of one lane, bytes of several."""
+    fp = np.ascontiguousarray(fp)
+    return pa.array(fp[:, 0].view(np.int64)) if fp.shape[1] == 1 else pa.array([r.tobytes() for r in fp], pa.binary())
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed long."""
+
+def _rows(column: pa.Array, lanes: int) -> np.ndarray:
+    if lanes == 1:
+        return column.to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, 1)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, lanes)
+
+
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, lanes: int = 1) -> DataFrame:
+    """(doc_id, fp): the fingerprint as a signed long, or as bytes if it has several lanes."""
     small_batches(docs.sparkSession)
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
-            found = np.array([fingerprint(t, shingle) for t in texts_of(batch)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found)], names=["doc_id", "fp"])
+            found = np.array([fingerprint(t, shingle, lanes) for t in texts_of(batch)], np.uint64).reshape(-1, lanes)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _column(found)], names=["doc_id", "fp"])
+
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, f"doc_id long, fp {_kind(lanes)}")
+
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+def segments(cuts: int) -> list[tuple[int, int]]:
+    """(first bit, bits) of the segments of a lane."""
+    at = [BITS * k // cuts for k in range(cuts + 1)]
+    return [(a, b - a) for a, b in zip(at, at[1:])]
 
 
-def segments(most: int) -> list[tuple[int, int]]:
-    """(first bit, bits) of the fewest segments of which one must differ in at most one bit when `most` bits differ."""
-    n = most // 2 + 1
-    cuts = [BITS * k // n for k in range(n + 1)]
-    return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
+def cuts_for(most: int) -> int:
+    """The fewest segments of which one must differ in at most one bit when `most` bits differ."""
+    return most // 2 + 1
 
 
-def variants(fp: np.ndarray, most: int = MOST_DIFFERING) -> np.ndarray:
-    """The signatures of uint64 fingerprints, one column each: a segment without one of its bits, tagged with both.
+def variants(fp: np.ndarray, cuts: int) -> np.ndarray:
+    """The signatures of fingerprints, one column each: a segment without one of its bits, tagged with both.
 
     Segments that differ in no bit share all their variants; segments that differ in one share that bit's.
     """
     columns = []
-    for first, bits in segments(most):
-        part = (fp >> np.uint64(first)) & np.uint64((1 << bits) - 1)
-        for gone in range(bits):
-            low = part & np.uint64((1 << gone) - 1)
-            high = (part >> np.uint64(gone + 1)) << np.uint64(gone)
-            columns.append((high | low) | np.uint64((first + gone) << 57))
+    for lane in range(fp.shape[1]):
+        for first, bits in segments(cuts):
+            part = (fp[:, lane] >> np.uint64(first)) & np.uint64((1 << bits) - 1)
+            for gone in range(bits):
+                low = part & np.uint64((1 << gone) - 1)
+                high = (part >> np.uint64(gone + 1)) << np.uint64(gone)
+                columns.append((high | low) | np.uint64((lane * BITS + first + gone) << 56))
     return np.stack(columns, 1)
 
 
+def _differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(-1, dtype=np.int64)
+
+
 def _spanning(members: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Edges of a forest that joins what links join among distinct fingerprints: a search outward over who is left."""
     left = members
@@ -81,53 +124,48 @@ def _spanning(members: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.n
         frontier, left = [left[0]], left[1:]
         while frontier and len(left):
             at = frontier.pop()
-            near = np.bitwise_count(left ^ at) <= most
+            near = _differing(left, at) <= most
             if near.any():
                 found = left[near]
-                yield np.full(len(found), at), found
-                frontier += found.tolist()
-                frontier = [np.uint64(x) for x in frontier]
+                yield np.repeat(at[None], len(found), 0), found
+                frontier += list(found)
                 left = left[~near]
 
 
-def _links(source: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+def _links(source: Iterator[pa.RecordBatch], most: int, lanes: int) -> Iterator[pa.RecordBatch]:
     """Verified links in runs of equal signatures; the rows of a partition come sorted by (key, fp)."""
-    seen: set[tuple[int, int]] = set()
+    seen: set[bytes] = set()
 
     def resolved(key: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
-        lefts, rights = [], []
+        found = []
         edges = np.flatnonzero(np.diff(key)) + 1
         starts, stops = np.concatenate([[0], edges]), np.concatenate([edges, [len(key)]])
         sizes = stops - starts
         size_of = np.repeat(sizes, sizes)
         for shift in range(1, SHIFTED):
-            same = (key[shift:] == key[:-shift]) & (size_of[shift:] <= SHIFTED)
-            if not same.any():
+            same = np.flatnonzero((key[shift:] == key[:-shift]) & (size_of[shift:] <= SHIFTED))
+            if not len(same):
                 break
-            near = same & (np.bitwise_count(fp[shift:] ^ fp[:-shift]) <= most)
-            lefts.append(fp[:-shift][near])
-            rights.append(fp[shift:][near])
+            same = same[_differing(fp[same], fp[same + shift]) <= most]
+            found.append(np.concatenate([fp[same], fp[same + shift]], 1))
         for k in np.flatnonzero(sizes > SHIFTED).tolist():
-            for a, b in _spanning(fp[starts[k] : stops[k]], most):
-                lefts.append(a)
-                rights.append(b)
-        a, b = (np.concatenate(x) if x else np.zeros(0, np.uint64) for x in (lefts, rights))
-        if len(a):
-            if len(seen) > 500_000:
-                seen.clear()
-            fresh = set(zip(a.view(np.int64).tolist(), b.view(np.int64).tolist(), strict=True)) - seen
-            seen.update(fresh)
-            if fresh:
-                a, b = zip(*fresh)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    key = fp = np.zeros(0, np.uint64)
+            found += [np.concatenate(x, 1) for x in _spanning(fp[starts[k] : stops[k]], most)]
+        pairs = np.concatenate(found) if found else np.zeros((0, 2 * lanes), np.uint64)
+        if len(seen) > 300_000:
+            seen.clear()
+        fresh = {r.tobytes() for r in pairs} - seen
+        seen.update(fresh)
+        if fresh:
+            pairs = np.frombuffer(b"".join(sorted(fresh)), np.uint64).reshape(-1, 2 * lanes)
+            yield pa.RecordBatch.from_arrays([_column(pairs[:, :lanes]), _column(pairs[:, lanes:])], names=["a", "b"])
+
+    key, fp = np.zeros(0, np.int64), np.zeros((0, lanes), np.uint64)
     for batch in source:
-        key = np.concatenate([key, batch.column("key").to_numpy(zero_copy_only=False).view(np.uint64)])
-        fp = np.concatenate([fp, batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)])
+        key = np.concatenate([key, batch.column("key").to_numpy(zero_copy_only=False)])
+        fp = np.concatenate([fp, _rows(batch.column("fp"), lanes)])
         if len(key) < 200_000:
             continue
-        cut = int(np.searchsorted(key.view(np.int64), key.view(np.int64)[-1]))  # the last run may go on
+        cut = int(np.searchsorted(key, key[-1]))  # the last run may go on
         if cut:
             yield from resolved(key[:cut], fp[:cut])
             key, fp = key[cut:].copy(), fp[cut:].copy()
@@ -135,27 +173,32 @@ def _links(source: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBat
         yield from resolved(key, fp)
 
 
-def links(distinct: DataFrame, most: int = MOST_DIFFERING) -> DataFrame:
-    """(a, b): links that connect what all links of at most `most` differing bits connect. distinct: (fp long), no repeats.
+def links(distinct: DataFrame, most: int = MOST_DIFFERING, lanes: int = 1, cuts: int | None = None) -> DataFrame:
+    """(a, b): links that connect what all links of at most `most` differing bits connect. distinct: (fp), no repeats.
 
-    Each fingerprint gives as many rows of 16 bytes as it has bits. Rows with equal signatures meet; a run of them is
-    compared bit by bit, and a large run gives a spanning forest in place of all its pairs.
+    Each fingerprint gives as many rows as it has bits. Rows with equal signatures meet; a run of them is compared bit
+    by bit, and a large run gives a spanning forest in place of all its pairs. With `cuts` segments a lane, every link
+    of fewer than 2 * cuts * lanes differing bits is found.
     """
+    cuts = cuts or cuts_for(most)
+
     def keys(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
-            fp = batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
+            fp = _rows(batch.column("fp"), lanes)
             for k in range(0, len(fp), 2000):
-                part = fp[k : k + 2000]
-                made = variants(part, most)
-                arrays = [pa.array(made.ravel().view(np.int64)), pa.array(np.repeat(part, made.shape[1]).view(np.int64))]
+                made = variants(part := fp[k : k + 2000], cuts)
+                arrays = [pa.array(made.ravel().view(np.int64)), _column(np.repeat(part, made.shape[1], 0))]
                 yield pa.RecordBatch.from_arrays(arrays, names=["key", "fp"])
 
-    dealt = distinct.select("fp").mapInArrow(keys, "key long, fp long").repartition("key").sortWithinPartitions("key", "fp")
-    return dealt.mapInArrow(lambda it: _links(it, most), "a long, b long")
+    kind = _kind(lanes)
+    dealt = distinct.select("fp").mapInArrow(keys, f"key long, fp {kind}").repartition("key").sortWithinPartitions("key", "fp")
+    return dealt.mapInArrow(lambda it: _links(it, most, lanes), f"a {kind}, b {kind}")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, most: int = MOST_DIFFERING) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits) and component_id of every document (doc_id, text).
+def near_duplicates(
+    docs: DataFrame, shingle: int = SHINGLE, most: int = MOST_DIFFERING, lanes: int = 1, cuts: int | None = None
+) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits a lane) and component_id of every document (doc_id, text).
 
     Documents whose fingerprints differ in at most `most` bits are linked, and component_id is the smallest doc_id that
     links reach. Equal fingerprints are one node, so a large group of copies costs one.
@@ -164,16 +207,32 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, most: int = MOST_DI
     doc_id are kept; their component_id is that of the others, null if none has an id. Repeated rows are kept. Other
     columns are not read. An empty table gives no rows. The whole text counts, whatever its length.
     """
-    made = materialize(fingerprints(docs, shingle), "fingerprints")
+    made = materialize(fingerprints(docs, shingle, lanes), "fingerprints")
     distinct = materialize(made.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    roots = materialize(components(links(distinct, most)), "roots")
+    roots = materialize(components(links(distinct, most, lanes, cuts)), "roots")
     rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
     least = rooted.where("root is not null").groupBy("root").agg(F.min("least").alias("of_root"))
     named = rooted.join(least, "root", "left").select("fp", F.coalesce("of_root", "least").alias("component_id"))
-    # Only a fingerprint whose documents take another id than their own needs the join below to be exact; it is on a
-    # key that a group of copies may hold a third of, and adaptive execution splits such a partition.
-    joined = made.join(named, "fp")
-    return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    # a group of copies may hold a third of the rows of this join; with plain exchanges below it, Spark splits them
+    joined = made.join(materialize(named, "named"), "fp")
+    digits = F.lower(F.lpad(F.hex("fp"), 16, "0") if lanes == 1 else F.hex("fp"))
+    return joined.select("doc_id", digits.alias("fingerprint"), "component_id")
+
+
+#: For filtering a corpus: shingles of five words, two lanes, and the differing bits of 128 that a similarity of 0.8 gives
+#: on average (arccos(8 / 9) / pi of them). Links of up to 11 bits are sure to be candidates, others likely.
+CORPUS_SHINGLE, CORPUS_LANES, CORPUS_CUTS, CORPUS_DIFFERING = 5, 2, 3, 20
+
+
+def unique_documents(docs: DataFrame) -> DataFrame:
+    """The documents, with all their columns, without those that are near copies of one with a smaller doc_id.
+
+    Repeated rows with one doc_id stay together. Rows with a null doc_id stay. Null, empty and blank texts are copies of
+    each other. Columns of any names pass through.
+    """
+    groups = near_duplicates(docs, CORPUS_SHINGLE, CORPUS_DIFFERING, CORPUS_LANES, CORPUS_CUTS)
+    gone = groups.where("component_id < doc_id").select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -260,7 +260,8 @@ def _cut(source: Iterator[pa.RecordBatch], keep_text: bool) -> Iterator[pa.Recor
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_text: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of each document (doc_id, text); keep_text adds `kept`.
+    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of each document (doc_id, text); keep_text adds the text's
+    md5 `digest` and `kept`.
 
     A byte goes if a string of `length` bytes that covers it also starts anywhere else, in the same document or another;
     overlaps count and all is judged on the input. `kept` is the rest, without bytes of characters that were cut in two.
@@ -308,10 +309,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_text: bool = Fals
 
     copies = distinct.where("copies > 1").select("digest", F.lit(True).alias("copied"))
     rows = scanned.select("doc_id", "digest", "n_bytes", "sha").join(copies, "digest", "left")
-    rows = rows.select("doc_id", F.when(F.col("copied").isNull(), F.col("digest")).alias("digest"), "n_bytes", "sha", "copied")
-    # a document that is copied finds no partner below and needs none
+    # a document that is copied needs no partner below
+    single = F.when(F.col("copied").isNull(), F.col("digest"))
+    rows = rows.withColumn("single", single)
     cut = cut.withColumnsRenamed({"doc_id": "cut_doc", "digest": "cut_digest"})
-    out = rows.join(cut, rows["doc_id"].eqNullSafe(cut["cut_doc"]) & (rows["digest"] == cut["cut_digest"]), "left")
+    out = rows.join(cut, rows["doc_id"].eqNullSafe(cut["cut_doc"]) & (rows["single"] == cut["cut_digest"]), "left")
     whole = F.col("copied").isNotNull()
     columns = [
         F.col("doc_id"), F.col("n_bytes"),
@@ -319,7 +321,25 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_text: bool = Fals
         F.when(whole, 1).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
         F.when(whole, EMPTY).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
     ]
-    return out.select(*columns, *([F.when(whole, "").otherwise(F.col("kept")).alias("kept")] if keep_text else []))
+    return out.select(*columns, *(["digest", F.when(whole, "").otherwise(F.col("kept")).alias("kept")] if keep_text else []))
+
+
+def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """The documents, with all their columns, with repeated strings of `length` bytes cut out of `text`.
+
+    A document that had bytes and has none left goes. n_chars follows the text where there is such a column. Documents are
+    told apart by doc_id and text; rows that repeat both are copies, and go where they are long enough.
+    """
+    cut = remove_repeats(docs, length, keep_text=True).where("n_removed > 0")
+    cut = cut.select(F.col("doc_id").alias("__doc"), F.col("digest").alias("__digest"), F.col("kept").alias("__kept")).dropDuplicates(["__doc", "__digest"])
+    digest = F.unhex(F.md5(F.coalesce("text", F.lit(""))))
+    joined = docs.join(cut, F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")) & (digest == F.col("__digest")), "left")
+    left = joined.where("__digest is null or __kept <> ''")
+    changed = {"text": F.when(F.col("__digest").isNull(), F.col("text")).otherwise(F.col("__kept"))}
+    if "n_chars" in docs.columns:
+        length_kind = dict(docs.dtypes)["n_chars"]
+        changed["n_chars"] = F.when(F.col("__digest").isNull(), F.col("n_chars")).otherwise(F.length("__kept")).cast(length_kind)
+    return left.withColumns(changed).select(*docs.columns)
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
