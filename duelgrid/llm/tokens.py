@@ -15,7 +15,7 @@ import numpy as np
 WORD_TOKENIZER = "word_bpe_49k.json"
 PIECE_MODEL = "piece_bpe_32k.model"
 #: Chunks that a worker remembers, and the longest chunk that it keeps.
-MEMO_ENTRIES = 250_000
+MEMO_ENTRIES = 900_000
 MEMO_CHUNK = 48
 SIMPLE_TAILS = frozenset(".,;:!?|")
 
