@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -105,7 +106,6 @@ def load_arena(spark: SparkSession, root: str, arena: str | None = None) -> Data
 
 def with_language(df: DataFrame, detector) -> DataFrame:
     """Fill missing languages by a detector of the first user text: a function from a pandas Series to one."""
-    import pandas as pd
 
     @F.pandas_udf("string")
     def detect(texts: pd.Series) -> pd.Series:
