@@ -6,15 +6,16 @@ import tempfile
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from duelgrid.session import share_package
+
 #: Rows and bytes of a batch that Spark hands to a Python task. Documents are some kilobytes on average and a few are
 #: much longer, so a small batch keeps a worker's memory bounded.
-ARROW_ROWS, ARROW_BYTES = 1000, 8 << 20
+ARROW_ROWS, ARROW_BYTES = 1000, 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,9 +27,7 @@ def small_batches(spark: SparkSession) -> None:
     """Bound what a Python task gets at once, and let workers import this package from where the driver has it."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
-    root, environment = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
-    if root not in environment.get("PYTHONPATH", "").split(":"):
-        environment["PYTHONPATH"] = ":".join(filter(None, [root, environment.get("PYTHONPATH", "")]))
+    share_package(spark)
 
 
 def scratch_dir(spark: SparkSession) -> str:

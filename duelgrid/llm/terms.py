@@ -18,7 +18,7 @@ from duelgrid.llm.common import materialize, small_batches, texts_of
 
 #: Frequent terms that are broadcast, at most, and distinct terms that a task counts before it hands them on.
 HEAD_TERMS = 200_000
-FLUSH_TERMS = 400_000
+FLUSH_TERMS = 150_000
 
 #: The terms of a text, with repeats, as bytes.
 Extract = Callable[[str], list[bytes]]
