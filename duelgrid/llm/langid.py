@@ -74,9 +74,9 @@ class Model:
         for chunk in missing:
             first = len(entries)
             for w in words_of(chunk):
-                found = self._entries(w)
-                entries += found
-                weights += [1 / len(found)] * len(found)
+                if found := self._entries(w):
+                    entries += found
+                    weights += [1 / len(found)] * len(found)
             if len(entries) > first:
                 used.append(chunk)
                 starts.append(first)
