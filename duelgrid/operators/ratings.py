@@ -25,6 +25,12 @@ def sufficient_statistics(battles: DataFrame, pref: str = "pref") -> DataFrame:
     )
 
 
+def cells(battles: DataFrame, pref: str = "pref") -> DataFrame:
+    """How often each (model_a, model_b, pref) occurs, unparseable battles left out."""
+    kept = battles.where(F.col(pref).isNotNull())
+    return kept.groupBy("model_a", "model_b", F.col(pref).alias("pref")).agg(F.count("*").alias("battles"))
+
+
 def solve(pairs: Iterable[tuple[str, str, float, float]]) -> dict[str, float]:
     """Ratings from (model_a, model_b, points_a, points_b), each connected set of models around INITIAL."""
     pairs = list(pairs)
@@ -89,8 +95,7 @@ def bootstrap(battles: DataFrame, rounds: int = 20, seed: int = 0, pref: str = "
     """
     spark = battles.sparkSession
     share_package(spark)
-    cells = battles.where(F.col(pref).isNotNull()).groupBy("model_a", "model_b", F.col(pref).alias("pref")).agg(F.count("*").alias("n"))
-    collected = sorted((r.model_a, r.model_b, r.pref, r.n) for r in cells.collect())
+    collected = sorted((r.model_a, r.model_b, r.pref, r.battles) for r in cells(battles, pref).collect())
     shared = spark.sparkContext.broadcast(collected)
 
     def run(batches):

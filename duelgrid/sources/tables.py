@@ -88,18 +88,19 @@ def instructions(raw: DataFrame, order: str | None = None, question_rows: bool =
 
 def assistant_output(columns: dict[str, str]) -> Column:
     """The flat output, else the last message's answer, whether it is a struct with `answer` or a text; '' counts as missing."""
-    tries = [F.nullif(F.col("output"), F.lit(""))] if "output" in columns else []
+    filled = lambda c: F.when(c != "", c)
+    tries = [filled(F.col("output"))] if "output" in columns else []
     kind = columns.get("messages", "")
     if kind:
         last = F.try_element_at(F.col("messages"), F.lit(-1))["content"]
         if "content:struct" in kind:
             tries += [last["answer"].cast("string")] if "answer:" in kind else []
         elif "content:variant" in kind:
-            tries += [F.try_variant_get(last, "$.answer", "string"), F.nullif(F.try_variant_get(last, "$", "string"), F.lit(""))]
+            tries += [F.try_variant_get(last, "$.answer", "string"), filled(F.try_variant_get(last, "$", "string"))]
         else:
-            parsed = F.get_json_object(last, "$.answer")
+            parsed = F.from_json(last, "answer string")["answer"]
             looks_nested = F.coalesce(last.rlike(r"^\s*\{"), F.lit(False))
-            tries += [F.when(looks_nested, parsed).otherwise(F.nullif(last, F.lit("")))]
+            tries += [F.when(looks_nested, parsed).otherwise(filled(last))]
     return F.coalesce(*tries) if tries else F.lit(None).cast("string")
 
 

@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+import duelgrid.queries_inputs  # noqa: F401
 from duelgrid.queries import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
