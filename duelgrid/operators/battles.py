@@ -75,5 +75,5 @@ def well_represented(df: DataFrame, least: int = 500) -> DataFrame:
 
 def arena_profile(df: DataFrame) -> DataFrame:
     """Battles, distinct models over both sides and distinct languages, exactly, in one scan."""
-    models = df.select(F.explode(F.array("model_a", "model_b")).alias("m")).agg(F.countDistinct("m").alias("models"))
-    return df.agg(F.count("*").alias("battles"), F.countDistinct("lang").alias("languages")).crossJoin(models)
+    sides = df.select("lang", F.posexplode(F.array("model_a", "model_b")).alias("side", "model"))
+    return sides.agg(F.count_if(F.col("side") == 0).alias("battles"), F.countDistinct("model").alias("models"), F.countDistinct("lang").alias("languages"))

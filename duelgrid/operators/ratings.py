@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import math
+from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +18,9 @@ SCALE, BASE, INITIAL = 400.0, 10.0, 1000.0
 RIDGE, STEPS, TOLERANCE = 1e-10, 1000, 1e-10
 #: Distinct models that one dense solve takes.
 MOST_MODELS = 5000
+#: Distinct (model_a, model_b, preference) that a bootstrap collects and broadcasts.
+MOST_CELLS = 200_000
+RATED = "b long, model string, rating double"
 
 
 def sufficient_statistics(battles: DataFrame, pref: str = "pref") -> DataFrame:
@@ -87,30 +93,54 @@ def ratings_frame(spark: SparkSession, ratings: dict[str, float]) -> DataFrame:
     return spark.createDataFrame(sorted(ratings.items()), "model string, rating double")
 
 
-def bootstrap(battles: DataFrame, rounds: int = 20, seed: int = 0, pref: str = "pref", baseline: str | None = None) -> DataFrame:
+def bootstrap(
+    battles: DataFrame, rounds: int = 20, seed: int = 0, pref: str = "pref", baseline: str | None = None, most_cells: int = MOST_CELLS
+) -> DataFrame:
     """(b, model, rating): battles resampled with replacement, refitted each time.
 
     Battles collapse to cells of equal (model_a, model_b, pref); drawing all rows anew is one multinomial draw over the
-    cells. The cells are spread over tasks by round, so rounds are fitted in parallel.
+    cells, whose number does not grow with hard labels or integer scores. Preferences that hardly repeat make too many cells
+    to send around; then each battle gets a Poisson(1) weight per round, the usual approximation, and Spark sums per pair.
     """
     spark = battles.sparkSession
     share_package(spark)
-    collected = sorted((r.model_a, r.model_b, r.pref, r.battles) for r in cells(battles, pref).collect())
+    counted = cells(battles, pref)
+    collected = sorted((r.model_a, r.model_b, r.pref, r.battles) for r in counted.limit(most_cells + 1).collect())
+    if len(collected) > most_cells:
+        return _poisson_bootstrap(battles, rounds, seed, pref, baseline)
     shared = spark.sparkContext.broadcast(collected)
 
-    def run(batches):
-        import pandas as pd
-
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = shared.value
         n = np.array([r[3] for r in rows], float)
         for batch in batches:
             for b in batch["id"].tolist():
                 drawn = np.random.default_rng([seed, b]).multinomial(int(n.sum()), n / n.sum()) if len(rows) else []
                 pairs = ((x, y, (1 - p) * k, p * k) for (x, y, p, _), k in zip(rows, drawn) if k)
-                found = anchored(solve(pairs), baseline)
-                yield pd.DataFrame({"b": b, "model": list(found), "rating": list(found.values())})
+                yield _rated(b, pairs, baseline)
+
+    return spark.range(0, rounds, numPartitions=min(rounds, spark.sparkContext.defaultParallelism) or 1).mapInPandas(run, RATED)
+
+
+def _rated(b: int, pairs: Iterable[tuple[str, str, float, float]], baseline: str | None) -> pd.DataFrame:
+    found = anchored(solve(pairs), baseline)
+    return pd.DataFrame({"b": b, "model": list(found), "rating": list(found.values())})
+
+
+def _poisson_bootstrap(battles: DataFrame, rounds: int, seed: int, pref: str, baseline: str | None) -> DataFrame:
+    kept = battles.where(F.col(pref).isNotNull()).select("model_a", "model_b", F.col(pref).alias("p"))
+    drawn = kept.select("*", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("b")).withColumn("u", F.rand(seed))
+    below = [sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(10)]
+    weight = reduce(lambda x, y: x + y, (F.when(F.col("u") > c, 1).otherwise(0) for c in below))
+    sums = drawn.withColumn("w", weight).groupBy("b", "model_a", "model_b").agg(
+        F.sum(F.col("w") * (1 - F.col("p"))).alias("x"), F.sum(F.col("w") * F.col("p")).alias("y")
+    )
+
+    def fit(rows: pd.DataFrame) -> pd.DataFrame:
+        pairs = zip(rows["model_a"], rows["model_b"], rows["x"], rows["y"])
+        return _rated(int(rows["b"].iloc[0]), (q for q in pairs if q[2] + q[3] > 0), baseline)
 
-    return spark.range(0, rounds, numPartitions=min(rounds, spark.sparkContext.defaultParallelism) or 1).mapInPandas(run, "b long, model string, rating double")
+    return sums.groupBy("b").applyInPandas(fit, RATED)
 
 
 def leaderboard(samples: DataFrame, counts: DataFrame | None = None, evaluated: str | None = None) -> DataFrame:
