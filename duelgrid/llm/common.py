@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 import zlib
@@ -43,13 +44,23 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df once to a new table in the shared scratch folder and read it back.
 
     This cuts lineage with replicated, column-pruned storage: a lost executor never forces the upstream stages to
-    run again, and several readers share one computation.
+    run again, and several readers share one computation. Before that, shuffle files of steps that are written already are
+    let go of: Spark deletes them once the driver's JVM has collected what refers to them.
     """
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
     path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def hashed_sample(df: DataFrame, most: int) -> DataFrame:
+    """About `most` rows (all, if there are fewer) by a hash of the whole row: no sort, and no row of the others is moved."""
+    share = min(1.0, most / max(1, df.count()))
+    h = F.pmod(F.xxhash64(*df.columns), F.lit(1_000_000_000))
+    return df.where(h < int(1_000_000_000 * share)).limit(2 * most)
+
+
 def crc_mod(doc_id: Column, modulus: int) -> Column:
     """crc32 of doc_id as text, modulo modulus; NULL for a NULL doc_id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % modulus

@@ -9,11 +9,13 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from duelgrid.llm.common import materialize, partition_id, small_batches, table
 from duelgrid.llm.mergesort import Entry, common_prefix, decode_run, encode_run, merge
@@ -24,8 +26,11 @@ KMER = 32
 CHUNK, RUN_BYTES = 1 << 19, 32 << 20
 #: In a group of at most so many different surroundings each pair is compared; in a larger one, windows are looked up.
 PAIRS = 6
+#: Anchors with one k-mer that one task takes. More of them are settled window by window, which spreads over all tasks.
+WIDEST = 50_000
 EMPTY = hashlib.sha256(b"").hexdigest()
 POSITION = np.uint64((1 << 20) - 1)
+SCRAMBLE = 0x9E3779B97F4A7C15
 
 TEXTS = (
     "doc_id long, digest binary, n_bytes long, sha string, hashes array<long>, positions array<int>, firsts array<int>"
@@ -157,8 +162,11 @@ def _runs(source: Iterator[pa.RecordBatch], length: int, buckets: int) -> Iterat
         for doc, digest, text, found in zip(*columns, strict=True):
             data = (text or "").encode()
             for a in found:
+                if a["wide"]:
+                    continue
                 p, first, last = a["position"], a["first"], a["last"]
-                key = a["hash"].to_bytes(8, signed=True) + data[p : last + length]
+                # anchors have the least hashes, so these are scrambled before their order deals them out
+                key = (a["hash"] * SCRAMBLE & (1 << 64) - 1).to_bytes(8) + data[p : last + length]
                 left = data[first:p][::-1]
                 held.setdefault((key, left), []).append((doc, digest, p))
                 size += len(key) + len(left) + 64
@@ -169,6 +177,24 @@ def _runs(source: Iterator[pa.RecordBatch], length: int, buckets: int) -> Iterat
         yield from flush()
 
 
+def _windows(source: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """The 128-bit digest of each window of wide anchors, as two longs, and where it starts."""
+    import xxhash
+
+    for batch in source:
+        columns = [batch.column(c).to_pylist() for c in ("doc_id", "digest", "text", "found")]
+        for doc, digest, text, found in zip(*columns, strict=True):
+            data = memoryview((text or "").encode())
+            starts = [s for a in found if a["wide"] for s in range(a["first"], a["last"] + 1)]
+            for k in range(0, len(starts), 50_000):
+                part = starts[k : k + 50_000]
+                digests = b"".join(xxhash.xxh3_128_digest(data[s : s + length]) for s in part)
+                high, low = np.frombuffer(digests, "<i8").reshape(-1, 2).T
+                n = len(part)
+                arrays = [pa.array(high), pa.array(low), pa.array([doc] * n, pa.int64()), pa.array([digest] * n, pa.binary()), pa.array(part, pa.int32())]
+                yield pa.RecordBatch.from_arrays(arrays, names=["high", "low", "doc_id", "digest", "start"])
+
+
 def _ranges(numbers: set[int]) -> list[tuple[int, int]]:
     out: list[list[int]] = []
     for d in sorted(numbers):
@@ -238,38 +264,41 @@ def _merge_bucket(rows: pa.Table, length: int) -> pa.Table:
     return pa.table([pa.array(c, t) for c, t in zip(columns, kinds)], names=["run", "entry", "least", "most"])
 
 
-def _cut(source: Iterator[pa.RecordBatch], keep_text: bool) -> Iterator[pa.RecordBatch]:
+def _kept(data: bytes, cuts: list[tuple[int, int]]) -> tuple[bytes, int, int]:
+    """(what the cuts leave, bytes removed, runs removed); cuts may overlap."""
+    at, kept, removed, spans = 0, [], 0, 0
+    for a, b in sorted(cuts):
+        if spans and a <= at:
+            removed += max(0, b - at)
+        else:
+            kept.append(data[at:a])
+            removed += b - a
+            spans += 1
+        at = max(at, b)
+    return b"".join([*kept, data[at:]]), removed, spans
+
+
+def _cut(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in source:
-        columns: list[list] = [[], [], [], [], [], []]
+        columns: list[list] = [[], [], [], [], []]
         for row in batch.to_pylist():
-            data, at, kept, removed, spans = (row["text"] or "").encode(), 0, [], 0, 0
-            for a, b in sorted((x["a"], x["b"]) for x in row["cuts"]):
-                if spans and a <= at:
-                    removed += max(0, b - at)
-                else:
-                    kept.append(data[at:a])
-                    removed += b - a
-                    spans += 1
-                at = max(at, b)
-            rest = b"".join([*kept, data[at:]])
-            text = rest.decode("utf-8", "ignore") if keep_text else None
-            for c, v in zip(columns, (row["doc_id"], row["digest"], removed, spans, hashlib.sha256(rest).hexdigest(), text)):
+            rest, removed, spans = _kept((row["text"] or "").encode(), [(x["a"], x["b"]) for x in row["cuts"]])
+            for c, v in zip(columns, (row["doc_id"], row["digest"], removed, spans, hashlib.sha256(rest).hexdigest())):
                 c.append(v)
-        kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.string(), pa.string())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["doc_id", "digest", "n_removed", "n_spans", "kept_sha256", "kept"])
+        kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.string())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["cut_doc", "cut_digest", "n_removed", "n_spans", "kept_sha256"])
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_text: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of each document (doc_id, text); keep_text adds the text's
-    md5 `digest` and `kept`.
+class Found(NamedTuple):
+    #: doc_id, digest, n_bytes, sha and whether the whole text occurs again, of each document.
+    rows: DataFrame
+    #: doc_id, digest and text of documents that may have repeats.
+    candidates: DataFrame
+    #: doc_id, digest and the byte ranges to cut, overlapping, of documents that occur once as a whole.
+    cuts: DataFrame
 
-    A byte goes if a string of `length` bytes that covers it also starts anywhere else, in the same document or another;
-    overlaps count and all is judged on the input. `kept` is the rest, without bytes of characters that were cut in two.
 
-    Null and empty texts have no bytes; texts shorter than `length` are kept whole. Rows that repeat, with or without an
-    id, are copies of each other, so both go where they are long enough. Rows with a null doc_id are kept. Other columns
-    are not read. An empty table gives no rows. Texts of any length are scanned in overlapping chunks.
-    """
+def find_repeats(docs: DataFrame, length: int = LENGTH, widest: int = WIDEST) -> Found:
     spark = docs.sparkSession
     small_batches(spark)
     source = docs.selectExpr("cast(doc_id as long) doc_id", "text")
@@ -283,10 +312,14 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_text: bool = Fals
 
     # Anchors whose k-mer occurs again among different texts.
     each = distinct.select("row", F.posexplode("hashes").alias("k", "hash"))
-    again = each.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
-    kept = each.join(again, "hash").groupBy("row").agg(F.collect_list("k").alias("ks"))
-    last = F.expr("transform(ks, k -> named_struct('hash', hashes[k], 'position', positions[k], 'first', firsts[k], 'last', coalesce(get(firsts, k + 1) - 1, cast(n_bytes as int) - %d)))" % length)
-    found = distinct.join(kept, "row").select("doc_id", "digest", last.alias("found"))
+    again = each.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash", (F.col("n") > widest).alias("wide"))
+    again = materialize(again, "again")  # so that the join below has plain exchanges, and a hot hash can be split
+    kept = materialize(each.join(again, "hash").groupBy("row").agg(F.collect_list(F.struct("k", "wide")).alias("ks")), "kept")
+    anchor = F.expr(
+        "transform(ks, x -> named_struct('wide', x.wide, 'hash', hashes[x.k], 'position', positions[x.k], 'first', firsts[x.k], "
+        f"'last', coalesce(get(firsts, x.k + 1) - 1, cast(n_bytes as int) - {length})))"
+    )
+    found = materialize(distinct.join(kept, "row").select("doc_id", "digest", anchor.alias("found")), "found")
     keyed = source.withColumn("digest", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
     same = keyed["doc_id"].eqNullSafe(found["doc_id"]) & (keyed["digest"] == found["digest"])
     candidates = keyed.join(found, same).select(found["doc_id"], found["digest"], "text", "found")
@@ -297,49 +330,79 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_text: bool = Fals
     coded = runs.where("bucket is not null").select("bucket", "run", "first", "numbers", "keys", "lefts")
     merged = coded.groupBy("bucket").applyInArrow(lambda rows: _merge_bucket(rows, length), "run long, entry int, least int, most int")
     places = runs.where("bucket is null").select("run", "entry", "doc", "digest", "position")
-    cuts = places.join(merged, ["run", "entry"]).select(
+    ranges = places.join(materialize(merged, "merged"), ["run", "entry"]).select(
         F.col("doc").alias("doc_id"), "digest",
         F.struct((F.col("position") - F.col("most")).alias("a"), (F.col("position") - F.col("least") + length).alias("b")).alias("cut"),
-    )
-    cuts = cuts.groupBy("doc_id", "digest").agg(F.collect_list("cut").alias("cuts"))
-    same = candidates["doc_id"].eqNullSafe(cuts["doc_id"]) & (candidates["digest"] == cuts["digest"])
-    cut = candidates.join(cuts, same).select(candidates["doc_id"], candidates["digest"], "text", "cuts")
-    schema = "doc_id long, digest binary, n_removed long, n_spans long, kept_sha256 string, kept string"
-    cut = cut.mapInArrow(lambda it: _cut(it, keep_text), schema)
-
+    )
+    if not again.where("wide").isEmpty():
+        wide = candidates.where(F.exists("found", lambda a: a["wide"])).select("doc_id", "digest", "text", "found")
+        schema = "high long, low long, doc_id long, digest binary, start int"
+        windows = materialize(wide.mapInArrow(lambda it: _windows(it, length), schema), "windows")
+        twice = materialize(windows.groupBy("high", "low").agg(F.count("*").alias("n")).where("n > 1").select("high", "low"), "twice")
+        cut = F.struct(F.col("start").alias("a"), (F.col("start") + length).alias("b")).alias("cut")
+        ranges = ranges.unionByName(windows.join(twice, ["high", "low"]).select("doc_id", "digest", cut))
     copies = distinct.where("copies > 1").select("digest", F.lit(True).alias("copied"))
+    cuts = ranges.groupBy("doc_id", "digest").agg(F.collect_set("cut").alias("cuts")).join(copies, "digest", "left_anti")
     rows = scanned.select("doc_id", "digest", "n_bytes", "sha").join(copies, "digest", "left")
-    # a document that is copied needs no partner below
-    single = F.when(F.col("copied").isNull(), F.col("digest"))
-    rows = rows.withColumn("single", single)
-    cut = cut.withColumnsRenamed({"doc_id": "cut_doc", "digest": "cut_digest"})
-    out = rows.join(cut, rows["doc_id"].eqNullSafe(cut["cut_doc"]) & (rows["single"] == cut["cut_digest"]), "left")
-    whole = F.col("copied").isNotNull()
-    columns = [
-        F.col("doc_id"), F.col("n_bytes"),
+    return Found(rows.withColumn("copied", F.col("copied").isNotNull()), candidates.select("doc_id", "digest", "text"), materialize(cuts, "cuts"))
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH, widest: int = WIDEST) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of each document (doc_id, text).
+
+    A byte goes if a string of `length` bytes that covers it also starts anywhere else, in the same document or another;
+    overlaps count and all is judged on the input. `widest` only decides which of two exact ways a k-mer's anchors go.
+
+    Null and empty texts have no bytes; texts shorter than `length` are kept whole. Rows that repeat, with or without an
+    id, are copies of each other, so both go where they are long enough. Rows with a null doc_id are kept. Other columns
+    are not read. An empty table gives no rows. Texts of any length are scanned in overlapping chunks.
+    """
+    rows, candidates, cuts = find_repeats(docs, length, widest)
+    same = candidates["doc_id"].eqNullSafe(cuts["doc_id"]) & (candidates["digest"] == cuts["digest"])
+    cut = candidates.join(cuts, same).select(candidates["doc_id"], candidates["digest"], "text", "cuts")
+    cut = cut.mapInArrow(_cut, "cut_doc long, cut_digest binary, n_removed long, n_spans long, kept_sha256 string")
+    out = rows.join(cut, rows["doc_id"].eqNullSafe(cut["cut_doc"]) & (rows["digest"] == cut["cut_digest"]), "left")
+    whole = F.col("copied")
+    return out.select(
+        "doc_id", "n_bytes",
         F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
         F.when(whole, 1).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
         F.when(whole, EMPTY).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
-    ]
-    return out.select(*columns, *(["digest", F.when(whole, "").otherwise(F.col("kept")).alias("kept")] if keep_text else []))
+    )
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """The documents, with all their columns, with repeated strings of `length` bytes cut out of `text`.
 
-    A document that had bytes and has none left goes. n_chars follows the text where there is such a column. Documents are
-    told apart by doc_id and text; rows that repeat both are copies, and go where they are long enough.
+    A document that had bytes and has none left goes; a character of which only some bytes are left goes with them. n_chars
+    follows the text where there is such a column. Documents are told apart by doc_id and text; rows that repeat both are
+    copies, and go where they are long enough. Null, empty and short texts stay as they are.
     """
-    cut = remove_repeats(docs, length, keep_text=True).where("n_removed > 0")
-    cut = cut.select(F.col("doc_id").alias("__doc"), F.col("digest").alias("__digest"), F.col("kept").alias("__kept")).dropDuplicates(["__doc", "__digest"])
+    rows, _, cuts = find_repeats(docs, length)
+    one_cut = F.array(F.struct(F.lit(0).alias("a"), F.col("n_bytes").cast("int").alias("b")))
+    whole = rows.where("copied").select("doc_id", "digest", one_cut.alias("cuts")).distinct()
+    edits = whole.unionByName(cuts).toDF("__doc", "__digest", "__cuts")
     digest = F.unhex(F.md5(F.coalesce("text", F.lit(""))))
-    joined = docs.join(cut, F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")) & (digest == F.col("__digest")), "left")
-    left = joined.where("__digest is null or __kept <> ''")
-    changed = {"text": F.when(F.col("__digest").isNull(), F.col("text")).otherwise(F.col("__kept"))}
-    if "n_chars" in docs.columns:
-        length_kind = dict(docs.dtypes)["n_chars"]
-        changed["n_chars"] = F.when(F.col("__digest").isNull(), F.col("n_chars")).otherwise(F.length("__kept")).cast(length_kind)
-    return left.withColumns(changed).select(*docs.columns)
+    joined = docs.join(edits, F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")) & (digest == F.col("__digest")), "left")
+    names, at = docs.columns, docs.columns.index("text")
+
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in source:
+            texts, stays = batch.column("text").to_pylist(), []
+            for k, cut in enumerate(batch.column("__cuts").to_pylist()):
+                if cut is not None:
+                    texts[k] = _kept(texts[k].encode(), [(x["a"], x["b"]) for x in cut])[0].decode("utf-8", "ignore")
+                stays.append(cut is None or texts[k] != "")
+            columns = [batch.column(n) for n in names]
+            columns[at] = pa.array(texts, columns[at].type)
+            columns.append(pa.array([c is not None for c in batch.column("__cuts").to_pylist()]))
+            yield pa.RecordBatch.from_arrays(columns, names=[*names, "__changed"]).filter(pa.array(stays, pa.bool_()))
+
+    schema = StructType([*docs.schema, StructField("__changed", BooleanType())])
+    out = joined.select(*names, "__cuts").mapInArrow(run, schema)
+    if "n_chars" in names:
+        out = out.withColumn("n_chars", F.when(F.col("__changed"), F.length("text")).otherwise(F.col("n_chars")).cast(dict(docs.dtypes)["n_chars"]))
+    return out.select(*names)
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

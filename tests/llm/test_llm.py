@@ -267,8 +267,8 @@ def test_suffix_dedup(spark, docs):
     assert got == dict(zip(docs, brute_repeats(docs.values(), 400)))
 
 
-@pytest.mark.parametrize("length", [400, 100])
-def test_suffix_dedup_odd(spark, length):
+@pytest.mark.parametrize(("length", "widest"), [(400, suffixdedup.WIDEST), (100, 5)])
+def test_suffix_dedup_odd(spark, length, widest):
     rng = random.Random(length)
     word = lambda n: "".join(rng.choice("abcdefgh é") for _ in range(n))
     passages = [word(rng.choice([300, 500, 900])) for _ in range(6)]
@@ -281,7 +281,7 @@ def test_suffix_dedup_odd(spark, length):
             t += p[a : rng.randint(a, len(p))] + word(rng.choice([0, 1, 5, 100]))
         texts.append(t)
     texts += ["ab " * 500, "ab " * 133, "be " * 3000, "x" * 401, "x" * 400, None, "", texts[5], texts[5][:450], texts[7] + texts[5]]
-    got = {r.doc_id: tuple(r)[1:] for r in suffixdedup.remove_repeats(frame(spark, texts, parts=5), length).collect()}
+    got = {r.doc_id: tuple(r)[1:] for r in suffixdedup.remove_repeats(frame(spark, texts, parts=5), length, widest).collect()}
     assert got == dict(enumerate(brute_repeats(texts, length)))
 
 
