@@ -219,9 +219,9 @@ def near_duplicates(
     return joined.select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
-#: For filtering a corpus: shingles of five words, two lanes, and the differing bits of 128 that a similarity of 0.8 gives
-#: on average (arccos(8 / 9) / pi of them). Links of up to 11 bits are sure to be candidates, others likely.
-CORPUS_SHINGLE, CORPUS_LANES, CORPUS_CUTS, CORPUS_DIFFERING = 5, 2, 3, 20
+#: For filtering a corpus: shingles of five words, three lanes, and somewhat more differing bits of 192 than a similarity of
+#: 0.8 gives on average (arccos(8 / 9) / pi of them: 29). Links of up to 17 bits are sure to be candidates, others likely.
+CORPUS_SHINGLE, CORPUS_LANES, CORPUS_CUTS, CORPUS_DIFFERING = 5, 3, 3, 32
 
 
 def unique_documents(docs: DataFrame) -> DataFrame:
