@@ -13,11 +13,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from duelgrid.llm.common import partition_id, scratch_dir, small_batches, table, texts_of
+from duelgrid.llm.common import hashed_sample, partition_id, scratch_dir, small_batches, table, texts_of
 from duelgrid.llm.tokens import WORD_TOKENIZER, WordIds, per_worker
 
 END_ID = 1
-#: The dictionary is trained on at most so many texts of at most so many characters; it only changes sizes, never ids.
+#: The dictionary is trained on about so many texts, those of at most so many characters; it only changes sizes, never ids.
 SAMPLE_TEXTS, SAMPLE_CHARS, DICTIONARY_BYTES = 600, 4000, 64 * 1024
 LEVEL = 3
 #: A block ends at so many bytes of frames or so many documents; a reader holds a few hundred blocks at once.
@@ -49,11 +49,11 @@ def deserialize(raw: bytes, n: int) -> bytes:
 
 
 def train_dictionary(docs: DataFrame, tokenizer: str) -> bytes:
-    """The shared dictionary, from the sample of short documents with the smallest hashes; b'' if there are too few."""
+    """The shared dictionary, from the short ones among a bounded sample of documents; b'' if there are none."""
     import zstandard
 
-    short = docs.where(F.length("text").between(1, SAMPLE_CHARS)).select(F.xxhash64("text").alias("h"), "text")
-    rows = short.orderBy("h", "text").limit(SAMPLE_TEXTS).collect()
+    sample = hashed_sample(docs, SAMPLE_TEXTS).where(F.length("text").between(1, SAMPLE_CHARS))
+    rows = sorted(sample.select("text").collect())
     if not rows:
         return b""
     samples = [serialize(x) for x in WordIds(tokenizer).encode([r.text for r in rows])]
