@@ -1,0 +1,206 @@
+"""Near copies by the exact similarity of word shingle sets: MinHash bands find candidates, the sets themselves decide."""
+
+from __future__ import annotations
+
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from duelgrid.llm.common import materialize, small_batches, texts_of
+from duelgrid.llm.components import components
+
+SHINGLE, SEED = 5, 42
+#: Two texts are linked if at least so much of what either has is in both, as a fraction.
+SHARED, OF = 4, 5
+#: Texts that agree in all minima of a band are candidates: at a similarity of 0.8, 1 - (1 - 0.8 ** 5) ** 20 = 99.96 % are.
+BANDS, ROWS = 20, 5
+#: Bytes of a sketch, one of a minimum each, and how many must agree for a candidate to be looked at: 51 do on average at a
+#: similarity of 0.8, give or take 3.2.
+SKETCH, LEAST_AGREEING = 64, 34
+#: Texts of a bucket of at most so many are all compared with each other at once; larger ones take two rounds.
+SMALL = 8
+
+_rng = np.random.default_rng(SEED)
+_FACTORS = _rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_TERMS = _rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
+
+
+def shingles(text: str | None, size: int = SHINGLE) -> tuple[bytes, list[bytes]]:
+    """The words of a text, joined, and its runs of `size` words; a shorter text is one run."""
+    words = (text or "").encode().lower().split()
+    joined = b" ".join(words)
+    if len(words) <= size:
+        return joined, [joined]
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = [0, *(ends[: len(words) - size] + 1).tolist()]
+    return joined, [joined[a:b] for a, b in zip(starts, ends[size - 1 :].tolist(), strict=True)]
+
+
+def similar(a: set[bytes], b: set[bytes]) -> bool:
+    both = len(a & b)
+    return OF * both >= SHARED * (len(a) + len(b) - both)
+
+
+def minima(runs: list[bytes]) -> np.ndarray:
+    import xxhash
+
+    digest = xxhash.xxh64_intdigest
+    hashes = np.array([digest(r, SEED) for r in runs], np.uint64)
+    least = np.full(BANDS * ROWS, 2**32 - 1, np.uint32)
+    for k in range(0, len(hashes), 2048):
+        with np.errstate(over="ignore"):
+            mixed = hashes[k : k + 2048, None] * _FACTORS + _TERMS
+        least = np.minimum(least, (mixed >> np.uint64(32)).min(0).astype(np.uint32))
+    return least
+
+
+def described(rows: DataFrame) -> DataFrame:
+    """(row, doc_id, digest of the words, sketch, band keys) of rows (row, doc_id, text)."""
+    small_batches(rows.sparkSession)
+
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for batch in source:
+            digests, sketches, keys = [], [], []
+            for t in texts_of(batch):
+                joined, runs = shingles(t)
+                least = minima(runs)
+                digests.append(hashlib.blake2b(joined, digest_size=16).digest())
+                sketches.append((least[:SKETCH] & 255).astype(np.uint8).tobytes())
+                keys.append(b"".join(xxhash.xxh64_digest(least[k * ROWS : (k + 1) * ROWS].tobytes(), k) for k in range(BANDS)))
+            made = [pa.array(x, pa.binary()) for x in (digests, sketches, keys)]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), *made], names=["row", "doc_id", "digest", "sketch", "keys"])
+
+    return rows.select("row", "doc_id", "text").mapInArrow(run, "row long, doc_id long, digest binary, sketch binary, keys binary")
+
+
+def _bytes(column: pa.Array, kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1)
+
+
+def _pairs(source: Iterator[pa.RecordBatch], crossing: bool) -> Iterator[pa.RecordBatch]:
+    """Pairs in runs of equal keys whose sketches agree well enough; the rows of a partition come sorted by (key, node).
+
+    First round: all pairs of a small run; of a large one each text with the first and with the next, and (node, node) to
+    tell that a node is in a large run. Crossing round: all pairs of large runs that no path connects yet.
+    """
+    seen: set[tuple[int, int]] = set()
+
+    def resolved(key: np.ndarray, node: np.ndarray, root: np.ndarray, sketch: np.ndarray) -> Iterator[pa.RecordBatch]:
+        found = []
+
+        def met(a: np.ndarray, b: np.ndarray) -> None:
+            for k in range(0, len(a), 50_000):
+                x, y = a[k : k + 50_000], b[k : k + 50_000]
+                near = (sketch[x] == sketch[y]).sum(1) >= LEAST_AGREEING
+                found.append(np.stack([node[x[near]], node[y[near]]], 1))
+
+        edges = np.flatnonzero(np.diff(key)) + 1
+        starts, stops = np.concatenate([[0], edges]), np.concatenate([edges, [len(key)]])
+        sizes = stops - starts
+        if not crossing:
+            size_of = np.repeat(sizes, sizes)
+            for shift in range(1, SMALL):
+                same = np.flatnonzero((key[shift:] == key[:-shift]) & (size_of[shift:] <= SMALL))
+                met(same, same + shift)
+        for k in np.flatnonzero(sizes > SMALL).tolist():
+            at = np.arange(starts[k], stops[k])
+            if not crossing:
+                met(np.full(len(at) - 1, at[0]), at[1:])
+                met(at[1:-1], at[2:])
+                found.append(np.stack([node[at], node[at]], 1))
+                continue
+            # the largest part comes last, so that only the texts outside it are compared with all after them
+            _, part, count = np.unique(root[at], return_inverse=True, return_counts=True)
+            at = at[np.lexsort((part, count[part]))]
+            for j in range(len(at) - int(count.max())):
+                after = at[j + 1 :]
+                after = after[root[after] != root[at[j]]]
+                met(np.full(len(after), at[j]), after)
+        if len(seen) > 300_000:
+            seen.clear()
+        fresh = {(min(a, b), max(a, b)) for f in found for a, b in f.tolist()} - seen
+        seen.update(fresh)
+        if fresh:
+            made = np.array(sorted(fresh), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(made[:, 0]), pa.array(made[:, 1])], names=["a", "b"])
+
+    held: list[np.ndarray] = []
+    for batch in source:
+        key, node, root = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "node", "root"))
+        now = [key, node, root, _bytes(batch.column("sketch"), np.uint8)]
+        held = [np.concatenate(x) for x in zip(held, now)] if held else now
+        if len(held[0]) < 100_000:
+            continue
+        cut = int(np.searchsorted(held[0], held[0][-1]))  # the last run may go on
+        if cut:
+            yield from resolved(*(x[:cut] for x in held))
+            held = [x[cut:].copy() for x in held]
+    if held and len(held[0]):
+        yield from resolved(*held)
+
+
+def _met(nodes: DataFrame, crossing: bool) -> DataFrame:
+    """(a, b) of nodes (node, root, sketch, keys) that share a band."""
+
+    def keyed(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in source:
+            keys = _bytes(batch.column("keys"), ">u8").astype(np.uint64).view(np.int64)
+            at = pa.array(np.repeat(np.arange(len(keys)), BANDS))
+            arrays = [pa.array(keys.ravel()), *(batch.column(c).take(at) for c in ("node", "root", "sketch"))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["key", "node", "root", "sketch"])
+
+    dealt = nodes.select("node", "root", "sketch", "keys").mapInArrow(keyed, "key long, node long, root long, sketch binary")
+    dealt = dealt.repartition("key").sortWithinPartitions("key", "node")
+    return dealt.mapInArrow(lambda it: _pairs(it, crossing), "a long, b long")
+
+
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those of pairs (a, b) whose texts, by texts (row, text), have similar shingle sets."""
+
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets: dict[int, set[bytes]] = {}
+
+        def of(node: int, text: str | None) -> set[bytes]:
+            if node not in sets:
+                if len(sets) >= 32:
+                    sets.pop(next(iter(sets)))
+                sets[node] = set(shingles(text)[1])
+            return sets[node]
+
+        for batch in source:
+            a, b, ta, tb = (batch.column(c).to_pylist() for c in ("a", "b", "ta", "tb"))
+            keep = [similar(of(x, s), of(y, t)) for x, y, s, t in zip(a, b, ta, tb, strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    needed = pairs.select(F.col("a").alias("row")).union(pairs.select(F.col("b").alias("row"))).distinct()
+    texts = materialize(texts.select("row", "text").join(needed, "row", "left_semi"), "texts")
+    first, second = (texts.select(F.col("row").alias(c), F.col("text").alias(f"t{c}")) for c in ("a", "b"))
+    return pairs.join(first, "a").join(second, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+
+
+def near_copies(rows: DataFrame) -> DataFrame:
+    """(row, doc_id, digest, component) of rows (row, doc_id, text), `row` being a key: near copies share a component.
+
+    Rows with the same words are one node, named by its least row. Nodes whose sets of five-word shingles have a Jaccard
+    similarity of at least 0.8 are linked; every candidate is decided by the sets. A component is all that links reach.
+    """
+    made = materialize(described(rows), "described")
+    least = F.min(F.struct("row", "sketch", "keys")).alias("m")
+    nodes = materialize(made.groupBy("digest").agg(least).select("digest", F.col("m.row").alias("node"), "m.sketch", "m.keys"), "nodes")
+    met = materialize(_met(nodes.withColumn("root", F.col("node")), False).distinct(), "met")
+    linked = materialize(verified(met.where("a != b"), rows), "linked")
+    roots = materialize(components(linked), "roots")
+    large = met.where("a = b").select(F.col("a").alias("node"))
+    if not large.isEmpty():
+        inside = nodes.join(large, "node", "left_semi").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        crossing = materialize(_met(inside, True).distinct(), "crossing")
+        more = verified(crossing, rows)
+        roots = materialize(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more)), "roots")
+    named = nodes.select("digest", "node").join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("component"))
+    return made.select("row", "doc_id", "digest").join(materialize(named, "named"), "digest")

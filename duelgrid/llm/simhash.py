@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from duelgrid.llm.common import materialize, small_batches, table, texts_of
 from duelgrid.llm.components import components
+from duelgrid.llm.shingles import near_copies
 
 BITS, SEED = 64, 42
 SHINGLE, MOST_DIFFERING = 4, 4
@@ -219,20 +220,18 @@ def near_duplicates(
     return joined.select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
-#: For filtering a corpus: shingles of five words, three lanes, and somewhat more differing bits of 192 than a similarity of
-#: 0.8 gives on average (arccos(8 / 9) / pi of them: 29). Links of up to 17 bits are sure to be candidates, others likely.
-CORPUS_SHINGLE, CORPUS_LANES, CORPUS_CUTS, CORPUS_DIFFERING = 5, 3, 3, 32
-
-
 def unique_documents(docs: DataFrame) -> DataFrame:
     """The documents, with all their columns, without those that are near copies of one with a smaller doc_id.
 
+    Near copies are what links of an exact five-word shingle similarity of at least 0.8 reach (`shingles.near_copies`).
     Repeated rows with one doc_id stay together. Rows with a null doc_id stay. Null, empty and blank texts are copies of
     each other. Columns of any names pass through.
     """
-    groups = near_duplicates(docs, CORPUS_SHINGLE, CORPUS_DIFFERING, CORPUS_LANES, CORPUS_CUTS)
-    gone = groups.where("component_id < doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+    rowed = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "rowed")
+    groups = materialize(near_copies(rowed.select(F.col("__row").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")), "groups")
+    least = groups.groupBy("component").agg(F.min("doc_id").alias("least"))
+    gone = groups.join(least, "component").where("least < doc_id").select(F.col("row").alias("__row"))
+    return rowed.join(gone, "__row", "left_anti").drop("__row")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -247,6 +247,25 @@ def test_unique_documents(spark):
     assert sorted(r.doc_id for r in got.collect()) == list(range(20)) and got.columns == ["doc_id", "text", "fingerprint", "score"]
 
 
+def test_unique_documents_by_exact_similarity(spark):
+    """Against all pairs, at similarities around the threshold, with a bucket of many texts that are no copies."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    texts = []
+    for like in (0.7, 0.75, 0.78, 0.79, 0.8, 0.81, 0.82, 0.85, 0.9):
+        for _ in range(40):
+            base = [word() for _ in range(rng.randint(150, 400))]
+            n = len(base) - 4
+            shared = round(2 * like * n / (1 + like))
+            texts += [" ".join(base), " ".join([*base[: shared + 4], *(word() for _ in range(n - shared))])]
+    common = [word() for _ in range(400)]
+    texts += [" ".join([*common, *(word() for _ in range(170))]) for _ in range(30)] + [" ".join([*common, str(k)]) for k in range(30)]
+    runs = [set(zip(*(t.split()[k:] for k in range(5)))) for t in texts]
+    want = brute_components(range(len(texts)), lambda a, b: 5 * len(runs[a] & runs[b]) >= 4 * len(runs[a] | runs[b]))
+    got = {r.doc_id for r in simhash.unique_documents(frame(spark, texts)).collect()}
+    assert got == {k for k, root in want.items() if k == root} and 200 < len(got) < len(texts) - 150
+
+
 def brute_repeats(texts, length):
     data = [(t or "").encode() for t in texts]
     count = Counter(d[k : k + length] for d in data for k in range(len(d) - length + 1))
