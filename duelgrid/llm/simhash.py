@@ -221,17 +221,17 @@ def near_duplicates(
 
 
 def unique_documents(docs: DataFrame) -> DataFrame:
-    """The documents, with all their columns, without those that are near copies of one with a smaller doc_id.
+    """One document, with all its columns, of each group of near copies: that of the smallest doc_id, null ones last.
 
     Near copies are what links of an exact five-word shingle similarity of at least 0.8 reach (`shingles.near_copies`).
-    Repeated rows with one doc_id stay together. Rows with a null doc_id stay. Null, empty and blank texts are copies of
-    each other. Columns of any names pass through.
+    Of rows that repeat the survivor's doc_id one stays, and of a group without any doc_id too. Null, empty and blank texts
+    are copies of each other. Columns of any names pass through.
     """
     rowed = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "rowed")
-    groups = materialize(near_copies(rowed.select(F.col("__row").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")), "groups")
-    least = groups.groupBy("component").agg(F.min("doc_id").alias("least"))
-    gone = groups.join(least, "component").where("least < doc_id").select(F.col("row").alias("__row"))
-    return rowed.join(gone, "__row", "left_anti").drop("__row")
+    groups = near_copies(rowed.select(F.col("__row").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest", "row")).alias("first")
+    kept = groups.groupBy("component").agg(first).select(F.col("first.row").alias("__row"))
+    return rowed.join(kept, "__row", "left_semi").drop("__row")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

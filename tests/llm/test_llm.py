@@ -540,6 +540,17 @@ def test_pipeline_edges(spark):
         assert stage(spark, df.limit(0), SF).count() == 0
 
 
+def test_copies_without_an_id_of_their_own_leave_one(spark):
+    rng = random.Random(6)
+    texts = [" ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(60)) for _ in range(4)]
+    rows = [(None, texts[0]), (None, texts[0]), (7, texts[1]), (7, texts[1]), (None, texts[2]), (9, texts[2]), (5, texts[3]), (6, texts[3])]
+    now = frame(spark, [t for _, t in rows], [d for d, _ in rows])
+    for stage in (corpus_pipeline.near_duplicates, corpus_pipeline.repeated_passages):
+        now = corpus_pipeline.materialize(stage(spark, now, SF), "copies")
+        want = {(None, texts[0]), (7, texts[1]), (9, texts[2]), (5, texts[3])}
+        assert now.count() == 4 and {(r.doc_id, r.text) for r in now.collect()} == want
+
+
 def test_registry_names_every_operator():
     names = registry.llm_queries()
     assert {n.split("_")[0] for n in names} == {f"op{k}" for k in range(1, 11)} | {"pipeline"}
