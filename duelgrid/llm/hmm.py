@@ -14,14 +14,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from duelgrid.llm.common import crc_mod, hashed_sample, partition_id, small_batches, table, texts_of
+from duelgrid.llm.common import crc_mod, materialize, partition_id, small_batches, table, texts_of
 from duelgrid.llm.terms import HEAD_TERMS, ascii_words, count_terms, head
 
 STATES = 8
 #: Frequent tokens that are symbols of their own; the others fall into classes by their last two bytes.
 OWN_SYMBOLS, CLASSES = 1500, 64
-#: Rounds of Baum-Welch over all training documents, after rounds over a bounded sample of them that set the states apart.
-ROUNDS, SAMPLE_ROUNDS, SAMPLE_DOCS, SAMPLE_WORDS = 2, 25, 400, 600
+#: Baum-Welch goes on over all training documents until a round gains less log likelihood a token (natural logarithm).
+LEAST_GAIN = 1e-3
 #: Tokens of a segment, within which training follows the chain exactly, and segments that are trained on together.
 SEGMENT, TOGETHER = 64, 2048
 SMOOTHING = 0.5
@@ -81,6 +81,11 @@ def initial(counts: np.ndarray) -> Hmm:
 
 def expected_counts(model: Hmm, segments: np.ndarray, lengths: np.ndarray, first: np.ndarray) -> Hmm:
     """One E-step over padded segments (segments x time): expected starts, inner starts, moves and emissions."""
+    return _expectation(model, segments, lengths, first)[0]
+
+
+def _expectation(model: Hmm, segments: np.ndarray, lengths: np.ndarray, first: np.ndarray) -> tuple[Hmm, float]:
+    """The expected counts, and the log likelihood of the segments."""
     b, t = segments.shape
     live = np.arange(t)[None] < lengths[:, None]
     e = np.where(live[:, :, None], model.emit[segments], 1.0).transpose(1, 0, 2).astype(np.float64)
@@ -105,7 +110,8 @@ def expected_counts(model: Hmm, segments: np.ndarray, lengths: np.ndarray, first
     keep = live.T.ravel()
     symbols, flat = segments.T.ravel()[keep], gamma.reshape(-1, STATES)[keep]
     emit = np.stack([np.bincount(symbols, flat[:, s], len(model.emit)) for s in range(STATES)], 1)
-    return Hmm(gamma[0][first].sum(0), gamma[0][~first].sum(0), moves, emit)
+    # a step beyond a segment's end scales by one
+    return Hmm(gamma[0][first].sum(0), gamma[0][~first].sum(0), moves, emit), float(np.log(scale).sum())
 
 
 def maximised(counts: Hmm, prior: np.ndarray) -> Hmm:
@@ -156,37 +162,58 @@ def log10_likelihoods(model: Hmm, sequences: list[np.ndarray]) -> list[float]:
     return out
 
 
-def _collected(parts: DataFrame, size: int) -> Hmm:
-    """Sum the partitions' expected counts cell by cell; the model's size bounds what comes back."""
+def _collected(parts: DataFrame, size: int) -> tuple[Hmm, float, float]:
+    """Sum the partitions' expected counts cell by cell, log likelihoods and tokens; the model's size bounds what comes back."""
     cells = parts.groupBy("cell").agg(F.sum("value").alias("value")).toArrow()
-    flat = np.zeros(2 * STATES + STATES * STATES + size * STATES)
+    flat = np.zeros(2 * STATES + STATES * STATES + size * STATES + 2)
     flat[cells.column("cell").to_numpy()] = cells.column("value").to_numpy()
     a, b, c = STATES, 2 * STATES, 2 * STATES + STATES * STATES
-    return Hmm(flat[:a], flat[a:b], flat[b:c].reshape(STATES, STATES), flat[c:].reshape(size, STATES))
+    return Hmm(flat[:a], flat[a:b], flat[b:c].reshape(STATES, STATES), flat[c:-2].reshape(size, STATES)), flat[-2], flat[-1]
+
+
+def encoded(docs: DataFrame, symbols: Symbols) -> DataFrame:
+    """The symbols of docs (text), two bytes each, written once for all rounds."""
+    shared = docs.sparkSession.sparkContext.broadcast(symbols)
 
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in source:
+            coded = [shared.value.encode(tokens_of(t)).astype("<u2").tobytes() for t in texts_of(batch)]
+            yield pa.RecordBatch.from_arrays([pa.array(coded, pa.binary())], names=["coded"])
 
-def baum_welch(docs: DataFrame, symbols: Symbols, model: Hmm, prior: np.ndarray, rounds: int = ROUNDS) -> Hmm:
-    """Rounds of Baum-Welch over all of docs (text): each task sums its expected counts, Spark adds up the tasks' sums."""
+    return materialize(docs.select("text").mapInArrow(run, "coded binary"), "encoded")
+
+
+def baum_welch(docs: DataFrame, symbols: Symbols, model: Hmm, prior: np.ndarray, least_gain: float = LEAST_GAIN) -> Hmm:
+    """Baum-Welch over all of docs (text), until a round gains less than `least_gain` a token.
+
+    Each task sums its expected counts, Spark adds up the tasks' sums. A round that does not end it gains at least that
+    much of a log likelihood that has a bound, so it ends.
+    """
     spark = docs.sparkSession
-    for _ in range(rounds):
-        shared = spark.sparkContext.broadcast((symbols, model))
+    coded, size, before = encoded(docs, symbols), symbols.size, -np.inf
+    while True:
+        shared = spark.sparkContext.broadcast(model)
 
         def run(source: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            names, now = shared.value
-            total = np.zeros(2 * STATES + STATES * STATES + names.size * STATES)
+            total = np.zeros(2 * STATES + STATES * STATES + size * STATES + 2)
             for batch in source:
-                rows, lengths, first = segments_of([names.encode(tokens_of(t)) for t in texts_of(batch)])
+                rows, lengths, first = segments_of([np.frombuffer(x, "<u2") for x in batch.column("coded").to_pylist()])
                 for k in range(0, len(rows), TOGETHER):
                     part = slice(k, k + TOGETHER)
-                    got = expected_counts(now, rows[part], lengths[part], first[part])
-                    total += np.concatenate([x.ravel() for x in got])
+                    got, log = _expectation(shared.value, rows[part], lengths[part], first[part])
+                    total += np.concatenate([*(x.ravel() for x in got), [log, lengths[part].sum()]])
             cells = np.flatnonzero(total)
             for k in range(0, len(cells), 20_000):
                 at = cells[k : k + 20_000]
                 yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["cell", "value"])
 
-        model = maximised(_collected(docs.select("text").mapInArrow(run, "cell long, value double"), symbols.size), prior)
-    return model
+        counts, log, tokens = _collected(coded.mapInArrow(run, "cell long, value double"), size)
+        model = maximised(counts, prior)
+        shared.unpersist()
+        now = log / max(tokens, 1)
+        if now - before < least_gain:
+            return model
+        before = now
 
 
 class Counts(NamedTuple):
@@ -258,12 +285,7 @@ def score(docs: DataFrame, train: DataFrame, most: int = HEAD_TERMS) -> DataFram
         classes[r.c] = r.n, r.v
     prior = np.concatenate([[float(c) for _, c in own], classes[:, 0]])
 
-    sample = sorted(hashed_sample(train, SAMPLE_DOCS).where(F.length("text") > 0).select("text").collect())
-    rows = segments_of([symbols.encode(tokens_of(r.text)[:SAMPLE_WORDS]) for r in sample])
-    model = initial(prior)
-    for _ in range(SAMPLE_ROUNDS if sample else 0):
-        model = maximised(expected_counts(model, *rows), prior)
-    model = baum_welch(train, symbols, model, prior)
+    model = baum_welch(train, symbols, initial(prior), prior)
 
     frequent = head(terms, most).toArrow().to_pydict()
     # tokens that are symbols of their own are always among these, so that no count of theirs is added again by the join

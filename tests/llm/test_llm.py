@@ -506,6 +506,25 @@ def test_hmm_odd(spark, most):
     assert hmm.score(df.limit(0), df).count() == 0
 
 
+def test_hmm_states_come_from_all_training_documents(spark, monkeypatch):
+    """Against Baum-Welch from the initial model over every token of every document, the tail of a long one included."""
+    rng, made = random.Random(8), []
+    texts = [" ".join(rng.choice(["aa", "bb", "cc", "dd"]) for _ in range(rng.randint(1, 40))) for _ in range(500)] + ["aa " * 700 + "zz yy " * 900]
+    train = hmm.baum_welch
+    monkeypatch.setattr(hmm, "baum_welch", lambda *a, **k: made.append((train(*a, **k), a[1], a[3])) or made[-1][0])
+    df = frame(spark, texts).withColumn("held_out", F.lit(False))
+    assert hmm.score(df, df).count() == len(texts)
+    got, symbols, prior = made[0]
+    rows = hmm.segments_of([symbols.encode(hmm.tokens_of(t)) for t in texts])
+    assert prior.sum() == rows[1].sum()
+    model, before, gain = hmm.initial(prior), -np.inf, np.inf
+    while gain >= hmm.LEAST_GAIN:
+        counts, log = hmm._expectation(model, *rows)
+        model, gain, before = hmm.maximised(counts, prior), log / rows[1].sum() - before, log / rows[1].sum()
+    for x, y in zip(got, model):
+        np.testing.assert_allclose(x, y, rtol=1e-6)
+
+
 def test_pipeline_stages(spark, docs):
     """Each stage on what its predecessor kept, against the plain form of what it decides."""
     items = [t for _, t in duckdb.sql(f"select item_id, text from '{SF}/benchmark.parquet'").fetchall()]
