@@ -11,12 +11,13 @@ from pyspark.sql import functions as F
 
 from duelgrid.llm.common import materialize, small_batches, table, texts_of
 from duelgrid.llm.components import components
-from duelgrid.llm.shingles import near_copies
 
 BITS, SEED = 64, 42
 SHINGLE, MOST_DIFFERING = 4, 4
 #: A bucket of at most so many fingerprints is compared row against row by shifting; a larger one is searched outward.
 SHIFTED = 8
+#: Bits of a signature below those that name its segment and the bit left out.
+TAG = 48
 
 
 def fingerprint(text: str, shingle: int = SHINGLE, lanes: int = 1) -> np.ndarray:
@@ -38,10 +39,10 @@ def fingerprint(text: str, shingle: int = SHINGLE, lanes: int = 1) -> np.ndarray
         ends = np.cumsum(sizes + 1) - 1
         spans = zip((ends - sizes)[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)
         hashes = np.array([digest(joined[a:b], SEED) for a, b in spans], "<u8")
-    return np.concatenate([_majority(_scrambled(hashes, k)) for k in range(lanes)])
+    return np.concatenate([_majority(scrambled(hashes, k)) for k in range(lanes)])
 
 
-def _scrambled(hashes: np.ndarray, lane: int) -> np.ndarray:
+def scrambled(hashes: np.ndarray, lane: int) -> np.ndarray:
     if not lane:
         return hashes
     with np.errstate(over="ignore"):
@@ -110,7 +111,7 @@ def variants(fp: np.ndarray, cuts: int) -> np.ndarray:
             for gone in range(bits):
                 low = part & np.uint64((1 << gone) - 1)
                 high = (part >> np.uint64(gone + 1)) << np.uint64(gone)
-                columns.append((high | low) | np.uint64((lane * BITS + first + gone) << 56))
+                columns.append((high | low) | np.uint64((lane * BITS + first + gone) << TAG))
     return np.stack(columns, 1)
 
 
@@ -223,10 +224,12 @@ def near_duplicates(
 def unique_documents(docs: DataFrame) -> DataFrame:
     """One document, with all its columns, of each group of near copies: that of the smallest doc_id, null ones last.
 
-    Near copies are what links of an exact five-word shingle similarity of at least 0.8 reach (`shingles.near_copies`).
+    Near copies are what links of an exact five-word shingle similarity of at least 0.8 reach (`neardup.near_copies`).
     Of rows that repeat the survivor's doc_id one stays, and of a group without any doc_id too. Null, empty and blank texts
     are copies of each other. Columns of any names pass through.
     """
+    from duelgrid.llm.neardup import near_copies
+
     rowed = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "rowed")
     groups = near_copies(rowed.select(F.col("__row").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest", "row")).alias("first")

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from duelgrid.llm import decontam, hmm, langid, packing, quality, registry, simhash, suffixdedup, tokenbin, tokencount, topk
+from duelgrid.llm import decontam, hmm, langid, neardup, packing, quality, registry, simhash, suffixdedup, tokenbin, tokencount, topk
 from duelgrid.llm.components import components
 from duelgrid.llm.mergesort import common_prefix, decode_run, encode_run, merge
 from duelgrid.llm.tokens import PieceCounts, WordIds, pre_tokens
@@ -263,7 +263,32 @@ def test_unique_documents_by_exact_similarity(spark):
     runs = [set(zip(*(t.split()[k:] for k in range(5)))) for t in texts]
     want = brute_components(range(len(texts)), lambda a, b: 5 * len(runs[a] & runs[b]) >= 4 * len(runs[a] | runs[b]))
     got = {r.doc_id for r in simhash.unique_documents(frame(spark, texts)).collect()}
-    assert got == {k for k, root in want.items() if k == root} and 200 < len(got) < len(texts) - 150
+    alone = {k for k, root in want.items() if k == root}
+    gone = set(want) - alone
+    # nothing that is no copy goes; signatures meet with a probability, which is lowest just at the threshold
+    assert alone <= got and 150 < len(gone) and len(got & gone) <= 0.02 * len(gone)
+
+
+def test_votes_are_those_of_the_hashes():
+    rng = np.random.default_rng(3)
+    sets = [rng.integers(0, 2**64, n, dtype=np.uint64) for n in (1, 254, 255, 256, 1000, 3)]
+    votes, n = neardup._votes(sets)
+    for k, s in enumerate(sets):
+        for lane in (0, neardup.LANES - 1):
+            x = simhash.scrambled(s, lane + 2)
+            assert n[k] == len(s) and votes[k, lane].tolist() == [int((x >> np.uint64(b) & np.uint64(1)).sum()) for b in range(64)]
+
+
+def test_first_shared_variant():
+    """A pair is put out where its first shared variant meets: the same place as by comparing all variants."""
+    rng = np.random.default_rng(4)
+    a = rng.integers(0, 2**64, (200, neardup.LANES), dtype=np.uint64)
+    flip = np.packbits(rng.random((200, neardup.LANES, 64)) < 0.06, axis=2, bitorder="little").view("<u8")[:, :, 0]
+    masks = [np.packbits(rng.random((200, neardup.LANES, 64)) < 0.3, axis=2, bitorder="little").view("<u8")[:, :, 0] for _ in "ab"]
+    kept = [np.unpackbits(np.ascontiguousarray(m).view(np.uint8), axis=1, bitorder="little").astype(bool) for m in masks]
+    same = (simhash.variants(a, neardup.CUTS) == simhash.variants(a ^ flip, neardup.CUTS)) & kept[0] & kept[1]
+    want = np.where(same.any(1), same.argmax(1), -1)
+    assert neardup.first_shared(flip, masks[0] & masks[1]).tolist() == want.tolist() and (want >= 0).sum() > 100
 
 
 def brute_repeats(texts, length):
