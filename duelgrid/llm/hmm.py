@@ -15,6 +15,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from duelgrid.llm.common import crc_mod, materialize, partition_id, small_batches, table, texts_of
+from duelgrid.llm.markov import TOGETHER, Hmm, expectation, log10_likelihoods
 from duelgrid.llm.terms import HEAD_TERMS, ascii_words, count_terms, head
 
 STATES = 8
@@ -22,8 +23,6 @@ STATES = 8
 OWN_SYMBOLS, CLASSES = 1500, 64
 #: Baum-Welch goes on over all training documents until a round gains less log likelihood a token (natural logarithm).
 LEAST_GAIN = 1e-3
-#: Tokens of a segment, within which training follows the chain exactly, and segments that are trained on together.
-SEGMENT, TOGETHER = 64, 2048
 SMOOTHING = 0.5
 END = b""
 ROWS = (
@@ -62,56 +61,13 @@ class Symbols:
         return np.array([k if (k := get(t)) is not None else other(t) for t in tokens], np.int64)
 
 
-class Hmm(NamedTuple):
-    start: np.ndarray
-    #: Where a segment that is not a document's first begins.
-    inner: np.ndarray
-    move: np.ndarray
-    emit: np.ndarray  # symbols x states
-
-
 def initial(counts: np.ndarray) -> Hmm:
     """States that emit the symbols' frequencies, each set apart by a fixed pattern."""
     rng = np.random.default_rng(7)
     emit = (counts[:, None] + 0.1) * rng.gamma(2.0, 0.5, (len(counts), STATES))
     move = np.full((STATES, STATES), 0.2 / STATES) + np.eye(STATES) * 0.8
     even = np.full(STATES, 1 / STATES)
-    return Hmm(even, even, move, emit / emit.sum(0))
-
-
-def expected_counts(model: Hmm, segments: np.ndarray, lengths: np.ndarray, first: np.ndarray) -> Hmm:
-    """One E-step over padded segments (segments x time): expected starts, inner starts, moves and emissions."""
-    return _expectation(model, segments, lengths, first)[0]
-
-
-def _expectation(model: Hmm, segments: np.ndarray, lengths: np.ndarray, first: np.ndarray) -> tuple[Hmm, float]:
-    """The expected counts, and the log likelihood of the segments."""
-    b, t = segments.shape
-    live = np.arange(t)[None] < lengths[:, None]
-    e = np.where(live[:, :, None], model.emit[segments], 1.0).transpose(1, 0, 2).astype(np.float64)
-    alpha, scale = np.empty((t, b, STATES)), np.empty((t, b, 1))
-    now = np.where(first[:, None], model.start, model.inner) * e[0]
-    for k in range(t):
-        if k:
-            now = (alpha[k - 1] @ model.move) * e[k]
-        scale[k] = now.sum(1, keepdims=True)
-        alpha[k] = now / scale[k]
-    # the forward mass beyond a segment's end is that of its end, moved on; it is masked out below
-    moves, beta = np.zeros((STATES, STATES)), np.ones((b, STATES))
-    gamma = np.empty((t, b, STATES))
-    gamma[t - 1] = alpha[t - 1]
-    for k in range(t - 2, -1, -1):
-        after = live[:, k + 1, None]
-        weighted = np.where(after, e[k + 1] * beta / scale[k + 1], 0)
-        moves += alpha[k].T @ weighted
-        beta = np.where(after, weighted @ model.move.T, 1.0)
-        gamma[k] = alpha[k] * beta
-    moves *= model.move
-    keep = live.T.ravel()
-    symbols, flat = segments.T.ravel()[keep], gamma.reshape(-1, STATES)[keep]
-    emit = np.stack([np.bincount(symbols, flat[:, s], len(model.emit)) for s in range(STATES)], 1)
-    # a step beyond a segment's end scales by one
-    return Hmm(gamma[0][first].sum(0), gamma[0][~first].sum(0), moves, emit), float(np.log(scale).sum())
+    return Hmm(even, move, emit / emit.sum(0))
 
 
 def maximised(counts: Hmm, prior: np.ndarray) -> Hmm:
@@ -119,56 +75,17 @@ def maximised(counts: Hmm, prior: np.ndarray) -> Hmm:
     share = (prior + 0.1) / (prior + 0.1).sum()
     emit = counts.emit + 20.0 * share[:, None]
     move = counts.move + 1.0
-    start, inner = counts.start + 1.0, counts.inner + 1.0
-    return Hmm(start / start.sum(), inner / inner.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(0))
-
-
-def segments_of(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    rows = sum(-(-len(s) // SEGMENT) for s in sequences)
-    out, lengths, first = np.zeros((rows, SEGMENT), np.int64), np.zeros(rows, np.int64), np.zeros(rows, bool)
-    k = 0
-    for s in sequences:
-        n = -(-len(s) // SEGMENT)
-        out[k : k + n].ravel()[: len(s)] = s
-        lengths[k : k + n] = SEGMENT
-        lengths[k + n - 1] = len(s) - (n - 1) * SEGMENT
-        first[k] = True
-        k += n
-    return out, lengths, first
-
-
-def log10_likelihoods(model: Hmm, sequences: list[np.ndarray]) -> list[float]:
-    """The exact log10 probability of each sequence, all at once, longest first, by the scaled forward recursion."""
-    order = sorted(range(len(sequences)), key=lambda k: -len(sequences[k]))
-    lengths = np.array([len(sequences[k]) for k in order])
-    steps = int(lengths[0]) if len(order) else 0
-    active = np.searchsorted(-lengths, -np.arange(1, steps + 1), side="right")
-    # symbols by time: at each step those of the sequences that go on, in order
-    offsets = np.concatenate([[0], np.cumsum(active)])
-    flat = np.empty(int(offsets[-1]), np.int64)
-    for j, k in enumerate(order):
-        flat[offsets[: lengths[j]] + j] = sequences[k]
-    total, now = np.zeros(len(order)), None
-    for t in range(steps):
-        n = active[t]
-        e = model.emit[flat[offsets[t] : offsets[t + 1]]]
-        now = model.start * e if now is None else (now[:n] @ model.move) * e
-        scale = now.sum(1)
-        total[:n] += np.log10(scale)
-        now /= scale[:, None]
-    out = [0.0] * len(order)
-    for j, k in enumerate(order):
-        out[k] = float(total[j])
-    return out
+    start = counts.start + 1.0
+    return Hmm(start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(0))
 
 
 def _collected(parts: DataFrame, size: int) -> tuple[Hmm, float, float]:
     """Sum the partitions' expected counts cell by cell, log likelihoods and tokens; the model's size bounds what comes back."""
     cells = parts.groupBy("cell").agg(F.sum("value").alias("value")).toArrow()
-    flat = np.zeros(2 * STATES + STATES * STATES + size * STATES + 2)
+    flat = np.zeros(STATES + STATES * STATES + size * STATES + 2)
     flat[cells.column("cell").to_numpy()] = cells.column("value").to_numpy()
-    a, b, c = STATES, 2 * STATES, 2 * STATES + STATES * STATES
-    return Hmm(flat[:a], flat[a:b], flat[b:c].reshape(STATES, STATES), flat[c:-2].reshape(size, STATES)), flat[-2], flat[-1]
+    a, b = STATES, STATES + STATES * STATES
+    return Hmm(flat[:a], flat[a:b].reshape(STATES, STATES), flat[b:-2].reshape(size, STATES)), flat[-2], flat[-1]
 
 
 def encoded(docs: DataFrame, symbols: Symbols) -> DataFrame:
@@ -183,6 +100,20 @@ def encoded(docs: DataFrame, symbols: Symbols) -> DataFrame:
     return materialize(docs.select("text").mapInArrow(run, "coded binary"), "encoded")
 
 
+def _together(source: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Sequences of several batches, up to what the recursions take at once."""
+    held: list[np.ndarray] = []
+    size = 0
+    for batch in source:
+        held += [np.frombuffer(x, "<u2") for x in batch.column("coded").to_pylist()]
+        size = sum(map(len, held))
+        if size >= TOGETHER:
+            yield held
+            held = []
+    if held:
+        yield held
+
+
 def baum_welch(docs: DataFrame, symbols: Symbols, model: Hmm, prior: np.ndarray, least_gain: float = LEAST_GAIN) -> Hmm:
     """Baum-Welch over all of docs (text), until a round gains less than `least_gain` a token.
 
@@ -195,13 +126,10 @@ def baum_welch(docs: DataFrame, symbols: Symbols, model: Hmm, prior: np.ndarray,
         shared = spark.sparkContext.broadcast(model)
 
         def run(source: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(2 * STATES + STATES * STATES + size * STATES + 2)
-            for batch in source:
-                rows, lengths, first = segments_of([np.frombuffer(x, "<u2") for x in batch.column("coded").to_pylist()])
-                for k in range(0, len(rows), TOGETHER):
-                    part = slice(k, k + TOGETHER)
-                    got, log = _expectation(shared.value, rows[part], lengths[part], first[part])
-                    total += np.concatenate([*(x.ravel() for x in got), [log, lengths[part].sum()]])
+            total = np.zeros(STATES + STATES * STATES + size * STATES + 2)
+            for part in _together(source):
+                got, log = expectation(shared.value, part)
+                total += np.concatenate([*(x.ravel() for x in got), [log, sum(map(len, part))]])
             cells = np.flatnonzero(total)
             for k in range(0, len(cells), 20_000):
                 at = cells[k : k + 20_000]
@@ -234,7 +162,7 @@ def _documents(source: Iterator[pa.RecordBatch], shared, schema: pa.Schema) -> I
         columns: list[list] = [[] for _ in schema]
         tokens = [tokens_of(t) for t in texts_of(batch)]
         encoded = [symbols.encode(t) for t in tokens]
-        forward = log10_likelihoods(model, encoded)
+        forward = log10_likelihoods(model, encoded).tolist()
         ids, held = batch.column("doc_id").to_pylist(), batch.column("held_out").to_pylist()
         for doc, out, words, coded, hidden in zip(ids, held, tokens, encoded, forward, strict=True):
             base, known, rare = -counts.base * len(words), 0, []

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from duelgrid.llm import decontam, hmm, langid, neardup, packing, quality, registry, simhash, suffixdedup, tokenbin, tokencount, topk
+from duelgrid.llm import decontam, hmm, langid, markov, neardup, packing, quality, registry, simhash, suffixdedup, tokenbin, tokencount, topk
 from duelgrid.llm.components import components
 from duelgrid.llm.mergesort import common_prefix, decode_run, encode_run, merge
 from duelgrid.llm.tokens import PieceCounts, WordIds, pre_tokens
@@ -487,31 +487,47 @@ def test_hmm(spark):
     assert np.mean(np.array(gain) > 0) > 0.95
 
 
-def test_hmm_is_exact_and_sums_to_one(spark):
+def brute_expectation(model, s):
+    """Starts, moves, emissions and log likelihood of one sequence, a step at a time."""
+    k, n = len(model.start), len(s)
+    alpha, scale = np.zeros((n, k)), np.zeros(n)
+    moves, emitted, start, back = np.zeros((k, k)), np.zeros_like(model.emit), np.zeros(k), np.ones(k)
+    for t in range(n):
+        alpha[t] = (alpha[t - 1] @ model.move if t else model.start) * model.emit[s[t]]
+        scale[t] = alpha[t].sum()
+        alpha[t] /= scale[t]
+    for t in range(n - 1, -1, -1):
+        emitted[s[t]] += alpha[t] * back
+        if t:
+            moves += np.outer(alpha[t - 1], model.emit[s[t]] * back / scale[t]) * model.move
+        else:
+            start = alpha[0] * back
+        back = model.move @ (model.emit[s[t]] * back) / scale[t]
+    return start, moves, emitted, np.log(scale).sum()
+
+
+def brute_sum(model, sequences):
+    return [sum(x) for x in zip(*(brute_expectation(model, s) for s in sequences))]
+
+
+def random_model(rng, size):
+    emit, move, start = rng.random((size, hmm.STATES)), rng.random((hmm.STATES, hmm.STATES)), rng.random(hmm.STATES)
+    return hmm.Hmm(start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(0))
+
+
+@pytest.mark.parametrize("steps", [3, 16, 2048])
+def test_recursions_are_exact_at_any_length(steps):
+    """Sequences cut into lanes of any length give what one step after the other gives."""
     rng = np.random.default_rng(0)
-    k, size = hmm.STATES, 6
-    emit, move, start = rng.random((size, k)), rng.random((k, k)), rng.random(k)
-    model = hmm.Hmm(start / start.sum(), start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(0))
-    sequences = [rng.integers(0, size, n) for n in (1, 5, 9, 5, 200, 0)]
-    for s, got in zip(sequences, hmm.log10_likelihoods(model, sequences)):
-        a = model.start.copy() if len(s) else np.ones(1)
-        for t, x in enumerate(s):
-            a = (a if t == 0 else a @ model.move) * model.emit[x]
-        assert got == pytest.approx(np.log10(a.sum()), abs=1e-9)
-    rows = hmm.segments_of(sequences[:5])
-    counts = hmm.expected_counts(model, *rows)
-    assert counts.emit.sum() == pytest.approx(220) and counts.start.sum() == pytest.approx(5)
-    # a round of training does not lower the likelihood it maximises
-    prior = np.zeros(size)
-    before = sum(hmm.log10_likelihoods(model, sequences[:4]))
-    rows = hmm.segments_of(sequences[:4])
-    for _ in range(5):
-        made = hmm.expected_counts(model, *rows)
-        model = hmm.Hmm(*(x / x.sum(0) if i == 3 else x / x.sum(-1, keepdims=True) if x.sum() else model[i] for i, x in enumerate(made)))
-        after = sum(hmm.log10_likelihoods(model, sequences[:4]))
-        assert after >= before - 1e-6
-        before = after
-    assert prior.sum() == 0
+    model = random_model(rng, 6)
+    sequences = [rng.integers(0, 6, n) for n in (1, 5, 0, 9, 16, 17, 200, 33, 3)]
+    *counts, log = brute_sum(model, sequences)
+    got, found = markov.expectation(model, sequences, steps)
+    for x, y in zip([*got, found], [*counts, log], strict=True):
+        np.testing.assert_allclose(x, y, rtol=1e-9, atol=1e-12)
+    want = [brute_expectation(model, s)[3] / np.log(10) for s in sequences]
+    np.testing.assert_allclose(markov.log10_likelihoods(model, sequences, steps), want, rtol=1e-9)
+    assert markov.log10_likelihoods(model, [], steps).tolist() == []
 
 
 SCORES: list[list[float]] = []
@@ -538,16 +554,29 @@ def test_hmm_states_come_from_all_training_documents(spark, monkeypatch):
     train = hmm.baum_welch
     monkeypatch.setattr(hmm, "baum_welch", lambda *a, **k: made.append((train(*a, **k), a[1], a[3])) or made[-1][0])
     df = frame(spark, texts).withColumn("held_out", F.lit(False))
-    assert hmm.score(df, df).count() == len(texts)
+    scored = hmm.score(df, df).collect()
+    assert len(scored) == len(texts)
     got, symbols, prior = made[0]
-    rows = hmm.segments_of([symbols.encode(hmm.tokens_of(t)) for t in texts])
-    assert prior.sum() == rows[1].sum()
+    sequences = [symbols.encode(hmm.tokens_of(t)) for t in texts]
+    tokens = sum(map(len, sequences))
+    assert prior.sum() == tokens
     model, before, gain = hmm.initial(prior), -np.inf, np.inf
     while gain >= hmm.LEAST_GAIN:
-        counts, log = hmm._expectation(model, *rows)
-        model, gain, before = hmm.maximised(counts, prior), log / rows[1].sum() - before, log / rows[1].sum()
-    for x, y in zip(got, model):
+        *counts, log = brute_sum(model, sequences)
+        model, gain, before = hmm.maximised(hmm.Hmm(*counts), prior), log / tokens - before, log / tokens
+    for x, y in zip(got, model, strict=True):
         np.testing.assert_allclose(x, y, rtol=1e-6)
+    # and the scores are those of that model, with each token's share of its class
+    count = Counter(t for text in texts for t in hmm.tokens_of(text))
+    own = set(symbols.own)
+    in_class = defaultdict(Counter)
+    for t, n in count.items():
+        if t not in own:
+            in_class[symbols.class_of(t)][t] = n
+    for r in scored:
+        words = hmm.tokens_of(texts[r.doc_id])
+        share = sum(np.log10((count[t] + 0.5) / (sum(c.values()) + 0.5 * (len(c) + 1))) for t in words if t not in own for c in [in_class[symbols.class_of(t)]])
+        assert r.score == pytest.approx(brute_expectation(model, symbols.encode(words))[3] / np.log(10) + share, rel=1e-6)
 
 
 def test_pipeline_stages(spark, docs):
