@@ -20,14 +20,17 @@ from pyspark.sql.types import BooleanType, StructField, StructType
 from duelgrid.llm.common import materialize, partition_id, small_batches, table
 from duelgrid.llm.mergesort import Entry, common_prefix, decode_run, encode_run, merge
 
-LENGTH = 400
+LENGTH, PASSAGE = 400, 200
 KMER = 32
 #: Bytes whose hashes are computed together, and bytes of suffixes that a task sorts into one run.
 CHUNK, RUN_BYTES = 1 << 19, 32 << 20
-#: In a group of at most so many different surroundings each pair is compared; in a larger one, windows are looked up.
-PAIRS = 6
-#: Anchors with one k-mer that one task takes. More of them are settled window by window, which spreads over all tasks.
+#: In a group of at most so many surroundings each pair is looked at; in a larger one, all at each distance together.
+PAIRS = 48
+#: Anchors with one k-mer that meet in one group. More of them meet by half a window's bytes on either side of the anchor,
+#: since one side of any window that occurs twice has so many; this deals a frequent k-mer out over many tasks.
 WIDEST = 50_000
+#: Bytes of anchors' surroundings that a bucket has on average at most.
+BUCKET_BYTES = 8 << 20
 EMPTY = hashlib.sha256(b"").hexdigest()
 POSITION = np.uint64((1 << 20) - 1)
 SCRAMBLE = 0x9E3779B97F4A7C15
@@ -125,6 +128,24 @@ def _scan(source: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBa
 RUNS = "bucket int, run long, first int, numbers binary, keys binary, lefts binary, doc long, digest binary, entry int, position int"
 
 
+def _keys(kmer: int, right: bytes, left: bytes, length: int, wide: bool) -> Iterator[tuple[bytes, bytes]]:
+    """What an anchor's surroundings are sorted by, and what stands on the other side, read outward.
+
+    A key begins with eight bytes that are the same for all that may match; the last bit is set if sides are exchanged.
+    """
+    import xxhash
+
+    mask = (1 << 64) - 1
+    if not wide:
+        # anchors have the least hashes, so these are scrambled before their order deals them out
+        yield ((kmer * SCRAMBLE & mask) & ~1).to_bytes(8) + right, left
+        return
+    half = length // 2
+    for turned, (a, b) in enumerate(((right, left), (left, right))):
+        if len(a) >= half:
+            yield (xxhash.xxh64_intdigest(a[:half], kmer & mask) & ~1 | turned).to_bytes(8) + a, b
+
+
 def _runs(source: Iterator[pa.RecordBatch], length: int, buckets: int) -> Iterator[pa.RecordBatch]:
     """Sorted, front-coded runs by bucket (rows with a bucket), and the places of their entries (rows without)."""
     base, run = partition_id() << 32, 0
@@ -162,14 +183,10 @@ def _runs(source: Iterator[pa.RecordBatch], length: int, buckets: int) -> Iterat
         for doc, digest, text, found in zip(*columns, strict=True):
             data = (text or "").encode()
             for a in found:
-                if a["wide"]:
-                    continue
                 p, first, last = a["position"], a["first"], a["last"]
-                # anchors have the least hashes, so these are scrambled before their order deals them out
-                key = (a["hash"] * SCRAMBLE & (1 << 64) - 1).to_bytes(8) + data[p : last + length]
-                left = data[first:p][::-1]
-                held.setdefault((key, left), []).append((doc, digest, p))
-                size += len(key) + len(left) + 64
+                for key, left in _keys(a["hash"], data[p : last + length], data[first:p][::-1], length, a["wide"]):
+                    held.setdefault((key, left), []).append((doc, digest, p))
+                    size += len(key) + len(left) + 64
         if size > RUN_BYTES:
             yield from flush()
             size = 0
@@ -177,71 +194,69 @@ def _runs(source: Iterator[pa.RecordBatch], length: int, buckets: int) -> Iterat
         yield from flush()
 
 
-def _windows(source: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """The 128-bit digest of each window of wide anchors, as two longs, and where it starts."""
-    import xxhash
-
-    for batch in source:
-        columns = [batch.column(c).to_pylist() for c in ("doc_id", "digest", "text", "found")]
-        for doc, digest, text, found in zip(*columns, strict=True):
-            data = memoryview((text or "").encode())
-            starts = [s for a in found if a["wide"] for s in range(a["first"], a["last"] + 1)]
-            for k in range(0, len(starts), 50_000):
-                part = starts[k : k + 50_000]
-                digests = b"".join(xxhash.xxh3_128_digest(data[s : s + length]) for s in part)
-                high, low = np.frombuffer(digests, "<i8").reshape(-1, 2).T
-                n = len(part)
-                arrays = [pa.array(high), pa.array(low), pa.array([doc] * n, pa.int64()), pa.array([digest] * n, pa.binary()), pa.array(part, pa.int32())]
-                yield pa.RecordBatch.from_arrays(arrays, names=["high", "low", "doc_id", "digest", "start"])
-
-
-def _ranges(numbers: set[int]) -> list[tuple[int, int]]:
+def _merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Ranges of whole numbers that overlap or touch, as one."""
     out: list[list[int]] = []
-    for d in sorted(numbers):
-        if out and out[-1][1] == d - 1:
-            out[-1][1] = d
+    for a, b in sorted(ranges):
+        if out and a <= out[-1][1] + 1:
+            out[-1][1] = max(out[-1][1], b)
         else:
-            out.append([d, d])
+            out.append([a, b])
     return [(a, b) for a, b in out]
 
 
-def resolve(group: list[Entry], length: int) -> list[tuple[int, int, int, int]]:
+def resolve(group: list[tuple[Entry, int]], length: int) -> list[tuple[int, int, int, int]]:
     """For anchors with one k-mer: (run, entry, least, most) distances from window start to anchor that occur twice.
 
-    An entry's window at distance d is d bytes of its left and length - d of its right; its distances run from
-    length less its right's bytes to its left's bytes.
+    The group comes in the order of its keys, each with the length of its common prefix with the key before, so right
+    sides are never compared again. An entry's window at distance d is d bytes of its left and length - d of its right;
+    its distances run from length less its right's bytes to its left's bytes.
     """
-    same: dict[tuple[bytes, bytes], list[Entry]] = {}
-    for e in group:
-        same.setdefault((e.key, e.left), []).append(e)
-    contexts = [(k[8:], l, len(e) > 1 or e[0].count > 1) for (k, l), e in same.items()]
-    spans = [(length - len(r), len(l)) for r, l, _ in contexts]
-    twice: list[list[tuple[int, int]]] = [[s] if c[2] else [] for s, c in zip(spans, contexts)]
-    n = len(contexts)
-    if 1 < n <= PAIRS:
-        hits: list[set[int]] = [set() for _ in contexts]
-        for i in range(n):
-            for j in range(i):
-                right, left = common_prefix(contexts[i][0], contexts[j][0]), common_prefix(contexts[i][1], contexts[j][1])
+    entries = [e for e, _ in group]
+    common = [k - 8 for _, k in group]
+    spans = [(length - (len(e.key) - 8), len(e.left)) for e in entries]
+    hits: list[list[tuple[int, int]]] = [[s] if e.count > 1 else [] for e, s in zip(entries, spans)]
+    if len(entries) <= PAIRS:
+        for j in range(len(entries)):
+            right = length
+            for i in range(j + 1, len(entries)):
+                right = min(right, common[i])
                 least = max(spans[i][0], spans[j][0], length - right)
-                most = min(spans[i][1], spans[j][1], left)
+                most = min(spans[i][1], spans[j][1])
                 if least <= most:
-                    hits[i].update(range(least, most + 1))
-                    hits[j].update(range(least, most + 1))
-        twice = [t or _ranges(h) for t, h in zip(twice, hits)]
-    elif n > PAIRS:
-        whole = [l[::-1] + r for r, l, _ in contexts]
-        found: list[set[int]] = [set() for _ in contexts]
-        for d in range(min(s[0] for s in spans), max(s[1] for s in spans) + 1):
-            owner: dict[bytes, int] = {}
-            for i, (low, high) in enumerate(spans):
-                if low <= d <= high:
-                    first = owner.setdefault(whole[i][high - d : high - d + length], i)
-                    if first != i:
-                        found[i].add(d)
-                        found[first].add(d)
-        twice = [t or _ranges(f) for t, f in zip(twice, found)]
-    return [(e.run, e.number, a, b) for es, ranges in zip(same.values(), twice) for e in es for a, b in ranges]
+                    most = min(most, common_prefix(entries[i].left, entries[j].left))
+                    if least <= most:
+                        hits[i].append((least, most))
+                        hits[j].append((least, most))
+    else:
+        _at_each_distance(entries, common, spans, hits, length)
+    out = []
+    for e, found in zip(entries, hits):
+        turned = e.key[7] & 1
+        out += [(e.run, e.number, *((length - b, length - a) if turned else (a, b))) for a, b in _merged(found)]
+    return out
+
+
+def _at_each_distance(entries: list[Entry], common: list[int], spans: list[tuple[int, int]], hits: list[list[tuple[int, int]]], length: int) -> None:
+    """Windows at one distance are equal if their right sides, in sorted order, and their left sides, in theirs, are."""
+    n = len(entries)
+    low, high = np.array(spans).T
+    right = np.array(common)
+    order = sorted(range(n), key=lambda k: entries[k].left)
+    left = np.array([0, *(common_prefix(entries[a].left, entries[b].left) for a, b in zip(order, order[1:]))])
+    place = np.empty(n, np.int64)
+    place[order] = np.arange(n)
+    since = np.full(n, -1)
+    for d in range(int(low.min()), int(high.max()) + 2):
+        active = np.flatnonzero((low <= d) & (d <= high))
+        new = np.zeros(n, bool)
+        if len(active):
+            same = np.cumsum(right < length - d)[active] * (n + 1) + np.cumsum(left < d)[place[active]]
+            _, at, count = np.unique(same, return_inverse=True, return_counts=True)
+            new[active[count[at] > 1]] = True
+        for k in np.flatnonzero(~new & (since >= 0)).tolist():
+            hits[k].append((int(since[k]), d - 1))
+        since = np.where(new, np.where(since < 0, d, since), -1)
 
 
 def _merge_bucket(rows: pa.Table, length: int) -> pa.Table:
@@ -250,15 +265,17 @@ def _merge_bucket(rows: pa.Table, length: int) -> pa.Table:
         runs.setdefault(row["run"], []).append(row)
     streams = [decode_run(r["numbers"], r["keys"], r["lefts"], r["run"], r["first"]) for rs in runs.values() for r in rs]
     out: list[tuple[int, int, int, int]] = []
-    group: list[Entry] = []
+    group: list[tuple[Entry, int]] = []
+
+    def settled() -> list[tuple[int, int, int, int]]:
+        return resolve(group, length) if len(group) > 1 or group and group[0][0].count > 1 else []
+
     for entry, common in merge(streams):
-        if group and common < 8:
-            if len(group) > 1 or group[0].count > 1:
-                out += resolve(group, length)
-            group = []
-        group.append(entry)
-    if group:
-        out += resolve(group, length)
+        if common < 8:
+            out += settled()
+            group.clear()
+        group.append((entry, common))
+    out += settled()
     columns = list(zip(*out)) or [[], [], [], []]
     kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32())
     return pa.table([pa.array(c, t) for c, t in zip(columns, kinds)], names=["run", "entry", "least", "most"])
@@ -286,7 +303,7 @@ def _cut(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for c, v in zip(columns, (row["doc_id"], row["digest"], removed, spans, hashlib.sha256(rest).hexdigest())):
                 c.append(v)
         kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.string())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["cut_doc", "cut_digest", "n_removed", "n_spans", "kept_sha256"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["doc_id", "digest", "n_removed", "n_spans", "kept_sha256"])
 
 
 class Found(NamedTuple):
@@ -312,7 +329,7 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, widest: int = WIDEST) ->
 
     # Anchors whose k-mer occurs again among different texts.
     each = distinct.select("row", F.posexplode("hashes").alias("k", "hash"))
-    again = each.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash", (F.col("n") > widest).alias("wide"))
+    again = each.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash", "n", (F.col("n") > widest).alias("wide"))
     again = materialize(again, "again")  # so that the join below has plain exchanges, and a hot hash can be split
     kept = materialize(each.join(again, "hash").groupBy("row").agg(F.collect_list(F.struct("k", "wide")).alias("ks")), "kept")
     anchor = F.expr(
@@ -325,7 +342,8 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, widest: int = WIDEST) ->
     candidates = keyed.join(found, same).select(found["doc_id"], found["digest"], "text", "found")
     candidates = materialize(candidates, "candidates")
 
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    anchored = again.agg(F.sum("n")).head()[0] or 0
+    buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), anchored * length // BUCKET_BYTES)
     runs = materialize(candidates.mapInArrow(lambda it: _runs(it, length, buckets), RUNS), "runs")
     coded = runs.where("bucket is not null").select("bucket", "run", "first", "numbers", "keys", "lefts")
     merged = coded.groupBy("bucket").applyInArrow(lambda rows: _merge_bucket(rows, length), "run long, entry int, least int, most int")
@@ -334,40 +352,62 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, widest: int = WIDEST) ->
         F.col("doc").alias("doc_id"), "digest",
         F.struct((F.col("position") - F.col("most")).alias("a"), (F.col("position") - F.col("least") + length).alias("b")).alias("cut"),
     )
-    if not again.where("wide").isEmpty():
-        wide = candidates.where(F.exists("found", lambda a: a["wide"])).select("doc_id", "digest", "text", "found")
-        schema = "high long, low long, doc_id long, digest binary, start int"
-        windows = materialize(wide.mapInArrow(lambda it: _windows(it, length), schema), "windows")
-        twice = materialize(windows.groupBy("high", "low").agg(F.count("*").alias("n")).where("n > 1").select("high", "low"), "twice")
-        cut = F.struct(F.col("start").alias("a"), (F.col("start") + length).alias("b")).alias("cut")
-        ranges = ranges.unionByName(windows.join(twice, ["high", "low"]).select("doc_id", "digest", cut))
     copies = distinct.where("copies > 1").select("digest", F.lit(True).alias("copied"))
     cuts = ranges.groupBy("doc_id", "digest").agg(F.collect_set("cut").alias("cuts")).join(copies, "digest", "left_anti")
     rows = scanned.select("doc_id", "digest", "n_bytes", "sha").join(copies, "digest", "left")
     return Found(rows.withColumn("copied", F.col("copied").isNotNull()), candidates.select("doc_id", "digest", "text"), materialize(cuts, "cuts"))
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, widest: int = WIDEST) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of each document (doc_id, text).
+#: Of byte ranges `cuts`: the bytes that they cover, and the longest run of them.
+COVERED = (
+    "aggregate(array_sort(cuts), struct(0 at, 0 n), (acc, x) -> struct(greatest(acc.at, x.b) at, "
+    "acc.n + greatest(0, x.b - greatest(acc.at, x.a)) n), acc -> acc.n)"
+)
+LONGEST = (
+    "aggregate(array_sort(cuts), struct(-1 a, -1 b, 0 n), (acc, x) -> struct(if(x.a <= acc.b, acc.a, x.a) a, "
+    "if(x.a <= acc.b, greatest(acc.b, x.b), x.b) b, "
+    "greatest(acc.n, if(x.a <= acc.b, greatest(acc.b, x.b) - acc.a, x.b - x.a)) n), acc -> acc.n)"
+)
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH, widest: int = WIDEST, passage: int | None = None) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_repeated and changed of each document (doc_id, text).
 
     A byte goes if a string of `length` bytes that covers it also starts anywhere else, in the same document or another;
-    overlaps count and all is judged on the input. `widest` only decides which of two exact ways a k-mer's anchors go.
+    overlaps count and all is judged on the input. n_repeated counts the bytes of repeated strings of `passage` bytes
+    (`length`, if not given; at most `length`), and changed tells whether a byte went. The shorter strings are searched
+    first; only texts where they cover `length` bytes on end can have longer ones. `widest` only decides how many tasks
+    share the anchors of a frequent k-mer.
 
     Null and empty texts have no bytes; texts shorter than `length` are kept whole. Rows that repeat, with or without an
     id, are copies of each other, so both go where they are long enough. Rows with a null doc_id are kept. Other columns
     are not read. An empty table gives no rows. Texts of any length are scanned in overlapping chunks.
     """
-    rows, candidates, cuts = find_repeats(docs, length, widest)
-    same = candidates["doc_id"].eqNullSafe(cuts["doc_id"]) & (candidates["digest"] == cuts["digest"])
-    cut = candidates.join(cuts, same).select(candidates["doc_id"], candidates["digest"], "text", "cuts")
-    cut = cut.mapInArrow(_cut, "cut_doc long, cut_digest binary, n_removed long, n_spans long, kept_sha256 string")
-    out = rows.join(cut, rows["doc_id"].eqNullSafe(cut["cut_doc"]) & (rows["digest"] == cut["cut_digest"]), "left")
-    whole = F.col("copied")
+    passage = passage or length
+    rows, candidates, short = find_repeats(docs, passage, widest)
+    cuts = short
+    key = ["doc_id", "digest"]
+
+    def matched(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
+        named = right.withColumnsRenamed({c: f"other_{c}" for c in key})
+        return left.join(named, left["doc_id"].eqNullSafe(named["other_doc_id"]) & (left["digest"] == named["other_digest"]), how)
+
+    if passage < length:
+        long = short.where(F.expr(LONGEST) >= length).select(*key)
+        long = long.unionByName(rows.where((F.col("n_bytes") >= length) & F.col("copied")).select(*key))
+        cuts = find_repeats(matched(candidates, long.distinct(), "left_semi"), length, widest).cuts
+    cut = matched(candidates, cuts, "inner").select(*key, "text", "cuts")
+    cut = materialize(cut.mapInArrow(_cut, "doc_id long, digest binary, n_removed long, n_spans long, kept_sha256 string"), "cut")
+    repeated = short.select(*key, F.expr(COVERED).alias("n_repeated"))
+    out = matched(matched(rows, cut, "left").drop("other_doc_id", "other_digest"), repeated, "left")
+    whole = F.col("copied") & (F.col("n_bytes") >= length)
+    removed = F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0)))
     return out.select(
-        "doc_id", "n_bytes",
-        F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
+        "doc_id", "n_bytes", removed.alias("n_removed"),
         F.when(whole, 1).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
         F.when(whole, EMPTY).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
+        F.when(F.col("copied"), F.col("n_bytes")).otherwise(F.coalesce("n_repeated", F.lit(0))).cast("long").alias("n_repeated"),
+        (removed > 0).alias("changed"),
     )
 
 
@@ -406,4 +446,5 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(table(spark, sf_dir, "documents"))
+    """Removal of repeated strings of 400 bytes from `documents`; n_repeated counts passages of 200, which fifty words exceed."""
+    return remove_repeats(table(spark, sf_dir, "documents"), passage=PASSAGE)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from duelgrid.llm import decontam, hmm, langid, markov, neardup, packing, quality, registry, simhash, suffixdedup, tokenbin, tokencount, topk
 from duelgrid.llm.components import components
-from duelgrid.llm.mergesort import common_prefix, decode_run, encode_run, merge
+from duelgrid.llm.mergesort import Entry, common_prefix, decode_run, encode_run, merge
 from duelgrid.llm.tokens import PieceCounts, WordIds, pre_tokens
 
 SF = "/root/testdata/sf0.001"
@@ -307,12 +307,14 @@ def brute_repeats(texts, length):
 
 
 def test_suffix_dedup(spark, docs):
-    got = {r.doc_id: tuple(r)[1:] for r in suffixdedup.op4_suffix_dedup(spark, SF).collect()}
-    assert got == dict(zip(docs, brute_repeats(docs.values(), 400)))
+    rows = suffixdedup.op4_suffix_dedup(spark, SF).collect()
+    assert {r.doc_id: tuple(r)[1:5] for r in rows} == dict(zip(docs, brute_repeats(docs.values(), 400)))
+    assert {r.doc_id: r.n_repeated for r in rows} == {d: x[1] for d, x in zip(docs, brute_repeats(docs.values(), 200))}
+    assert all(r.changed == (r.n_removed > 0) for r in rows)
 
 
-@pytest.mark.parametrize(("length", "widest"), [(400, suffixdedup.WIDEST), (100, 5)])
-def test_suffix_dedup_odd(spark, length, widest):
+@pytest.mark.parametrize(("length", "widest", "passage"), [(400, suffixdedup.WIDEST, 200), (100, 5, None), (100, 1, 64)])
+def test_suffix_dedup_odd(spark, length, widest, passage):
     rng = random.Random(length)
     word = lambda n: "".join(rng.choice("abcdefgh é") for _ in range(n))
     passages = [word(rng.choice([300, 500, 900])) for _ in range(6)]
@@ -325,8 +327,32 @@ def test_suffix_dedup_odd(spark, length, widest):
             t += p[a : rng.randint(a, len(p))] + word(rng.choice([0, 1, 5, 100]))
         texts.append(t)
     texts += ["ab " * 500, "ab " * 133, "be " * 3000, "x" * 401, "x" * 400, None, "", texts[5], texts[5][:450], texts[7] + texts[5]]
-    got = {r.doc_id: tuple(r)[1:] for r in suffixdedup.remove_repeats(frame(spark, texts, parts=5), length, widest).collect()}
-    assert got == dict(enumerate(brute_repeats(texts, length)))
+    rows = suffixdedup.remove_repeats(frame(spark, texts, parts=5), length, widest, passage).collect()
+    assert {r.doc_id: tuple(r)[1:5] for r in rows} == dict(enumerate(brute_repeats(texts, length)))
+    assert {r.doc_id: r.n_repeated for r in rows} == {d: x[1] for d, x in enumerate(brute_repeats(texts, passage or length))}
+
+
+@pytest.mark.parametrize("turned", [0, 1])
+def test_surroundings_of_one_anchor(turned):
+    """Pairs, all at each distance, and a plain comparison of windows agree; turned entries count from the other side."""
+    rng, length = random.Random(turned), 12
+    for n in (2, 5, 20, 60, 300):
+        made = []
+        for k in range(n):
+            key = bytes([1] * 7 + [turned]) + bytes(rng.choice(b"ab") for _ in range(rng.randint(1, length)))
+            made.append((key, bytes(rng.choice(b"ab") for _ in range(rng.randint(0, length - 1))), rng.choice([1, 1, 1, 2]), k))
+        made.sort()
+        group, before = [], b""
+        for key, left, count, k in made:
+            group.append((Entry(key, 0, left, count, 0, k), common_prefix(before, key)))
+            before = key
+        windows = defaultdict(list)
+        for key, left, count, k in made:
+            for d in range(length - (len(key) - 8), len(left) + 1):
+                windows[d, left[:d], key[8 : 8 + length - d]] += [k] * count
+        want = {(k, length - w[0] if turned else w[0]) for w, ks in windows.items() if len(ks) > 1 for k in ks}
+        got = [(k, d) for _, k, a, b in suffixdedup.resolve(group, length) for d in range(a, b + 1)]
+        assert set(got) == want and len(got) == len(want)
 
 
 def test_suffix_dedup_edges(spark):
