@@ -28,7 +28,7 @@ TRAVEL, MOST_TRAVEL, MOST_ALL = (0, 5), 32, 122
 SMALL, BLOCK = 8, 512
 #: Pairs of a text that are decided before all of them are looked at.
 FEW = 4
-MEMO = 500_000
+MEMO = 150_000
 PAIRS = "a long, b long, far int"
 
 _FACTORS = np.random.default_rng(SEED).integers(0, 2**63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -112,7 +112,7 @@ def _votes(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def described(rows: DataFrame) -> DataFrame:
-    """(row, doc_id, digest of the words, sketch, mask) of rows (row, doc_id, text)."""
+    """(key, doc_id, digest of the words, sketch, mask) of rows (key, doc_id, text)."""
     small_batches(rows.sparkSession)
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,9 +120,9 @@ def described(rows: DataFrame) -> DataFrame:
         for batch in source:
             digests, sketch, mask = sketcher.sketch(texts_of(batch))
             made = [pa.array(x, pa.binary()) for x in (digests, [s.tobytes() for s in sketch], [m.tobytes() for m in mask])]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), *made], names=["row", "doc_id", "digest", "sketch", "mask"])
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("doc_id"), *made], names=["key", "doc_id", "digest", "sketch", "mask"])
 
-    return rows.select("row", "doc_id", "text").mapInArrow(run, "row long, doc_id long, digest binary, sketch binary, mask binary")
+    return rows.select("key", "doc_id", "text").mapInArrow(run, "key binary, doc_id long, digest binary, sketch binary, mask binary")
 
 
 def _words(column: pa.Array) -> np.ndarray:
@@ -293,18 +293,18 @@ def _by_variant(nodes: DataFrame, more: list[str], lanes: tuple[int, ...], masks
 
 
 def shared_shingles(texts: DataFrame) -> DataFrame:
-    """(node, n, common) of texts (row, text): the number of different shingles, and of those that another text has too."""
+    """(node, n, common) of texts (node, text): the number of different shingles, and of those that another text has too."""
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketcher = Sketcher()
         for batch in source:
-            for node, text in zip(batch.column("row").to_pylist(), texts_of(batch), strict=True):
+            for node, text in zip(batch.column("node").to_pylist(), texts_of(batch), strict=True):
                 hashes = sketcher.hashes(text.encode().lower().split()).view(np.int64)
                 for k in range(0, len(hashes), 50_000):
                     part = pa.array(hashes[k : k + 50_000])
                     yield pa.RecordBatch.from_arrays([pa.array([node] * len(part), pa.int64()), part], names=["node", "h"])
 
-    each = texts.select("row", "text").mapInArrow(run, "node long, h long")
+    each = texts.select("node", "text").mapInArrow(run, "node long, h long")
     # a node's number of rows is its number of shingles; of a shingle that one node has, only that node matters
     alone = each.groupBy("h").agg(F.count("*").alias("k"), F.min("node").alias("node")).where("k = 1").groupBy("node").agg(F.count("*").alias("alone"))
     sizes = each.groupBy("node").agg(F.count("*").alias("n"))
@@ -312,7 +312,7 @@ def shared_shingles(texts: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of pairs (a, b) whose texts, by texts (row, text), have similar shingle sets."""
+    """Those of pairs (a, b) whose texts, by texts (node, text), have similar shingle sets."""
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets: dict[int, set[bytes]] = {}
@@ -329,24 +329,23 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             keep = [similar(of(x, s), of(y, t)) for x, y, s, t in zip(a, b, ta, tb, strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    needed = pairs.select(F.col("a").alias("row")).union(pairs.select(F.col("b").alias("row"))).distinct()
-    texts = materialize(texts.select("row", "text").join(needed, "row", "left_semi"), "texts")
-    first, second = (texts.select(F.col("row").alias(c), F.col("text").alias(f"t{c}")) for c in ("a", "b"))
+    first, second = (texts.select(F.col("node").alias(c), F.col("text").alias(f"t{c}")) for c in ("a", "b"))
     return pairs.join(first, "a").join(second, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
 def near_copies(rows: DataFrame) -> DataFrame:
-    """(row, doc_id, digest, component) of rows (row, doc_id, text), `row` being a key: near copies share a component.
+    """(key, doc_id, component) of rows (key, doc_id, text), `key` naming doc_id and text: near copies share a component.
 
-    Rows with the same words are one node, named by its least row. Nodes whose sets of five-word shingles have a Jaccard
-    similarity of at least 0.8 are linked; every candidate is decided by the sets. A component is all that links reach.
+    Rows with the same words are one node. Nodes whose sets of five-word shingles have a Jaccard similarity of at least 0.8
+    are linked; every candidate is decided by the sets. A component is all that links reach.
 
     Nodes go with a few of the closest that they meet first, and again, when they know how much of a text is in no other;
     that joins most of a large group by some pairs a text. Then all pairs that this leaves apart are looked at.
     """
     made = materialize(described(rows), "described")
-    least = F.min(F.struct("row", "sketch", "mask")).alias("m")
-    nodes = materialize(made.groupBy("digest").agg(least).select("digest", F.col("m.row").alias("node"), "m.sketch", "m.mask"), "nodes")
+    least = F.min(F.struct("key", "sketch", "mask")).alias("m")
+    nodes = made.groupBy("digest").agg(least).select("digest", F.monotonically_increasing_id().alias("node"), "m.*")
+    nodes = materialize(nodes, "nodes")
 
     def few(met: DataFrame) -> DataFrame:
         ranked = met.groupBy("b").agg(F.slice(F.array_sort(F.collect_set(F.struct("far", "a"))), 1, FEW).alias("few"))
@@ -354,13 +353,14 @@ def near_copies(rows: DataFrame) -> DataFrame:
         return materialize(pairs.where("a != b").distinct(), "pairs")
 
     def joined(roots: DataFrame, pairs: DataFrame) -> DataFrame:
-        edges = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(verified(pairs, rows))
+        edges = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(verified(pairs, texts))
         return materialize(components(edges), "roots")
 
     met = materialize(_by_variant(nodes, [], TRAVEL).mapInArrow(_first_round, PAIRS), "met")
-    roots = materialize(components(verified(few(met), rows)), "roots")
-    active = materialize(met.select(F.col("b").alias("row")).distinct(), "active")
-    shared = materialize(shared_shingles(materialize(rows.join(active, "row", "left_semi").select("row", "text"), "texts")), "shared")
+    active = materialize(nodes.join(met.select(F.col("b").alias("node")).distinct(), "node").select("node", "key"), "active")
+    texts = materialize(rows.join(active, "key").dropDuplicates(["key"]).select("node", "text"), "texts")
+    shared = materialize(shared_shingles(texts), "shared")
+    roots = materialize(components(verified(few(met), texts)), "roots")
 
     def crossing(closest: bool) -> DataFrame:
         open_ = nodes.join(shared, "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -369,4 +369,4 @@ def near_copies(rows: DataFrame) -> DataFrame:
     roots = joined(roots, few(crossing(True)))
     roots = joined(roots, materialize(crossing(False).select("a", "b"), "pairs"))
     named = nodes.select("digest", "node").join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("component"))
-    return made.select("row", "doc_id", "digest").join(materialize(named, "named"), "digest")
+    return made.select("key", "doc_id", "digest").join(materialize(named, "named"), "digest").select("key", "doc_id", "component")

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from duelgrid.llm.common import materialize, small_batches, table, texts_of
@@ -225,16 +225,21 @@ def unique_documents(docs: DataFrame) -> DataFrame:
     """One document, with all its columns, of each group of near copies: that of the smallest doc_id, null ones last.
 
     Near copies are what links of an exact five-word shingle similarity of at least 0.8 reach (`neardup.near_copies`).
-    Of rows that repeat the survivor's doc_id one stays, and of a group without any doc_id too. Null, empty and blank texts
-    are copies of each other. Columns of any names pass through.
+    Of rows that repeat the survivor's doc_id one stays, and of a group without any doc_id too; of rows that repeat doc_id
+    and text, the one whose other columns come first as JSON. Null, empty and blank texts are copies of each other. Columns
+    of any names pass through. An empty table gives no rows.
     """
     from duelgrid.llm.neardup import near_copies
 
-    rowed = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "rowed")
-    groups = near_copies(rowed.select(F.col("__row").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest", "row")).alias("first")
-    kept = groups.groupBy("component").agg(first).select(F.col("first.row").alias("__row"))
-    return rowed.join(kept, "__row", "left_semi").drop("__row")
+    doc_id, text = F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))
+    key = F.unhex(F.md5(F.concat_ws(" ", F.coalesce(doc_id.cast("string"), F.lit("null")), text)))
+    groups = near_copies(docs.select(key.alias("key"), doc_id.alias("doc_id"), text.alias("text")))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("first")
+    kept = materialize(groups.groupBy("component").agg(first).select(F.col("first.key").alias("__key")), "kept")
+    others = F.to_json(F.struct(F.lit(0).alias("__"), *(F.col(f"`{c}`") for c in docs.columns if c != "text")))
+    place = F.row_number().over(Window.partitionBy("__key").orderBy("__others"))
+    rows = docs.withColumns({"__key": key, "__others": others}).join(kept, "__key", "left_semi").withColumn("__place", place)
+    return rows.where("__place = 1").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
