@@ -32,9 +32,11 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; a temporary one where none is set (tests)."""
+    """The shared folder that the cluster names in spark.checkpoint.dir; a temporary one in local mode where none is set (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='spark-scratch-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -54,11 +56,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def hash_bound(most: int, rows: int) -> int:
+    """The 64-bit hash up to which about `most` of `rows` rows lie; all of them, if there are no more."""
+    return 2**63 - 1 if rows <= most else max(-(2**63), most * 2**64 // rows - 2**63 - 1)
+
+
 def hashed_sample(df: DataFrame, most: int) -> DataFrame:
-    """About `most` rows (all, if there are fewer) by a hash of the whole row: no sort, and no row of the others is moved."""
-    share = min(1.0, most / max(1, df.count()))
-    h = F.pmod(F.xxhash64(*df.columns), F.lit(1_000_000_000))
-    return df.where(h < int(1_000_000_000 * share)).limit(2 * most)
+    """About `most` different rows (all, if there are fewer) by a hash of the whole row, rows that repeat once.
+
+    There is no sort, no row of the others is moved, and a row that repeats without end cannot fill the sample.
+    """
+    return df.where(F.xxhash64(*df.columns) <= hash_bound(most, df.count())).dropDuplicates()
 
 
 def crc_mod(doc_id: Column, modulus: int) -> Column:

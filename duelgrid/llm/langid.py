@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from duelgrid.llm.common import crc_mod, small_batches, table, texts_of
+from duelgrid.llm.common import crc_mod, hash_bound, small_batches, table, texts_of
 
 #: The classifier is fitted on about so many documents of each language (all, where there are fewer).
 SAMPLE_PER_LANGUAGE = 2500
@@ -142,15 +142,19 @@ def _count(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
-    """Fit on rows (text, lang) with a language: counts by Spark over the sample, the most frequent entries kept."""
+    """Fit on rows (doc_id, text, lang) with a language: counts by Spark over the sample, the most frequent entries kept.
+
+    The sample is chosen by a hash of doc_id and text; a null text teaches nothing, and rows without a language are left out.
+    """
     small_batches(docs.sparkSession)
-    labelled = docs.where("lang is not null").select("lang", "text", F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)).alias("h"))
+    labelled = docs.where("lang is not null").select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
     sizes = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(sizes)
     if not languages:
         return Model([], np.zeros((0, 0), np.float32), {}, [{} for _ in range(LONGEST_GRAM + 1)])
-    limit = F.create_map(*(F.lit(x) for k in languages for x in (k, int(1_000_000 * min(1, per_language / sizes[k])))))
-    sample = labelled.where(F.col("h") < limit[F.col("lang")]).select("lang", "text")
+    limit = F.create_map(*(x for k in languages for x in (F.lit(k), F.lit(hash_bound(per_language, sizes[k])).cast("long"))))
+    # rows that repeat doc_id and text are in the sample once, so that no such row can fill it
+    sample = labelled.where(F.col("h") <= limit[F.col("lang")]).dropDuplicates().select("lang", "text")
     counted = sample.mapInArrow(_count, "lang string, size int, gram string, n long")
     counted = counted.groupBy("lang", "size", "gram").agg(F.sum("n").alias("n")).where("n > 1 or size < 3")
     # the sample, not the corpus, bounds these rows
