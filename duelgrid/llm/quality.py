@@ -12,14 +12,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from duelgrid.llm.common import crc_mod, materialize, small_batches, table, texts_of
+from duelgrid.llm.common import crc_mod, hashed_sample, materialize, small_batches, table, texts_of
 
 #: The classifier is fitted on about so many labelled documents (all, if there are fewer).
 SAMPLE = 6000
 #: Buckets of words and of word shapes, dimensions of a vector, non-zero entries of an index vector, words to each side.
 WORDS, SHAPES, DIMENSIONS, NONZERO, REACH = 8192, 4096, 64, 4, 2
 HIDDEN, EPOCHS, RATE, DECAY, BATCH = 32, 60, 3e-3, 1e-4, 128
-MEMO = 500_000
+#: Words that a worker remembers, the longest of them, and words of a text whose vectors are added at once.
+MEMO, MEMO_WORD, ADDED = 500_000, 64, 1 << 16
 EXTRA = 4
 
 
@@ -50,7 +51,9 @@ class Reader:
 
     def _learn(self, word: str) -> int:
         w = zlib.crc32(word.lower().strip(".,;:!?").encode()) % WORDS
-        code = self.memo[word] = w * SHAPES + zlib.crc32(shape_of(word[:64]).encode()) % SHAPES
+        code = w * SHAPES + zlib.crc32(shape_of(word).encode()) % SHAPES
+        if len(word) <= MEMO_WORD:
+            self.memo[word] = code
         return code
 
     def read(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -66,6 +69,21 @@ class Reader:
         return codes // SHAPES, codes % SHAPES, extra
 
 
+def _mean(table: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    total = np.zeros(table.shape[1])
+    for k in range(0, len(rows), ADDED):
+        total += table[rows[k : k + ADDED]].sum(0, dtype=np.float64)
+    return total / len(rows)
+
+
+def _product(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """x @ w, added up in one order whatever the number of rows, so that equal rows give equal results in any batch."""
+    out = np.zeros((len(x), w.shape[1]))
+    for column, weights in zip(x.T, w, strict=True):
+        out += column[:, None] * weights
+    return out
+
+
 class Pool:
     """A document's features: its mean word vector, its mean shape vector, its length and how much it repeats."""
 
@@ -76,14 +94,17 @@ class Pool:
         words, shapes, extra = self.reader.read(text)
         out = np.zeros(2 * DIMENSIONS + EXTRA, np.float32)
         if len(words):
-            out[:DIMENSIONS] = self.words[words].mean(0)
-            out[DIMENSIONS : 2 * DIMENSIONS] = self.shapes[shapes].mean(0)
+            out[:DIMENSIONS] = _mean(self.words, words)
+            out[DIMENSIONS : 2 * DIMENSIONS] = _mean(self.shapes, shapes)
         out[2 * DIMENSIONS :] = extra
         return out
 
 
 def word_vectors(sample: DataFrame) -> np.ndarray:
-    """Each word bucket's sum of the index vectors around its occurrences in sample (text), at unit length."""
+    """Each word bucket's sum of the index vectors around its occurrences in sample (text), at unit length.
+
+    The sums are of whole numbers, so they are the same in whatever order parts arrive.
+    """
 
     def gather(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, reader = index_vectors(WORDS, 1), Reader()
@@ -91,11 +112,16 @@ def word_vectors(sample: DataFrame) -> np.ndarray:
         for batch in source:
             for t in texts_of(batch):
                 ids = reader.read(t)[0]
-                near = np.zeros((len(ids), DIMENSIONS), np.float32)
-                for d in range(1, REACH + 1):
-                    near[d:] += index[ids[:-d]]
-                    near[:-d] += index[ids[d:]]
-                np.add.at(total, ids, near)
+                for k in range(0, len(ids), ADDED):
+                    # a part with what lies within reach on either side
+                    first, last = max(0, k - REACH), k + ADDED + REACH
+                    part = ids[first:last]
+                    near = np.zeros((len(part), DIMENSIONS), np.float32)
+                    for d in range(1, REACH + 1):
+                        near[d:] += index[part[:-d]]
+                        near[:-d] += index[part[d:]]
+                    mine = slice(k - first, k - first + ADDED)
+                    np.add.at(total, part[mine], near[mine])
                 seen[ids] = True
         for k in np.array_split(np.flatnonzero(seen), 16):
             vectors = pa.array([v.tobytes() for v in total[k]], pa.binary())
@@ -152,7 +178,7 @@ class Network:
 
     def logits(self, x: np.ndarray) -> np.ndarray:
         w1, b1, w2, b2 = self.p
-        return np.tanh((x - self.mean) / self.spread @ w1 + b1) @ w2 + b2
+        return _product(np.tanh(_product((x - self.mean) / self.spread, w1) + b1), w2[:, None])[:, 0] + b2
 
     def _calibrate(self, z: np.ndarray, y: np.ndarray) -> None:
         """The temperature of least cross-entropy: golden-section search over its logarithm."""
@@ -172,12 +198,14 @@ class Network:
 
 
 def fit(labelled: DataFrame, most: int = SAMPLE) -> tuple[np.ndarray, Network]:
-    """Word vectors and network from about `most` rows (doc_id, text, quality) with a label, chosen by a hash of doc_id."""
+    """Word vectors and network from about `most` rows (doc_id, text, quality) with a label, chosen by a hash.
+
+    Rows that repeat all three are taken once. A null text is an empty one.
+    """
     small_batches(labelled.sparkSession)
     usable = labelled.where("quality in (0, 1)")
-    share = min(1.0, most / max(1, usable.count()))
-    chosen = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * share))
-    sample = materialize(chosen.select("text", F.col("quality").cast("int").alias("quality")), "sample")
+    chosen = hashed_sample(usable.select("doc_id", "text", F.col("quality").cast("int").alias("quality")), most)
+    sample = materialize(chosen.select("text", "quality"), "sample")
     words = word_vectors(sample)
     shared = sample.sparkSession.sparkContext.broadcast(words)
 
@@ -217,10 +245,14 @@ def with_quality(docs: DataFrame, words: np.ndarray, network: Network, score: st
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Learns labels of documents whose crc32 of doc_id, modulo 3, is not 1; a null doc_id is not held out."""
+    """Learns labels of documents whose crc32 of doc_id, modulo 3, is not 1; a null doc_id is not held out.
+
+    A doc_id whose label rows disagree teaches nothing; label rows that repeat count once.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = F.coalesce(crc_mod(F.col("doc_id"), 3) == 1, F.lit(False))
-    labels = table(spark, sf_dir, "labels").select("doc_id", "quality").where("quality is not null")
+    labels = table(spark, sf_dir, "labels").where("quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("most"))
+    labels = labels.where("quality = most").drop("most")
     words, network = fit(docs.where(~held_out).join(labels, "doc_id"))
     out = with_quality(docs.select("doc_id", "text", held_out.alias("held_out")), words, network)
     return out.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
