@@ -74,7 +74,10 @@ def _write(source: Iterator[pa.RecordBatch], tokenizer: str, raw: bytes, schema:
     import zstandard
 
     ids_of: WordIds = per_worker(WordIds, tokenizer)
-    packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=_dictionary(raw))
+    dictionary = _dictionary(raw)
+    if dictionary:
+        dictionary.precompute_compress(level=LEVEL)
+    packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=dictionary)
     end, dict_hash, part = np.array([END_ID], "<u4").tobytes(), hashlib.sha256(raw).hexdigest(), partition_id()
     frames, entries, size, block, start = [], [], 0, 0, 0
 
@@ -179,6 +182,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 
 
 def op7_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token files of `documents`, written to the shared scratch folder and read back."""
     import uuid
 
     path = f"{scratch_dir(spark)}/token-files-{uuid.uuid4().hex}"

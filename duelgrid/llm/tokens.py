@@ -17,6 +17,8 @@ PIECE_MODEL = "piece_bpe_32k.model"
 #: Chunks that a worker remembers, and the longest chunk that it keeps.
 MEMO_ENTRIES = 900_000
 MEMO_CHUNK = 48
+#: Words that the library gets as one text.
+TOGETHER = 256
 SIMPLE_TAILS = frozenset(".,;:!?|")
 
 
@@ -46,16 +48,18 @@ class WordIds:
         self.memo: dict[str, bytes] = {"": b""}
 
     def _plain(self, words: list[str]) -> None:
-        """Words of letters alone: one call for all; the end-of-word pieces show where each ends."""
-        ids = np.asarray(self.library.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
-        ends = np.flatnonzero(self.word_end[ids]) + 1
-        if len(ends) == len(words) and (not len(ids) or ends[-1] == len(ids)):
-            raw, last = ids.tobytes(), 0
-            for w, e in zip(words, (ends * 4).tolist(), strict=True):
-                self.memo[w] = raw[last:e]
-                last = e
-        else:  # a letter that normalizes to more than one pre-token
-            self._any(words)
+        """Words of letters alone, many to a text; the end-of-word pieces show where each ends."""
+        parts = [words[k : k + TOGETHER] for k in range(0, len(words), TOGETHER)]
+        for part, e in zip(parts, self.library.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False), strict=True):
+            ids = np.asarray(e.ids, "<u4")
+            ends = np.flatnonzero(self.word_end[ids]) + 1
+            if len(ends) == len(part) and (not len(ids) or ends[-1] == len(ids)):
+                raw, last = ids.tobytes(), 0
+                for w, end in zip(part, (ends * 4).tolist(), strict=True):
+                    self.memo[w] = raw[last:end]
+                    last = end
+            else:  # a letter that normalizes to more than one pre-token
+                self._any(part)
 
     def _any(self, chunks: list[str]) -> None:
         for c, e in zip(chunks, self.library.encode_batch_fast(chunks, add_special_tokens=False), strict=True):
@@ -86,11 +90,15 @@ class WordIds:
         words = [t.replace("\n", " ").split(" ") for t in texts]
         if len(self.memo) > self.entries:
             self.memo = {"": b""}
-        missing = set().union(*words) - self.memo.keys()
+        get = self.memo.get
+        rows = [list(map(get, w)) for w in words]
+        short = [k for k, r in enumerate(rows) if None in r]
+        missing = {w for k in short for w, x in zip(words[k], rows[k]) if x is None}
         if missing:
             self._learn(missing)
-        get = self.memo.__getitem__
-        out = [b"".join(map(get, w)) for w in words]
+            for k in short:
+                rows[k] = map(self.memo.__getitem__, words[k])
+        out = list(map(b"".join, rows))
         for chunk in missing:
             if len(chunk) > MEMO_CHUNK:
                 del self.memo[chunk]
