@@ -13,15 +13,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duelgrid.llm.common import small_batches, table, texts_of
+from duelgrid.llm.common import materialize, small_batches, table, texts_of
 
 K1, B = 1.2, 0.75
 #: Share of an item's own BM25 score that a passage must reach, and of its word shingles that a document must hold.
 THRESHOLD, OVERLAP, SHINGLE = 0.5, 0.8, 5
 #: Words of a passage at least; the next begins half a passage later. Longer items make longer passages.
 PASSAGE = 64
-#: Items of one index, which is broadcast; more items are searched in several passes.
-MOST_ITEMS = 20_000
+#: Items of one index and bytes of their texts, which are broadcast; more are searched in several passes.
+MOST_ITEMS, MOST_BYTES = 20_000, 64 << 20
 BLOCK = 32
 #: A term in at most so large a share of the items is rare; its postings are summed before WAND is asked.
 RARE_SHARE = 0.03
@@ -53,22 +53,32 @@ def split_item(item_id: int, text: str) -> Item:
     return Item(item_id, question, answer)
 
 
+class Statistics(NamedTuple):
+    """Of all items, in whichever index they are: their number, mean and greatest length, and items by term."""
+
+    items: int
+    mean: float
+    longest: int
+    df: dict[str, int]
+
+
 class Index:
     """Postings of BM25 impacts, each divided by its item's score for itself, in blocks that know their maximum."""
 
-    def __init__(self, items: list[Item]):
+    def __init__(self, items: list[Item], stats: Statistics | None = None):
         self.items = items
         bags = [Counter(i.question + i.answer) for i in items]
         lengths = [sum(b.values()) for b in bags]
-        mean = sum(lengths) / max(1, len(items)) or 1.0
-        df = Counter(t for b in bags for t in b)
-        self.longest = max(lengths, default=0)
-        self.term = {t: k for k, t in enumerate(sorted(df))}
-        postings: list[list[tuple[int, float]]] = [[] for _ in df]
+        if stats is None:
+            stats = Statistics(len(items), sum(lengths) / max(1, len(items)), max(lengths, default=0), Counter(t for b in bags for t in b))
+        df, mean = stats.df, stats.mean or 1.0
+        self.longest = stats.longest
+        self.term = {t: k for k, t in enumerate(sorted({t for b in bags for t in b}))}
+        postings: list[list[tuple[int, float]]] = [[] for _ in self.term]
         for k, (bag, n) in enumerate(zip(bags, lengths)):
             impact = {}
             for t, f in bag.items():
-                idf = math.log(1 + (len(items) - df[t] + 0.5) / (df[t] + 0.5))
+                idf = math.log(1 + (stats.items - df[t] + 0.5) / (df[t] + 0.5))
                 impact[t] = idf * f * (K1 + 1) / (f + K1 * (1 - B + B * n / mean))
             whole = sum(impact.values()) or 1.0
             for t, x in impact.items():
@@ -228,14 +238,32 @@ class Matcher:
         return out
 
 
-def indexes(benchmark: DataFrame, most: int = MOST_ITEMS) -> Iterator[Index]:
-    """Indexes of at most about `most` items (item_id, text) each, one after the other, so each has a bounded size."""
+def _described(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Items with their number of words and their different words; items without a word go."""
+    for batch in source:
+        items = [split_item(i, t) for i, t in zip(batch.column("item_id").to_pylist(), texts_of(batch), strict=True)]
+        words = [i.question + i.answer for i in items]
+        arrays = [pa.array(list(map(len, words)), pa.int64()), pa.array([sorted(set(w)) for w in words], pa.list_(pa.string()))]
+        yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], names=["item_id", "text", "n", "terms"]).filter(pa.array([bool(w) for w in words], pa.bool_()))
+
+
+def indexes(benchmark: DataFrame, most: int = MOST_ITEMS, most_bytes: int = MOST_BYTES) -> Iterator[Index]:
+    """Indexes of items (item_id, text), one after the other, so that each has a bounded size.
+
+    What BM25 takes from all items, and the length of a passage, comes from all of them, so that scores do not depend on
+    how many indexes there are.
+    """
     usable = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long"), "text").distinct()
-    parts = max(1, -(-usable.count() // most))
-    shard = F.pmod(F.xxhash64("item_id", "text"), F.lit(parts))
+    items = materialize(usable.mapInArrow(_described, "item_id long, text string, n long, terms array<string>"), "items")
+    size = items.agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.max("n").alias("longest"), F.sum(F.length("text")).alias("bytes")).head()
+    each = items.select("item_id", "text", F.explode("terms").alias("term"))
+    df = materialize(each.groupBy("term").agg(F.count("*").alias("df")), "df")
+    parts = max(1, -(-size.k // most), -(-(size.bytes or 0) // most_bytes))
+    shard = F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) if parts > 1 else F.lit(0)
     for k in range(parts):
-        items = [split_item(r.item_id, r.text) for r in usable.where(shard == k).orderBy("item_id", "text").collect()]
-        yield Index([i for i in items if i.question or i.answer])
+        held = [split_item(r.item_id, r.text) for r in items.where(shard == k).orderBy("item_id", "text").select("item_id", "text").collect()]
+        of_terms = each.where(shard == k).select("term").distinct().join(df, "term").toArrow().to_pydict()
+        yield Index(held, Statistics(size.k, (size.n or 0) / max(1, size.k), size.longest or 0, dict(zip(of_terms["term"], of_terms["df"], strict=True))))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP, shingle: int = SHINGLE) -> DataFrame:
@@ -245,7 +273,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
     item counts if the document holds `overlap` of the word shingles of its question and of its answer, or of both as one.
 
     Null and empty texts hold nothing; items with a null id or text, or without a word, are never found. A null doc_id
-    stays null; repeated rows and repeated items each give their rows. Other columns are not read. An empty table on
+    stays null; repeated rows each give their rows, and items that repeat both id and text count once. Other columns are not read. An empty table on
     either side gives no rows.
     """
     spark = docs.sparkSession
@@ -287,4 +315,5 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRE
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The items of `benchmark` that each of `documents` holds; documents without one have no row."""
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
