@@ -2,28 +2,35 @@
 
 from __future__ import annotations
 
+import heapq
+import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from duelgrid.llm.common import small_batches, table
+from duelgrid.llm.common import materialize, small_batches, table
 
 SCALE, TOP, EVERY = 1024, 10, 100
 #: Bits of an attribute in the index and of a query's weights; rows of one index; queries that one pass broadcasts.
 SLICES, WEIGHT_BITS, BLOCK_ROWS, PASS_QUERIES = 5, 5, 1 << 16, 20_000
+#: Components from which on a vector is kept out of the index, and scores up to which the index's bounds are exact.
+LARGE, EXACT = 2.0**30, 2**50
 
 SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
   FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), q AS (
+  SELECT vec_id, min(e) AS e FROM v WHERE vec_id % 100 = 0 GROUP BY vec_id
 ), s AS (
   SELECT q.vec_id AS query_id, c.vec_id,
          CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0
+  FROM q JOIN v c ON q.vec_id <> c.vec_id
 ), r AS (
   SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score FROM s
 )
@@ -149,48 +156,68 @@ class BitSliced:
         return self.ids[at], scores
 
 
-def integers(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+class Vectors(NamedTuple):
+    ids: np.ndarray
+    rows: np.ndarray
+    #: Vectors with components of LARGE or more, as whole numbers of any size.
+    large: list[tuple[int, list[int]]]
+
+
+def integers(batch: pa.RecordBatch) -> Vectors:
     """vec_ids and rows of floor(SCALE * x) of the vectors that take part, shorter ones padded with zeros."""
-    ids, rows = [], []
+    ids, rows, large = [], [], []
     for i, v in zip(batch.column("vec_id").to_pylist(), batch.column("embedding"), strict=True):
         values = v.values
         if i is None or values is None or values.null_count:
             continue
         x = values.to_numpy(zero_copy_only=False).astype(np.float64)
         if np.isfinite(x).all():
-            ids.append(i)
-            rows.append(np.floor(SCALE * x).astype(np.int64))
+            if np.abs(x).max(initial=0) < LARGE:
+                ids.append(i)
+                rows.append(np.floor(SCALE * x).astype(np.int64))
+            else:
+                large.append((i, [SCALE * int(c) if abs(c) >= LARGE else math.floor(SCALE * c) for c in x.tolist()]))
     width = max(map(len, rows), default=0)
     out = np.zeros((len(rows), width), np.int64)
     for k, r in enumerate(rows):
         out[k, : len(r)] = r
-    return np.array(ids, np.int64), out
+    return Vectors(np.array(ids, np.int64), out, large)
+
+
+def exact_score(a: list[int], b: list[int]) -> int:
+    """The inner product in whole numbers of any size; one that a long cannot hold becomes the nearest that it can."""
+    return max(-(2**63), min(2**63 - 1, sum(x * y for x, y in zip(a, b))))
 
 
 def _fitted(rows: np.ndarray, width: int) -> np.ndarray:
     return rows if rows.shape[1] == width else np.pad(rows, ((0, 0), (0, width - rows.shape[1])))
 
 
-def _search(source: Iterator[pa.RecordBatch], queries: list[tuple[int, np.ndarray]], k: int) -> Iterator[pa.RecordBatch]:
+def _search(source: Iterator[pa.RecordBatch], queries: list[tuple[int, list[int]]], k: int) -> Iterator[pa.RecordBatch]:
     best: list[list[tuple[int, int]]] = [[] for _ in queries]
-    held: list[tuple[np.ndarray, np.ndarray]] = []
+    held: list[Vectors] = []
+
+    def keep(at: int, scores: list[int], ids: list[int]) -> None:
+        best[at] = heapq.nsmallest(k, [*best[at], *((-s, i) for s, i in zip(scores, ids) if i != queries[at][0])])
 
     def run() -> None:
-        width = max([*(r.shape[1] for _, r in held), *(len(q) for _, q in queries)], default=0)
-        index = BitSliced(np.concatenate([i for i, _ in held]), np.concatenate([_fitted(r, width) for _, r in held]))
+        large = [x for h in held for x in h.large]
+        width = max([*(h.rows.shape[1] for h in held), *(len(q) for _, q in queries)], default=0)
+        index = BitSliced(np.concatenate([h.ids for h in held]), np.concatenate([_fitted(h.rows, width) for h in held]))
         for at, (query_id, query) in enumerate(queries):
-            least = -best[at][k - 1][0] if len(best[at]) >= k else None
-            ids, scores = index.top(query_id, np.pad(query, (0, width - len(query))), k, least)
-            found = best[at] + list(zip((-scores).tolist(), ids.tolist()))
-            best[at] = sorted(found)[:k]
+            if sum(abs(q) * int(m) for q, m in zip(query, index.most)) < EXACT:
+                least = -best[at][k - 1][0] if len(best[at]) >= k else None
+                ids, scores = index.top(query_id, np.pad(np.array(query, np.int64), (0, width - len(query))), k, least)
+                keep(at, scores.tolist(), ids.tolist())
+            else:  # 64-bit sums or the bounds of the index may not hold
+                keep(at, [exact_score(query, r.tolist()) for r in index.rows], index.ids.tolist())
+            keep(at, [exact_score(query, r) for _, r in large], [i for i, _ in large])
         held.clear()
 
     size = 0
     for batch in source:
-        ids, rows = integers(batch)
-        if len(ids):
-            held.append((ids, rows))
-            size += len(ids)
+        held.append(integers(batch))
+        size += batch.num_rows
         if size >= BLOCK_ROWS:
             run()
             size = 0
@@ -210,18 +237,23 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = TOP, most: int = PASS
     which are broadcast, and more queries take more passes. Partial answers, k rows per query and partition, meet by query.
 
     Null vectors, vectors that hold null or non-finite components, and rows without an id take no part. Shorter vectors
-    count as padded with zeros. Repeated rows are candidates each. Other columns are not read. Empty tables give no rows.
+    count as padded with zeros. Repeated rows are candidates each. Of query rows with one id, the one whose whole numbers
+    come first counts. A score that a long cannot hold becomes the nearest that it can. Other columns are not read. Empty
+    tables give no rows.
     """
     spark = vectors.sparkSession
     small_batches(spark)
     source = vectors.selectExpr("cast(vec_id as long) vec_id", "embedding")
-    asked = queries.selectExpr("cast(vec_id as long) vec_id", "embedding").where("vec_id is not null").dropDuplicates(["vec_id"])
+    usable = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    asked = queries.selectExpr("cast(vec_id as long) vec_id", "embedding").where("vec_id is not null and embedding is not null").where(usable)
+    whole = F.transform("embedding", lambda x: F.floor(x.cast("double") * SCALE))
+    asked = materialize(asked.groupBy("vec_id").agg(F.min_by("embedding", whole).alias("embedding")), "asked")
     passes = max(1, -(-asked.count() // most))
     parts = None
     for n in range(passes):
         chosen = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(passes)) == n).toArrow()
         found = [integers(b) for b in chosen.to_batches()]
-        listed = sorted(((int(i), r) for ids, rows in found for i, r in zip(ids, rows)), key=lambda x: x[0])
+        listed = sorted([x for f in found for x in [*zip(f.ids.tolist(), f.rows.tolist()), *f.large]])
         shared = spark.sparkContext.broadcast(listed)
         part = source.mapInArrow(lambda it, s=shared: _search(it, s.value, k), "query_id long, vec_id long, score long")
         parts = part if parts is None else parts.unionAll(part)
@@ -230,5 +262,6 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = TOP, most: int = PASS
 
 
 def op9_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 best vectors of `embeddings` for each of its vectors whose id is divisible by 100."""
     vectors = table(spark, sf_dir, "embeddings")
     return top_k(vectors, vectors.where(F.col("vec_id") % EVERY == 0))
