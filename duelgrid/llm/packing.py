@@ -240,4 +240,5 @@ def pack(docs: DataFrame, tokenizer: str = WORD_TOKENIZER, window: int = WINDOW,
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of packed sequences of all `documents`."""
     return pack(table(spark, sf_dir, "documents"))

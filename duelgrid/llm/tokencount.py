@@ -90,4 +90,5 @@ def count_tokens(docs: DataFrame, model: str = PIECE_MODEL, limit: int = LIMIT,
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all `documents` by the sentencepiece model."""
     return count_tokens(table(spark, sf_dir, "documents"))

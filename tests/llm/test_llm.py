@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from duelgrid.llm import decontam, hmm, langid, markov, neardup, packing, quality, registry, simhash, suffixdedup, tokenbin, tokencount, topk
+from duelgrid.llm import common, decontam, hmm, langid, markov, neardup, packing, quality, registry, simhash, suffixdedup, tokenbin, tokencount, topk
 from duelgrid.llm.components import components
 from duelgrid.llm.mergesort import Entry, common_prefix, decode_run, encode_run, merge
 from duelgrid.llm.tokens import PieceCounts, WordIds, pre_tokens
@@ -403,6 +403,48 @@ def test_decontamination_odd(spark):
     assert decontam.find_leaks(frame(spark, texts).limit(0), bench).count() == 0
 
 
+def test_scores_do_not_depend_on_the_number_of_indexes(spark):
+    """And retrieval with verification finds what scoring and verifying every pair of passage and item finds."""
+    rng = random.Random(7)
+    word = lambda: f"w{int(rng.paretovariate(0.6)) % 500}"
+    texts = [" ".join(word() for _ in range(rng.randint(10, 60))) + ". " + " ".join(word() for _ in range(6)) for _ in range(40)]
+    bench = spark.createDataFrame(list(enumerate([*texts, texts[3]])) + [(3, texts[3])], "item_id long, text string")
+    docs = []
+    for k in range(60):
+        held = rng.choice(texts).split()
+        docs.append(" ".join([*(word() for _ in range(90)), *(w if rng.random() > 0.04 * (k % 4) else word() for w in held), *(word() for _ in range(70))]))
+    found = []
+    for most in (1000, 7):
+        rows: list = []
+        for index in decontam.indexes(bench, most):
+            matcher = decontam.Matcher(index, 0.5, 0.8, 5)
+            rows += [(d, *m) for d, ms in enumerate(matcher.match(docs)) for m in ms]
+        found.append(sorted(rows))
+    assert [r[:2] for r in found[0]] == [r[:2] for r in found[1]] and len(found[0]) > 20
+    np.testing.assert_allclose([r[2] for r in found[0]], [r[2] for r in found[1]])
+    items = [decontam.split_item(k, t) for k, t in enumerate([*texts, texts[3]])]
+    bags = [Counter(i.question + i.answer) for i in items]
+    df, mean = Counter(t for b in bags for t in b), np.mean([b.total() for b in bags])
+    half = max(decontam.PASSAGE // 2, -(-max(b.total() for b in bags) // 2))
+
+    def score(passage, bag):
+        norm = decontam.K1 * (1 - decontam.B + decontam.B * bag.total() / mean)
+        impact = {t: np.log(1 + (len(bags) - df[t] + 0.5) / (df[t] + 0.5)) * f * (decontam.K1 + 1) / (f + norm) for t, f in bag.items()}
+        return sum(x for t, x in impact.items() if t in passage) / sum(impact.values())
+
+    want = set()
+    for d, text in enumerate(docs):
+        words = decontam.terms_of(text)
+        passages = [set(words[k : k + 2 * half]) for k in range(0, max(1, len(words) - half), half)]
+        for item, bag in zip(items, bags):
+            if max(score(p, bag) for p in passages) >= 0.5:
+                seen = {" ".join(words[k : k + 5]) for k in range(len(words) - 4)}
+                shares = [decontam.coverage(part, seen, 5) for part in (item.question, item.answer, item.question + item.answer)]
+                if min(shares[:2]) >= 0.8 or shares[2] >= 0.8:
+                    want.add((d, item.item_id))
+    assert {r[:2] for r in found[0]} == want
+
+
 def test_wand_finds_all_above_the_threshold():
     rng = random.Random(1)
     items = [decontam.Item(k, [f"w{int(rng.paretovariate(0.4)) % 300}" for _ in range(rng.randint(5, 60))], []) for k in range(150)]
@@ -467,6 +509,64 @@ def test_quality_odd(spark):
     assert quality.with_quality(frame(spark, ["a"]).limit(0), words, net).count() == 0
 
 
+def test_equal_texts_score_equally_in_any_batch(spark):
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice(["good", "bad", "$$$", "words", "Here!"]) for _ in range(rng.randint(0, 30))) for _ in range(97)]
+    rows = [(k, t, k % 2) for k, t in enumerate(texts)]
+    words, net = quality.fit(spark.createDataFrame(rows, "doc_id long, text string, quality int"))
+    found = [{(r.doc_id, r.score) for r in quality.with_quality(frame(spark, texts * 2, parts=p), words, net).collect()} for p in (1, 3, 7)]
+    assert found[0] == found[1] == found[2]
+    score = dict(found[0])
+    assert all(score[k] == score[k + 97] for k in range(97))
+    # against the plain form: mean vectors, two layers, temperature
+    pool = quality.Pool(words)
+    for k, t in enumerate(texts[:20]):
+        w, sh, extra = pool.reader.read(t)
+        x = np.concatenate([words[w].mean(0) if len(w) else np.zeros(64), pool.shapes[sh].mean(0) if len(sh) else np.zeros(64), extra])
+        z = np.tanh((x - net.mean) / net.spread @ net.p[0] + net.p[1]) @ net.p[2] + net.p[3][0]
+        assert score[k] == pytest.approx(1 / (1 + np.exp(-z / net.temperature)), abs=1e-5)
+
+
+def test_samples_do_not_vanish_at_any_size():
+    for most, rows in ((2500, 10**10), (6000, 10**13), (600, 10**12), (400, 401)):
+        bound = common.hash_bound(most, rows)
+        assert -(2**63) <= bound < 2**63 and (bound + 2**63 + 1) / 2**64 * rows == pytest.approx(most, rel=1e-3)
+    assert common.hash_bound(5, 5) == common.hash_bound(5, 0) == 2**63 - 1
+
+
+def test_a_row_that_repeats_does_not_fill_a_sample(spark):
+    df = spark.createDataFrame([(None, "same")] * 5000 + [(k, str(k)) for k in range(1000)], "doc_id long, text string")
+    got = common.hashed_sample(df, 600)
+    assert 30 < got.count() < 300 and got.count() == got.distinct().count()
+
+
+def test_language_scores_by_hand(spark):
+    """Known words by their log frequency, an unknown one by the mean of its longest known n-grams."""
+    rows = [(k, t, lg) for k, (t, lg) in enumerate([("the cat the mat", "en"), ("die katze matte", "de")] * 3)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    total = np.zeros(2)
+    for w in ("the", "katzen"):
+        found = [model.words[w]] if w in model.words else []
+        for n in range(5, 0, -1) if not found else ():
+            found = [model.tables[n][g] for g in langid.grams(w, n) if g in model.tables[n]]
+            if found:
+                break
+        total += np.mean([model.matrix[r] for r in found], axis=0)
+    p = np.exp(total - total.max())
+    got = langid.with_language(frame(spark, ["the KATZEN!"]), model).head()
+    assert (got.lang_pred, got.score) == (model.languages[int(p.argmax())], pytest.approx(p.max() / p.sum(), rel=1e-5))
+
+
+def test_labels_that_disagree_teach_nothing(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([(k, f"text {k}") for k in range(30)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    labels = [(k, k % 2) for k in range(0, 30)] + [(k, k % 2) for k in range(10)] + [(k, 1 - k % 2) for k in range(20, 30)] + [(0, None)]
+    spark.createDataFrame(labels, "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda df: seen.append(df.select("doc_id", "quality").collect()) or (np.zeros((quality.WORDS, 64), np.float32), quality.Network(np.zeros((0, 132)), np.zeros(0))))
+    assert quality.op2_quality(spark, str(tmp_path)).count() == 30
+    assert sorted(seen[0]) == [(k, k % 2) for k in range(20) if zlib.crc32(str(k).encode()) % 3 != 1]
+
+
 def brute_top(vectors, k):
     rows = [(i, [int(np.floor(1024 * float(x))) for x in v]) for i, v in vectors if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     out = []
@@ -496,6 +596,32 @@ def test_top_k_odd(spark):
     assert topk.top_k(df.limit(0), df.where("vec_id % 100 = 0")).count() == 0 == topk.top_k(df, df.limit(0)).count()
 
 
+def test_top_k_repeated_ids_and_huge_components(spark):
+    big = 1e30
+    vectors = [(100, [1.0, 0.0]), (100, [None, 1.0]), (100, [0.0, 2.0]), (1, [3.0, 4.0]), (2, [big, 0.0]), (3, [-big, 5.0]), (200, [big, -1.0]), (4, [2.0**31, 0.5]), (5, [7.0, 8.0])]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>").repartition(3)
+    got = sorted((r.query_id, r.vec_id, r.score) for r in topk.top_k(df, df.where("vec_id % 100 = 0")).collect())
+    whole = lambda v: [int(x) * 1024 for x in v]
+    clamp = lambda x: max(-(2**63), min(2**63 - 1, x))
+    want = []
+    for q, a in ((100, [0.0, 2.0]), (200, [big, -1.0])):
+        for i, b in vectors:
+            if i != q and None not in b:
+                # a fraction below one is kept by the floor of 1024 times it
+                b = [int(np.floor(1024 * x)) if abs(x) < 2**40 else 1024 * int(x) for x in b]
+                want.append((q, i, clamp(sum(x * y for x, y in zip(whole(a), b)))))
+    assert got == sorted(want)
+
+
+def test_top_k_repeated_query_ids_agree_with_the_sql(spark):
+    rows = [(100, [0.5, 1.0]), (100, [0.25, 4.0]), (100, [0.25, 3.0]), (1, [1.0, 1.0]), (1, [1.0, 2.0]), (7, [float("nan"), 1.0]), (9, [0.0, -1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    duck = duckdb.connect()
+    duck.sql("create table embeddings (vec_id bigint, embedding double[])")
+    duck.executemany("insert into embeddings values (?, ?)", rows)
+    assert sorted(tuple(r) for r in topk.top_k(df, df.where("vec_id % 100 = 0")).collect()) == sorted(duck.sql(topk.SQL).fetchall())
+
+
 def test_hmm(spark):
     sf = "/root/testdata/sf0.01"
     docs = {d: (t or "").encode().lower().split() + [b""] for d, t in duckdb.sql(f"select doc_id, text from '{sf}/documents.parquet'").fetchall()}
