@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -12,6 +13,8 @@ SCORE_A = r'(?d)score.*?a[": *\n]*(-?\d+)'
 SCORE_B = r'(?d)score.*?b[": *\n]*(-?\d+)'
 THINK_BLOCK = r"(?is)<think>.*?</think>"
 THINK_OPEN, THINK_CLOSE = "<think>", "</think>"
+# Fixed value: what an engine writes where it ends a model's reasoning by force.
+FORCED_END = "I have to give the solution based on the thinking directly now.</think>"
 
 
 def truncate(text: Column, limit: int | None = None) -> Column:
@@ -27,20 +30,36 @@ def _lstrip(text: Column) -> Column:
     return F.regexp_replace(text, r"^\s+", "")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once a row, however often the body uses it; plain columns are copied into each use."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _without_thinking(text: Column) -> Column:
+    """struct(answer, found): a text without its reasoning, and whether it had any."""
+
+    def of(text: Column, cleaned: Column) -> Column:
+        closing, opening = F.instr(F.lower(text), THINK_CLOSE), F.instr(F.lower(text), THINK_OPEN)
+        stray, forced = (closing > 0) & ((opening == 0) | (opening > closing)), F.instr(text, FORCED_END)
+        after = lambda at, mark: _lstrip(text.substr(at + len(mark), F.length(text)))
+        tidy = (
+            F.when(cleaned != text, _lstrip(cleaned)).when(stray, after(closing, THINK_CLOSE)).when(forced > 0, after(forced, FORCED_END))
+        )
+        return let(tidy, lambda t: F.struct(F.coalesce(t, text, F.lit("")).alias("answer"), t.isNotNull().alias("found")))
+
+    # most texts hold no closing tag, and nothing to look for with it
+    searched = let(text, lambda t: let(F.regexp_replace(t, THINK_BLOCK, ""), lambda c: of(t, c)))
+    plain = F.struct(F.coalesce(text, F.lit("")).alias("answer"), F.lit(False).alias("found"))
+    return F.when(F.contains(F.lower(text), F.lit(THINK_CLOSE)), searched).otherwise(plain)
+
+
 def strip_thinking(text: Column) -> Column:
-    """Text without its reasoning: whole blocks, or all up to a closing tag that nothing opened; NULL becomes ''."""
-    cleaned = F.regexp_replace(text, THINK_BLOCK, "")
-    closing = F.instr(F.lower(text), THINK_CLOSE)
-    opening = F.instr(F.lower(text), THINK_OPEN)
-    stray = (closing > 0) & ((opening == 0) | (opening > closing))
-    after = text.substr(closing + len(THINK_CLOSE), F.length(text))
-    return F.when(text.isNull(), "").when(cleaned != text, _lstrip(cleaned)).when(stray, _lstrip(after)).otherwise(text)
+    """Text without its reasoning: whole blocks, all up to a closing tag that nothing opened, or up to a forced end; NULL becomes ''."""
+    return _without_thinking(text)["answer"]
 
 
 def had_thinking(text: Column) -> Column:
-    cleaned = F.regexp_replace(text, THINK_BLOCK, "")
-    closing, opening = F.instr(F.lower(text), THINK_CLOSE), F.instr(F.lower(text), THINK_OPEN)
-    return F.coalesce((cleaned != text) | ((closing > 0) & ((opening == 0) | (opening > closing))), F.lit(False))
+    return _without_thinking(text)["found"]
 
 
 def regexp_number(text: Column, pattern: str, group: int = 1) -> Column:
@@ -58,11 +77,10 @@ def score_b(judge_text: Column) -> Column:
 
 def verdict(judge_text: Column) -> Column:
     """A, B, tie or error by the first of [[A]], [[B]], [[C]] in that order of precedence."""
-    text = strip_thinking(judge_text)
-    return (
+    return let(strip_thinking(judge_text), lambda text: (
         F.when(F.contains(text, F.lit("[[A]]")), "A").when(F.contains(text, F.lit("[[B]]")), "B")
         .when(F.contains(text, F.lit("[[C]]")), "tie").otherwise("error")
-    )
+    ))
 
 
 def slugify(name: Column, default: str = "model") -> Column:

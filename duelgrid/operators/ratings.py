@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterable, Iterator
-from functools import reduce
+from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
@@ -18,8 +16,8 @@ SCALE, BASE, INITIAL = 400.0, 10.0, 1000.0
 RIDGE, STEPS, TOLERANCE = 1e-10, 1000, 1e-10
 #: Distinct models that one dense solve takes.
 MOST_MODELS = 5000
-#: Distinct (model_a, model_b, preference) that a bootstrap collects and broadcasts.
-MOST_CELLS = 200_000
+#: Blocks over which a bootstrap draws first.
+BLOCKS = 256
 RATED = "b long, model string, rating double"
 
 
@@ -93,53 +91,44 @@ def ratings_frame(spark: SparkSession, ratings: dict[str, float]) -> DataFrame:
     return spark.createDataFrame(sorted(ratings.items()), "model string, rating double")
 
 
-def bootstrap(
-    battles: DataFrame, rounds: int = 20, seed: int = 0, pref: str = "pref", baseline: str | None = None, most_cells: int = MOST_CELLS
-) -> DataFrame:
+def bootstrap(battles: DataFrame, rounds: int = 20, seed: int = 0, pref: str = "pref", baseline: str | None = None) -> DataFrame:
     """(b, model, rating): battles resampled with replacement, refitted each time.
 
-    Battles collapse to cells of equal (model_a, model_b, pref); drawing all rows anew is one multinomial draw over the
-    cells, whose number does not grow with hard labels or integer scores. Preferences that hardly repeat make too many cells
-    to send around; then each battle gets a Poisson(1) weight per round, the usual approximation, and Spark sums per pair.
+    Battles collapse to cells of equal (model_a, model_b, pref), and cells to blocks by a hash. Drawing all battles anew is a
+    multinomial draw over the blocks, whose number is fixed, and one over the cells of each block inside tasks. Draws are
+    seeded by (seed, round, block), so a task that runs again draws the same, in any partitioning and at any size.
     """
     spark = battles.sparkSession
     share_package(spark)
-    counted = cells(battles, pref)
-    collected = sorted((r.model_a, r.model_b, r.pref, r.battles) for r in counted.limit(most_cells + 1).collect())
-    if len(collected) > most_cells:
-        return _poisson_bootstrap(battles, rounds, seed, pref, baseline)
-    shared = spark.sparkContext.broadcast(collected)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = shared.value
-        n = np.array([r[3] for r in rows], float)
-        for batch in batches:
-            for b in batch["id"].tolist():
-                drawn = np.random.default_rng([seed, b]).multinomial(int(n.sum()), n / n.sum()) if len(rows) else []
-                pairs = ((x, y, (1 - p) * k, p * k) for (x, y, p, _), k in zip(rows, drawn) if k)
-                yield _rated(b, pairs, baseline)
-
-    return spark.range(0, rounds, numPartitions=min(rounds, spark.sparkContext.defaultParallelism) or 1).mapInPandas(run, RATED)
-
-
-def _rated(b: int, pairs: Iterable[tuple[str, str, float, float]], baseline: str | None) -> pd.DataFrame:
-    found = anchored(solve(pairs), baseline)
-    return pd.DataFrame({"b": b, "model": list(found), "rating": list(found.values())})
-
-
-def _poisson_bootstrap(battles: DataFrame, rounds: int, seed: int, pref: str, baseline: str | None) -> DataFrame:
-    kept = battles.where(F.col(pref).isNotNull()).select("model_a", "model_b", F.col(pref).alias("p"))
-    drawn = kept.select("*", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("b")).withColumn("u", F.rand(seed))
-    below = [sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(10)]
-    weight = reduce(lambda x, y: x + y, (F.when(F.col("u") > c, 1).otherwise(0) for c in below))
-    sums = drawn.withColumn("w", weight).groupBy("b", "model_a", "model_b").agg(
-        F.sum(F.col("w") * (1 - F.col("p"))).alias("x"), F.sum(F.col("w") * F.col("p")).alias("y")
-    )
+    block = F.pmod(F.xxhash64("model_a", "model_b", "pref"), F.lit(BLOCKS)).cast("int")
+    counted = cells(battles, pref).withColumn("block", block)
+    sizes = np.zeros(BLOCKS, np.int64)
+    for r in counted.groupBy("block").agg(F.sum("battles").alias("n")).collect():  # at most BLOCKS rows
+        sizes[r.block] = r.n
+    if not sizes.sum():
+        return spark.createDataFrame([], RATED)
+    shares = sizes / sizes.sum()
+    drawn = np.array([np.random.default_rng([seed, b]).multinomial(sizes.sum(), shares) for b in range(rounds)])
+
+    def draw(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["model_a", "model_b", "pref"], ignore_index=True)
+        k, p = int(rows["block"].iloc[0]), rows["battles"].to_numpy(float)
+        found = []
+        for b in range(rounds):
+            n = np.random.default_rng([seed, b, k]).multinomial(drawn[b, k], p / p.sum())
+            some = rows[n > 0].assign(b=b, n=n[n > 0])
+            some = some.assign(x=(1 - some["pref"]) * some["n"], y=some["pref"] * some["n"])
+            found.append(some.groupby(["b", "model_a", "model_b"], as_index=False)[["x", "y"]].sum())
+        return pd.concat(found)
 
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
-        pairs = zip(rows["model_a"], rows["model_b"], rows["x"], rows["y"])
-        return _rated(int(rows["b"].iloc[0]), (q for q in pairs if q[2] + q[3] > 0), baseline)
+        rows = rows.sort_values(["model_a", "model_b"])
+        found = anchored(solve(zip(rows["model_a"], rows["model_b"], rows["x"], rows["y"])), baseline)
+        return pd.DataFrame({"b": int(rows["b"].iloc[0]), "model": list(found), "rating": list(found.values())})
 
+    parts = counted.groupBy("block").applyInPandas(draw, "b long, model_a string, model_b string, x double, y double")
+    # a pair's sums come from few blocks; rounding makes them the same in whatever order those arrive
+    sums = parts.groupBy("b", "model_a", "model_b").agg(*(F.round(F.sum(c), 9).alias(c) for c in ("x", "y")))
     return sums.groupBy("b").applyInPandas(fit, RATED)
 
 

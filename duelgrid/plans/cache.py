@@ -6,7 +6,6 @@ import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.utils import AnalysisException
 
 
 def cache_token(**inputs: object) -> str:
@@ -15,12 +14,14 @@ def cache_token(**inputs: object) -> str:
     return hashlib.sha256(text.encode()).hexdigest()[:16]
 
 
+def is_complete(spark: SparkSession, path: str) -> bool:
+    """Whether a write to path has ended: Spark then leaves a mark, in any file system."""
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
+
+
 def cached(spark: SparkSession, path: str, make: Callable[[], DataFrame], ignore: bool = False) -> DataFrame:
-    """The table at path, made and written first where it is absent (or ignored). Types are declared, so "NA" stays text."""
-    if not ignore:
-        try:
-            return spark.read.parquet(path)
-        except AnalysisException:
-            pass
-    make().write.mode("overwrite").parquet(path)
+    """The table at path, made and written first where it is absent, half-written (or ignored). Types are declared, so "NA" stays text."""
+    if ignore or not is_complete(spark, path):
+        make().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)

@@ -35,13 +35,14 @@ class Criterion:
         return "\n".join(lines)
 
 
+# The names under which judges report scores.
 DEFAULT = (
-    Criterion("correctness", "The answer is factually right and follows from the prompt."),
-    Criterion("helpfulness", "The answer does what the user needs."),
-    Criterion("completeness", "Nothing that was asked for is left out."),
-    Criterion("clarity", "The answer is easy to follow."),
-    Criterion("conciseness", "The answer is no longer than it needs to be."),
-    Criterion("instruction_following", "Constraints on form, language and length are kept."),
+    Criterion("adherence", "Does what the prompt asks, in the form, scope and style that it sets."),
+    Criterion("helpfulness", "Brings the user closer to the goal by relevant and usable content."),
+    Criterion("factuality", "States what is right, and says so where it is unsure."),
+    Criterion("completeness", "Leaves out no part of what was asked."),
+    Criterion("clarity", "Is well ordered, easy to follow and has one meaning."),
+    Criterion("fluency", "Reads well: natural language, fitting tone and length."),
 )
 
 

@@ -15,6 +15,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Rows or distinct keys that are hashed as one string.
+MOST_HASHED = 1_000_000
+
+
 def to_jsonable(value: Any) -> Any:
     """Plain JSON values: NaN and infinities become null, numpy scalars numbers, sets sorted lists."""
     if isinstance(value, Mapping):
@@ -35,31 +39,50 @@ def sha256_text(text: str | None) -> str | None:
 
 
 def _ascii_json(text: Column) -> Column:
-    """A JSON string with what JSON must escape; text beyond ASCII is expected to be escaped by the caller's ids, which are plain."""
-    return F.concat(F.lit('"'), F.regexp_replace(F.regexp_replace(text.cast("string"), r"\\", r"\\\\"), '"', r'\\"'), F.lit('"'))
+    """A JSON string in ASCII: what JSON must escape, and characters beyond ASCII as \\uXXXX, in pairs beyond 16 bits."""
+
+    def escaped(c: Column) -> Column:
+        code = F.ascii(c)
+        unit = lambda x: F.concat(F.lit("\\u"), F.lower(F.lpad(F.hex(x), 4, "0")))
+        pair = F.concat(unit(F.lit(0xD800) + F.shiftright(code - 0x10000, 10)), unit(F.lit(0xDC00) + (code - 0x10000).bitwiseAND(0x3FF)))
+        return F.when(code < 127, c).when(code == 127, c).when(code < 0x10000, unit(code)).otherwise(pair)
+
+    text = F.to_json(F.array(text.cast("string")))
+    text = text.substr(F.lit(2), F.length(text) - 2)
+    return F.when(text.rlike("^[\\x00-\\x7f]*$"), text).otherwise(F.array_join(F.transform(F.split(text, ""), escaped), ""))
 
 
-def sample_fingerprint(rows: DataFrame, order: str = "index") -> DataFrame:
-    """(fingerprint, n): sha256 over the JSON list of a sample's index, model_a, model_b and question_id, in sampled order.
+def sample_fingerprint(rows: DataFrame, order: str = "index", most: int = MOST_HASHED) -> DataFrame:
+    """(fingerprint, n): sha256 over the JSON list of a sample's index, model_a, model_b and question_id, by `order`, its sampled order.
 
-    The list is one string, as the hash demands, so the sample must be of a size that one task can hold; a panel of battles is.
+    The hash is that of one string, so this is for a sample of at most `most` rows, as a panel of battles is; more are an error.
     """
     index = F.when(F.col("index").cast("string").rlike(r"^-?\d+$"), F.col("index").cast("string")).otherwise(_ascii_json(F.col("index")))
     fields = [F.lit('{"index": '), index]
     for k in ("model_a", "model_b", "question_id"):
         fields += [F.lit(f', "{k}": '), _ascii_json(F.col(k))]
-    each = rows.select(F.col(order).alias("o"), F.concat(*fields, F.lit("}")).alias("j"))
+    each = rows.select(F.col(order).alias("o"), F.concat(*fields, F.lit("}")).alias("j")).limit(most + 1)
     listed = F.array_sort(F.collect_list(F.struct("o", "j")))
     joined = F.concat(F.lit("["), F.array_join(F.transform(listed, lambda x: x["j"]), ", "), F.lit("]"))
-    return each.agg(F.sha2(joined, 256).alias("fingerprint"), F.count("*").alias("n"))
+    return each.agg(F.sha2(_bounded(joined, F.size(listed), most), 256).alias("fingerprint"), F.count("*").alias("n"))
 
 
-def set_hash(df: DataFrame, column: str) -> DataFrame:
-    """(digest, n): sha256 of the sorted distinct values as compact JSON; order and repeats do not matter."""
+def _bounded(value: Column, n: Column, most: int) -> Column:
+    return F.when(n <= most, value).otherwise(F.raise_error(F.lit(f"more than {most} rows to hash as one string")).cast("string"))
+
+
+def set_hash(df: DataFrame, column: str, most: int = MOST_HASHED) -> DataFrame:
+    """(digest, n): sha256 of the sorted distinct values as compact JSON; order and repeats do not matter.
+
+    The hash is that of one string, so this is for at most `most` distinct values, as the keys of a benchmark are; more are
+    an error. They are made distinct before they meet.
+    """
     numeric = dict(df.dtypes)[column] in ("int", "bigint", "smallint", "tinyint")
     value = F.col(column).cast("string") if numeric else F.to_json(F.array(F.col(column))).substr(F.lit(2), F.length(F.to_json(F.array(F.col(column)))) - 2)
-    values = F.array_sort(F.collect_set(value))
-    return df.agg(F.sha2(F.concat(F.lit("["), F.array_join(values, ","), F.lit("]")), 256).alias("digest"), F.size(values).cast("long").alias("n"))
+    distinct = df.select(value.alias("v")).where("v is not null").distinct().limit(most + 1)
+    values = F.array_sort(F.collect_list("v"))
+    joined = F.concat(F.lit("["), F.array_join(values, ","), F.lit("]"))
+    return distinct.agg(F.sha2(_bounded(joined, F.size(values), most), 256).alias("digest"), F.count("*").alias("n"))
 
 
 def write_json(path: str | Path, value: Any) -> None:

@@ -216,10 +216,13 @@ def battle_counts_per_model(spark: SparkSession, sf: str) -> DataFrame:
     "select model_a, model_b, count(*) as battles from b where model_a in (from c) and model_b in (from c) group by all"
 )
 def well_represented_semi(spark: SparkSession, sf: str) -> DataFrame:
-    df = _battles(spark, sf)
-    # the threshold is the mean number of battles of a model
-    least = df.agg(F.ceil(F.count("*") * 2 / 25).alias("n")).head().n
-    return B.well_represented(df, least).groupBy("model_a", "model_b").agg(F.count("*").alias("battles"))
+    """Battles collapse to pairs first; the threshold is the mean number of battles of a model."""
+    pairs = _battles(spark, sf).groupBy("model_a", "model_b").agg(F.count("*").alias("battles"))
+    each = pairs.select(F.explode(F.array("model_a", "model_b")).alias("model"), "battles").groupBy("model").agg(F.sum("battles").alias("n"))
+    often = each.join(F.broadcast(each.agg((F.sum("n") / 25).alias("least"))), F.col("n") >= F.col("least")).select("model")
+    for side in ("model_a", "model_b"):
+        pairs = pairs.join(often.withColumnRenamed("model", side), side, "left_semi")
+    return pairs.select("model_a", "model_b", "battles")
 
 
 @query(_B + "select count(*) as battles, (select count(distinct m) from (select unnest([model_a, model_b]) as m from b)) as models, count(distinct model_a) as languages from b")
@@ -312,6 +315,36 @@ def bt_ratings_anchored(spark: SparkSession, sf: str) -> DataFrame:
     return R.ratings_frame(spark, R.fit_bradley_terry(_battles(spark, sf), baseline="Brand#11")).withColumn("rating", F.round("rating", 6))
 
 
+_BALANCE = "select model, 0.0::double as residual from (select unnest([model_a, model_b]) as model from b where pref is not null) group by model"
+
+
+def _balance(spark: SparkSession, battles: DataFrame, ratings: dict[str, float]) -> DataFrame:
+    """What each model won beyond what its rating expects, which a best fit makes zero."""
+    rated = R.ratings_frame(spark, ratings)
+    pairs = R.sufficient_statistics(battles).where("model_a <> model_b")
+    sides = [rated.select(F.col("model").alias(f"model_{s}"), F.col("rating").alias(s)) for s in "ab"]
+    joined = pairs.join(sides[0], "model_a").join(sides[1], "model_b")
+    expected = F.col("battles") / (1 + F.pow(F.lit(10.0), (F.col("b") - F.col("a")) / 400))
+    gain = F.col("points_a") - expected
+    both = joined.select(F.explode(F.array(F.struct(F.col("model_a").alias("model"), gain.alias("g")), F.struct(F.col("model_b").alias("model"), (-gain).alias("g")))).alias("x"))
+    # zero has no sign here
+    return both.groupBy("x.model").agg((F.round(F.sum("x.g"), 4) + F.lit(0.0)).alias("residual"))
+
+
+@query(_B + _BALANCE)
+def bt_ratings_balance(spark: SparkSession, sf: str) -> DataFrame:
+    df = _battles(spark, sf)
+    return _balance(spark, df, R.fit_bradley_terry(df))
+
+
+@query(_B + _BALANCE.replace("0.0::double as residual", "0.0::double as residual, case when model = 'Brand#11' then 1000.0::double end as anchor"))
+def bt_anchored_balance(spark: SparkSession, sf: str) -> DataFrame:
+    df = _battles(spark, sf)
+    ratings = R.fit_bradley_terry(df, baseline="Brand#11")
+    anchor = F.when(F.col("model") == "Brand#11", F.lit(ratings["Brand#11"]))
+    return _balance(spark, df, ratings).withColumn("anchor", F.round(anchor, 6))
+
+
 @query()
 def bt_bootstrap_leaderboard(spark: SparkSession, sf: str) -> DataFrame:
     df = _battles(spark, sf)
@@ -347,6 +380,16 @@ def calibrated_temperature(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(C.calibrate_temperature(_calibration(spark, sf)),)], "temperature double")
 
 
+@query(_CAL + "select count(*) as n, 0.0::double as slope from c where delta is not null and y <> 0.5::double")
+def calibration_balance(spark: SparkSession, sf: str) -> DataFrame:
+    """The slope of the likelihood at the calibrated temperature, a row's share of it, which a best fit makes zero."""
+    df = _calibration(spark, sf)
+    t = C.calibrate_temperature(df)
+    z = F.col("z")
+    slope = F.sum(F.col("n") * z / (1 + F.exp(t * z))) / F.sum("n")
+    return C.agreement_histogram(df).agg(F.sum("n").alias("n"), (F.round(slope, 9) + F.lit(0.0)).alias("slope"))
+
+
 # --- completions ------------------------------------------------------------------------------------------------------
 @query(_OUT + ", " + _LAST + " select instruction_index, model, output from l")
 def outputs_last_wins(spark: SparkSession, sf: str) -> DataFrame:
@@ -474,13 +517,15 @@ def category_settings(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # --- hashes and small functions ---------------------------------------------------------------------------------------
-@query(r"""select sha256('[' || string_agg(j, ', ' order by doc_id) || ']') as fingerprint, count(*) as n from (
-  select doc_id, '{"index": ' || doc_id || ', "model_a": "' || source || '", "model_b": "' || lang || '", "question_id": "' || doc_id || '"}' as j from documents)""")
+@query(r"""select sha256('[' || string_agg(j, ', ' order by md5('7~' || doc_id), doc_id) || ']') as fingerprint, count(*) as n from (
+  select doc_id, '{"index": ' || doc_id || ', "model_a": "' || source || '", "model_b": "' || lang || '", "question_id": "' || doc_id || '"}' as j from documents order by md5('7~' || doc_id), doc_id limit 100)""")
 def sample_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
     from duelgrid.plans.repro import sample_fingerprint as fingerprint
 
-    rows = _docs(spark, sf).select(F.col("doc_id").alias("index"), F.col("doc_id").cast("string").alias("question_id"), F.col("source").alias("model_a"), F.col("lang").alias("model_b"))
-    return fingerprint(rows)
+    panel = B.seeded_sample(_docs(spark, sf).select("doc_id", "source", "lang"), 100, "doc_id", 7)
+    place = F.struct(F.md5(F.concat_ws("~", F.lit("7"), F.col("doc_id")).cast("binary")), "doc_id")
+    rows = panel.select(F.col("doc_id").alias("index"), F.col("doc_id").cast("string").alias("question_id"), F.col("source").alias("model_a"), F.col("lang").alias("model_b"), place.alias("place"))
+    return fingerprint(rows, "place")
 
 
 @query("""select sha256('[' || string_agg('"' || source || '"', ',' order by source) || ']') as digest, count(*) as n from (select distinct source from documents)""")

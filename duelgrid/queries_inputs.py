@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from duelgrid import views as V
@@ -17,33 +17,47 @@ from duelgrid.sources import arenas, tables
 
 
 def _human_texts(spark: SparkSession, sf: str) -> DataFrame:
-    """Human battles with the text of their document as prompt and its halves as answers."""
-    texts = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").alias("battle_id"), F.left("text", F.lit(300)).alias("text"))
+    """Human battles with the text of their document."""
+    texts = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").alias("battle_id"), "text")
     return V.view(spark, sf, V.HUMAN).join(texts, "battle_id")
 
 
-_RAW = f"with h as ({V.HUMAN}), r as (select h.*, left(text, 300) as text from h join documents d on h.battle_id = d.doc_id) "
+_RAW = f"with h as ({V.HUMAN}), r as (select h.*, text from h join documents d on h.battle_id = d.doc_id) "
+
+
+def _part(side: str) -> Column:
+    return F.expr(f"{side}(text, cast(length(text) div 2 as int))")
+
+
+def _digest(text: Column, name: str) -> list[Column]:
+    """A whole text by its length and md5."""
+    return [F.length(text).cast("long").alias(f"{name}_n"), F.md5(text.cast("binary")).alias(name)]
+
+
+def _half(text: str, name: str) -> str:
+    half = f"{'right' if name.endswith('b') or name.endswith('2') else 'left'}({text}, (length({text}) // 2)::int)"
+    return f"length({half})::bigint as {name}_n, md5({half}) as {name}"
 
 
 @query(
     _RAW + "select battle_id::varchar as question_id, model_a, model_b, case when winner like 'tie%' then 'tie' else winner end as winner, "
-    "left(text, 100) as prompt, right(text, 100) as answer_b, 1::bigint as turns from r"
+    f"{_half('text', 'prompt')}, {_half('text', 'answer_b')}, 1::bigint as turns from r"
 )
 def arena_one_hot(spark: SparkSession, sf: str) -> DataFrame:
     raw = _human_texts(spark, sf)
     flag = lambda c: c.cast("int")
     raw = raw.select(
-        F.col("battle_id").alias("id"), "model_a", "model_b", F.left("text", F.lit(100)).alias("prompt"), F.lit("a").alias("response_a"),
-        F.right("text", F.lit(100)).alias("response_b"), flag(F.col("winner") == "model_a").alias("winner_model_a"),
+        F.col("battle_id").alias("id"), "model_a", "model_b", _part("left").alias("prompt"), F.lit("a").alias("response_a"),
+        _part("right").alias("response_b"), flag(F.col("winner") == "model_a").alias("winner_model_a"),
         flag(F.col("winner") == "model_b").alias("winner_model_b"), flag(F.col("winner").startswith("tie")).alias("winner_tie"),
     )
     made = arenas.arena_55k(raw)
     prompt, answer = T.message(F.col("conversation_a"), 0), T.message(F.col("conversation_b"), 1)
-    return made.select("question_id", "model_a", "model_b", "winner", prompt.alias("prompt"), answer.alias("answer_b"), F.col("turns").cast("long").alias("turns"))
+    return made.select("question_id", "model_a", "model_b", "winner", *_digest(prompt, "prompt"), *_digest(answer, "answer_b"), F.col("turns").cast("long").alias("turns"))
 
 
 @query(
-    _RAW + "select battle_id::varchar as question_id, winner, battle_id + 1700000000 as tstamp, lower(lang) as lang, text as first_text from r"
+    _RAW + "select battle_id::varchar as question_id, winner, battle_id + 1700000000 as tstamp, lower(lang) as lang, length(text)::bigint as first_text_n, md5(text) as first_text from r"
 )
 def arena_parquet_shape(spark: SparkSession, sf: str) -> DataFrame:
     block = F.array(F.struct(F.lit("text").alias("type"), F.col("text").alias("text")), F.struct(F.lit("image").alias("type"), F.lit("skip").alias("text")))
@@ -54,7 +68,7 @@ def arena_parquet_shape(spark: SparkSession, sf: str) -> DataFrame:
         talk.alias("conversation_a"), talk.alias("conversation_b"), F.upper("lang").alias("language"),
     )
     made = arenas.arena_parquet(raw, "LMArena-140k", single_turn=True)
-    return made.select("question_id", "winner", "tstamp", "lang", T.message(F.col("conversation_a"), 0).alias("first_text"))
+    return made.select("question_id", "winner", "tstamp", "lang", *_digest(T.message(F.col("conversation_a"), 0), "first_text"))
 
 
 _CHOSEN = "case when battle_id % 7 = 0 then 'neither' when winner = 'model_a' then model_a else model_b end"
@@ -83,33 +97,36 @@ def instruction_table(spark: SparkSession, sf: str) -> DataFrame:
     return tables.instructions(raw, "ord").select("instruction_index", "instruction", "lang")
 
 
-_ANSWER = "case doc_id % 4 when 0 then source when 1 then left(text, 50) when 2 then right(text, 50) end"
+_ANSWER = "case when doc_id % 4 = 0 then source else text end"
 
 
-@query(f"select doc_id::varchar as instruction_index, source as model, {_ANSWER} as output from documents where doc_id % 4 <> 3")
+@query(
+    f"select doc_id::varchar as instruction_index, source as model, length({_ANSWER})::bigint as output_n, md5({_ANSWER}) as output "
+    "from documents where doc_id % 4 <> 3 and text <> '' and source is not null"
+)
 def model_output_table(spark: SparkSession, sf: str) -> DataFrame:
     """Flat outputs, plain last messages, last messages with an answer field, and rows without any."""
     d, k = spark.read.parquet(f"{sf}/documents.parquet"), F.col("doc_id") % 4
-    nested = F.to_json(F.struct(F.right("text", F.lit(50)).alias("answer"), F.lit("why").alias("reasoning")))
-    last = F.when(k == 1, F.left("text", F.lit(50))).when(k == 2, nested)
+    nested = F.to_json(F.struct(F.col("text").alias("answer"), F.lit("why").alias("reasoning")))
+    last = F.when(k == 1, F.col("text")).when(k == 2, nested)
     say = lambda role, c: F.struct(F.lit(role).alias("role"), c.alias("content"))
     raw = d.select(
         F.col("doc_id").alias("uid"), F.col("source").alias("model"), F.when(k == 0, F.col("source")).otherwise("").alias("output"),
         F.array(say("user", F.lit("q")), say("assistant", last)).alias("messages"),
     )
-    return tables.model_outputs_long(raw)
+    return tables.model_outputs_long(raw).select("instruction_index", "model", *_digest(F.col("output"), "output"))
 
 
 @query(
-    _Q + "select q.instruction_index::varchar as instruction_index, q.turn_1, q.turn_2, case when q.instruction_index % 3 <> 0 then left(q.turn_1, 20) end as reference_turn_1, "
-    "case when q.instruction_index % 3 <> 0 then right(q.turn_1, 20) end as reference_turn_2 from q"
+    _Q + "select q.instruction_index::varchar as instruction_index, q.turn_1, q.turn_2, case when q.instruction_index % 3 <> 0 then q.turn_1 end as reference_turn_1, "
+    "case when q.instruction_index % 3 <> 0 then q.turn_2 end as reference_turn_2 from q"
 )
 def two_turn_question_table(spark: SparkSession, sf: str) -> DataFrame:
     """Questions meet another model's answers by id, though one side pads its ids with zeros."""
     q = V.view(spark, sf, V.QUESTIONS)
     questions = q.select(F.lpad(F.col("instruction_index").cast("string"), 6, "0").alias("question_id"), "category", F.array("turn_1", "turn_2").alias("turns"))
     refs = q.where("instruction_index % 3 <> 0").select(
-        F.col("instruction_index").alias("question_id"), F.array(F.struct(F.array(F.left("turn_1", F.lit(20)), F.right("turn_1", F.lit(20))).alias("turns"))).alias("choices")
+        F.col("instruction_index").alias("question_id"), F.array(F.struct(F.array("turn_1", "turn_2").alias("turns"))).alias("choices")
     )
     return tables.two_turn_questions(questions, refs).select("instruction_index", "turn_1", "turn_2", "reference_turn_1", "reference_turn_2")
 

@@ -45,9 +45,9 @@ QUESTIONS = """
 select item_id as instruction_index,
   case item_id % 8 when 0 then 'writing' when 1 then 'roleplay' when 2 then 'extraction' when 3 then 'math'
        when 4 then 'coding' when 5 then 'reasoning' when 6 then 'stem' else 'humanities' end as category,
-  text as turn_1, case when item_id % 5 = 0 then null else concat('follow-up: ', left(text, 80)) end as turn_2,
-  case when item_id % 8 in (3, 4, 5) then left(text, 40) end as reference_turn_1,
-  case when item_id % 8 in (3, 4, 5) then right(text, 40) end as reference_turn_2
+  text as turn_1, case when item_id % 5 = 0 then null else concat('follow-up: ', text) end as turn_2,
+  case when item_id % 8 in (3, 4, 5) then concat('first: ', text) end as reference_turn_1,
+  case when item_id % 8 in (3, 4, 5) then concat('second: ', text) end as reference_turn_2
 from benchmark
 """
 

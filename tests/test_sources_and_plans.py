@@ -127,7 +127,7 @@ def test_criteria(tmp_path, spark):
     with pytest.raises(ValueError):
         criteria.load("c.json")
     df = spark.sql("select map('clarity', 2.0D) as s")
-    assert df.select(criteria.scores_in_order(F.col("s"), list(criteria.DEFAULT))).head()[0] == [0.0, 0.0, 0.0, 2.0, 0.0, 0.0]
+    assert df.select(criteria.scores_in_order(F.col("s"), list(criteria.DEFAULT))).head()[0] == [0.0, 0.0, 0.0, 0.0, 2.0, 0.0]
 
 
 def test_repro(spark, tmp_path):
