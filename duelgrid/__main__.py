@@ -22,7 +22,7 @@ def arguments(argv: list[str]) -> argparse.Namespace:
     p.add_argument("--config", help="a YAML file; --set goes before it, it goes before defaults")
     p.add_argument("--set", action="append", default=[], metavar="KEY=VALUE", help="a setting, nested ones with dots")
     p.add_argument("--instructions", help="table of instruction_index, instruction and, as the task needs, category or turns")
-    p.add_argument("--outputs", help="table of instruction_index, model, output")
+    p.add_argument("--outputs", help="table of instruction_index, model, output; without it the models are asked")
     p.add_argument("--answers", help="for ratings: table of battle_id, completion of the evaluated model")
     p.add_argument("--arena", help="for ratings: folder of the arenas")
     p.add_argument("--csv", action="store_true", help="annotations as CSV too")
@@ -43,13 +43,16 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         print(results.report(made.summary), results.leaderboard_report(made.leaderboard), results.save_ratings(config.result_folder, config, made), sep="\n")
         return 0
     instructions = read_table(spark, args.instructions)
-    outputs = read_table(spark, args.outputs)
-    if "ord" not in outputs.columns:
-        outputs = outputs.withColumn("ord", F.monotonically_increasing_id())
+    outputs = read_table(spark, args.outputs) if args.outputs else None
+    if outputs is not None and "ord" not in outputs.columns:
+        # the last row of a file wins, files by name; a table without such an order needs a column of its own
+        outputs = outputs.withColumn("ord", F.struct(F.input_file_name(), F.monotonically_increasing_id()))
     if config.task == "mt-bench":
-        model_b = config.models.model_b or "gpt-4"
-        a, b = (outputs.where(F.col("model") == m) for m in (config.models.model_a, model_b))
-        judged, summary = pipelines.judge_two_turns(instructions, a, b, config)
+        config.models.model_b = config.models.model_b or "gpt-4"
+        known = lambda m: None if outputs is None or outputs.where(F.col("model") == m).isEmpty() else outputs.where(F.col("model") == m)
+        judged, summary = pipelines.judge_two_turns(instructions, known(config.models.model_a), known(config.models.model_b), config)
+    elif outputs is None:
+        judged, summary = pipelines.evaluate(instructions, None, None, config, ["category"] if "category" in instructions.columns else [])
     else:
         named = with_baseline(instructions, config.task, config.models.model_b)
         theirs = named.select("instruction_index", "model_b").join(

@@ -40,9 +40,9 @@ def judge_items(pairs: DataFrame, mode: str = "both", limit: int | None = None)
     return pairs.select(*kept, F.explode(F.filter(F.array(*wanted), lambda x: x.isNotNull())).alias("_i")).select(*kept, "_i.turn", "_i.prompt_name")
 
 
-def swapped_items(items: DataFrame) -> DataFrame:
-    """Each item twice, with the answers as they are and exchanged."""
-    both = items.withColumn("swapped", F.explode(F.array(F.lit(False), F.lit(True))))
+def swapped_items(items: DataFrame, both: bool = True) -> DataFrame:
+    """Each item twice, with the answers as they are and exchanged; only as they are, where not both."""
+    both = items.withColumn("swapped", F.explode(F.array(*(F.lit(x) for x in ((False, True) if both else (False,))))))
     exchange = {}
     for n in (1, 2):
         a, b = f"completion_a_{n}", f"completion_b_{n}"
@@ -59,3 +59,9 @@ def resolve_both(judged: DataFrame, first: str = "judge_completion", second: str
     out = judged.withColumns({"winner_1": g1, "winner_2": g2})
     a, b = F.col("winner_1"), F.col("winner_2")
     return out.withColumns({"winner": conservative_winner(a, b), "inconsistent": inconsistent(a, b)}).withColumn("pref", winner_preference(F.col("winner")))
+
+
+def resolve_one(judged: DataFrame, judgment: str = "judge_completion") -> DataFrame:
+    """winner and pref of items judged in one order; none is inconsistent."""
+    out = judged.withColumns({"winner": verdict_winner(verdict(F.col(judgment)), F.lit(False)), "inconsistent": F.lit(False)})
+    return out.withColumn("pref", winner_preference(F.col("winner")))

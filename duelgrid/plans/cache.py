@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,3 +27,20 @@ def cached(spark: SparkSession, path: str, make: Callable[[], DataFrame], ignore
     if ignore or not is_complete(spark, path):
         make().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder that the cluster names in spark.checkpoint.dir; in local mode a temporary one where none is set."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = f"file://{tempfile.mkdtemp(prefix='spark-scratch-')}"
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(spark: SparkSession, name: str, make: Callable[[], DataFrame], folder: str | None = None, ignore: bool = False, **inputs: object) -> DataFrame:
+    """What make gives, computed once: below `folder` under a name made of the inputs, to be found again; else in scratch."""
+    path = f"{folder}/{name}-{cache_token(**inputs)}" if folder else scratch(spark, name)
+    return cached(spark, path, make, ignore)

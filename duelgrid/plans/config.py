@@ -37,7 +37,18 @@ class JudgeConfig:
     swap_mode: str = "fixed"
     temperature: float | None = None
     preset: str | None = None
+    system_file: str | None = None
+    template_file: str | None = None
     explain: bool = False
+    max_out_tokens: int = 32768
+    engine_kwargs: dict = field(default_factory=dict)
+
+    def generation_kwargs(self, engine_kwargs: dict[str, Any] | None = None) -> dict[str, Any]:
+        """What the judge's model call gets; engine settings of the evaluated model go only to a local engine."""
+        from duelgrid.plans.inference import judge_defaults
+
+        own = {"max_tokens": self.max_out_tokens} | ({} if self.temperature is None else {"temperature": self.temperature})
+        return judge_defaults(self.model, engine_kwargs or {}, self.engine_kwargs) | own
 
 
 @dataclass
@@ -50,6 +61,8 @@ class EloConfig:
     least_battles: int = 500
     soft: bool = True
     calibrate: bool = False
+    #: Human battles that calibration judges; 0 takes all.
+    n_calibration: int = 1000
     baseline: str | None = None
 
 
@@ -60,6 +73,11 @@ class RunConfig:
     truncate_chars: int = 8192
     seed: int = 0
     result_folder: str = "results"
+    #: Folder of judged and generated tables that later runs may use; None keeps none.
+    cache_folder: str | None = None
+    ignore_cache: bool = False
+    #: Turns of the two-turn benchmark: both, single or multi.
+    turns: str = "both"
     models: ModelConfig = field(default_factory=ModelConfig)
     judge: JudgeConfig = field(default_factory=JudgeConfig)
     elo: EloConfig = field(default_factory=EloConfig)

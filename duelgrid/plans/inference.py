@@ -11,17 +11,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from duelgrid.functions.text import category_temperature
+from duelgrid.functions.text import THINKING_MODELS, category_temperature, truncate
 from duelgrid.session import share_package
 
 #: prompts -> answers
 Model = Callable[[list[str]], list[str]]
-#: (name without provider, options) -> a model; looked up inside the task, so clients are never pickled.
+#: (name without provider, options) -> a model; called inside the task, so clients are never pickled, only what makes them.
 Provider = Callable[[str, dict], Model]
 PROVIDERS: dict[str, Provider] = {}
 RETRIED = re.compile(r"\b(408|409|425|429|500|502|503|504|529)\b|timed? ?out|connection|overloaded|rate limit", re.I)
 ATTEMPTS, FIRST_WAIT, SPLIT = 5, 1.0, 4
 NO_FOLLOW_UP = "No follow-up question."
+# Fixed value: tokens that a local engine lets a thinking judge think.
+THINKING_BUDGET = 512
 
 
 def provider(name: str) -> Callable[[Provider], Provider]:
@@ -38,11 +40,29 @@ def dummy(name: str, options: dict) -> Model:
     return lambda prompts: [name] * len(prompts)
 
 
-def make_model(spec: str, **options: object) -> Model:
+def judge_defaults(spec: str, engine_kwargs: dict, override: dict) -> dict:
+    """Engine settings of a judge: only a local engine takes the evaluated model's, a bound on thinking and, for 8-bit weights, an 8-bit cache."""
+    kind, _, name = spec.partition("/")
+    if kind != "VLLM":
+        return dict(override)
+    made, low = {**engine_kwargs, **override}, name.lower()
+    if any(k in low for k, _ in THINKING_MODELS):
+        made.setdefault("thinking_token_budget", THINKING_BUDGET)
+    if "fp8" in low:
+        made.setdefault("kv_cache_dtype", "fp8")
+    return made
+
+
+def provider_of(spec: str) -> tuple[Provider, str]:
     kind, _, name = spec.partition("/")
     if kind not in PROVIDERS:
         raise ValueError(f"unknown provider {kind!r}; registered: {', '.join(sorted(PROVIDERS))}")
-    return PROVIDERS[kind](name, dict(options))
+    return PROVIDERS[kind], name
+
+
+def make_model(spec: str, **options: object) -> Model:
+    make, name = provider_of(spec)
+    return make(name, dict(options))
 
 
 def ask(model: Model, prompts: list[str], attempts: int = ATTEMPTS, wait: float = FIRST_WAIT, sleep: Callable[[float], None] = time.sleep) -> list[str]:
@@ -61,23 +81,42 @@ def ask(model: Model, prompts: list[str], attempts: int = ATTEMPTS, wait: float
     return answers
 
 
-def complete(df: DataFrame, spec: str, prompt: str = "prompt", output: str = "completion", **options: object) -> DataFrame:
-    """df with a column of the model's answers; partitions are asked in parallel, one model each."""
+def complete(df: DataFrame, spec: str, prompt: str = "prompt", output: str = "completion", heat: str | None = None, **options: object) -> DataFrame:
+    """df with a column of the model's answers; partitions are asked in parallel.
+
+    A partition has one model, or one for each value of the column `heat`, its temperature, whose rows are asked together.
+    """
     share_package(df.sparkSession)
     schema = StructType([*df.drop(output).schema, StructField(output, StringType())])
+    make, name = provider_of(spec)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = make_model(spec, **options)
+        models: dict[object, Model] = {}
         for b in batches:
-            yield b.assign(**{output: ask(model, b[prompt].fillna("").tolist()) if len(b) else []})
+            b = b.assign(**{output: ""})
+            for t, rows in b.groupby(heat, dropna=False) if heat else [(None, b)]:
+                if t not in models:
+                    models[t] = make(name, options | ({"temperature": float(t)} if heat else {}))
+                if len(rows):
+                    b.loc[rows.index, output] = ask(models[t], rows[prompt].fillna("").tolist())
+            yield b
 
     return df.drop(output).mapInPandas(run, schema)
 
 
-def complete_two_turns(questions: DataFrame, spec: str, **options: object) -> DataFrame:
-    """completion_turn_1 and completion_turn_2: the second prompt holds the first turn; categories set temperatures."""
-    df = questions.withColumn("temperature", category_temperature(F.col("category")))
-    df = complete(df.withColumn("_p", F.coalesce("turn_1", F.lit(""))), spec, "_p", "completion_turn_1", **options)
+def complete_instructions(instructions: DataFrame, spec: str, limit: int | None = None, **options: object) -> DataFrame:
+    """instruction_index and completion of a model asked for each instruction, cut to length."""
+    asked = instructions.select("instruction_index", truncate(F.col("instruction"), limit).alias("_p"))
+    return complete(asked, spec, "_p", **options).drop("_p")
+
+
+def complete_two_turns(questions: DataFrame, spec: str, by_category: bool = True, **options: object) -> DataFrame:
+    """completion_turn_1 and completion_turn_2: the second prompt holds the first turn; categories set temperatures unless one is given."""
+    by_category = by_category and "temperature" not in options
+    df, column = questions, "_t" if by_category else None
+    if by_category:
+        df = df.withColumn("_t", category_temperature(F.col("category")))
+    df = complete(df.withColumn("_p", F.coalesce("turn_1", F.lit(""))), spec, "_p", "completion_turn_1", column, **options)
     follow_up = F.coalesce(F.nullif("turn_2", F.lit("")), F.lit(NO_FOLLOW_UP))
     second = F.concat_ws("\n\n", F.col("_p"), F.col("completion_turn_1"), follow_up)
-    return complete(df.withColumn("_p", second), spec, "_p", "completion_turn_2", **options).drop("_p")
+    return complete(df.withColumn("_p", second), spec, "_p", "completion_turn_2", column, **options).drop("_p", "_t")

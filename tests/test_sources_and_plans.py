@@ -226,7 +226,7 @@ def test_two_turn_run(spark):
     q = spark.createDataFrame([("1", "math", "q", "r", "x", "y"), ("2", "stem", "q", None, None, None)], "instruction_index string, category string, turn_1 string, turn_2 string, reference_turn_1 string, reference_turn_2 string")
     done = inference.complete_two_turns(q, "Dummy/hello").select("instruction_index", "completion_turn_1", "completion_turn_2")
     assert {tuple(r)[1:] for r in done.collect()} == {("hello", "hello")}
-    made = config.build(**{"task": "mt-bench", "models.model_a": "m", "judge.model": "Dummy/[[A]]"})
+    made = config.build(**{"task": "mt-bench", "models.model_a": "m", "judge.model": "Dummy/[[A]]", "judge.swap_mode": "both"})
     items, summary = pipelines.judge_two_turns(q, done, done, made)
     assert items.count() == 3 and items.where("inconsistent and winner = 'tie'").count() == 3
     assert {(r.key, r.value): r.num_ties for r in summary.collect()} == {("", ""): 3, ("category", "math"): 2, ("category", "stem"): 1, ("turn", "1"): 2, ("turn", "2"): 1}
