@@ -2,31 +2,25 @@
 
 from __future__ import annotations
 
-import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from duelgrid.llm import decontam, hmm, langid, packing, quality, simhash, suffixdedup, tokenbin, tokencount, topk
+
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = {
-    "op1_packing": "packing",
-    "op2_quality": "quality",
-    "op3_language_id": "langid",
-    "op4_suffix_dedup": "suffixdedup",
-    "op5_token_counts": "tokencount",
-    "op6_simhash": "simhash",
-    "op7_token_binary": "tokenbin",
-    "op8_decontamination": "decontam",
-    "op9_topk_search": "topk",
-    "op10_hmm_scoring": "hmm",
-}
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (
+        packing.op1_packing, quality.op2_quality, langid.op3_language_id, suffixdedup.op4_suffix_dedup, tokencount.op5_token_counts,
+        simhash.op6_simhash, tokenbin.op7_token_binary, decontam.op8_decontamination, topk.op9_topk_search, hmm.op10_hmm_scoring,
+    )
+}
 
 
 def llm_queries() -> dict[str, Query]:
-    found = {name: getattr(importlib.import_module(f"duelgrid.llm.{m}"), name) for name, m in MODULES.items()}
-    return found | {"pipeline": importlib.import_module("corpus_pipeline").run}
+    return dict(QUERIES)
 
 
 def llm_sql() -> dict[str, str]:
-    found = {name: getattr(importlib.import_module(f"duelgrid.llm.{m}"), "SQL", None) for name, m in MODULES.items()}
-    return {k: v for k, v in found.items() if v}
+    return {"op9_topk_search": topk.SQL}
