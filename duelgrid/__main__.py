@@ -14,14 +14,14 @@ from duelgrid.plans import pipelines, results
 from duelgrid.plans.baselines import ARENAS, with_baseline
 from duelgrid.plans.config import build
 from duelgrid.sources.arenas import load_arena
-from duelgrid.sources.tables import read_table
+from duelgrid.sources.tables import completion_file, contexts, read_table
 
 
 def arguments(argv: list[str]) -> argparse.Namespace:
     p = argparse.ArgumentParser(prog="duelgrid", description=__doc__)
     p.add_argument("--config", help="a YAML file; --set goes before it, it goes before defaults")
     p.add_argument("--set", action="append", default=[], metavar="KEY=VALUE", help="a setting, nested ones with dots")
-    p.add_argument("--instructions", help="table of instruction_index, instruction and, as the task needs, category or turns")
+    p.add_argument("--instructions", help="table of instruction_index, instruction and, as the task needs, category or turns; for fluency tasks the folder of contexts")
     p.add_argument("--outputs", help="table of instruction_index, model, output; without it the models are asked")
     p.add_argument("--answers", help="for ratings: table of battle_id, completion of the evaluated model")
     p.add_argument("--arena", help="for ratings: folder of the arenas")
@@ -42,7 +42,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         made = pipelines.rate(arena, read_table(spark, args.answers), config)
         print(results.report(made.summary), results.leaderboard_report(made.leaderboard), results.save_ratings(config.result_folder, config, made), sep="\n")
         return 0
-    instructions = read_table(spark, args.instructions)
+    fluency = "fluency" in config.task
+    instructions = contexts(spark, args.instructions, config.task) if fluency else read_table(spark, args.instructions)
     outputs = read_table(spark, args.outputs) if args.outputs else None
     if outputs is not None and "ord" not in outputs.columns:
         # the last row of a file wins, files by name; a table without such an order needs a column of its own
@@ -52,7 +53,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         known = lambda m: None if outputs is None or outputs.where(F.col("model") == m).isEmpty() else outputs.where(F.col("model") == m)
         judged, summary = pipelines.judge_two_turns(instructions, known(config.models.model_a), known(config.models.model_b), config)
     elif outputs is None:
-        judged, summary = pipelines.evaluate(instructions, None, None, config, ["category"] if "category" in instructions.columns else [])
+        # a model may be a file of its completions; any other one is asked
+        given = lambda m: completion_file(spark, m) if m and m.endswith((".csv", ".csv.zip", ".parquet", ".jsonl")) else None
+        by = ["category"] if "category" in instructions.columns else []
+        judged, summary = pipelines.evaluate(instructions, given(config.models.model_a), given(config.models.model_b), config, by)
     else:
         named = with_baseline(instructions, config.task, config.models.model_b)
         theirs = named.select("instruction_index", "model_b").join(

@@ -149,6 +149,77 @@ def swapped_judge_items(spark: SparkSession, sf: str) -> DataFrame:
     return made.select("instruction_index", F.col("turn").cast("long").alias("turn"), "swapped", "completion_a_1", "completion_b_1")
 
 
+_SCORED = (
+    _Q + _ITEMS + ", s as (select i.*, x.swapped, (instruction_index * turn) % 11 as a, instruction_index % 7 as b from i, (values (false), (true)) x(swapped)), "
+    "p as (select *, 1.0::double / (1.0::double + exp(0.3::double * (a - b))) as p from s), "
+    "r as (select *, round(case when swapped then 1 - p else p end, 9) as pref from p) "
+)
+
+
+@query(
+    _SCORED + ", e as (select '' as key, '' as value, pref from r union all select 'category', category, pref from r union all select 'turn', turn::varchar, pref from r) "
+    "select key, value, count(*) as num_battles, count(*) filter (where pref < 0.5::double) as num_wins, count(*) filter (where pref > 0.5::double) as num_losses, "
+    "count(*) filter (where pref = 0.5::double) as num_ties from e group by all"
+)
+def two_turn_scored_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """Two-turn items judged by scores in both orders: two results an item, overall, by category and by turn."""
+    from duelgrid.operators.summary import pref_summary_each
+    from duelgrid.plans.pipelines import with_scores
+
+    items = TT.swapped_items(TT.judge_items(V.view(spark, sf, V.QUESTIONS).select("instruction_index", "category", "turn_1", "turn_2")))
+    told = F.concat(F.lit("score_A: "), (F.col("instruction_index") * F.col("turn")) % 11, F.lit(" score_B: "), F.col("instruction_index") % 7)
+    scored = with_scores(items.withColumn("judge_completion", told)).withColumn("pref", F.round("pref", 9))
+    return pref_summary_each(scored, ["category", "turn"]).select("key", "value", "num_battles", "num_wins", "num_losses", "num_ties")
+
+
+@query(
+    _Q + _ITEMS + "select instruction_index, turn::bigint as turn, w as winner, case w when 'model_a' then 0.0::double when 'model_b' then 1.0::double when 'tie' then 0.5::double end as pref, "
+    "false as inconsistent from (select *, case (instruction_index + turn) % 4 when 0 then 'model_a' when 1 then 'model_b' when 2 then 'tie' else 'error' end as w from i)"
+)
+def two_turn_fixed_order(spark: SparkSession, sf: str) -> DataFrame:
+    """Two-turn items judged by verdicts in one order only."""
+    items = TT.judge_items(V.view(spark, sf, V.QUESTIONS).select("instruction_index", "category", "turn_1", "turn_2"))
+    k = (F.col("instruction_index") + F.col("turn")) % 4
+    said = F.when(k == 0, "so [[A]]").when(k == 1, "<think>[[A]]</think>[[B]]").when(k == 2, "[[C]]").otherwise("none")
+    made = TT.resolve_one(items.withColumn("judge_completion", said))
+    return made.select("instruction_index", F.col("turn").cast("long").alias("turn"), "winner", "pref", "inconsistent")
+
+
+@query(
+    "select doc_id, length(ltrim(a, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '))::bigint as n, md5(ltrim(a, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ')) as answer, "
+    "true as had_thinking from (select doc_id, coalesce(text, '') as a from documents)"
+)
+def forced_end_strip(spark: SparkSession, sf: str) -> DataFrame:
+    """Reasoning that an engine ended by force, in front of each whole text."""
+    said = F.concat(F.lit("thoughts without a mark. " + T.FORCED_END + "\n"), F.coalesce("text", F.lit("")))
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    return d.select("doc_id", F.length(T.strip_thinking(said)).cast("long").alias("n"), F.md5(T.strip_thinking(said).cast("binary")).alias("answer"), T.had_thinking(said).alias("had_thinking"))
+
+
+@query(
+    "select doc_id, length(p)::bigint as n, md5(p) as digest from (select doc_id, 'Q: ' || coalesce(source, '') || ' | ' || left(coalesce(text, ''), 8192) || ' | ' || left(coalesce(lang, ''), 8192) || ' -> ' "
+    "|| 'explanation: <a short comparison>' || chr(10) || 'score_A: <number from 0 to 10>' || chr(10) || 'score_B: <number from 0 to 10>' || chr(10) as p from documents)"
+)
+def prompt_render_file_template(spark: SparkSession, sf: str) -> DataFrame:
+    """A template of the user's own, with an explanation asked for, at the default length."""
+    from duelgrid.plans.prompts import render_pair
+
+    template = "Q: {user_prompt} | {completion_A} | {completion_B} -> {output}"
+    p = render_pair(F.col("source"), F.col("text"), F.col("lang"), 8192, template, explain=True)
+    return spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.length(p).cast("long").alias("n"), F.md5(p.cast("binary")).alias("digest"))
+
+
+@query("select doc_id::varchar as instruction_index, coalesce(text, '') as completion from documents where doc_id % 2 = 0 union all select doc_id::varchar, coalesce(source, '') || ' says ' from documents where doc_id % 2 <> 0")
+def completions_where_lacking(spark: SparkSession, sf: str) -> DataFrame:
+    """Given completions of half the instructions, and a model's answers to the other half."""
+    from duelgrid.operators.completions import with_fallback
+
+    d = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").cast("string").alias("instruction_index"), F.coalesce("text", F.lit("")).alias("completion"), "source", "doc_id")
+    given = d.where("doc_id % 2 = 0").select("instruction_index", "completion")
+    asked = d.select("instruction_index", F.concat(F.coalesce("source", F.lit("")), F.lit(" says ")).alias("completion"))
+    return with_fallback(given, asked)
+
+
 @query(
     "select doc_id as instruction_index, case doc_id % 4 when 3 then 'gemini-2.0-flash-001' else 'o3-mini-2025-01-31' end as model_b from documents"
 )

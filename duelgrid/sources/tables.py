@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import zipfile
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -38,7 +39,13 @@ def _zipped(spark: SparkSession, path: str, schema: str | None) -> DataFrame:
 
     archive = spark.read.format("binaryFile").load(path).select("content")
     if schema is None:
-        columns = next(frames(bytes(archive.head().content), 1)).columns
+
+        def header(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                for content in b["content"]:
+                    yield pd.DataFrame({"columns": [list(next(frames(content, 1)).columns)]})
+
+        columns = archive.mapInPandas(header, "columns array<string>").head().columns
         schema = ", ".join(f"`{c}` string" for c in columns)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -112,12 +119,63 @@ def model_outputs_long(raw: DataFrame) -> DataFrame:
     return out.dropna(subset=["instruction_index", "model", "output"])
 
 
+def entries(spark: SparkSession, folder: str) -> list[str]:
+    """Names below a folder of any file system, in order; none where it does not exist."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(s.getPath().getName() for s in system.listStatus(path)) if system.exists(path) else []
+
+
+def arena_hard(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame | None]:
+    """Instructions and model outputs (None without any) of a folder with question.jsonl and model_answer/*.jsonl."""
+    names, answers = entries(spark, folder), [n for n in entries(spark, f"{folder}/model_answer") if n.endswith(".jsonl")]
+    paths = [f"{folder}/question.jsonl"] if "question.jsonl" in names else []
+    if not paths and not answers:
+        raise FileNotFoundError(f"neither question.jsonl nor model_answer/*.jsonl below {folder}")
+    outputs = model_outputs_long(spark.read.json([f"{folder}/model_answer/{n}" for n in answers])) if answers else None
+    questions = spark.read.json(paths or [f"{folder}/model_answer/{n}" for n in answers])
+    return instructions(questions), outputs
+
+
+def arena_hard_tables(spark: SparkSession, folder: str, tables_folder: str) -> tuple[DataFrame, DataFrame | None]:
+    """The tables of arena_hard(), written once below tables_folder and read from there."""
+    from duelgrid.plans.cache import cached, is_complete
+
+    paths = [f"{tables_folder}/{n}" for n in ("instructions", "model_outputs")]
+    made = [None, None] if is_complete(spark, paths[0]) else arena_hard(spark, folder)
+    if made[1] is not None:
+        cached(spark, paths[1], lambda: made[1])
+    found = cached(spark, paths[0], lambda: made[0])
+    return found, spark.read.parquet(paths[1]) if is_complete(spark, paths[1]) else None
+
+
 def multilingual(spark: SparkSession, root: str, languages: tuple[str, ...]) -> DataFrame:
-    """Parquet below root/lang=xx of the asked languages only: the partition filter prunes folders. Keys become id-lang."""
-    df = spark.read.parquet(root).where(F.col("lang").isin(*languages))
+    """Parquet below root/xx or root/lang=xx of the asked languages only; other folders are not read. Keys become id-lang."""
+    folders = {n.removeprefix("lang="): f"{root}/{n}" for n in entries(spark, root)}
+    wanted = [k for k in sorted(folders) if k in languages]
+    if not wanted:
+        raise FileNotFoundError(f"no language of {', '.join(languages)} below {root}")
+    each = [spark.read.parquet(folders[k]).withColumn("lang", F.lit(k)) for k in wanted]
+    df = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), each)
     return df.withColumn("instruction_index", F.concat_ws("-", F.col("question_id").cast("string"), F.col("lang"))).withColumnRenamed("prompt", "instruction").drop("question_id")
 
 
+def contexts(spark: SparkSession, root: str, task: str) -> DataFrame:
+    """instruction_index and instruction of a fluency task: the texts to go on with, of root/<language>-contexts.csv, numbered from 0."""
+    raw = read_table(spark, f"{root}/{task.split('-')[-1]}-contexts.csv")
+    # a file of records over several lines is one partition, whose rows are numbered as they stand
+    return raw.select(F.monotonically_increasing_id().cast("string").alias("instruction_index"), "instruction")
+
+
+def completion_file(spark: SparkSession, path: str) -> DataFrame:
+    """instruction_index and completion of a table that stands for a model: its column completion, or output."""
+    raw = read_table(spark, path)
+    index, text = choose(raw.columns, INDEX_NAMES), choose(raw.columns, ("completion", "output"))
+    if index is None or text is None:
+        raise ValueError(f"{path!r} has no index or no completion")
+    return raw.select(F.col(index).cast("string").alias("instruction_index"), F.coalesce(F.col(text), F.lit("")).alias("completion"))
+
+
 def normalized_id(column: Column) -> Column:
     """Integer-like ids in one spelling."""
     return F.coalesce(column.cast("string").try_cast("bigint").cast("string"), column.cast("string"))
