@@ -26,8 +26,8 @@ LANES, CUTS, WEAK = 10, 3, 8
 TRAVEL, MOST_TRAVEL, MOST_ALL = (0, 5), 32, 122
 #: Runs of at most so many variants are compared by shifting all of them at once; others are taken one by one, in blocks.
 SMALL, BLOCK = 8, 512
-#: Pairs of a text that are decided before all of them are looked at.
-FEW = 4
+#: Pairs of a text that are decided before all of them are looked at, and lanes that are searched for the second few.
+FEW, FEW_LANES = 4, 1
 MEMO = 150_000
 PAIRS = "a long, b long, far int"
 
@@ -133,15 +133,15 @@ def _columns(more: list[str], lanes: tuple[int, ...], masks: bool) -> list[str]:
     return ["key", "node", *more, *(f"s{lane}" for lane in lanes), *(f"m{lane}" for lane in lanes if masks)]
 
 
-def _keyed(source: Iterator[pa.RecordBatch], more: list[str], lanes: tuple[int, ...], masks: bool) -> Iterator[pa.RecordBatch]:
-    """The variants of nodes (node, sketch, mask and `more`), each with the node, those columns, some lanes and the mask."""
+def _keyed(source: Iterator[pa.RecordBatch], more: list[str], lanes: tuple[int, ...], masks: bool, indexed: int) -> Iterator[pa.RecordBatch]:
+    """The variants of `indexed` lanes of nodes (node, sketch, mask and `more`), each with the node, those columns, some lanes and the mask."""
     for batch in source:
         for k in range(0, batch.num_rows, 200):
             part = batch.slice(k, 200)
             sketch, mask = _words(part.column("sketch")), _words(part.column("mask"))
-            chosen = np.unpackbits(mask.view(np.uint8), axis=1, bitorder="little").astype(bool)
+            chosen = np.unpackbits(mask.view(np.uint8), axis=1, bitorder="little").astype(bool)[:, : indexed * BITS]
             at = np.nonzero(chosen)[0]
-            arrays = [pa.array(variants(sketch, CUTS)[chosen].view(np.int64)), *(part.column(c).take(pa.array(at)) for c in ("node", *more))]
+            arrays = [pa.array(variants(sketch[:, :indexed], CUTS)[chosen].view(np.int64)), *(part.column(c).take(pa.array(at)) for c in ("node", *more))]
             arrays += [pa.array(sketch[at, lane].view(np.int64)) for lane in lanes]
             arrays += [pa.array(mask[at, lane].view(np.int64)) for lane in lanes if masks]
             yield pa.RecordBatch.from_arrays(arrays, names=_columns(more, lanes, masks))
@@ -285,10 +285,10 @@ def _crossing(source: Iterator[pa.RecordBatch], closest: bool) -> Iterator[pa.Re
     yield from best.out()
 
 
-def _by_variant(nodes: DataFrame, more: list[str], lanes: tuple[int, ...], masks: bool = False) -> DataFrame:
+def _by_variant(nodes: DataFrame, more: list[str], lanes: tuple[int, ...], masks: bool = False, indexed: int = LANES) -> DataFrame:
     """The variants of nodes, those with one key in one partition and next to each other."""
     schema = ", ".join(f"{c} long" for c in _columns(more, lanes, masks))
-    dealt = nodes.select("node", *more, "sketch", "mask").mapInArrow(lambda it: _keyed(it, more, lanes, masks), schema)
+    dealt = nodes.select("node", *more, "sketch", "mask").mapInArrow(lambda it: _keyed(it, more, lanes, masks, indexed), schema)
     return dealt.repartition("key").sortWithinPartitions("key", "node")
 
 
@@ -364,7 +364,8 @@ def near_copies(rows: DataFrame) -> DataFrame:
 
     def crossing(closest: bool) -> DataFrame:
         open_ = nodes.join(shared, "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        return _by_variant(open_, ["root", "n", "common"], tuple(range(LANES)), True).mapInArrow(lambda it: _crossing(it, closest), PAIRS)
+        dealt = _by_variant(open_, ["root", "n", "common"], tuple(range(LANES)), True, FEW_LANES if closest else LANES)
+        return dealt.mapInArrow(lambda it: _crossing(it, closest), PAIRS)
 
     roots = joined(roots, few(crossing(True)))
     roots = joined(roots, materialize(crossing(False).select("a", "b"), "pairs"))
