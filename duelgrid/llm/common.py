@@ -56,6 +56,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as no column of df has."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n = f"_{n}"
+        out.append(n)
+    return out
+
+
 def hash_bound(most: int, rows: int) -> int:
     """The 64-bit hash up to which about `most` of `rows` rows lie; all of them, if there are no more."""
     return 2**63 - 1 if rows <= most else max(-(2**63), most * 2**64 // rows - 2**63 - 1)

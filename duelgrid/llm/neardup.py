@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from duelgrid.llm.common import materialize, small_batches, texts_of
 from duelgrid.llm.components import components
-from duelgrid.llm.simhash import BITS, TAG, scrambled, segments, variants
+from duelgrid.llm.simhash import BITS, TAG, scrambled, segments, variants, whole_runs
 
 SHINGLE, SEED = 5, 42
 #: Two texts are linked if at least so much of what either has is in both, as a fraction.
@@ -149,19 +149,12 @@ def _keyed(source: Iterator[pa.RecordBatch], more: list[str], lanes: tuple[int,
 
 def _runs(source: Iterator[pa.RecordBatch], more: int) -> Iterator[tuple[np.ndarray, ...]]:
     """Whole runs of equal keys, some at a time: their keys, nodes, `more` columns and the rest as fingerprints."""
-    held: list[np.ndarray] = []
-    for batch in source:
+
+    def split(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
         columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(batch.num_columns)]
-        now = [*columns[: 2 + more], np.stack(columns[2 + more :], 1).view(np.uint64)]
-        held = [np.concatenate(x) for x in zip(held, now)] if held else now
-        if len(held[0]) < 100_000:
-            continue
-        cut = int(np.searchsorted(held[0], held[0][-1]))  # the last run may go on
-        if cut:
-            yield tuple(x[:cut] for x in held)
-            held = [x[cut:].copy() for x in held]
-    if held and len(held[0]):
-        yield tuple(held)
+        return *columns[: 2 + more], np.stack(columns[2 + more :], 1).view(np.uint64)
+
+    return whole_runs(map(split, source), 100_000)
 
 
 def _sizes(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

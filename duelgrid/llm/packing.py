@@ -233,7 +233,7 @@ def pack(docs: DataFrame, tokenizer: str = WORD_TOKENIZER, window: int = WINDOW,
     from pyspark.sql.types import StructType
 
     small_batches(docs.sparkSession)
-    ddl = SCHEMA + (", ids array<long>" if with_ids else "")
+    ddl = SCHEMA + (", ids array<int>" if with_ids else "")
     schema = to_arrow_schema(StructType.fromDDL(ddl))
     source = docs.selectExpr("cast(doc_id as long) doc_id", "text")
     return source.mapInArrow(lambda it: _pack_partition(it, tokenizer, window, with_ids, schema), ddl)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from duelgrid.llm.common import materialize, small_batches, table, texts_of
+from duelgrid.llm.common import free_names, materialize, small_batches, table, texts_of
 from duelgrid.llm.components import components
 
 BITS, SEED = 64, 42
@@ -134,6 +134,25 @@ def _spanning(members: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.n
                 left = left[~near]
 
 
+def whole_runs(parts: Iterator[tuple[np.ndarray, ...]], size: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Arrays of about `size` rows out of parts whose first array comes sorted, so that equal values of it stay together."""
+    held: list[tuple[np.ndarray, ...]] = []
+    rows, enough = 0, size
+    for part in parts:
+        held.append(part)
+        rows += len(part[0])
+        if rows < enough:
+            continue
+        whole = tuple(map(np.concatenate, zip(*held)))
+        cut = int(np.searchsorted(whole[0], whole[0][-1]))  # the last run may go on
+        if cut:
+            yield tuple(x[:cut] for x in whole)
+        held, rows = [tuple(x[cut:].copy() for x in whole)], rows - cut
+        enough = max(size, 2 * rows)
+    if rows:
+        yield tuple(map(np.concatenate, zip(*held)))
+
+
 def _links(source: Iterator[pa.RecordBatch], most: int, lanes: int) -> Iterator[pa.RecordBatch]:
     """Verified links in runs of equal signatures; the rows of a partition come sorted by (key, fp)."""
     seen: set[bytes] = set()
@@ -161,17 +180,7 @@ def _links(source: Iterator[pa.RecordBatch], most: int, lanes: int) -> Iterator[
             pairs = np.frombuffer(b"".join(sorted(fresh)), np.uint64).reshape(-1, 2 * lanes)
             yield pa.RecordBatch.from_arrays([_column(pairs[:, :lanes]), _column(pairs[:, lanes:])], names=["a", "b"])
 
-    key, fp = np.zeros(0, np.int64), np.zeros((0, lanes), np.uint64)
-    for batch in source:
-        key = np.concatenate([key, batch.column("key").to_numpy(zero_copy_only=False)])
-        fp = np.concatenate([fp, _rows(batch.column("fp"), lanes)])
-        if len(key) < 200_000:
-            continue
-        cut = int(np.searchsorted(key, key[-1]))  # the last run may go on
-        if cut:
-            yield from resolved(key[:cut], fp[:cut])
-            key, fp = key[cut:].copy(), fp[cut:].copy()
-    if len(key):
+    for key, fp in whole_runs(((b.column("key").to_numpy(zero_copy_only=False), _rows(b.column("fp"), lanes)) for b in source), 200_000):
         yield from resolved(key, fp)
 
 
@@ -235,11 +244,12 @@ def unique_documents(docs: DataFrame) -> DataFrame:
     key = F.unhex(F.md5(F.concat_ws(" ", F.coalesce(doc_id.cast("string"), F.lit("null")), text)))
     groups = near_copies(docs.select(key.alias("key"), doc_id.alias("doc_id"), text.alias("text")))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("first")
-    kept = materialize(groups.groupBy("component").agg(first).select(F.col("first.key").alias("__key")), "kept")
-    others = F.to_json(F.struct(F.lit(0).alias("__"), *(F.col(f"`{c}`") for c in docs.columns if c != "text")))
-    place = F.row_number().over(Window.partitionBy("__key").orderBy("__others"))
-    rows = docs.withColumns({"__key": key, "__others": others}).join(kept, "__key", "left_semi").withColumn("__place", place)
-    return rows.where("__place = 1").select(*(F.col(f"`{c}`") for c in docs.columns))
+    k, o, p = free_names(docs, "key", "others", "place")
+    kept = materialize(groups.groupBy("component").agg(first).select(F.col("first.key").alias(k)), "kept")
+    others = F.to_json(F.struct(F.lit(0).alias(k), *(F.col(f"`{c}`") for c in docs.columns if c != "text")))
+    place = F.row_number().over(Window.partitionBy(k).orderBy(o))
+    rows = docs.withColumns({k: key, o: others}).join(kept, k, "left_semi").withColumn(p, place)
+    return rows.where(F.col(p) == 1).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

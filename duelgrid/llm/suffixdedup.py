@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
-from duelgrid.llm.common import materialize, partition_id, small_batches, table
+from duelgrid.llm.common import free_names, materialize, partition_id, small_batches, table
 from duelgrid.llm.mergesort import Entry, common_prefix, decode_run, encode_run, merge
 
 LENGTH, PASSAGE = 400, 200
@@ -414,34 +414,35 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, widest: int = WIDEST,
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """The documents, with all their columns, with repeated strings of `length` bytes cut out of `text`.
 
-    A document that had bytes and has none left goes; a character of which only some bytes are left goes with them. n_chars
+    Every place of a repeated string is cut, as in remove_repeats(). A document that had bytes and has none left goes; a character of which only some bytes are left goes with them. n_chars
     follows the text where there is such a column. Documents are told apart by doc_id and text; rows that repeat both are
     copies, and go where they are long enough. Null, empty and short texts stay as they are.
     """
     rows, _, cuts = find_repeats(docs, length)
+    doc, key, cuts_, changed = free_names(docs, "doc", "digest", "cuts", "changed")
     one_cut = F.array(F.struct(F.lit(0).alias("a"), F.col("n_bytes").cast("int").alias("b")))
     whole = rows.where("copied").select("doc_id", "digest", one_cut.alias("cuts")).distinct()
-    edits = whole.unionByName(cuts).toDF("__doc", "__digest", "__cuts")
+    edits = whole.unionByName(cuts).toDF(doc, key, cuts_)
     digest = F.unhex(F.md5(F.coalesce("text", F.lit(""))))
-    joined = docs.join(edits, F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")) & (digest == F.col("__digest")), "left")
+    joined = docs.join(edits, F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (digest == F.col(key)), "left")
     names, at = docs.columns, docs.columns.index("text")
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
             texts, stays = batch.column("text").to_pylist(), []
-            for k, cut in enumerate(batch.column("__cuts").to_pylist()):
+            for k, cut in enumerate(batch.column(cuts_).to_pylist()):
                 if cut is not None:
                     texts[k] = _kept(texts[k].encode(), [(x["a"], x["b"]) for x in cut])[0].decode("utf-8", "ignore")
                 stays.append(cut is None or texts[k] != "")
             columns = [batch.column(n) for n in names]
             columns[at] = pa.array(texts, columns[at].type)
-            columns.append(pa.array([c is not None for c in batch.column("__cuts").to_pylist()]))
-            yield pa.RecordBatch.from_arrays(columns, names=[*names, "__changed"]).filter(pa.array(stays, pa.bool_()))
+            columns.append(pa.array([c is not None for c in batch.column(cuts_).to_pylist()]))
+            yield pa.RecordBatch.from_arrays(columns, names=[*names, changed]).filter(pa.array(stays, pa.bool_()))
 
-    schema = StructType([*docs.schema, StructField("__changed", BooleanType())])
-    out = joined.select(*names, "__cuts").mapInArrow(run, schema)
+    schema = StructType([*docs.schema, StructField(changed, BooleanType())])
+    out = joined.select(*names, cuts_).mapInArrow(run, schema)
     if "n_chars" in names:
-        out = out.withColumn("n_chars", F.when(F.col("__changed"), F.length("text")).otherwise(F.col("n_chars")).cast(dict(docs.dtypes)["n_chars"]))
+        out = out.withColumn("n_chars", F.when(F.col(changed), F.length("text")).otherwise(F.col("n_chars")).cast(dict(docs.dtypes)["n_chars"]))
     return out.select(*names)
 
 

@@ -279,6 +279,17 @@ def test_votes_are_those_of_the_hashes():
             assert n[k] == len(s) and votes[k, lane].tolist() == [int((x >> np.uint64(b) & np.uint64(1)).sum()) for b in range(64)]
 
 
+@pytest.mark.parametrize("size", [1, 4, 50, 10_000])
+def test_runs_of_equal_keys_stay_whole(size):
+    rng = np.random.default_rng(6)
+    key = np.sort(rng.integers(0, 12, 300))
+    parts = [(key[k : k + 7], np.arange(k, min(k + 7, 300))) for k in range(0, 300, 7)]
+    got = list(simhash.whole_runs(iter(parts), size))
+    assert np.concatenate([k for k, _ in got]).tolist() == key.tolist() and np.concatenate([v for _, v in got]).tolist() == list(range(300))
+    seen = [set(k.tolist()) for k, _ in got]
+    assert sum(map(len, seen)) == len(set().union(*seen)) and list(simhash.whole_runs(iter([]), size)) == []
+
+
 def test_first_shared_variant():
     """A pair is put out where its first shared variant meets: the same place as by comparing all variants."""
     rng = np.random.default_rng(4)
