@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duelgrid.llm.common import crc_mod, materialize, table
+from duelgrid.llm.common import crc_mod, free_names, materialize, table
 from duelgrid.llm.decontam import without_leaks
 from duelgrid.llm.langid import UNKNOWN, train, with_language
 from duelgrid.llm.packing import pack
@@ -29,7 +29,8 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents in a language that the labelled ones teach; texts without a letter and unclear ones go."""
     model = train(docs.where(F.coalesce(crc_mod(F.col("doc_id"), 5), F.lit(-1)) != 0))
-    kept = with_language(docs, model, "_lang", "_score").where((F.col("_lang") != UNKNOWN) & (F.col("_score") >= LEAST_LANGUAGE_SCORE))
+    lang, score = free_names(docs, "lang_pred", "score")
+    kept = with_language(docs, model, lang, score).where((F.col(lang) != UNKNOWN) & (F.col(score) >= LEAST_LANGUAGE_SCORE))
     return kept.select(*docs.columns)
 
 
@@ -39,7 +40,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut what occurs elsewhere too out of the texts; a document of which nothing is left goes."""
+    """Cut what occurs elsewhere too out of the texts, at every place where it stands; a document of which nothing is left goes.
+
+    Whole copies and near copies have left one document by now, so what goes are passages that different documents share.
+    """
     return without_repeats(docs, PASSAGE_BYTES)
 
 
@@ -49,8 +53,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences for training."""
-    return pack(docs)
+    """Pieces of sequences for training, with their ids."""
+    return pack(docs, with_ids=True)
 
 
 STAGES: list[tuple[str, Stage]] = [
@@ -65,6 +69,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of packed sequences that all stages leave of `documents`, each stage on the written table of the one before.
+
+    Null texts, and texts without a letter, go with the first stage; documents with a null doc_id stay; repeated rows leave
+    one; an empty table gives no rows; columns beside doc_id, text and lang pass through all stages but the last.
+    """
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name)
