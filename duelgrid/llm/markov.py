@@ -146,20 +146,20 @@ def expectation(model: Hmm, sequences: list[np.ndarray], steps: int = STEPS) ->
         e = _emissions(model, lanes)
         alpha, scale = forward(model, lanes, e)
         log += float(np.log(scale).sum())
-        live = lanes.symbols < len(model.emit)
-        inner = (live & ~lanes.first).astype(float)
-        outer = 1 - inner
-        e /= scale[:, :, None]
-        e *= inner[:, :, None]
-        beta = lanes.out_of / (alpha[-1] * lanes.out_of).sum(1, keepdims=True)
+        inner = (lanes.symbols < len(model.emit)) & ~lanes.first
+        # from here on e weighs what a step inside a sequence hands back to the step before
+        e *= (inner / scale)[:, :, None]
+        outer = (~inner).astype(float)[:, :, None]
+        beta = np.empty_like(e)
+        beta[-1] = lanes.out_of / (alpha[-1] * lanes.out_of).sum(1, keepdims=True)
         back = np.ascontiguousarray(model.move.T)
         for t in range(len(e) - 1, -1, -1):
-            weighted = e[t]
-            weighted *= beta
-            moves += (alpha[t - 1] if t else lanes.into).T @ weighted
-            alpha[t] *= beta
-            beta = weighted @ back
-            beta += outer[t][:, None]
+            e[t] *= beta[t]
+            if t:
+                np.matmul(e[t], back, out=beta[t - 1])
+                beta[t - 1] += outer[t]
+        moves += lanes.into.T @ e[0] + alpha[:-1].reshape(-1, states).T @ e[1:].reshape(-1, states)
+        alpha *= beta
         start += alpha[lanes.first].sum(0)
         # the symbol beyond the last one stands for lanes that are over
         symbols, gamma = lanes.symbols.ravel(), alpha.reshape(-1, states)
