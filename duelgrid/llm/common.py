@@ -56,6 +56,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that materialize() wrote and that nothing reads any more: what was made of them is written by now."""
+    for t in tables:
+        files, spark = t.inputFiles(), t.sparkSession
+        if files:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def free_names(df: DataFrame, *names: str) -> list[str]:
     """The names, each with as many underscores before it as no column of df has."""
     taken, out = {c.lower() for c in df.columns}, []

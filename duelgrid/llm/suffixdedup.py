@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
-from duelgrid.llm.common import free_names, materialize, partition_id, small_batches, table
+from duelgrid.llm.common import discard, free_names, materialize, partition_id, small_batches, table
 from duelgrid.llm.mergesort import Entry, common_prefix, decode_run, encode_run, merge
 
 LENGTH, PASSAGE = 400, 200
@@ -313,6 +313,8 @@ class Found(NamedTuple):
     candidates: DataFrame
     #: doc_id, digest and the byte ranges to cut, overlapping, of documents that occur once as a whole.
     cuts: DataFrame
+    #: The written table that rows come from.
+    scanned: DataFrame
 
 
 def find_repeats(docs: DataFrame, length: int = LENGTH, widest: int = WIDEST) -> Found:
@@ -348,14 +350,17 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, widest: int = WIDEST) ->
     coded = runs.where("bucket is not null").select("bucket", "run", "first", "numbers", "keys", "lefts")
     merged = coded.groupBy("bucket").applyInArrow(lambda rows: _merge_bucket(rows, length), "run long, entry int, least int, most int")
     places = runs.where("bucket is null").select("run", "entry", "doc", "digest", "position")
-    ranges = places.join(materialize(merged, "merged"), ["run", "entry"]).select(
+    merged = materialize(merged, "merged")
+    ranges = places.join(merged, ["run", "entry"]).select(
         F.col("doc").alias("doc_id"), "digest",
         F.struct((F.col("position") - F.col("most")).alias("a"), (F.col("position") - F.col("least") + length).alias("b")).alias("cut"),
     )
-    copies = distinct.where("copies > 1").select("digest", F.lit(True).alias("copied"))
+    copies = materialize(distinct.where("copies > 1").select("digest", F.lit(True).alias("copied")), "copies")
     cuts = ranges.groupBy("doc_id", "digest").agg(F.collect_set("cut").alias("cuts")).join(copies, "digest", "left_anti")
+    cuts = materialize(cuts, "cuts")
+    discard(distinct, again, kept, found, runs, merged)
     rows = scanned.select("doc_id", "digest", "n_bytes", "sha").join(copies, "digest", "left")
-    return Found(rows.withColumn("copied", F.col("copied").isNotNull()), candidates.select("doc_id", "digest", "text"), materialize(cuts, "cuts"))
+    return Found(rows.withColumn("copied", F.col("copied").isNotNull()), candidates.select("doc_id", "digest", "text"), cuts, scanned)
 
 
 #: Of byte ranges `cuts`: the bytes that they cover, and the longest run of them.
@@ -384,7 +389,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, widest: int = WIDEST,
     are not read. An empty table gives no rows. Texts of any length are scanned in overlapping chunks.
     """
     passage = passage or length
-    rows, candidates, short = find_repeats(docs, passage, widest)
+    rows, candidates, short, _ = find_repeats(docs, passage, widest)
     cuts = short
     key = ["doc_id", "digest"]
 
@@ -395,7 +400,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, widest: int = WIDEST,
     if passage < length:
         long = short.where(F.expr(LONGEST) >= length).select(*key)
         long = long.unionByName(rows.where((F.col("n_bytes") >= length) & F.col("copied")).select(*key))
-        cuts = find_repeats(matched(candidates, long.distinct(), "left_semi"), length, widest).cuts
+        narrow = materialize(matched(candidates, long.distinct(), "left_semi"), "narrow")
+        second = find_repeats(narrow, length, widest)
+        cuts = second.cuts
+        discard(second.scanned, second.candidates, narrow)
     cut = matched(candidates, cuts, "inner").select(*key, "text", "cuts")
     cut = materialize(cut.mapInArrow(_cut, "doc_id long, digest binary, n_removed long, n_spans long, kept_sha256 string"), "cut")
     repeated = short.select(*key, F.expr(COVERED).alias("n_repeated"))
@@ -418,7 +426,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     follows the text where there is such a column. Documents are told apart by doc_id and text; rows that repeat both are
     copies, and go where they are long enough. Null, empty and short texts stay as they are.
     """
-    rows, _, cuts = find_repeats(docs, length)
+    rows, _, cuts, _ = find_repeats(docs, length)
     doc, key, cuts_, changed = free_names(docs, "doc", "digest", "cuts", "changed")
     one_cut = F.array(F.struct(F.lit(0).alias("a"), F.col("n_bytes").cast("int").alias("b")))
     whole = rows.where("copied").select("doc_id", "digest", one_cut.alias("cuts")).distinct()
