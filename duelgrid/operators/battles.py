@@ -8,8 +8,12 @@ from pyspark.sql import functions as F
 from duelgrid.functions.prefs import coin, preference_winner
 
 
-def languages(df: DataFrame, langs: list[str] | None, column: str = "lang") -> DataFrame:
-    return df.where(F.col(column).isin(*langs)) if langs else df
+def languages(df: DataFrame, langs: list[str] | None, column: str = "lang", strict: bool = False) -> DataFrame:
+    """Rows of the given languages, all without any; where strict, a row without a language is an error."""
+    if not langs:
+        return df
+    unknown = F.raise_error(F.lit(f"a battle has no {column}: give load_arena a detector")).cast("string")
+    return df.where((F.coalesce(F.col(column), unknown) if strict else F.col(column)).isin(*langs))
 
 
 def head(df: DataFrame, n: int, order: str) -> DataFrame:
@@ -29,12 +33,23 @@ def seeded_sample(df: DataFrame, n: int, key: str, seed: int) -> DataFrame:
 
 
 def sampling_mode(n_random: int | None, n_head: int | None, n_per_language: int | None) -> str:
-    """Which one of the exclusive modes is asked for; more than one is an error."""
-    asked = {"seeded_random": n_random, "head": n_head, "per_language": n_per_language}
-    chosen = [k for k, v in asked.items() if v is not None]
-    if len(chosen) > 1:
-        raise ValueError(f"sampling modes exclude each other: {', '.join(chosen)}")
-    return chosen[0] if chosen else "all"
+    """seeded_random or head; a random sample excludes both heads, which go together."""
+    if n_random is None:
+        return "head"
+    if n_head is not None or n_per_language is not None:
+        raise ValueError("a random sample goes neither with a head nor with a head per language")
+    return "seeded_random"
+
+
+def panel(
+    df: DataFrame, n_random: int | None, n_head: int | None, n_per_language: int | None, key: str, order: str, seed: int = 0, group: str = "lang"
+) -> DataFrame:
+    """The battles that are judged: a seeded sample, or the first of each language and of those the first in all, in load order."""
+    if sampling_mode(n_random, n_head, n_per_language) == "seeded_random":
+        return seeded_sample(df, n_random, key, seed)
+    if n_per_language is not None:
+        df = head_per_group(df, n_per_language, group, order)
+    return df if n_head is None else head(df, n_head, order)
 
 
 def assign_opponents(df: DataFrame, seed: int, key: str = "battle_id") -> DataFrame:

@@ -31,14 +31,17 @@ def missing(instructions: DataFrame, completions: DataFrame, key: str = "instruc
     return instructions.join(completions, key, "left_anti")
 
 
+def check_covered(lost: DataFrame, name: str, key: str = "instruction_index") -> None:
+    """Raise if there is a row in lost, naming the first five."""
+    ids = [str(r[0]) for r in lost.select(key).orderBy(key).limit(6).collect()]
+    if ids:
+        raise ValueError(f"'{name}' answers all but {lost.count()} instruction(s). First missing ids: {', '.join(ids[:5])}.")
+
+
 def align(instructions: DataFrame, completions: DataFrame, name: str, key: str = "instruction_index", strict: bool = True) -> DataFrame:
-    """Inner join that, where strict, raises if any instruction has no completion, naming the first five."""
+    """Inner join that, where strict, raises if any instruction has no completion."""
     if strict:
-        lost = missing(instructions, completions, key)
-        ids = [str(r[0]) for r in lost.select(key).orderBy(key).limit(6).collect()]
-        if ids:
-            n = lost.count()
-            raise ValueError(f"completions for '{name}' are missing {n} question(s). First missing ids: {', '.join(ids[:5])}.")
+        check_covered(missing(instructions, completions, key), name, key)
     return instructions.join(completions, key)
 
 
@@ -48,9 +51,11 @@ def pair(instructions: DataFrame, a: DataFrame, b: DataFrame, key: str = "instru
     return align(left, b.select(key, F.col("completion").alias("completion_b")), "B", key, strict)
 
 
-def per_row_baseline(instructions: DataFrame, outputs: DataFrame, order: str = "ord") -> DataFrame:
-    """The completion of each row's own baseline (column model_b): one composite join."""
+def per_row_baseline(instructions: DataFrame, outputs: DataFrame, order: str = "ord", strict: bool = False) -> DataFrame:
+    """The completion of each row's own baseline (column model_b): one composite join; where strict, each row must have one."""
     last = last_outputs(outputs, order).withColumnsRenamed({"model": "model_b", "output": "completion_b"})
+    if strict:
+        check_covered(instructions.join(last, ["instruction_index", "model_b"], "left_anti"), "baselines by category")
     return instructions.join(last, ["instruction_index", "model_b"])
 
 

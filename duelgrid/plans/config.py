@@ -54,9 +54,12 @@ class JudgeConfig:
 @dataclass
 class EloConfig:
     n_random: int | None = None
+    #: The first battles in all; n_instructions, where given, counts in its place.
     n_head: int | None = None
     n_per_language: int | None = None
     languages: list[str] = field(default_factory=list)
+    #: What tells the language of a battle that has none: "package.module:function", a function that makes a detector.
+    detector: str | None = "duelgrid.sources.language:function_words"
     bootstraps: int = 20
     least_battles: int = 500
     soft: bool = True
@@ -93,7 +96,7 @@ class RunConfig:
         if self.task.startswith("elo-"):
             if self.task not in ARENAS:
                 raise ValueError(f"unknown rating task {self.task!r}; known: {', '.join(ARENAS)}")
-            sampling_mode(self.elo.n_random, self.elo.n_head, self.elo.n_per_language)
+            sampling_mode(self.elo.n_random, self.elo.n_head if self.n_instructions is None else self.n_instructions, self.elo.n_per_language)
             if self.elo.calibrate and not self.elo.soft:
                 raise ValueError("calibration only serves soft ratings")
         return self

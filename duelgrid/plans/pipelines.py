@@ -19,6 +19,7 @@ from duelgrid.operators.twoturn import judge_items, resolve_both, resolve_one, s
 from duelgrid.plans.cache import written
 from duelgrid.plans.config import RunConfig
 from duelgrid.plans.inference import complete, complete_instructions, complete_two_turns
+from duelgrid.sources.order import ORD
 from duelgrid.plans.prompts import TEMPLATE, Preset, render_pair, render_single_turn, render_two_turns, resolve
 
 
@@ -41,10 +42,15 @@ def _orders(df: DataFrame, config: RunConfig) -> DataFrame:
     return df.withColumn("swapped", F.explode(F.array(*(F.lit(x) for x in ((False, True) if both else (False,))))))
 
 
-def _once(judged: Callable[[], DataFrame], spark: SparkSession, name: str, config: RunConfig, **inputs: object) -> DataFrame:
-    """Judged rows, written and read back, so that whatever is derived from them asks no model again."""
-    described = {"task": config.task, "models": vars(config.models), "judge": vars(config.judge), "chars": config.truncate_chars, "seed": config.seed}
-    return written(spark, name, judged, config.cache_folder, config.ignore_cache, **described, **inputs)
+def _once(judge: Callable[[DataFrame], DataFrame], rows: DataFrame, name: str, config: RunConfig, **inputs: object) -> DataFrame:
+    """What judge makes of rows, written and read back, so that whatever is derived from it asks no model again.
+
+    Where a cache is named, an earlier run's judgments count only if they are of the same rows under the same settings,
+    prompts included.
+    """
+    preset = preset_of(config)
+    described = {"task": config.task, "models": vars(config.models), "judge": vars(config.judge), "chars": config.truncate_chars, "preset": vars(preset)}
+    return written(rows.sparkSession, name, lambda: judge(rows), config.cache_folder, config.ignore_cache, (rows,), **described, **inputs)
 
 
 def annotate(pairs: DataFrame, config: RunConfig) -> DataFrame:
@@ -75,7 +81,10 @@ def with_preferences(judged: DataFrame, temperature: float = 0.3) -> DataFrame:
 
 
 def _limited(instructions: DataFrame, config: RunConfig) -> DataFrame:
-    return B.head(instructions, config.n_instructions, "instruction_index") if config.n_instructions else instructions
+    """The first instructions by index, whole numbers by value."""
+    if not config.n_instructions:
+        return instructions
+    return instructions.orderBy(F.col("instruction_index").try_cast("bigint").asc_nulls_last(), "instruction_index").limit(config.n_instructions)
 
 
 def completions_of(instructions: DataFrame, spec: str, config: RunConfig, given: DataFrame | None = None, baseline: bool = False) -> DataFrame:
@@ -83,7 +92,7 @@ def completions_of(instructions: DataFrame, spec: str, config: RunConfig, given:
     wanted = instructions if given is None else instructions.join(given, "instruction_index", "left_anti")
     options = config.models.generation_kwargs(baseline)
     make = lambda: complete_instructions(wanted, spec, config.truncate_chars, **options)
-    made = written(instructions.sparkSession, "completions", make, config.cache_folder, config.ignore_cache, task=config.task, spec=spec, options=options, n=config.n_instructions)
+    made = written(instructions.sparkSession, "completions", make, config.cache_folder, config.ignore_cache, (wanted,), task=config.task, spec=spec, options=options, chars=config.truncate_chars)
     return made if given is None else given.select("instruction_index", "completion").unionByName(made.select("instruction_index", "completion"))
 
 
@@ -95,12 +104,12 @@ def evaluate(
     Where completions are None, the configured model is asked for them. Every prompt is judged once; the summary comes from
     the written annotations.
     """
-    spark, instructions = instructions.sparkSession, _limited(instructions, config)
+    instructions = _limited(instructions, config)
     if completions_a is None:
         completions_a = completions_of(instructions, config.models.model_a, config)
     if completions_b is None:
         completions_b = completions_of(instructions, config.models.model_b, config, baseline=True)
-    judged = _once(lambda: annotate(pair(instructions, completions_a, completions_b), config), spark, "annotations", config, n=config.n_instructions)
+    judged = _once(lambda df: annotate(df, config), pair(instructions, completions_a, completions_b), "annotations", config)
     return judged, pref_summary_each(judged, list(by)) if by else pref_summary(judged)
 
 
@@ -117,20 +126,16 @@ class Ratings:
 def rate(arena: DataFrame, completions: DataFrame, config: RunConfig, calibration: DataFrame | None = None) -> Ratings:
     """Rate a model by judged battles against an arena's answers, together with the arena's human battles.
 
-    arena: battle_id, model_a, model_b, winner, lang, conversation_a, conversation_b; completions: battle_id, completion.
+    arena: battle_id, model_a, model_b, winner, lang, conversation_a, conversation_b, and ord, the load order by which heads are
+    taken (else by battle_id); completions: battle_id, completion. Asked languages need a language in every row.
     calibration: human battles judged already, with delta (score difference) and y (1: A preferred); where it is None and
     calibration is asked for, a seeded sample of the arena's battles is judged. Every prompt is judged once.
     """
-    spark = arena.sparkSession
     ours, elo = config.models.model_a, config.elo
-    panel = B.languages(arena, elo.languages)
-    mode = B.sampling_mode(elo.n_random, elo.n_head, elo.n_per_language)
-    if mode == "seeded_random":
-        panel = B.seeded_sample(panel, elo.n_random, "battle_id", config.seed)
-    elif mode == "head":
-        panel = B.head(panel, elo.n_head, "battle_id")
-    elif mode == "per_language":
-        panel = B.head_per_group(panel, elo.n_per_language, "lang", "battle_id")
+    panel = B.languages(arena, elo.languages, strict=True)
+    order = ORD if ORD in arena.columns else "battle_id"
+    total = elo.n_head if config.n_instructions is None else config.n_instructions
+    panel = B.panel(panel, elo.n_random, total, elo.n_per_language, "battle_id", order, config.seed)
     placed = B.assign_opponents(panel, config.seed).join(completions.select("battle_id", "completion"), "battle_id")
     side = F.when(F.col("opponent_is_a"), F.col("conversation_a")).otherwise(F.col("conversation_b"))
     theirs, mine = F.get(side, F.lit(1))["content"], F.col("completion")
@@ -139,7 +144,7 @@ def rate(arena: DataFrame, completions: DataFrame, config: RunConfig, calibratio
         "completion_a": F.when(F.col("ours_is_a"), mine).otherwise(theirs), "completion_b": F.when(F.col("ours_is_a"), theirs).otherwise(mine),
     })
     pairs = pairs.select("battle_id", "instruction", "completion_a", "completion_b", "opponent", "ours_is_a")
-    judged = _once(lambda: annotate(pairs, config), spark, "battles", config, elo=vars(elo))
+    judged = _once(lambda df: annotate(df, config), pairs, "battles", config)
     temperature = 0.3
     if elo.calibrate and elo.soft:
         calibration = calibration_battles(arena, config) if calibration is None else calibration
@@ -167,7 +172,7 @@ def calibration_battles(arena: DataFrame, config: RunConfig) -> DataFrame:
         answer("conversation_b").alias("completion_b"), (F.col("winner") == "model_a").cast("double").alias("y"),
     )
     fixed = replace(config, judge=replace(config.judge, swap_mode="fixed"))
-    judged = _once(lambda: annotate(pairs, fixed), arena.sparkSession, "calibration", fixed, elo=vars(config.elo))
+    judged = _once(lambda df: annotate(df, fixed), pairs, "calibration", fixed)
     return judged.select((F.col("score_a") - F.col("score_b")).alias("delta"), "y")
 
 
@@ -183,13 +188,14 @@ def judge_two_turns(questions: DataFrame, a: DataFrame | None, b: DataFrame | No
         if df is None:
             options = config.models.generation_kwargs(side == "b")
             make = lambda s=spec, o=options: complete_two_turns(questions, s, **o).select("instruction_index", "completion_turn_1", "completion_turn_2")
-            df = written(spark, "two-turns", make, config.cache_folder, config.ignore_cache, spec=spec, options=options, n=config.n_instructions)
+            asked = questions.select("instruction_index", "category", "turn_1", "turn_2")
+            df = written(spark, "two-turns", make, config.cache_folder, config.ignore_cache, (asked,), spec=spec, options=options)
         named = df.select("instruction_index", *(F.col(f"completion_turn_{k}").alias(f"completion_{side}_{k}") for k in (1, 2)))
         questions = questions.join(named, "instruction_index")
     items = judge_items(questions, mode or config.turns, config.truncate_chars)
     items = swapped_items(items, both=config.judge.swap_mode == "both")
     prompt = _verdict_prompt(config) if preset.delegated else _scored_prompt(config, preset)
-    judged = _once(lambda: _asked(items.withColumn("judge_input", prompt), config, preset), spark, "two-turn-items", config, mode=mode or config.turns, n=config.n_instructions)
+    judged = _once(lambda df: _asked(df.withColumn("judge_input", prompt), config, preset), items, "two-turn-items", config)
     if not preset.delegated:
         scored = with_scores(judged)
         return scored, pref_summary_each(scored, ["category", "turn"])

@@ -11,9 +11,9 @@ from duelgrid.functions import text as T
 from duelgrid.operators import battles as B
 from duelgrid.operators import ratings as R
 from duelgrid.operators import twoturn as TT
-from duelgrid.plans import baselines, criteria
+from duelgrid.plans import baselines, cache, criteria
 from duelgrid.queries import _B, _H, _ITEMS, _OUT, _Q, _WINNER_PREF, query
-from duelgrid.sources import arenas, tables
+from duelgrid.sources import arenas, language, tables
 
 
 def _human_texts(spark: SparkSession, sf: str) -> DataFrame:
@@ -269,3 +269,81 @@ def criteria_scores(spark: SparkSession, sf: str) -> DataFrame:
 def human_prefs_by_language(spark: SparkSession, sf: str) -> DataFrame:
     df = V.view(spark, sf, V.HUMAN).where("lang is not null").withColumn("pref", P.winner_preference(F.col("winner")))
     return df.groupBy("lang").agg(F.count("*").alias("num_battles"), F.round(F.avg("pref"), 9).alias("mean_pref"))
+
+
+def _words_sql(text: str) -> str:
+    """The language that function_words() gives, as an expression over n_xx, hits of each language's words."""
+    order = list(language.WORDS)
+    best = f"greatest({', '.join(f'n_{k}' for k in order)})"
+    scripts = " ".join(f"when regexp_matches({text}, '[{letters}]') then '{k}'" for k, letters in language.SCRIPTS.items())
+    return f"case when {best} = 0 then case {scripts} else '{language.UNKNOWN}' end {' '.join(f"when n_{k} = {best} then '{k}'" for k in order)} end"
+
+
+def _hits_sql() -> str:
+    quoted = lambda words: ", ".join(f"'{w}'" for w in words)
+    return ", ".join(f"len(list_filter(w, lambda x: x in ({quoted(words)}))) as n_{k}" for k, words in language.WORDS.items())
+
+
+_DETECTED = (
+    f"t as (select doc_id, lang as given, coalesce(text, '') as text, regexp_extract_all(lower(coalesce(text, '')), '[{language.LATIN}]+') as w from documents), "
+    f"n as (select *, {_hits_sql()} from t), d as (select *, {_words_sql('text')} as told from n) "
+)
+
+
+def _talk(text: Column) -> Column:
+    return F.array(F.struct(F.lit("user").alias("role"), text.alias("content")), F.struct(F.lit("assistant").alias("role"), F.lit("a").alias("content")))
+
+
+def _arena_shapes(spark: SparkSession, sf: str) -> DataFrame:
+    """Each document as a battle in one of the four shapes; two of them come without languages."""
+    d = spark.read.parquet(f"{sf}/documents.parquet").withColumn("text", F.coalesce("text", F.lit("")))
+    shape = lambda k: d.where(F.col("doc_id") % 4 == k)
+    named = [F.lit("m").alias("model_a"), F.lit("n").alias("model_b")]
+    hot = [F.lit(k).alias(c) for k, c in ((1, "winner_model_a"), (0, "winner_model_b"), (0, "winner_tie"))]
+    one = arenas.arena_55k(shape(0).select(F.col("doc_id").alias("id"), *named, *hot, F.col("text").alias("prompt"), F.lit("a").alias("response_a"), F.lit("b").alias("response_b")))
+    flat = lambda k, lang: shape(k).select(
+        F.col("doc_id").alias("question_id"), F.lit(1).cast("long").alias("tstamp"), *named, F.lit("tie").alias("winner"),
+        _talk(F.col("text")).alias("conversation_a"), _talk(F.col("text")).alias("conversation_b"), F.upper("lang").alias(lang),
+    )
+    chosen = shape(3).select(
+        F.col("doc_id").alias("id"), F.lit(1).cast("long").alias("tstamp"), F.lit("m").alias("model_a_name"), F.lit("n").alias("model_b_name"), F.lit("m").alias("chosen_model_name"),
+        F.lit(False).alias("both_equal"), _talk(F.col("text")).alias("conversation_a"), _talk(F.col("text")).alias("conversation_b"),
+    )
+    hundred, more = arenas.arena_parquet(flat(1, "language"), "LMArena-100k"), arenas.arena_parquet(flat(2, "lang"), "LMArena-140k")
+    return one.unionByName(hundred).unionByName(more).unionByName(arenas.arena_comparia(chosen))
+
+
+@query(
+    f"with {_DETECTED} select doc_id::varchar as question_id, case doc_id % 4 when 0 then 'LMArena-55k' when 1 then 'LMArena-100k' when 2 then 'LMArena-140k' else 'ComparIA' end as benchmark, "
+    "case when doc_id % 4 in (1, 2) and given is not null then lower(given) else told end as lang from d"
+)
+def arena_languages(spark: SparkSession, sf: str) -> DataFrame:
+    """Languages of battles of all four shapes: those that are there, and a detector's where a shape or a row has none."""
+    return arenas.with_language(_arena_shapes(spark, sf)).select("question_id", "benchmark", "lang")
+
+
+@query(
+    f"with {_DETECTED}, l as (select doc_id, case when doc_id % 4 in (1, 2) and given is not null then lower(given) else told end as lang from d), "
+    "r as (select *, row_number() over (partition by lang order by doc_id) as r from l where lang in ('en', 'fr', 'de', 'es')) "
+    "select doc_id::varchar as question_id, lang from r where r <= 30 order by doc_id limit 70"
+)
+def arena_panel(spark: SparkSession, sf: str) -> DataFrame:
+    """The panel of a rating run: asked languages, the first of each in load order, and of those the first in all."""
+    found = arenas.with_language(_arena_shapes(spark, sf).withColumn("ord", F.col("question_id").cast("long")))
+    asked = B.languages(found, ["en", "fr", "de", "es"], strict=True)
+    return B.panel(asked, None, 70, 30, "question_id", "ord").select("question_id", "lang")
+
+
+def _row_sql(*columns: str) -> str:
+    told = [f"'{len(c)}:{c}=' || coalesce(length({c}::varchar) || ':' || {c}::varchar, '-')" for c in sorted(columns)]
+    return " || ';' || ".join(told)
+
+
+@query(
+    f"select count(*) as n, sum(h1)::varchar as total_1, sum(h2)::varchar as total_2, bit_xor(h1) as mixed_1, bit_xor(h2) as mixed_2 from (select ('0x' || substr(m, 1, 15))::bigint as h1, "
+    f"('0x' || substr(m, 17, 15))::bigint as h2 from (select md5({_row_sql('doc_id', 'text', 'lang', 'source', 'n_chars')}) as m from documents))"
+)
+def content_digest(spark: SparkSession, sf: str) -> DataFrame:
+    """What a cache knows a table by: its rows, in any order."""
+    d = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    return cache.table_digest(d)

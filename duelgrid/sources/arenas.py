@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from duelgrid.sources import language
+from duelgrid.sources.order import ORD, in_load_order
+
 COLUMNS = ("question_id", "tstamp", "model_a", "model_b", "winner", "conversation_a", "conversation_b", "benchmark", "lang", "turns")
 CONVERSATION = "array<struct<role:string,content:string>>"
 
@@ -34,7 +36,10 @@ def seconds(column: Column, kind: str) -> Column:
 
 
 def finish(df: DataFrame, benchmark: str, single_turn: bool = False) -> DataFrame:
-    """The common columns of rows with a winner; turns counts messages but the first. A missing language is filled in by the caller."""
+    """The common columns of rows with a winner, and the order where there is one; turns counts messages but the first.
+
+    A missing language is filled in by the caller.
+    """
     types = dict(df.dtypes)
     for side in ("conversation_a", "conversation_b"):
         df = df.withColumn(side, conversation(F.col(side), types[side]))
@@ -46,7 +51,17 @@ def finish(df: DataFrame, benchmark: str, single_turn: bool = False) -> DataFram
     }).where(F.col("winner").isNotNull())
     if single_turn:
         df = df.where(F.size("conversation_a") == 2)
-    return df.select(*COLUMNS)
+    return df.select(*COLUMNS, *_kept(df, ORD))
+
+
+def _kept(df: DataFrame, *names: str) -> list[str]:
+    return [n for n in names if n in df.columns]
+
+
+def _language(df: DataFrame) -> list[Column]:
+    """The column that holds languages, under either of two names."""
+    found = _kept(df, "language", "lang")
+    return [F.col(found[0]).alias("lang")] if found else []
 
 
 def arena_55k(df: DataFrame, single_turn: bool = False) -> DataFrame:
@@ -56,6 +71,7 @@ def arena_55k(df: DataFrame, single_turn: bool = False) -> DataFrame:
     return finish(df.select(
         F.col("id").alias("question_id"), F.lit(0).cast("long").alias("tstamp"), "model_a", "model_b", winner.alias("winner"),
         _talk(F.col("prompt"), F.col("response_a")).alias("conversation_a"), _talk(F.col("prompt"), F.col("response_b")).alias("conversation_b"),
+        *_language(df), *_kept(df, ORD),
     ), "LMArena-55k", single_turn)
 
 
@@ -63,11 +79,10 @@ def arena_parquet(df: DataFrame, benchmark: str, single_turn: bool = False) -> D
     """The 100k and 140k shapes: ids and times under either of two names; an existing language column is kept."""
     types = dict(df.dtypes)
     first = lambda *names: next(n for n in names if n in types)
-    time, lang = first("tstamp", "timestamp"), next((n for n in ("language", "lang") if n in types), None)
-    kept = [F.col(lang).alias("lang")] if lang else []
+    time = first("tstamp", "timestamp")
     return finish(df.select(
         F.col(first("question_id", "id")).alias("question_id"), seconds(F.col(time), types[time]).alias("tstamp"),
-        "model_a", "model_b", "winner", "conversation_a", "conversation_b", *kept,
+        "model_a", "model_b", "winner", "conversation_a", "conversation_b", *_language(df), *_kept(df, ORD),
     ), benchmark, single_turn)
 
 
@@ -84,31 +99,35 @@ def arena_comparia(df: DataFrame, single_turn: bool = False) -> DataFrame:
     return finish(df.select(
         F.col(key).alias("question_id"), seconds(F.col(time), types[time]).alias("tstamp"), F.col("model_a_name").alias("model_a"),
         F.col("model_b_name").alias("model_b"), winner.alias("winner"), "conversation_a", "conversation_b",
+        *_language(df), *_kept(df, ORD),
     ), "ComparIA", single_turn)
 
 
-READERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "LMArena-55k": lambda s, root: arena_55k(s.read.csv(f"{root}/lmarena-55k", header=True, multiLine=True, escape='"')),
-    "LMArena-100k": lambda s, root: arena_parquet(s.read.option("mergeSchema", True).parquet(f"{root}/lmarena-100k"), "LMArena-100k"),
-    "LMArena-140k": lambda s, root: arena_parquet(s.read.option("mergeSchema", True).parquet(f"{root}/lmarena-140k"), "LMArena-140k"),
-    "ComparIA": lambda s, root: arena_comparia(s.read.parquet(f"{root}/comparia")),
+READERS: dict[str, Callable[[SparkSession, str, int], DataFrame]] = {
+    "LMArena-55k": lambda s, root, k: arena_55k(in_load_order(s.read.csv(f"{root}/lmarena-55k", header=True, multiLine=True, escape='"'), first=k)),
+    "LMArena-100k": lambda s, root, k: arena_parquet(_merged(s, f"{root}/lmarena-100k", k), "LMArena-100k"),
+    "LMArena-140k": lambda s, root, k: arena_parquet(_merged(s, f"{root}/lmarena-140k", k), "LMArena-140k"),
+    "ComparIA": lambda s, root, k: arena_comparia(in_load_order(s.read.parquet(f"{root}/comparia"), first=k)),
 }
 GROUPS = {"LMArena": ("LMArena-100k", "LMArena-55k", "LMArena-140k")}
 
 
-def load_arena(spark: SparkSession, root: str, arena: str | None = None) -> DataFrame:
-    """One arena, the group LMArena, or all where none is named."""
+def _merged(spark: SparkSession, path: str, first: int) -> DataFrame:
+    return in_load_order(spark.read.option("mergeSchema", True).parquet(path), first=first)
+
+
+def load_arena(spark: SparkSession, root: str, arena: str | None = None, detector: language.Loader | None = None) -> DataFrame:
+    """One arena, the group LMArena, or all where none is named, with `ord`, the order in which arenas, files and rows stand.
+
+    Where a detector is given, it fills in the languages that an arena lacks.
+    """
     names = GROUPS.get(arena, (arena,) if arena else tuple(READERS))
     if lost := [n for n in names if n not in READERS]:
         raise ValueError(f"unknown arena {lost[0]!r}; known: {', '.join([*READERS, *GROUPS])}")
-    return reduce(DataFrame.unionByName, (READERS[n](spark, root) for n in names))
-
-
-def with_language(df: DataFrame, detector) -> DataFrame:
-    """Fill missing languages by a detector of the first user text: a function from a pandas Series to one."""
+    found = reduce(DataFrame.unionByName, (READERS[n](spark, root, k) for k, n in enumerate(names)))
+    return with_language(found, detector) if detector else found
 
-    @F.pandas_udf("string")
-    def detect(texts: pd.Series) -> pd.Series:
-        return detector(texts.fillna("")).str.lower()
 
-    return df.withColumn("lang", F.coalesce("lang", detect(F.get("conversation_a", F.lit(0))["content"])))
+def with_language(df: DataFrame, detector: language.Loader = language.DEFAULT) -> DataFrame:
+    """Fill missing languages by a detector of the first user text."""
+    return language.with_language(df, F.get("conversation_a", F.lit(0))["content"], detector)

@@ -11,6 +11,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from duelgrid.sources.files import entries, files_below
+from duelgrid.sources.order import ORD, in_load_order, place
+
 INDEX_NAMES = ("instruction_index", "uid", "question_id", "id")
 TEXT_NAMES = ("instruction", "prompt", "question", "turns")
 
@@ -77,17 +80,23 @@ def first_turn(column: Column, kind: str) -> Column:
 
 
 def instructions(raw: DataFrame, order: str | None = None, question_rows: bool = True) -> DataFrame:
-    """instruction_index, instruction and the category and language where they exist, each index once, the first row winning."""
+    """instruction_index, instruction and the category and language where they exist, each index once, the first row winning.
+
+    First is by the column `order`, or by load order where raw is a scan of files.
+    """
     types = dict(raw.dtypes)
     index, text = choose(raw.columns, INDEX_NAMES), choose(raw.columns, TEXT_NAMES)
     if text is None or (index is None and order is None):
         raise ValueError("neither an instruction nor a way to number it was found")
+    ordinal = F.col(order) if order else place(raw)
+    if not order:
+        raw, ordinal = raw.withColumn("_place", ordinal), F.col("_place")
     if question_rows and "prompt" in types:
         raw = raw.where("prompt is not null")
     key = F.col(index).cast("string") if index else F.col(order).cast("string")
     out = raw.select(
         key.alias("instruction_index"), first_turn(F.col(text), types[text]).alias("instruction"),
-        *(c for c in ("category", "lang") if c in types), (F.col(order) if order else F.monotonically_increasing_id()).alias("_ord"),
+        *(c for c in ("category", "lang") if c in types), ordinal.alias("_ord"),
     ).where("instruction_index is not null and instruction is not null")
     rank = F.row_number().over(Window.partitionBy("instruction_index").orderBy("_ord"))
     return out.withColumn("_r", rank).where("_r = 1").drop("_r", "_ord")
@@ -112,51 +121,52 @@ def assistant_output(columns: dict[str, str]) -> Column:
 
 
 def model_outputs_long(raw: DataFrame) -> DataFrame:
-    """instruction_index, model and output of rows that have all three."""
+    """instruction_index, model and output of rows that have all three, and their order where there is one."""
     types = dict(raw.dtypes)
     index = choose(raw.columns, INDEX_NAMES)
-    out = raw.select(F.col(index).cast("string").alias("instruction_index"), F.col("model").cast("string").alias("model"), assistant_output(types).alias("output"))
+    out = raw.select(F.col(index).cast("string").alias("instruction_index"), F.col("model").cast("string").alias("model"), assistant_output(types).alias("output"), *(c for c in (ORD,) if c in types))
     return out.dropna(subset=["instruction_index", "model", "output"])
 
 
-def entries(spark: SparkSession, folder: str) -> list[str]:
-    """Names below a folder of any file system, in order; none where it does not exist."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    return sorted(s.getPath().getName() for s in system.listStatus(path)) if system.exists(path) else []
-
-
 def arena_hard(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame | None]:
     """Instructions and model outputs (None without any) of a folder with question.jsonl and model_answer/*.jsonl."""
     names, answers = entries(spark, folder), [n for n in entries(spark, f"{folder}/model_answer") if n.endswith(".jsonl")]
     paths = [f"{folder}/question.jsonl"] if "question.jsonl" in names else []
     if not paths and not answers:
         raise FileNotFoundError(f"neither question.jsonl nor model_answer/*.jsonl below {folder}")
-    outputs = model_outputs_long(spark.read.json([f"{folder}/model_answer/{n}" for n in answers])) if answers else None
+    outputs = model_outputs_long(in_load_order(spark.read.json([f"{folder}/model_answer/{n}" for n in answers]))) if answers else None
     questions = spark.read.json(paths or [f"{folder}/model_answer/{n}" for n in answers])
     return instructions(questions), outputs
 
 
 def arena_hard_tables(spark: SparkSession, folder: str, tables_folder: str) -> tuple[DataFrame, DataFrame | None]:
     """The tables of arena_hard(), written once below tables_folder and read from there."""
-    from duelgrid.plans.cache import cached, is_complete
+    from duelgrid.plans.cache import cached, latest
 
     paths = [f"{tables_folder}/{n}" for n in ("instructions", "model_outputs")]
-    made = [None, None] if is_complete(spark, paths[0]) else arena_hard(spark, folder)
+    made = [None, None] if latest(spark, paths[0]) else arena_hard(spark, folder)
     if made[1] is not None:
         cached(spark, paths[1], lambda: made[1])
     found = cached(spark, paths[0], lambda: made[0])
-    return found, spark.read.parquet(paths[1]) if is_complete(spark, paths[1]) else None
+    outputs = latest(spark, paths[1])
+    return found, spark.read.parquet(outputs) if outputs else None
+
+
+LANGUAGE_FOLDER = r"/(?:lang=)?([^/]+)/[^/]+$"
+
 
+def multilingual(spark: SparkSession, root: str, languages: tuple[str, ...], known: tuple[str, ...] = ()) -> DataFrame:
+    """Parquet in folders xx or lang=xx of the asked languages, at any depth below root. Keys become id-lang.
 
-def multilingual(spark: SparkSession, root: str, languages: tuple[str, ...]) -> DataFrame:
-    """Parquet below root/xx or root/lang=xx of the asked languages only; other folders are not read. Keys become id-lang."""
-    folders = {n.removeprefix("lang="): f"{root}/{n}" for n in entries(spark, root)}
-    wanted = [k for k in sorted(folders) if k in languages]
+    Folders of other languages of `known` are not entered, and files outside folders of asked languages are not opened.
+    """
+    name = lambda folder: folder.removeprefix("lang=")
+    found = files_below(spark, root, lambda folder: name(folder) in languages or not (folder.startswith("lang=") or name(folder) in known))
+    wanted = [path for path, _ in found if path.endswith(".parquet") and name(path.rsplit("/", 2)[-2]) in languages]
     if not wanted:
         raise FileNotFoundError(f"no language of {', '.join(languages)} below {root}")
-    each = [spark.read.parquet(folders[k]).withColumn("lang", F.lit(k)) for k in wanted]
-    df = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), each)
+    raw = spark.read.option("mergeSchema", True).parquet(*wanted)
+    df = raw.withColumn("lang", F.regexp_extract(F.col("_metadata.file_path"), LANGUAGE_FOLDER, 1))
     return df.withColumn("instruction_index", F.concat_ws("-", F.col("question_id").cast("string"), F.col("lang"))).withColumnRenamed("prompt", "instruction").drop("question_id")
 
 

@@ -113,8 +113,8 @@ def test_sampling(spark):
     placed = B.assign_opponents(df, 3)
     assert 20 < placed.where("opponent_is_a").count() < 80
     assert placed.where("opponent <> case when opponent_is_a then model_a else model_b end").count() == 0
-    assert B.sampling_mode(5, None, None) == "seeded_random" and B.sampling_mode(None, None, None) == "all"
-    with pytest.raises(ValueError, match="exclude"):
+    assert B.sampling_mode(5, None, None) == "seeded_random" and B.sampling_mode(None, 5, 5) == "head"
+    with pytest.raises(ValueError, match="neither"):
         B.sampling_mode(5, 5, None)
 
 
@@ -136,7 +136,7 @@ def test_completions(spark):
     out = spark.createDataFrame([("1", "m", "old", 1), ("1", "m", "new", 2), ("2", "m", None, 3), ("1", "n", "n1", 4)], "instruction_index string, model string, output string, ord int")
     assert {r[0]: r[1] for r in O.model_outputs(out, "m").collect()} == {"1": "new", "2": ""}
     assert O.pair(ins, O.model_outputs(out, "m"), O.model_outputs(out, "m")).count() == 2
-    with pytest.raises(ValueError, match=r"missing 1 question.*First missing ids: 2"):
+    with pytest.raises(ValueError, match=r"all but 1 .*First missing ids: 2"):
         O.align(ins, O.model_outputs(out, "n"), "n")
     named = ins.withColumn("model_b", F.when(F.col("instruction_index") == "1", "n").otherwise("m"))
     assert {r.instruction_index: r.completion_b for r in O.per_row_baseline(named, out).collect()} == {"1": "n1", "2": ""}
