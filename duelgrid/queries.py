@@ -351,6 +351,23 @@ def bt_bootstrap_leaderboard(spark: SparkSession, sf: str) -> DataFrame:
     return R.leaderboard(R.bootstrap(df, 20, 11), B.battles_per_model(df), "Brand#11")
 
 
+@query(_B + "select r.i as b, (select count(*) from b where pref is not null)::double as battles from range(20) r(i)")
+def bt_bootstrap_totals(spark: SparkSession, sf: str) -> DataFrame:
+    """Each round draws as many battles as there are."""
+    points = R.bootstrap_points(_battles(spark, sf), 20, 11)
+    return points.groupBy("b").agg(F.round(F.sum(F.col("points_a") + F.col("points_b")), 6).alias("battles"))
+
+
+@query(_B + "select model_a, model_b, count(*) as battles, true as near from b where pref is not null group by all")
+def bt_bootstrap_means(spark: SparkSession, sf: str) -> DataFrame:
+    """The mean points of a pair over the rounds lie within five standard deviations of those of its battles."""
+    df, rounds = _battles(spark, sf), 20
+    drawn = R.bootstrap_points(df, rounds, 11).groupBy("model_a", "model_b").agg((F.sum("points_a") / rounds).alias("a"), (F.sum("points_b") / rounds).alias("b"))
+    both = R.sufficient_statistics(df).join(drawn, ["model_a", "model_b"], "left").na.fill(0.0, ["a", "b"])
+    far = F.greatest(F.abs(F.col("a") - F.col("points_a")), F.abs(F.col("b") - F.col("points_b")))
+    return both.select("model_a", "model_b", "battles", (far <= 5 * F.sqrt(F.col("battles") / rounds)).alias("near"))
+
+
 @query()
 def elo_mae_vs_human(spark: SparkSession, sf: str) -> DataFrame:
     human = V.view(spark, sf, V.HUMAN).select("model_a", "model_b", P.winner_preference(F.col("winner")).alias("pref"))

@@ -86,6 +86,49 @@ def test_bootstrap_is_reproducible_and_centred(spark):
     assert tuple(error) == (10.0, 1)
 
 
+def test_bootstrap_has_the_multinomial_law_at_any_chunk(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(f"m{a}", f"m{b}", round(float(p), 3)) for a, b, p in zip(rng.integers(0, 4, 3000), rng.integers(4, 7, 3000), rng.random(3000)) if a != b]
+    df = spark.createDataFrame(rows, "model_a string, model_b string, pref double")
+    points = R.bootstrap_points(df, 200, 3).toPandas()
+    assert np.allclose(points.groupby("b")[["points_a", "points_b"]].sum().sum(1), len(rows)) and points.b.nunique() == 200
+    exact = {(r.model_a, r.model_b): r for r in R.sufficient_statistics(df).collect()}
+    squares = {(r.model_a, r.model_b): r.v for r in df.groupBy("model_a", "model_b").agg(F.sum(F.pow(1 - F.col("pref"), 2)).alias("v")).collect()}
+    for pair, x in points.groupby(["model_a", "model_b"])["points_a"]:
+        variance = squares[pair] - exact[pair].points_a ** 2 / len(rows)
+        assert abs(x.mean() - exact[pair].points_a) < 5 * np.sqrt(variance / 200) and 0.6 < x.var() / variance < 1.6
+
+
+def test_sparse_and_spark_solvers_are_the_dense_one(spark):
+    rng = np.random.default_rng(5)
+    strength = rng.normal(0, 1, 60)
+    pairs = []
+    for a in range(60):
+        for b in rng.choice(60, 6, replace=False):
+            if a != b and (a < 40) == (b < 40):  # two sets that never meet
+                n = int(rng.integers(2, 30))
+                won = min(n - 0.5, max(0.5, rng.binomial(n, 1 / (1 + np.exp(strength[b] - strength[a])))))
+                pairs.append((f"m{a:02d}", f"m{int(b):02d}", float(won), float(n - won)))
+    models = sorted({m for p in pairs for m in p[:2]})
+    dense, sparse = R._dense(models, pairs), R._sparse(models, pairs)
+    assert np.abs(dense - sparse).max() * R.SCALE / np.log(10) < 1e-6
+    points = spark.createDataFrame(pairs, "model_a string, model_b string, points_a double, points_b double")
+    local, table = R.rated(points), R.rated(points, most=5)
+    assert local.keys() == table.keys() and max(abs(local[m] - table[m]) for m in local) < 1e-6
+
+
+def test_more_models_than_a_dense_solver_takes():
+    rng = np.random.default_rng(6)
+    n = 7000
+    strength = rng.normal(0, 1, n)
+    i, j = rng.integers(0, n, 70_000), rng.integers(0, n, 70_000)
+    games = rng.integers(20, 60, 70_000)
+    won = rng.binomial(games, 1 / (1 + np.exp(strength[j] - strength[i])))
+    got = R.solve((f"m{a:05d}", f"m{b:05d}", float(w) + 0.5, float(g - w) + 0.5) for a, b, w, g in zip(i, j, won, games))
+    at = [int(m[1:]) for m in got]
+    assert np.corrcoef(list(got.values()), strength[at])[0, 1] > 0.97
+
+
 def test_calibration(spark):
     rng = np.random.default_rng(2)
     delta = rng.integers(-10, 11, 4000)
