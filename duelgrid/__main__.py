@@ -15,6 +15,7 @@ from duelgrid.plans.baselines import ARENAS, native_baseline, with_baseline
 from duelgrid.plans.config import RunConfig, build
 from duelgrid.plans.tasks import Data, outputs_of, task_of, with_files
 from duelgrid.sources.arenas import load_arena
+from duelgrid.sources.files import read_text
 from duelgrid.sources.order import in_load_order
 from duelgrid.sources.tables import contexts, read_table
 
@@ -66,7 +67,11 @@ def _pairs(data: Data, config: RunConfig) -> tuple[DataFrame, DataFrame]:
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     args = arguments(sys.argv[1:] if argv is None else argv)
     try:
-        config = build(args.config, **{k: yaml.safe_load(v) for k, _, v in (x.partition("=") for x in args.set)})
+        text = None
+        if args.config and "://" in args.config:
+            spark = spark or SparkSession.builder.appName("duelgrid").getOrCreate()
+            text = read_text(spark, args.config)
+        config = build(args.config, text, **{k: yaml.safe_load(v) for k, _, v in (x.partition("=") for x in args.set)})
     except (ValueError, OSError) as e:
         print(f"configuration: {e}", file=sys.stderr)
         return 2

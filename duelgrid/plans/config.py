@@ -79,6 +79,8 @@ class RunConfig:
     #: Folder of judged and generated tables that later runs may use; None keeps none.
     cache_folder: str | None = None
     ignore_cache: bool = False
+    #: Requests that a task has under way at once, of providers that take one at a time.
+    in_flight: int = 32
     #: Turns of the two-turn benchmark: both, single or multi.
     turns: str = "both"
     models: ModelConfig = field(default_factory=ModelConfig)
@@ -115,13 +117,13 @@ def _merged(into: Any, values: dict[str, Any], where: str = "") -> Any:
     return into
 
 
-def build(path: str | None = None, **values: Any) -> RunConfig:
-    """Nested values are given as mappings, or with dots: build(**{"judge.swap_mode": "both"})."""
+def build(path: str | None = None, text: str | None = None, **values: Any) -> RunConfig:
+    """Nested values are given as mappings, or with dots: build(**{"judge.swap_mode": "both"}). text stands for a file's content."""
     config = RunConfig()
-    if path:
+    if path or text is not None:
         import yaml
 
-        data = yaml.safe_load(Path(path).read_text()) or {}
+        data = yaml.safe_load(Path(path).read_text() if text is None else text) or {}
         if not isinstance(data, dict):
             raise ValueError("a configuration file holds a mapping")
         _merged(config, data)
@@ -133,8 +135,12 @@ def build(path: str | None = None, **values: Any) -> RunConfig:
     return config.validate()
 
 
-def dump(config: RunConfig, path: str) -> None:
-    """A file that build() reads back to the same configuration."""
+def dumped(config: RunConfig) -> str:
+    """YAML that build() reads back to the same configuration."""
     import yaml
 
-    Path(path).write_text(yaml.safe_dump(asdict(config), sort_keys=True))
+    return yaml.safe_dump(asdict(config), sort_keys=True)
+
+
+def dump(config: RunConfig, path: str) -> None:
+    Path(path).write_text(dumped(config))

@@ -1,10 +1,16 @@
-"""Asking models: a provider registry, retries inside tasks, judge and completion stages as mapInPandas."""
+"""Asking models: a provider registry, retries inside tasks, judge and completion stages as mapInPandas.
+
+A provider makes either a function of many prompts or a coroutine of one. Coroutines run on one event loop a task, with a
+bounded window of requests under way.
+"""
 
 from __future__ import annotations
 
+import asyncio
+import inspect
 import re
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Awaitable, Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -14,13 +20,15 @@ from pyspark.sql.types import StringType, StructField, StructType
 from duelgrid.functions.text import THINKING_MODELS, category_temperature, truncate
 from duelgrid.session import share_package
 
-#: prompts -> answers
-Model = Callable[[list[str]], list[str]]
+#: prompts -> answers, or a coroutine of one prompt
+Model = Callable[[list[str]], list[str]] | Callable[[str], Awaitable[str]]
 #: (name without provider, options) -> a model; called inside the task, so clients are never pickled, only what makes them.
 Provider = Callable[[str, dict], Model]
 PROVIDERS: dict[str, Provider] = {}
 RETRIED = re.compile(r"\b(408|409|425|429|500|502|503|504|529)\b|timed? ?out|connection|overloaded|rate limit", re.I)
 ATTEMPTS, FIRST_WAIT, SPLIT = 5, 1.0, 4
+#: Requests that a task has under way at once.
+WINDOW = 32
 NO_FOLLOW_UP = "No follow-up question."
 # Fixed value: tokens that a local engine lets a thinking judge think.
 THINKING_BUDGET = 512
@@ -81,25 +89,95 @@ def ask(model: Model, prompts: list[str], attempts: int = ATTEMPTS, wait: float
     return answers
 
 
-def complete(df: DataFrame, spec: str, prompt: str = "prompt", output: str = "completion", heat: str | None = None, **options: object) -> DataFrame:
+def is_coroutine(model: Model) -> bool:
+    return inspect.iscoroutinefunction(model) or inspect.iscoroutinefunction(getattr(model, "__call__", None))
+
+
+async def ask_each(
+    model: Callable[[str], Awaitable[str]], prompts: list[str], window: int = WINDOW, attempts: int = ATTEMPTS, wait: float = FIRST_WAIT,
+    sleep: Callable[[float], Awaitable[None]] = asyncio.sleep,
+) -> list[str]:
+    """Answers in order, with at most `window` requests under way.
+
+    A prompt that fails in passing is asked again, it alone, after a wait that doubles; meanwhile its place in the window is
+    free for others. Any other failure ends all.
+    """
+    answers: list[str | None] = [None] * len(prompts)
+    places = asyncio.Semaphore(max(1, window))
+
+    async def one(k: int) -> None:
+        for attempt in range(attempts):
+            try:
+                async with places:
+                    answers[k] = await model(prompts[k])
+                return
+            except Exception as e:  # what a client raises is its own affair
+                if attempt == attempts - 1 or not RETRIED.search(str(e)):
+                    raise
+            await sleep(wait * 2**attempt)
+
+    # no more tasks than may be of use, however many prompts there are
+    left = iter(range(len(prompts)))
+
+    async def worker() -> None:
+        for k in left:
+            await one(k)
+
+    async with asyncio.TaskGroup() as group:
+        for _ in range(min(len(prompts), 2 * max(1, window))):
+            group.create_task(worker())
+    return answers
+
+
+class Asker:
+    """A task's way to its models: one event loop for all coroutines."""
+
+    def __init__(self, window: int):
+        self.window, self.loop = window, None
+
+    def __call__(self, model: Model, prompts: list[str]) -> list[str]:
+        if not is_coroutine(model):
+            return ask(model, prompts)
+        self.loop = self.loop or asyncio.new_event_loop()
+        try:
+            return self.loop.run_until_complete(ask_each(model, prompts, self.window))
+        except* Exception as e:
+            first = e.exceptions[0]
+        raise first
+
+    def close(self) -> None:
+        if self.loop:
+            self.loop.close()
+
+
+def complete(
+    df: DataFrame, spec: str, prompt: str = "prompt", output: str = "completion", heat: str | None = None, window: int = WINDOW, **options: object
+) -> DataFrame:
     """df with a column of the model's answers; partitions are asked in parallel.
 
-    A partition has one model, or one for each value of the column `heat`, its temperature, whose rows are asked together.
+    A partition has one model, or one for each value of the column `heat`, its temperature, whose rows are asked together:
+    rows are sorted by it inside their partitions, so that a batch rarely holds two. A coroutine is asked for at most `window`
+    prompts at a time.
     """
+    df = df.sortWithinPartitions(heat) if heat else df
     share_package(df.sparkSession)
     schema = StructType([*df.drop(output).schema, StructField(output, StringType())])
     make, name = provider_of(spec)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         models: dict[object, Model] = {}
-        for b in batches:
-            b = b.assign(**{output: ""})
-            for t, rows in b.groupby(heat, dropna=False) if heat else [(None, b)]:
-                if t not in models:
-                    models[t] = make(name, options | ({"temperature": float(t)} if heat else {}))
-                if len(rows):
-                    b.loc[rows.index, output] = ask(models[t], rows[prompt].fillna("").tolist())
-            yield b
+        asker = Asker(window)
+        try:
+            for b in batches:
+                b = b.assign(**{output: ""})
+                for t, rows in b.groupby(heat, dropna=False) if heat else [(None, b)]:
+                    if t not in models:
+                        models[t] = make(name, options | ({"temperature": float(t)} if heat else {}))
+                    if len(rows):
+                        b.loc[rows.index, output] = asker(models[t], rows[prompt].fillna("").tolist())
+                yield b
+        finally:
+            asker.close()
 
     return df.drop(output).mapInPandas(run, schema)
 

@@ -34,7 +34,7 @@ def _asked(items: DataFrame, config: RunConfig, preset: Preset) -> DataFrame:
     options = config.judge.generation_kwargs(config.models.engine_kwargs)
     if preset.system is not None:
         options |= {"system": preset.system}
-    return complete(items, config.judge.model, "judge_input", "judge_completion", **options)
+    return complete(items, config.judge.model, "judge_input", "judge_completion", window=config.in_flight, **options)
 
 
 def _orders(df: DataFrame, config: RunConfig) -> DataFrame:
@@ -91,7 +91,7 @@ def completions_of(instructions: DataFrame, spec: str, config: RunConfig, given:
     """instruction_index and completion of a model: given ones, and generated ones where there is none, each asked for once."""
     wanted = instructions if given is None else instructions.join(given, "instruction_index", "left_anti")
     options = config.models.generation_kwargs(baseline)
-    make = lambda: complete_instructions(wanted, spec, config.truncate_chars, **options)
+    make = lambda: complete_instructions(wanted, spec, config.truncate_chars, window=config.in_flight, **options)
     made = written(instructions.sparkSession, "completions", make, config.cache_folder, config.ignore_cache, (wanted,), task=config.task, spec=spec, options=options, chars=config.truncate_chars)
     return made if given is None else given.select("instruction_index", "completion").unionByName(made.select("instruction_index", "completion"))
 
@@ -187,7 +187,7 @@ def judge_two_turns(questions: DataFrame, a: DataFrame | None, b: DataFrame | No
     for side, df, spec in (("a", a, config.models.model_a), ("b", b, config.models.model_b)):
         if df is None:
             options = config.models.generation_kwargs(side == "b")
-            make = lambda s=spec, o=options: complete_two_turns(questions, s, **o).select("instruction_index", "completion_turn_1", "completion_turn_2")
+            make = lambda s=spec, o=options: complete_two_turns(questions, s, window=config.in_flight, **o).select("instruction_index", "completion_turn_1", "completion_turn_2")
             asked = questions.select("instruction_index", "category", "turn_1", "turn_2")
             df = written(spark, "two-turns", make, config.cache_folder, config.ignore_cache, (asked,), spec=spec, options=options)
         named = df.select("instruction_index", *(F.col(f"completion_turn_{k}").alias(f"completion_{side}_{k}") for k in (1, 2)))

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import re
 from datetime import datetime
-from pathlib import Path
+from dataclasses import asdict
 
 from pyspark.sql import DataFrame
 
-from duelgrid.plans.config import RunConfig, dump
-from duelgrid.plans.repro import run_metadata, to_jsonable, write_json
+from duelgrid.plans.config import RunConfig, dumped
+from duelgrid.plans.pipelines import preset_of
+from duelgrid.plans.prompts import TEMPLATE
+from duelgrid.plans.repro import METADATA, inventory, run_metadata, to_jsonable, write_json
+from duelgrid.sources.files import write_text
 
 
 def slug(name: str, default: str = "model") -> str:
@@ -22,31 +25,36 @@ def rows(df: DataFrame) -> list[dict]:
 
 
 def save_run(folder: str, config: RunConfig, annotations: DataFrame, summary: DataFrame, entry: str = "pairwise", started: datetime | None = None, csv: bool = False) -> dict:
-    """annotations/ (Parquet, CSV where asked for), results.json, run-metadata.json and config.yaml below folder; gives the results."""
+    """annotations/ (Parquet, CSV where asked for), results.json, config.yaml and run-metadata.json below folder; gives the results.
+
+    All of them go through the file systems that Spark knows, each written beside its place and then renamed.
+    """
+    spark = annotations.sparkSession
     annotations.write.mode("overwrite").parquet(f"{folder}/annotations")
     if csv:
         annotations.write.mode("overwrite").option("escape", '"').csv(f"{folder}/annotations-csv", header=True)
     results = {"task": config.task, "model_a": config.models.model_a, "model_b": config.models.model_b, "judge": config.judge.model, "summary": rows(summary)}
-    write_json(f"{folder}/results.json", results)
-    payloads = {"annotations": annotations.sparkSession.read.parquet(f"{folder}/annotations")}
-    write_json(f"{folder}/run-metadata.json", run_metadata(entry, vars(config), results, payloads, ["annotations", "results.json", "config.yaml"], started))
-    dump(config, f"{folder}/config.yaml")
+    write_json(f"{folder}/results.json", results, spark)
+    write_text(spark, f"{folder}/config.yaml", dumped(config))
+    preset, payloads = preset_of(config), {"annotations": spark.read.parquet(f"{folder}/annotations")}
+    record = run_metadata(entry, asdict(config), results, payloads, inventory(spark, folder), started, preset.system, preset.template or TEMPLATE)
+    write_json(f"{folder}/{METADATA}", record, spark)
     return results
 
 
-def save_ratings(folder: str, config: RunConfig, ratings) -> Path:
+def save_ratings(folder: str, config: RunConfig, ratings) -> str:
     """elo-{arena}-{model}/results-{model}.json below folder; gives its path. num_judgments counts both orders, num_battles one."""
     from duelgrid.plans.baselines import ARENAS
 
     model = slug(config.models.model_a or "")
-    path = Path(folder) / f"elo-{slug(ARENAS.get(config.task, config.task))}-{model}" / f"results-{model}.json"
+    path = f"{folder}/elo-{slug(ARENAS.get(config.task, config.task))}-{model}/results-{model}.json"
     summary = ratings.summary.head().asDict()
     orders = 2 if config.judge.swap_mode == "both" else 1
     write_json(path, {
         "task": config.task, "model": config.models.model_a, "temperature": ratings.temperature, "human_ratings": ratings.human,
         "summary": summary | {"num_judgments": summary["num_battles"], "num_battles": summary["num_battles"] // orders},
         "leaderboard": rows(ratings.leaderboard), "error": rows(ratings.error)[0],
-    })
+    }, ratings.summary.sparkSession)
     return path
 
 

@@ -277,8 +277,20 @@ def test_fingerprint_is_that_of_ascii_json(spark):
     want = hashlib.sha256(json.dumps(listed).encode()).hexdigest()
     df = spark.createDataFrame([(k, *r.values()) for k, r in enumerate(rows)], "place int, index string, model_a string, model_b string, question_id string").repartition(3)
     assert tuple(repro.sample_fingerprint(df, "place").head()) == (want, 2)
-    with pytest.raises(Exception, match="more than 1 rows"):
-        repro.sample_fingerprint(df, "place", most=1).head()
+    assert tuple(repro.sample_fingerprint(df.limit(0), "place").head()) == (hashlib.sha256(b"[]").hexdigest(), 0)
+
+
+def test_digests_stream_any_number_of_rows(spark):
+    import hashlib
+    import json
+
+    df = spark.range(0, 1_200_000, numPartitions=6).select(F.concat(F.lit("k"), F.pmod(F.col("id") * 7919, F.lit(1_100_000))).alias("key"))
+    keys = sorted({f"k{k * 7919 % 1_100_000}" for k in range(1_200_000)})
+    want = hashlib.sha256(json.dumps(keys, separators=(",", ":")).encode()).hexdigest()
+    made = repro.set_hash(df, "key")
+    assert tuple(made.head()) == (want, len(keys))
+    plan = made._jdf.queryExecution().toString()
+    assert "collect_list" not in plan and "rangepartitioning" in plan
 
 
 def test_a_half_written_cache_is_made_again(spark, tmp_path):
