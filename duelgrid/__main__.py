@@ -16,8 +16,7 @@ from duelgrid.plans.config import RunConfig, build
 from duelgrid.plans.tasks import Data, outputs_of, task_of, with_files
 from duelgrid.sources.arenas import load_arena
 from duelgrid.sources.files import read_text
-from duelgrid.sources.order import in_load_order
-from duelgrid.sources.tables import contexts, read_table
+from duelgrid.sources.tables import contexts, read_ordered, read_table
 
 
 def arguments(argv: list[str]) -> argparse.Namespace:
@@ -39,9 +38,7 @@ def _data(spark: SparkSession, args: argparse.Namespace, config: RunConfig) -> D
     if args.data:
         return with_files(spark, task.read(spark, args.data, config.task))
     asked = contexts(spark, args.instructions, config.task) if "fluency" in config.task else read_table(spark, args.instructions)
-    outputs = read_table(spark, args.outputs) if args.outputs else None
-    if outputs is not None and "ord" not in outputs.columns:
-        outputs = in_load_order(outputs)
+    outputs = read_ordered(spark, args.outputs) if args.outputs else None
     if task.run == "two_turns":
         of = lambda m: None if outputs is None or outputs.where(F.col("model") == m).isEmpty() else outputs.where(F.col("model") == m)
         return Data(asked, of, outputs)

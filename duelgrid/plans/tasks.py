@@ -13,7 +13,6 @@ from duelgrid.operators.completions import model_outputs
 from duelgrid.plans.baselines import EU_LANGUAGES, OTHER_LANGUAGES, split_multilingual
 from duelgrid.sources import tables
 from duelgrid.sources.files import entries, exists
-from duelgrid.sources.order import in_load_order
 
 #: Completions of a model, None where the data has none.
 Completions = Callable[[str], "DataFrame | None"]
@@ -82,15 +81,15 @@ def _tables(spark: SparkSession, root: str, task: str) -> Data:
     """instructions/{task} and, where there is one, model_outputs/{task}, both below root or root/tables."""
     root = f"{root}/tables" if exists(spark, f"{root}/tables") else root
 
-    def found(folder: str) -> DataFrame | None:
+    def found(folder: str, read: Callable[[SparkSession, str], DataFrame]) -> DataFrame | None:
         names = [n for n in entries(spark, f"{root}/{folder}") if any(n == f"{task}{s}" for s in TABLE_SUFFIXES)]
-        return tables.read_table(spark, f"{root}/{folder}/{names[0]}") if names else None
+        return read(spark, f"{root}/{folder}/{names[0]}") if names else None
 
-    asked, outputs = found("instructions"), found("model_outputs")
+    asked, outputs = found("instructions", tables.read_table), found("model_outputs", tables.read_ordered)
     if asked is None:
         raise FileNotFoundError(f"no instructions/{task} below {root}")
     if outputs is not None:
-        outputs = in_load_order(outputs).select("instruction_index", "model", F.coalesce("output", F.lit("")).alias("output"), "ord")
+        outputs = outputs.select("instruction_index", "model", F.coalesce("output", F.lit("")).alias("output"), "ord")
     return Data(asked, outputs_of(outputs), outputs)
 
 

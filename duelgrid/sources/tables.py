@@ -2,15 +2,10 @@
 
 from __future__ import annotations
 
-import io
-import zipfile
-from collections.abc import Iterator
-from functools import reduce
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from duelgrid.sources.archives import read_zip
 from duelgrid.sources.files import entries, files_below
 from duelgrid.sources.order import ORD, in_load_order, place
 
@@ -28,38 +23,16 @@ def read_table(spark: SparkSession, path: str, schema: str | None = None) -> Dat
         reader = spark.read.schema(schema) if schema else spark.read
         return reader.csv(path, header=True, multiLine=True, escape='"')
     if path.endswith(".csv.zip"):
-        return _zipped(spark, path, schema)
+        return read_zip(spark, path, schema)
     raise ValueError(f"no reader for {path!r}")
 
 
-def _zipped(spark: SparkSession, path: str, schema: str | None) -> DataFrame:
-    """A zip codec is what Spark lacks: the archive is one record, its CSV is parsed in a task. Without a schema a first look names the columns."""
-
-    def frames(content: bytes, rows: int | None = None) -> Iterator[pd.DataFrame]:
-        with zipfile.ZipFile(io.BytesIO(content)) as z:
-            for name in sorted(z.namelist()):
-                yield from pd.read_csv(z.open(name), dtype=str, keep_default_na=False, na_values=[], chunksize=5000, nrows=rows)
-
-    archive = spark.read.format("binaryFile").load(path).select("content")
-    if schema is None:
-
-        def header(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                for content in b["content"]:
-                    yield pd.DataFrame({"columns": [list(next(frames(content, 1)).columns)]})
-
-        columns = archive.mapInPandas(header, "columns array<string>").head().columns
-        schema = ", ".join(f"`{c}` string" for c in columns)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for content in b["content"]:
-                yield from frames(content)
-
-    names = ", ".join(f"`{c.strip('`')}` string" for c in (part.strip().split(" ")[0] for part in schema.split(",")))
-    text = archive.mapInPandas(run, names)
-    kinds = dict(part.strip().replace("`", "").split(" ", 1) for part in schema.split(","))
-    return text.select(*(F.col(f"`{c}`").try_cast(k).alias(c) for c, k in kinds.items()))
+def read_ordered(spark: SparkSession, path: str, order: str = ORD) -> DataFrame:
+    """A table with the place of each row, unless it has a column of that name."""
+    raw = read_table(spark, path)
+    if order in raw.columns:
+        return raw
+    return read_zip(spark, path, order=order) if path.endswith(".csv.zip") else in_load_order(raw, order)
 
 
 def choose(columns: list[str], names: tuple[str, ...]) -> str | None:

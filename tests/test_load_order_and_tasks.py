@@ -2,6 +2,7 @@
 
 import json
 import random
+import zipfile
 
 import duckdb
 import pytest
@@ -259,7 +260,8 @@ def test_tables_as_published(spark, tmp_path, capsys):
         (tmp_path / "tables" / folder).mkdir(parents=True)
     (tmp_path / "tables" / "instructions" / "alpaca-eval.csv").write_text("instruction_index,instruction\n" + "".join(f"{k},do {k}\n" for k in range(12)))
     rows = [(k, m, f"{m} {k}") for m in ("mine", "gpt4_1106_preview") for k in range(12)] + [(3, "mine", "mine again")]
-    (tmp_path / "tables" / "model_outputs" / "alpaca-eval.csv").write_text("instruction_index,model,output\n" + "".join(f"{k},{m},{o}\n" for k, m, o in rows))
+    with zipfile.ZipFile(tmp_path / "tables" / "model_outputs" / "alpaca-eval.csv.zip", "w") as z:
+        z.writestr("a.csv", "instruction_index,model,output\n" + "".join(f"{k},{m},{o}\n" for k, m, o in rows))
     assert "all: 12 battles" in run(spark, capsys, tmp_path, tmp_path, task="alpaca-eval", **{"models.model_a": "mine"})
     found = {r.instruction_index: r.judge_input for r in spark.read.parquet(f"{tmp_path}/out/annotations").collect()}
     assert "mine again" in found["3"] and "gpt4_1106_preview 11" in found["11"]
