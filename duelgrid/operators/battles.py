@@ -80,12 +80,27 @@ def battles_per_model(df: DataFrame) -> DataFrame:
     return sides.groupBy("model").agg(F.count("*").alias("battles"))
 
 
-def well_represented(df: DataFrame, least: int = 500) -> DataFrame:
-    """Battles of models that both have at least `least` battles, counted before the filter."""
-    often = battles_per_model(df).where(F.col("battles") >= least).select("model")
+def pair_counts(df: DataFrame) -> DataFrame:
+    """(model_a, model_b, battles) of ordered pairs, which are few however many battles there are."""
+    return df.groupBy("model_a", "model_b").agg(F.count("*").alias("battles"))
+
+
+def well_represented_pairs(df: DataFrame, least: int = 500, one_in: int | None = None) -> DataFrame:
+    """pair_counts() of models that both have at least `least` battles or, where given, one of `one_in` sides of all battles."""
+    pairs = pair_counts(df)
+    each = pairs.select(F.explode(F.array("model_a", "model_b")).alias("model"), "battles").groupBy("model").agg(F.sum("battles").alias("n"))
+    if one_in is None:
+        often = each.where(F.col("n") >= least)
+    else:
+        often = each.join(F.broadcast(each.agg(F.sum("n").alias("all"))), F.col("n") * one_in >= F.col("all"))  # one row
     for side in ("model_a", "model_b"):
-        df = df.join(often.withColumnRenamed("model", side), side, "left_semi")
-    return df
+        pairs = pairs.join(often.select(F.col("model").alias(side)), side, "left_semi")
+    return pairs.select("model_a", "model_b", "battles")
+
+
+def well_represented(df: DataFrame, least: int = 500) -> DataFrame:
+    """Battles of models that both have at least `least` battles, counted before the filter: one join on pairs."""
+    return df.join(well_represented_pairs(df, least), ["model_a", "model_b"], "left_semi")
 
 
 def arena_profile(df: DataFrame) -> DataFrame:

@@ -33,6 +33,11 @@ def pref_summary_each(df: DataFrame, keys: list[str], pref: str = "pref") -> Dat
     return each.groupBy(F.col("g.key").alias("key"), F.col("g.value").alias("value")).agg(*summary_columns(F.col(pref)))
 
 
+def parse_failures(df: DataFrame, by: list[str], **prefs: str) -> DataFrame:
+    """How many preferences of a group could not be parsed: a count for each given name of a column."""
+    return df.groupBy(*by).agg(*(F.count_if(F.col(c).isNull()).alias(n) for n, c in prefs.items()))
+
+
 def stack_swapped(df: DataFrame, pref: str = "pref", pref_swapped: str = "pref_swapped") -> DataFrame:
     """Both orders as 2n rows in the unswapped frame, from one scan."""
     both = F.array(

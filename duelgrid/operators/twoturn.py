@@ -65,3 +65,8 @@ def resolve_one(judged: DataFrame, judgment: str = "judge_completion") -> DataFr
     """winner and pref of items judged in one order; none is inconsistent."""
     out = judged.withColumns({"winner": verdict_winner(verdict(F.col(judgment)), F.lit(False)), "inconsistent": F.lit(False)})
     return out.withColumn("pref", winner_preference(F.col("winner")))
+
+
+def inconsistencies(resolved: DataFrame, by: list[str]) -> DataFrame:
+    """n_inconsistent and n_items of resolved items, by group."""
+    return resolved.groupBy(*by).agg(F.count_if("inconsistent").alias("n_inconsistent"), F.count("*").alias("n_items"))

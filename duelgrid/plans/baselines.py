@@ -21,6 +21,7 @@ BASELINES: dict[str, str | Mapping[str, str]] = {
     "m-arena-hard-v2.0": "google/gemini-2.5-flash",
     "mt-bench": "gpt-4",
 }
+# Languages of the multilingual tasks, their names, and the arenas of rating tasks.
 EU_LANGUAGES = ("cs", "de", "el", "en", "es", "fr", "it", "nl", "pl", "pt", "ro", "uk")
 OTHER_LANGUAGES = ("ar", "fa", "he", "hi", "id", "ja", "ko", "ru", "tr", "vi", "zh")
 MULTILINGUAL = ("m-arena-hard-v0.1", "m-arena-hard-v2.0")
@@ -59,7 +60,11 @@ def with_baseline(instructions: DataFrame, task: str, model_b: str | None = None
     return instructions.withColumn("model_b", F.coalesce(found, unknown))
 
 
-def display_name(instructions: DataFrame) -> str:
-    """The distinct baselines, sorted and joined by +; a run compares with few of them."""
+def distinct_baselines(instructions: DataFrame) -> DataFrame:
+    """(baselines, flat): the distinct baselines, sorted and joined by +, and whether there is one only; a run compares with few of them."""
     names = F.array_sort(F.collect_set("model_b"))
-    return instructions.agg(F.array_join(names, "+").alias("n")).head().n
+    return instructions.agg(F.array_join(names, "+").alias("baselines"), (F.size(names) == 1).alias("flat"))
+
+
+def display_name(instructions: DataFrame) -> str:
+    return distinct_baselines(instructions).head().baselines

@@ -16,6 +16,7 @@ from duelgrid.operators import completions as O
 from duelgrid.operators import ratings as R
 from duelgrid.operators import summary as S
 from duelgrid.operators import twoturn as TT
+from duelgrid.sources.arenas import finish
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -151,7 +152,7 @@ def conservative_winner(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(_G + "select model, count(*) filter (where inconsistent) as n_inconsistent, count(*) as n_items from r group by model")
 def inconsistency_rate(spark: SparkSession, sf: str) -> DataFrame:
-    return TT.resolve_both(_judged(spark, sf)).groupBy("model").agg(F.count_if("inconsistent").alias("n_inconsistent"), F.count("*").alias("n_items"))
+    return TT.inconsistencies(TT.resolve_both(_judged(spark, sf)), ["model"])
 
 
 # --- summaries --------------------------------------------------------------------------------------------------------
@@ -185,8 +186,7 @@ def swap_both_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(_J + "select model, count(*) filter (where pref is null) as direct, count(*) filter (where pref_swapped is null) as swapped from p group by model")
 def parse_failures(spark: SparkSession, sf: str) -> DataFrame:
-    df = _with_prefs(_judged(spark, sf))
-    return df.groupBy("model").agg(F.count_if(F.col("pref").isNull()).alias("direct"), F.count_if(F.col("pref_swapped").isNull()).alias("swapped"))
+    return S.parse_failures(_with_prefs(_judged(spark, sf)), ["model"], direct="pref", swapped="pref_swapped")
 
 
 @query(_J + "select event_id, case when pos_a then pref else round(1 - pref, 9) end as pref_ours from p")
@@ -217,12 +217,7 @@ def battle_counts_per_model(spark: SparkSession, sf: str) -> DataFrame:
 )
 def well_represented_semi(spark: SparkSession, sf: str) -> DataFrame:
     """Battles collapse to pairs first; the threshold is the mean number of battles of a model."""
-    pairs = _battles(spark, sf).groupBy("model_a", "model_b").agg(F.count("*").alias("battles"))
-    each = pairs.select(F.explode(F.array("model_a", "model_b")).alias("model"), "battles").groupBy("model").agg(F.sum("battles").alias("n"))
-    often = each.join(F.broadcast(each.agg((F.sum("n") / 25).alias("least"))), F.col("n") >= F.col("least")).select("model")
-    for side in ("model_a", "model_b"):
-        pairs = pairs.join(often.withColumnRenamed("model", side), side, "left_semi")
-    return pairs.select("model_a", "model_b", "battles")
+    return B.well_represented_pairs(_battles(spark, sf), one_in=25)
 
 
 @query(_B + "select count(*) as battles, (select count(distinct m) from (select unnest([model_a, model_b]) as m from b)) as models, count(distinct model_a) as languages from b")
@@ -476,7 +471,12 @@ def conversation_nest(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(_CONV + "select conv_id from c where len(conversation) = 2")
 def single_turn_filter(spark: SparkSession, sf: str) -> DataFrame:
-    return V.view(spark, sf, V.CONVERSATIONS).where(F.size("conversation") == 2).select("conv_id")
+    talk = F.col("conversation")
+    raw = V.view(spark, sf, V.CONVERSATIONS).select(
+        F.col("conv_id").alias("question_id"), F.lit(0).cast("long").alias("tstamp"), F.lit("m").alias("model_a"), F.lit("n").alias("model_b"),
+        F.lit("tie").alias("winner"), talk.alias("conversation_a"), talk.alias("conversation_b"),
+    )
+    return finish(raw, "conversations", single_turn=True).select(F.col("question_id").cast("long").alias("conv_id"))
 
 
 @query(_CONV + "select conv_id, conversation[1].content as first_text, conversation[2].content as second_text from c")

@@ -26,7 +26,9 @@ _RAW = f"with h as ({V.HUMAN}), r as (select h.*, text from h join documents d o
 
 
 def _part(side: str) -> Column:
-    return F.expr(f"{side}(text, cast(length(text) div 2 as int))")
+    """The first half of a text, which has the middle character of an odd number, or the rest."""
+    length = "length(text) div 2" if side == "right" else "length(text) - length(text) div 2"
+    return F.expr(f"{side}(text, cast({length} as int))")
 
 
 def _digest(text: Column, name: str) -> list[Column]:
@@ -35,7 +37,8 @@ def _digest(text: Column, name: str) -> list[Column]:
 
 
 def _half(text: str, name: str) -> str:
-    half = f"{'right' if name.endswith('b') or name.endswith('2') else 'left'}({text}, (length({text}) // 2)::int)"
+    rest = name.endswith(("b", "2"))
+    half = f"{'right' if rest else 'left'}({text}, ({'' if rest else f'length({text}) - '}length({text}) // 2)::int)"
     return f"length({half})::bigint as {name}_n, md5({half}) as {name}"
 
 
@@ -231,8 +234,7 @@ def baseline_by_category(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("select string_agg(source, '+' order by source) as baselines, count(*) = 1 as flat from (select distinct source from documents)")
 def distinct_baselines(spark: SparkSession, sf: str) -> DataFrame:
-    names = F.array_sort(F.collect_set("source"))
-    return spark.read.parquet(f"{sf}/documents.parquet").agg(F.array_join(names, "+").alias("baselines"), (F.size(names) == 1).alias("flat"))
+    return baselines.distinct_baselines(spark.read.parquet(f"{sf}/documents.parquet").select(F.col("source").alias("model_b")))
 
 
 @query(_B + "select model_a, model_b, pref, count(*) as battles from b group by all")

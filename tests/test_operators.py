@@ -139,6 +139,8 @@ def test_calibration(spark):
     rows = C.agreement_histogram(df).collect()
     assert abs(sum(r.n * r.z / (1 + np.exp(t * r.z)) for r in rows)) < 1e-6
     assert C.calibrate_temperature(df.limit(3), default=0.3) == 0.3
+    # more distinct differences than one process takes are summed in Spark
+    assert C.calibrate_temperature(df, most=4) == pytest.approx(t, abs=1e-6)
     with pytest.raises(ValueError, match="tie"):
         C.calibrate_temperature(df.where("y = 0.5"))
     with pytest.raises(ValueError):
