@@ -80,15 +80,15 @@ def in_blocks(vectors: DataFrame, scale: int, most_rows: int, most_bytes: int, n
 
 
 def every_pair(asking: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Each row of asking beside each block, as columns q_... and v_..., the rows of a lane next to each other.
+    """Each row of asking beside each block, as columns q_... and v_..., all rows of a block next to each other.
 
     A lane holds its share of the blocks, and each asking row goes to every lane: an equi-join whose number of copies is
-    the number of lanes, not of blocks.
+    the number of lanes, not of blocks. A lane's blocks stream past its asking rows, which Spark keeps on disk where they are many.
     """
     lanes = max(1, int(asking.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    left = asking.select(*(F.col(c).alias(f"q_{c}") for c in asking.columns)).withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
-    right = blocks.select(*(F.col(c).alias(f"v_{c}") for c in blocks.columns)).withColumn("lane", F.pmod(F.xxhash64("v_block"), F.lit(lanes)).cast("int"))
-    return left.hint("shuffle_merge").join(right, "lane")
+    asked = asking.select(*(F.col(c).alias(f"q_{c}") for c in asking.columns)).withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
+    held = blocks.select(*(F.col(c).alias(f"v_{c}") for c in blocks.columns)).withColumn("lane", F.pmod(F.xxhash64("v_block"), F.lit(lanes)).cast("int"))
+    return held.hint("shuffle_merge").join(asked, "lane")
 
 
 def block_at(batch: pa.RecordBatch, row: int, side: str) -> Block:

@@ -3,22 +3,23 @@
 from __future__ import annotations
 
 import heapq
-import math
 from collections.abc import Iterator
-from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from duelgrid.llm.common import materialize, small_batches, table
+from duelgrid.llm.blocks import Block, block_at, every_pair, in_blocks
+from duelgrid.llm.common import table
 
 SCALE, TOP, EVERY = 1024, 10, 100
-#: Bits of an attribute in the index and of a query's weights; rows of one index; queries that one pass broadcasts.
-SLICES, WEIGHT_BITS, BLOCK_ROWS, PASS_QUERIES = 5, 5, 1 << 16, 20_000
-#: Components from which on a vector is kept out of the index, and scores up to which the index's bounds are exact.
-LARGE, EXACT = 2.0**30, 2**50
+#: Bits of an attribute in the index and of a query's weights; rows of one index, queries of a block, and bytes of either.
+SLICES, WEIGHT_BITS, BLOCK_ROWS, BLOCK_QUERIES, BLOCK_BYTES = 5, 5, 1 << 14, 512, 16 << 20
+#: Queries whose best rows a task holds before it hands them on.
+HELD = 50_000
+#: Whole numbers from which on a vector is kept out of the index, and scores up to which the index's bounds are exact.
+LARGE, EXACT = 2.0**40, 2**50
 
 SQL = """
 WITH v AS (
@@ -156,32 +157,33 @@ class BitSliced:
         return self.ids[at], scores
 
 
-class Vectors(NamedTuple):
-    ids: np.ndarray
-    rows: np.ndarray
-    #: Vectors with components of LARGE or more, as whole numbers of any size.
-    large: list[tuple[int, list[int]]]
-
-
-def integers(batch: pa.RecordBatch) -> Vectors:
-    """vec_ids and rows of floor(SCALE * x) of the vectors that take part, shorter ones padded with zeros."""
-    ids, rows, large = [], [], []
-    for i, v in zip(batch.column("vec_id").to_pylist(), batch.column("embedding"), strict=True):
-        values = v.values
-        if i is None or values is None or values.null_count:
-            continue
-        x = values.to_numpy(zero_copy_only=False).astype(np.float64)
-        if np.isfinite(x).all():
-            if np.abs(x).max(initial=0) < LARGE:
-                ids.append(i)
-                rows.append(np.floor(SCALE * x).astype(np.int64))
-            else:
-                large.append((i, [SCALE * int(c) if abs(c) >= LARGE else math.floor(SCALE * c) for c in x.tolist()]))
-    width = max(map(len, rows), default=0)
-    out = np.zeros((len(rows), width), np.int64)
-    for k, r in enumerate(rows):
-        out[k, : len(r)] = r
-    return Vectors(np.array(ids, np.int64), out, large)
+class Index:
+    """A block's bit-sliced index, and the rows whose components are too large for it."""
+
+    def __init__(self, block: Block):
+        large = np.abs(block.wholes).max(1, initial=0) >= LARGE
+        self.number, self.large = block.number, [(i, whole_numbers(r)) for i, r in zip(block.ids[large].tolist(), block.wholes[large])]
+        self.sliced = BitSliced(block.ids[~large], block.wholes[~large].astype(np.int64)) if not large.all() else None
+
+    def best(self, query_id: int, query: np.ndarray, k: int, least: int | None) -> list[tuple[int, int]]:
+        """(-score, id) of rows that hold the k best ones other than the query's own; those under `least` may be missing."""
+        found: list[tuple[int, int]] = []
+        exact = whole_numbers(query)
+        sliced = self.sliced
+        if sliced is not None:
+            width = max(len(query), sliced.rows.shape[1])
+            if sum(abs(q) * int(m) for q, m in zip(exact, sliced.most)) < EXACT and np.abs(query).max(initial=0) < LARGE:
+                fitted = np.pad(query.astype(np.int64), (0, width - len(query)))[: sliced.rows.shape[1]]
+                ids, scores = sliced.top(query_id, fitted, k, least)
+                found += zip((-scores).tolist(), ids.tolist())
+            else:  # 64-bit sums or the bounds of the index may not hold
+                found += [(-exact_score(exact, r.tolist()), i) for i, r in zip(sliced.ids.tolist(), sliced.rows)]
+        found += [(-exact_score(exact, r), i) for i, r in self.large]
+        return [x for x in found if x[1] != query_id]
+
+
+def whole_numbers(row: np.ndarray) -> list[int]:
+    return [int(x) for x in row.tolist()]
 
 
 def exact_score(a: list[int], b: list[int]) -> int:
@@ -189,74 +191,53 @@ def exact_score(a: list[int], b: list[int]) -> int:
     return max(-(2**63), min(2**63 - 1, sum(x * y for x, y in zip(a, b))))
 
 
-def _fitted(rows: np.ndarray, width: int) -> np.ndarray:
-    return rows if rows.shape[1] == width else np.pad(rows, ((0, 0), (0, width - rows.shape[1])))
+def _search(source: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """The k best rows of each query among the blocks that a task sees; all queries of a block come one after the other."""
+    index: Index | None = None
+    best: dict[int, list[tuple[int, int]]] = {}
 
+    def out() -> Iterator[pa.RecordBatch]:
+        rows = [(q, i, -s) for q, found in best.items() for s, i in found]
+        for n in range(0, len(rows), 20_000):
+            columns = zip(*rows[n : n + 20_000])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["query_id", "vec_id", "score"])
+        best.clear()
 
-def _search(source: Iterator[pa.RecordBatch], queries: list[tuple[int, list[int]]], k: int) -> Iterator[pa.RecordBatch]:
-    best: list[list[tuple[int, int]]] = [[] for _ in queries]
-    held: list[Vectors] = []
-
-    def keep(at: int, scores: list[int], ids: list[int]) -> None:
-        best[at] = heapq.nsmallest(k, [*best[at], *((-s, i) for s, i in zip(scores, ids) if i != queries[at][0])])
-
-    def run() -> None:
-        large = [x for h in held for x in h.large]
-        width = max([*(h.rows.shape[1] for h in held), *(len(q) for _, q in queries)], default=0)
-        index = BitSliced(np.concatenate([h.ids for h in held]), np.concatenate([_fitted(h.rows, width) for h in held]))
-        for at, (query_id, query) in enumerate(queries):
-            if sum(abs(q) * int(m) for q, m in zip(query, index.most)) < EXACT:
-                least = -best[at][k - 1][0] if len(best[at]) >= k else None
-                ids, scores = index.top(query_id, np.pad(np.array(query, np.int64), (0, width - len(query))), k, least)
-                keep(at, scores.tolist(), ids.tolist())
-            else:  # 64-bit sums or the bounds of the index may not hold
-                keep(at, [exact_score(query, r.tolist()) for r in index.rows], index.ids.tolist())
-            keep(at, [exact_score(query, r) for _, r in large], [i for i, _ in large])
-        held.clear()
-
-    size = 0
     for batch in source:
-        held.append(integers(batch))
-        size += batch.num_rows
-        if size >= BLOCK_ROWS:
-            run()
-            size = 0
-    if held and queries:
-        run()
-    out = [(q, i, -s) for (q, _), found in zip(queries, best) for s, i in found]
-    for k in range(0, len(out), 20_000):
-        columns = zip(*out[k : k + 20_000])
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["query_id", "vec_id", "score"])
-
-
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = TOP, most: int = PASS_QUERIES) -> DataFrame:
+        for row in range(batch.num_rows):
+            if index is None or index.number != batch.column("v_block")[row].as_py():
+                index = Index(block_at(batch, row, "v"))
+            asked = block_at(batch, row, "q")
+            for query_id, query in zip(asked.ids.tolist(), asked.wholes):
+                before = best.get(query_id, [])
+                least = -before[k - 1][0] if len(before) >= k else None
+                best[query_id] = heapq.nsmallest(k, [*before, *index.best(query_id, query, k, least)])
+            if len(best) > HELD:
+                yield from out()
+    yield from out()
+
+
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = TOP, rows: int = BLOCK_ROWS, asked: int = BLOCK_QUERIES) -> DataFrame:
     """query_id, rank, vec_id, score: for each query (vec_id, embedding) its k best vectors (vec_id, embedding).
 
     Scores are integer inner products of floor(1024 * x); ties go to the smaller vec_id; a query's own id is no candidate.
-    Every partition indexes its rows in blocks and answers all queries of a pass; `most` bounds the queries of a pass,
-    which are broadcast, and more queries take more passes. Partial answers, k rows per query and partition, meet by query.
+    Vectors and queries are written as blocks of `rows` and `asked` rows; each block of vectors is indexed once, in one task,
+    and all blocks of queries stream past it. Neither passes through the driver. Partial answers, k rows per query and task,
+    meet by query.
 
     Null vectors, vectors that hold null or non-finite components, and rows without an id take no part. Shorter vectors
     count as padded with zeros. Repeated rows are candidates each. Of query rows with one id, the one whose whole numbers
     come first counts. A score that a long cannot hold becomes the nearest that it can. Other columns are not read. Empty
     tables give no rows.
     """
-    spark = vectors.sparkSession
-    small_batches(spark)
-    source = vectors.selectExpr("cast(vec_id as long) vec_id", "embedding")
+    typed = lambda df: df.selectExpr("cast(vec_id as long) vec_id", "0L label", "embedding")
     usable = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    asked = queries.selectExpr("cast(vec_id as long) vec_id", "embedding").where("vec_id is not null and embedding is not null").where(usable)
     whole = F.transform("embedding", lambda x: F.floor(x.cast("double") * SCALE))
-    asked = materialize(asked.groupBy("vec_id").agg(F.min_by("embedding", whole).alias("embedding")), "asked")
-    passes = max(1, -(-asked.count() // most))
-    parts = None
-    for n in range(passes):
-        chosen = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(passes)) == n).toArrow()
-        found = [integers(b) for b in chosen.to_batches()]
-        listed = sorted([x for f in found for x in [*zip(f.ids.tolist(), f.rows.tolist()), *f.large]])
-        shared = spark.sparkContext.broadcast(listed)
-        part = source.mapInArrow(lambda it, s=shared: _search(it, s.value, k), "query_id long, vec_id long, score long")
-        parts = part if parts is None else parts.unionAll(part)
+    chosen = typed(queries).where("vec_id is not null and embedding is not null").where(usable)
+    chosen = chosen.groupBy("vec_id").agg(F.min_by("embedding", whole).alias("embedding")).selectExpr("vec_id", "0L label", "embedding")
+    told = in_blocks(chosen, SCALE, asked, BLOCK_BYTES, "asked")
+    blocks = in_blocks(typed(vectors), SCALE, rows, BLOCK_BYTES, "vectors")
+    parts = every_pair(told, blocks).mapInArrow(lambda it: _search(it, k), "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return parts.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -600,7 +600,7 @@ def test_top_k_odd(spark):
     vectors = [(k, [float(np.float32(x)) for x in rng.normal(size=5).round(1)]) for k in range(300)]
     vectors += [(400, None), (401, [None, 1.0]), (402, [float("nan"), 1.0]), (403, [float("inf")]), (404, []), (500, [1e5, -1e5]), (None, [1.0]), (405, [2.0])]
     df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>").withColumn("score", F.lit(1)).repartition(4)
-    got = sorted(tuple(r) for r in topk.top_k(df, df.where("vec_id % 100 = 0"), most=2).collect())
+    got = sorted(tuple(r) for r in topk.top_k(df, df.where("vec_id % 100 = 0"), rows=64, asked=2).collect())
     assert got == brute_top(vectors, 10)
     few = df.where("vec_id < 4 or vec_id = 100")
     assert topk.top_k(few, few.where("vec_id % 100 = 0")).count() == 8
