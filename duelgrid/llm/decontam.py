@@ -315,5 +315,5 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRE
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The items of `benchmark` that each of `documents` holds; documents without one have no row."""
+    """The items of `benchmark` that each of `documents` holds, with their scores and overlaps; documents without one have no row."""
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -174,7 +174,8 @@ def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
 def with_language(docs: DataFrame, model: Model, language: str = "lang_pred", score: str = "score") -> DataFrame:
     """docs with two more columns, the predicted language and its probability; other columns pass through untouched.
 
-    Null texts and texts without a letter get `und` and 0. A document is scored by itself, whatever its length, and
+    Null texts and texts without a letter get `und` and 0. Of languages that are equally likely the first by name is given. A
+    document is scored by itself, whatever its length, and
     rows that repeat get equal results. Existing columns of the two names are replaced.
     """
     spark = docs.sparkSession

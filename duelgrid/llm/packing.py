@@ -228,6 +228,7 @@ def pack(docs: DataFrame, tokenizer: str = WORD_TOKENIZER, window: int = WINDOW,
 
     Null and empty texts are documents of the end id alone. A null doc_id stays null. Repeated rows are packed each by
     itself. Other columns are not read. An empty table gives no rows. Texts of any length are cut into whole windows.
+    Sequences are numbered by partition and in it as its rows come, so that their numbers follow Spark's split of the files.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
@@ -240,5 +241,8 @@ def pack(docs: DataFrame, tokenizer: str = WORD_TOKENIZER, window: int = WINDOW,
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pieces of packed sequences of all `documents`."""
+    """All `documents` packed into sequences of at most 4096 tokens, padded to 4096 or ending at a power of two.
+
+    Per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and sequence_length.
+    """
     return pack(table(spark, sf_dir, "documents"))

@@ -247,7 +247,8 @@ def with_quality(docs: DataFrame, words: np.ndarray, network: Network, score: st
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Learns labels of documents whose crc32 of doc_id, modulo 3, is not 1; a null doc_id is not held out.
 
-    A doc_id whose label rows disagree teaches nothing; label rows that repeat count once.
+    A doc_id whose label rows disagree teaches nothing; label rows that repeat count once. A score of exactly one half
+    predicts 1. Per document: doc_id, held_out, score and predicted.
     """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = F.coalesce(crc_mod(F.col("doc_id"), 3) == 1, F.lit(False))

@@ -253,5 +253,5 @@ def unique_documents(docs: DataFrame) -> DataFrame:
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fingerprints and components of `documents`: four-word shingles, links at four differing bits."""
+    """Per document of `documents`: doc_id, fingerprint over four-word shingles, and component_id of links at four differing bits."""
     return near_duplicates(table(spark, sf_dir, "documents"))

@@ -455,5 +455,9 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Removal of repeated strings of 400 bytes from `documents`; n_repeated counts passages of 200, which fifty words exceed."""
+    """Every byte of `documents` that a 400-byte string covers which also starts elsewhere is removed.
+
+    Per document: doc_id, n_bytes, n_removed, n_spans and kept_sha256 of what is left; n_repeated counts the bytes of passages of
+    200, which fifty words exceed.
+    """
     return remove_repeats(table(spark, sf_dir, "documents"), passage=PASSAGE)

@@ -143,7 +143,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str = WORD_TOKENIZER) ->
     Spark's Parquet writer commits the blocks, so retried and speculative tasks leave no half-written file, and a reader
     finds the block of a document by the statistics of first_doc and last_doc.
 
-    A null doc_id sorts first; a null text counts as empty; repeated ids are ordered by text and kept. Documents are
+    A null doc_id sorts first; a null text counts as empty; repeated ids are ordered by a hash of the text and kept. Documents are
     dealt out by ranges of (doc_id, hash of the text), so that a much repeated id is still spread over partitions.
     """
     spark = docs.sparkSession
@@ -182,7 +182,10 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 
 
 def op7_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token files of `documents`, written to the shared scratch folder and read back."""
+    """Token files of `documents`, written to the shared scratch folder and read back.
+
+    Per document from the files: doc_id, start (ids of all documents before it), n_tokens (with the end id) and ids_crc32.
+    """
     import uuid
 
     path = f"{scratch_dir(spark)}/token-files-{uuid.uuid4().hex}"

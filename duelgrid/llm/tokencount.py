@@ -90,5 +90,5 @@ def count_tokens(docs: DataFrame, model: str = PIECE_MODEL, limit: int = LIMIT,
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token counts of all `documents` by the sentencepiece model."""
+    """Per document of `documents`: doc_id, n_bytes, n_tokens by the sentencepiece model, and over_limit (more than 4096)."""
     return count_tokens(table(spark, sf_dir, "documents"))

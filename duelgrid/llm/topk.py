@@ -243,6 +243,6 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = TOP, rows: int = BLOC
 
 
 def op9_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 10 best vectors of `embeddings` for each of its vectors whose id is divisible by 100."""
+    """The 10 best vectors of `embeddings` for each of its vectors whose id is divisible by 100: query_id, rank, vec_id, score."""
     vectors = table(spark, sf_dir, "embeddings")
     return top_k(vectors, vectors.where(F.col("vec_id") % EVERY == 0))
