@@ -24,4 +24,4 @@ def llm_queries() -> dict[str, Query]:
 
 
 def llm_sql() -> dict[str, str]:
-    return {"op9_topk_search": topk.SQL, "op13_hard_negatives": hardneg.SQL}
+    return {"op9_topk_search": topk.SQL, "op11_minhash": minhash.SQL, "op13_hard_negatives": hardneg.SQL}

@@ -2,6 +2,7 @@
 
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -31,6 +32,12 @@ def test_query_is_all_pairs(spark, roots):
     assert got(minhash.op11_minhash(spark, SF)) == brute(docs, roots)
 
 
+def test_query_is_its_sql(spark):
+    duckdb.sql(f"create or replace temp view documents as from '{SF}/documents.parquet'")
+    want = {d: (n, c, k) for d, n, c, k in duckdb.sql(minhash.SQL).fetchall()}
+    assert got(minhash.op11_minhash(spark, SF)) == want
+
+
 def variants(rng, base, n, edits):
     out = []
     for _ in range(n):
