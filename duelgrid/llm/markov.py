@@ -49,19 +49,20 @@ def boundaries(model: Hmm, sequences: list[np.ndarray], steps: int = STEPS) -> d
     states, long = len(model.start), _blocks(sequences, steps)
     blocks, products = [b for bs in long for b in bs], {}
     emit = np.vstack([model.emit, np.ones(states)])
-    most = max(1, TOGETHER // (states * steps))
+    most = max(1, TOGETHER // steps)
     for k in range(0, len(blocks), most):
         part = blocks[k : k + most]
         symbols = np.full((len(part), steps), len(model.emit))
         for row, b in zip(symbols, part):
             row[: b.end - b.begin] = sequences[b.sequence][b.begin : b.end]
         begins = np.array([b.begin == 0 for b in part])
-        p = np.repeat(np.eye(states)[None], len(part), 0)
+        p, weights = np.repeat(np.eye(states)[None], len(part), 0), emit[np.ascontiguousarray(symbols.T)]
         for t in range(steps):
-            p = p @ model.move
+            # one product of all blocks' rows
+            p = np.matmul(p.reshape(-1, states), model.move).reshape(p.shape)
             if not t:
                 p[begins] = model.start
-            p *= emit[symbols[:, t]][:, None]
+            p *= weights[t][:, None]
             if t % 16 == 15:
                 p /= p.sum((1, 2), keepdims=True)
         products |= dict(zip(part, p / p.sum((1, 2), keepdims=True), strict=True))
