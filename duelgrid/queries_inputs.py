@@ -9,11 +9,13 @@ from duelgrid import views as V
 from duelgrid.functions import prefs as P
 from duelgrid.functions import text as T
 from duelgrid.operators import battles as B
+from duelgrid.operators import completions
 from duelgrid.operators import ratings as R
 from duelgrid.operators import twoturn as TT
 from duelgrid.plans import baselines, cache, criteria
 from duelgrid.queries import _B, _H, _ITEMS, _OUT, _Q, _WINNER_PREF, query
 from duelgrid.sources import arenas, language, tables
+from duelgrid.sources.order import in_load_order
 
 
 def _human_texts(spark: SparkSession, sf: str) -> DataFrame:
@@ -349,3 +351,23 @@ def content_digest(spark: SparkSession, sf: str) -> DataFrame:
     """What a cache knows a table by: its rows, in any order."""
     d = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
     return cache.table_digest(d)
+
+
+@query(
+    "select l_suppkey, l_orderkey, l_linenumber from (select *, row_number() over (partition by l_suppkey order by n) as r "
+    "from (select *, row_number() over () as n from lineitem)) where r = 1"
+)
+def first_in_file_order(spark: SparkSession, sf: str) -> DataFrame:
+    """The row of each supplier that stands first in the file, which is not sorted by it."""
+    lines = in_load_order(spark.read.parquet(f"{sf}/lineitem.parquet").select("l_suppkey", "l_orderkey", "l_linenumber"))
+    return completions.first_rows(lines, "l_suppkey", "ord").select("l_suppkey", "l_orderkey", "l_linenumber")
+
+
+@query(
+    "select doc_id, lang from (select doc_id, lang, row_number() over (partition by lang order by n) as r, n "
+    "from (select *, row_number() over () as n from documents)) where r <= 40 order by n limit 120"
+)
+def panel_in_file_order(spark: SparkSession, sf: str) -> DataFrame:
+    """The first rows of each language, and of those the first in all, as they stand in the file."""
+    d = in_load_order(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"))
+    return B.panel(d, None, 120, 40, "doc_id", "ord").select("doc_id", "lang")
