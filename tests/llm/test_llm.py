@@ -789,4 +789,4 @@ def test_copies_without_an_id_of_their_own_leave_one(spark):
 
 def test_registry_names_every_operator():
     names = registry.llm_queries()
-    assert {n.split("_")[0] for n in names} == {f"op{k}" for k in range(1, 11)} and set(registry.llm_sql()) <= set(names)
+    assert {n.split("_")[0] for n in names} == {f"op{k}" for k in range(1, 14)} and set(registry.llm_sql()) <= set(names)
