@@ -1,19 +1,24 @@
 """Forward and backward recursions of a hidden Markov model over many sequences at once, exact at any length.
 
-Sequences are laid end to end in lanes of equal length, which advance together. A sequence longer than a lane is cut into
-blocks; each block's product of moves and emissions gives the messages that cross its ends, so that the cuts change nothing.
+Sequences advance together, the longest first, so that those that are not over are always the first ones of a step and a
+step is a few products of slices. A sequence longer than a block is cut into blocks; each block's product of moves and
+emissions gives the messages that cross its ends, so that the cuts change nothing.
 """
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 
-#: Steps of a lane at most, and symbols that are worked on together.
+#: Steps of a block at most, symbols that callers hand over together, and symbols and pieces that advance together.
 STEPS, TOGETHER = 2048, 800_000
+ABREAST, WIDTH = 400_000, 2048
+#: Messages are scaled to a sum of one once in so many steps; in between they stay far above the least double.
+SCALED = 8
+#: Posteriors that are added up at a time.
+COUNTED = 16_384
 
 
 class Hmm(NamedTuple):
@@ -28,44 +33,64 @@ class Piece(NamedTuple):
     end: int
 
 
-class Lanes(NamedTuple):
-    #: Steps x lanes; one beyond the last symbol where a lane is over.
+class Abreast(NamedTuple):
+    """Pieces that advance together, by falling length; their symbols step by step, the pieces of a step one after the other."""
+
+    pieces: list[Piece]
+    sizes: np.ndarray
     symbols: np.ndarray
-    #: Steps x lanes: a sequence begins.
-    first: np.ndarray
-    #: Lanes x states: what comes in from the block before and goes out to the one after; even where there is none.
-    into: np.ndarray
-    out_of: np.ndarray
-    #: Steps x lanes: the sequence.
-    owner: np.ndarray
+    #: Where each step begins, and after the last one the number of symbols.
+    at: list[int]
 
 
 def _blocks(sequences: list[np.ndarray], steps: int) -> list[list[Piece]]:
     return [[Piece(k, a, min(a + steps, len(s))) for a in range(0, len(s), steps)] for k, s in enumerate(sequences) if len(s) > steps]
 
 
+def _abreast(sequences: list[np.ndarray], pieces: list[Piece]) -> Iterator[Abreast]:
+    """The pieces, none of which is empty, in groups."""
+    pieces = sorted(pieces, key=lambda b: b.begin - b.end)
+    group, size = [], 0
+    for b in pieces:
+        if group and (size + b.end - b.begin > ABREAST or len(group) == WIDTH):
+            yield _group(sequences, group)
+            group, size = [], 0
+        group.append(b)
+        size += b.end - b.begin
+    if group:
+        yield _group(sequences, group)
+
+
+def _group(sequences: list[np.ndarray], pieces: list[Piece]) -> Abreast:
+    sizes = np.array([b.end - b.begin for b in pieces])
+    # so many pieces have a symbol at a step
+    wide = len(sizes) - np.searchsorted(sizes[::-1], np.arange(sizes[0]), side="right")
+    at = np.cumsum(wide) - wide
+    lane = np.arange(sizes.sum()) - np.repeat(at, wide)
+    source = (np.cumsum(sizes) - sizes).take(lane) + np.repeat(np.arange(len(wide)), wide)
+    symbols = np.concatenate([sequences[b.sequence][b.begin : b.end] for b in pieces]).take(source)
+    return Abreast(pieces, sizes, symbols, [*at.tolist(), len(symbols)])
+
+
 def boundaries(model: Hmm, sequences: list[np.ndarray], steps: int = STEPS) -> dict[Piece, tuple[np.ndarray, np.ndarray]]:
     """For each block of a long sequence: the forward message before it and the backward message after it, up to scale."""
     states, long = len(model.start), _blocks(sequences, steps)
-    blocks, products = [b for bs in long for b in bs], {}
-    emit = np.vstack([model.emit, np.ones(states)])
-    most = max(1, TOGETHER // steps)
-    for k in range(0, len(blocks), most):
-        part = blocks[k : k + most]
-        symbols = np.full((len(part), steps), len(model.emit))
-        for row, b in zip(symbols, part):
-            row[: b.end - b.begin] = sequences[b.sequence][b.begin : b.end]
-        begins = np.array([b.begin == 0 for b in part])
-        p, weights = np.repeat(np.eye(states)[None], len(part), 0), emit[np.ascontiguousarray(symbols.T)]
-        for t in range(steps):
-            # one product of all blocks' rows
-            p = np.matmul(p.reshape(-1, states), model.move).reshape(p.shape)
-            if not t:
-                p[begins] = model.start
-            p *= weights[t][:, None]
-            if t % 16 == 15:
-                p /= p.sum((1, 2), keepdims=True)
-        products |= dict(zip(part, p / p.sum((1, 2), keepdims=True), strict=True))
+    products: dict[Piece, np.ndarray] = {}
+    # a row of emissions for each state before the block
+    emit = np.tile(model.emit, states)
+    for group in _abreast(sequences, [b for bs in long for b in bs]):
+        at, begins = group.at, [b.begin == 0 for b in group.pieces]
+        # block, state before the block, state now
+        p = np.repeat(model.move[None], len(begins), 0)
+        p[begins] = model.start
+        for t in range(len(at) - 1):
+            now = p[: at[t + 1] - at[t]]
+            if t:
+                now[:] = np.matmul(now.reshape(-1, states), model.move).reshape(now.shape)
+            now *= emit.take(group.symbols[at[t] : at[t + 1]], 0).reshape(now.shape)
+            if t % SCALED == SCALED - 1:
+                now /= now.sum((1, 2), keepdims=True)
+        products |= dict(zip(group.pieces, p / p.sum((1, 2), keepdims=True), strict=True))
     found = {}
     for bs in long:
         into, forward = np.full(states, 1 / states), []
@@ -81,98 +106,81 @@ def boundaries(model: Hmm, sequences: list[np.ndarray], steps: int = STEPS) -> d
     return found
 
 
-def lanes_of(model: Hmm, sequences: list[np.ndarray], steps: int = STEPS) -> Iterator[Lanes]:
-    """All of the sequences in lanes, about TOGETHER symbols at a time."""
+def groups_of(model: Hmm, sequences: list[np.ndarray], steps: int = STEPS) -> Iterator[tuple[Abreast, np.ndarray, np.ndarray]]:
+    """All of the sequences in groups of pieces, with what comes into each piece and goes out of it (pieces x states).
+
+    Zeros come into a piece that begins its sequence.
+    """
     crossing = boundaries(model, sequences, steps)
-    lanes: list[list[Piece]] = [[b] for b in crossing]
-    short = deque(sorted((Piece(k, 0, len(s)) for k, s in enumerate(sequences) if 0 < len(s) <= steps), key=lambda b: b.begin - b.end))
-    height = steps if lanes else short[0].end if short else 0
-    k = 0
-    while short or k < len(lanes):
-        if k == len(lanes):
-            lanes.append([short.popleft()])
-        left = height - sum(b.end - b.begin for b in lanes[k])
-        while short and short[-1].end <= left:
-            left -= short[-1].end
-            lanes[k].append(short.pop())
-        k += 1
     states = len(model.start)
-    most = max(1, TOGETHER // max(height, 1))
-    for k in range(0, len(lanes), most):
-        part = lanes[k : k + most]
-        pieces = [b for lane in part for b in lane]
-        sizes = np.array([b.end - b.begin for b in pieces])
-        filled = np.arange(height)[None] < np.array([sum(b.end - b.begin for b in lane) for lane in part])[:, None]
-        symbols, first, owner = np.full(filled.shape, len(model.emit)), np.zeros(filled.shape, bool), np.zeros(filled.shape, np.int64)
-        symbols[filled] = np.concatenate([sequences[b.sequence][b.begin : b.end] for b in pieces])
-        begins = np.zeros(sizes.sum(), bool)
-        begins[np.cumsum(sizes) - sizes] = [b.begin == 0 for b in pieces]
-        first[filled] = begins
-        owner[filled] = np.repeat([b.sequence for b in pieces], sizes)
-        into, out_of = np.full((len(part), states), 1 / states), np.ones((len(part), states))
-        for j, lane in enumerate(part):
-            if lane[0] in crossing:
-                into[j], after = crossing[lane[0]]
-                if lane[0].end < len(sequences[lane[0].sequence]):
+    whole = [Piece(k, 0, len(s)) for k, s in enumerate(sequences) if 0 < len(s) <= steps]
+    for group in _abreast(sequences, [*crossing, *whole]):
+        into, out_of = np.zeros((len(group.pieces), states)), np.ones((len(group.pieces), states))
+        for j, b in enumerate(group.pieces):
+            if b in crossing:
+                before, after = crossing[b]
+                if b.begin:
+                    into[j] = before
+                if b.end < len(sequences[b.sequence]):
                     out_of[j] = after
-        yield Lanes(*(np.ascontiguousarray(x.T) for x in (symbols, first)), into, out_of, np.ascontiguousarray(owner.T))
-
-
-def forward(model: Hmm, lanes: Lanes, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The scaled forward messages (steps x lanes x states) and their scales; a lane that is over scales by one."""
-    alpha, scale = np.empty_like(e), np.empty(e.shape[:2])
-    ones, before = np.ones(e.shape[2]), lanes.into
-    at, rows = np.nonzero(lanes.first)
-    begins = np.split(rows, np.searchsorted(at, np.arange(1, len(e)))) if len(e) else []
-    for t, begin in enumerate(begins):
-        now = np.matmul(before, model.move, out=alpha[t])
-        if len(begin):
-            now[begin] = model.start
-        now *= e[t]
-        np.matmul(now, ones, out=scale[t])
-        now /= scale[t][:, None]
+        yield group, into, out_of
+
+
+def forward(model: Hmm, group: Abreast, into: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, dict[int, np.ndarray]]:
+    """The forward messages (symbols x states), each piece's log likelihood, and by what the messages of a step were divided."""
+    at, alpha, scales = group.at, np.empty_like(e), {}
+    log, before = np.zeros(len(into)), into
+    for t in range(len(at) - 1):
+        now = alpha[at[t] : at[t + 1]]
+        np.matmul(before[: len(now)], model.move, out=now)
+        if not t:
+            now[~into.any(1)] = model.start
+        now *= e[at[t] : at[t + 1]]
+        if t % SCALED == SCALED - 1:
+            scales[t] = now.sum(1, keepdims=True)
+            now /= scales[t]
+            log[: len(now)] += np.log(scales[t][:, 0])
         before = now
-    return alpha, scale
+    return alpha, log + np.log(alpha[_last(group)].sum(1)), scales
 
 
-def _emissions(model: Hmm, lanes: Lanes) -> np.ndarray:
-    return np.vstack([model.emit, np.ones(len(model.start))])[lanes.symbols]
+def _last(group: Abreast) -> np.ndarray:
+    """Where the last symbol of each piece is."""
+    return np.array(group.at)[group.sizes - 1] + np.arange(len(group.sizes))
 
 
 def expectation(model: Hmm, sequences: list[np.ndarray], steps: int = STEPS) -> tuple[Hmm, float]:
     """The expected starts, moves and emissions of one E-step over the sequences, and their log likelihood."""
-    states = len(model.start)
-    start, moves, emitted, log = np.zeros(states), np.zeros((states, states)), np.zeros((states, len(model.emit))), 0.0
-    for lanes in lanes_of(model, sequences, steps):
-        e = _emissions(model, lanes)
-        alpha, scale = forward(model, lanes, e)
-        log += float(np.log(scale).sum())
-        inner = (lanes.symbols < len(model.emit)) & ~lanes.first
-        # from here on e weighs what a step inside a sequence hands back to the step before
-        e *= (inner / scale)[:, :, None]
-        outer = (~inner).astype(float)[:, :, None]
-        beta = np.empty_like(e)
-        beta[-1] = lanes.out_of / (alpha[-1] * lanes.out_of).sum(1, keepdims=True)
-        back = np.ascontiguousarray(model.move.T)
-        for t in range(len(e) - 1, -1, -1):
-            e[t] *= beta[t]
-            if t:
-                np.matmul(e[t], back, out=beta[t - 1])
-                beta[t - 1] += outer[t]
-        moves += lanes.into.T @ e[0] + alpha[:-1].reshape(-1, states).T @ e[1:].reshape(-1, states)
-        alpha *= beta
-        start += alpha[lanes.first].sum(0)
-        # the symbol beyond the last one stands for lanes that are over
-        symbols, gamma = lanes.symbols.ravel(), alpha.reshape(-1, states)
-        emitted += [np.bincount(symbols, gamma[:, s], len(model.emit) + 1)[:-1] for s in range(states)]
-    return Hmm(start, moves * model.move, emitted.T), log
+    states, size = len(model.start), len(model.emit)
+    start, moves, emitted, total = np.zeros(states), np.zeros((states, states)), np.zeros((states, size)), 0.0
+    back = np.ascontiguousarray(model.move.T)
+    for group, into, out_of in groups_of(model, sequences, steps):
+        at, e = group.at, model.emit.take(group.symbols, 0)
+        alpha, log, scales = forward(model, group, into, e)
+        total += float(log.sum())
+        # what a piece's last step gets from behind, so that messages of both ways have the product one
+        beta = out_of / (alpha[_last(group)] * out_of).sum(1, keepdims=True)
+        for t in range(len(at) - 2, -1, -1):
+            now = beta[: at[t + 1] - at[t]]
+            weight = e[at[t] : at[t + 1]]
+            weight *= now
+            if t in scales:
+                weight /= scales[t]
+            moves += (alpha[at[t - 1] : at[t - 1] + len(now)] if t else into).T @ weight
+            # from here on alpha is the states' posterior
+            alpha[at[t] : at[t + 1]] *= now
+            np.matmul(weight, back, out=now)
+        start += alpha[: at[1]][~into.any(1)].sum(0)
+        for k in range(0, len(alpha), COUNTED):
+            symbols, columns = group.symbols[k : k + COUNTED], np.ascontiguousarray(alpha[k : k + COUNTED].T)
+            emitted += [np.bincount(symbols, column, size) for column in columns]
+    return Hmm(start, moves * model.move, emitted.T), total
 
 
 def log10_likelihoods(model: Hmm, sequences: list[np.ndarray], steps: int = STEPS) -> np.ndarray:
     """The exact log10 probability of each sequence, by the scaled forward recursion."""
     total = np.zeros(len(sequences))
-    for lanes in lanes_of(model, sequences, steps):
-        scale = forward(model, lanes, _emissions(model, lanes))[1]
-        live = lanes.symbols < len(model.emit)
-        total += np.bincount(lanes.owner[live], np.log10(scale[live]), len(sequences))
+    for group, into, _ in groups_of(model, sequences, steps):
+        log = forward(model, group, into, model.emit.take(group.symbols, 0))[1]
+        total += np.bincount([b.sequence for b in group.pieces], log / np.log(10), len(sequences))
     return total

@@ -693,6 +693,23 @@ def test_recursions_are_exact_at_any_length(steps):
     assert markov.log10_likelihoods(model, [], steps).tolist() == []
 
 
+def test_short_sequences_advance_together(monkeypatch):
+    """A step takes all sequences that are not over, so there are as many steps as the longest one has, and rare symbols keep their scale."""
+    rng, model = np.random.default_rng(4), random_model(np.random.default_rng(5), 6)
+    model.emit[3] = 1e-30
+    sequences = [rng.integers(0, 6, n) for n in range(1, 41) for _ in range(20)] + [np.full(60, 3)]
+    calls, product = [], np.matmul
+    monkeypatch.setattr(np, "matmul", lambda *a, **k: calls.append(1) or product(*a, **k))
+    got = markov.log10_likelihoods(model, sequences)
+    assert len(calls) == 60
+    monkeypatch.undo()
+    np.testing.assert_allclose(got, [brute_expectation(model, s)[3] / np.log(10) for s in sequences], rtol=1e-9)
+    *counts, log = brute_sum(model, sequences)
+    found, total = markov.expectation(model, sequences)
+    for x, y in zip([*found, total], [*counts, log], strict=True):
+        np.testing.assert_allclose(x, y, rtol=1e-9, atol=1e-12)
+
+
 SCORES: list[list[float]] = []
 
 
