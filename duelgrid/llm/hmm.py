@@ -145,47 +145,71 @@ def baum_welch(docs: DataFrame, symbols: Symbols, model: Hmm, prior: np.ndarray,
 
 
 class Counts(NamedTuple):
-    tokens: int
-    distinct: int
-    #: log10 of (count + 0.5) of the frequent tokens, and what base and class scores subtract.
-    head: dict[bytes, float]
-    base: float
+    """What scores need of the frequent tokens, by their place in `head`; the place after the last stands for all others."""
+
+    head: dict[bytes, int]
+    #: Symbols (those of rare tokens come from their class), log10 of (count + 0.5) and the same for those that are none of their own.
+    symbols: np.ndarray
+    base: np.ndarray
+    inside: np.ndarray
+    #: What base scores and scores subtract, the latter by symbol.
+    total: float
     classes: np.ndarray
 
 
+def counts_of(symbols: Symbols, counted: dict[bytes, int], tokens: int, distinct: int, classes: np.ndarray) -> Counts:
+    """Of frequent tokens' counts, all tokens and different ones, and tokens and different ones of each class."""
+    base = np.array([*(np.log10(c + SMOOTHING) for c in counted.values()), 0.0])
+    of = np.array([*(k if (k := symbols.own.get(t)) is not None else symbols.class_of(t) for t in counted), 0], np.int64)
+    own = np.array([*(t in symbols.own for t in counted), True])
+    share = np.concatenate([np.zeros(len(symbols.own)), np.log10(classes[:, 0] + SMOOTHING * (classes[:, 1] + 1))])
+    head = {t: k for k, t in enumerate(counted)}
+    return Counts(head, of, base, np.where(own, 0.0, base), float(np.log10(tokens + SMOOTHING * (distinct + 1))), share)
+
+
+class _Places(dict):
+    """Places of frequent tokens, and one place for all others."""
+
+    def __missing__(self, token: bytes) -> int:
+        return len(self)
+
+
 def _documents(source: Iterator[pa.RecordBatch], shared, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     """Rows of rare tokens; a document's first row carries its scores but for the rare tokens' counts."""
     symbols, model, counts = shared.value
-    own, idle = len(symbols.own), list(counts.head)[:4096] or [None]
+    places, idle = _Places(counts.head), list(counts.head)[:4096] or [None]
     row = partition_id() << 40
     for batch in source:
-        columns: list[list] = [[] for _ in schema]
         tokens = [tokens_of(t) for t in texts_of(batch)]
-        encoded = [symbols.encode(t) for t in tokens]
-        forward = log10_likelihoods(model, encoded).tolist()
-        ids, held = batch.column("doc_id").to_pylist(), batch.column("held_out").to_pylist()
-        for doc, out, words, coded, hidden in zip(ids, held, tokens, encoded, forward, strict=True):
-            base, known, rare = -counts.base * len(words), 0, []
-            for t, n in Counter(words).items():
-                log = counts.head.get(t)
-                if log is None:
-                    rare.append((t, n))
-                    continue
-                base += n * log
-                known += n
-                if t not in symbols.own:
-                    hidden += n * log
-            hidden -= float(counts.classes[coded[coded >= own] - own].sum())
-            rare = rare or [(idle[row % len(idle)], 0)]
-            nones = [None] * (len(rare) - 1)
-            first = (doc, out, len(words), known, base, hidden)
-            columns[0] += [row] * len(rare)
-            for c, v in zip(columns[1:7], first):
-                c += [v, *nones]
-            columns[7] += [t for t, _ in rare]
-            columns[8] += [n for _, n in rare]
-            row += 1
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+        sizes = np.array([len(t) for t in tokens], np.int64)
+        flat = [t for words in tokens for t in words]
+        at = np.fromiter(map(places.__getitem__, flat), np.int64, len(flat))
+        coded = counts.symbols.take(at)
+        others = np.flatnonzero(at == len(places))
+        rare = [flat[k] for k in others.tolist()]
+        coded[others] = [symbols.class_of(t) for t in rare]
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        sums = lambda values: np.bincount(owner, values, len(sizes))
+        base = sums(counts.base.take(at)) - counts.total * sizes
+        sequences = np.split(coded, np.cumsum(sizes)[:-1])
+        hidden = log10_likelihoods(model, sequences) + sums(counts.inside.take(at) - counts.classes.take(coded))
+        of_rare = np.bincount(owner[others], minlength=len(sizes))
+        terms, freqs, rows, last = [], [], np.zeros(len(sizes), np.int64), 0
+        for k, n in enumerate(of_rare.tolist()):
+            found = Counter(rare[last : last + n]) if n else {idle[(row + k) % len(idle)]: 0}
+            terms += found.keys()
+            freqs += found.values()
+            rows[k], last = len(found), last + n
+        first = np.cumsum(rows) - rows
+        later = np.ones(len(terms), bool)
+        later[first] = False
+        document = np.repeat(np.arange(len(sizes)), rows)
+        once = pa.array(document, mask=later)
+        values = [batch.column("doc_id"), batch.column("held_out"), sizes, sizes - of_rare, base, hidden]
+        columns = [pa.array(row + document), *(pa.array(v).take(once) if isinstance(v, np.ndarray) else v.take(once) for v in values)]
+        columns += [pa.array(terms, pa.binary()), pa.array(freqs, pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, schema=schema)
+        row += len(sizes)
 
 
 def score(docs: DataFrame, train: DataFrame, most: int = HEAD_TERMS) -> DataFrame:
@@ -218,10 +242,7 @@ def score(docs: DataFrame, train: DataFrame, most: int = HEAD_TERMS) -> DataFram
     frequent = head(terms, most).toArrow().to_pydict()
     # tokens that are symbols of their own are always among these, so that no count of theirs is added again by the join
     counted = dict(zip(frequent["term"], frequent["n"], strict=True)) | dict(own)
-    counts = Counts(
-        n, v, {t: float(np.log10(c + SMOOTHING)) for t, c in counted.items()},
-        float(np.log10(n + SMOOTHING * (v + 1))), np.log10(classes[:, 0] + SMOOTHING * (classes[:, 1] + 1)),
-    )
+    counts = counts_of(symbols, counted, n, v, classes)
     shared = spark.sparkContext.broadcast((symbols, model, counts))
     arrow = to_arrow_schema(StructType.fromDDL(ROWS))
     scored = docs.select("doc_id", "text", "held_out").mapInArrow(lambda it: _documents(it, shared, arrow), ROWS)

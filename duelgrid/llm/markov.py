@@ -126,16 +126,17 @@ def groups_of(model: Hmm, sequences: list[np.ndarray], steps: int = STEPS) -> It
         yield group, into, out_of
 
 
-def forward(model: Hmm, group: Abreast, into: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, dict[int, np.ndarray]]:
+def forward(model: Hmm, group: Abreast, into: np.ndarray) -> tuple[np.ndarray, np.ndarray, dict[int, np.ndarray]]:
     """The forward messages (symbols x states), each piece's log likelihood, and by what the messages of a step were divided."""
-    at, alpha, scales = group.at, np.empty_like(e), {}
-    log, before = np.zeros(len(into)), into
+    at, alpha, scales = group.at, np.empty((len(group.symbols), into.shape[1])), {}
+    log, before, buffer = np.zeros(len(into)), into, np.empty(into.shape)
     for t in range(len(at) - 1):
         now = alpha[at[t] : at[t + 1]]
         np.matmul(before[: len(now)], model.move, out=now)
         if not t:
             now[~into.any(1)] = model.start
-        now *= e[at[t] : at[t + 1]]
+        # the symbols are all below the size, so nothing is clipped, and a mode that checks would copy
+        now *= model.emit.take(group.symbols[at[t] : at[t + 1]], 0, out=buffer[: len(now)], mode="clip")
         if t % SCALED == SCALED - 1:
             scales[t] = now.sum(1, keepdims=True)
             now /= scales[t]
@@ -155,14 +156,14 @@ def expectation(model: Hmm, sequences: list[np.ndarray], steps: int = STEPS) ->
     start, moves, emitted, total = np.zeros(states), np.zeros((states, states)), np.zeros((states, size)), 0.0
     back = np.ascontiguousarray(model.move.T)
     for group, into, out_of in groups_of(model, sequences, steps):
-        at, e = group.at, model.emit.take(group.symbols, 0)
-        alpha, log, scales = forward(model, group, into, e)
+        at, buffer = group.at, np.empty(into.shape)
+        alpha, log, scales = forward(model, group, into)
         total += float(log.sum())
         # what a piece's last step gets from behind, so that messages of both ways have the product one
         beta = out_of / (alpha[_last(group)] * out_of).sum(1, keepdims=True)
         for t in range(len(at) - 2, -1, -1):
             now = beta[: at[t + 1] - at[t]]
-            weight = e[at[t] : at[t + 1]]
+            weight = model.emit.take(group.symbols[at[t] : at[t + 1]], 0, out=buffer[: len(now)], mode="clip")
             weight *= now
             if t in scales:
                 weight /= scales[t]
@@ -181,6 +182,6 @@ def log10_likelihoods(model: Hmm, sequences: list[np.ndarray], steps: int = STEP
     """The exact log10 probability of each sequence, by the scaled forward recursion."""
     total = np.zeros(len(sequences))
     for group, into, _ in groups_of(model, sequences, steps):
-        log = forward(model, group, into, model.emit.take(group.symbols, 0))[1]
+        log = forward(model, group, into)[1]
         total += np.bincount([b.sequence for b in group.pieces], log / np.log(10), len(sequences))
     return total

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -710,6 +711,28 @@ def test_short_sequences_advance_together(monkeypatch):
         np.testing.assert_allclose(x, y, rtol=1e-9, atol=1e-12)
 
 
+def test_rare_tokens_alone_are_looked_at_one_by_one(spark, monkeypatch):
+    """Classes of frequent tokens are found once a model, not once an occurrence; scores are those without any frequent token."""
+    calls, of = [], hmm.Symbols.class_of
+    monkeypatch.setattr(hmm.Symbols, "class_of", lambda self, t: calls.append(t) or of(self, t))
+    counted = {b"a": 5, b"b": 3, b"c": 2}
+    symbols, classes = hmm.Symbols([b"a"]), np.tile([5.0, 2.0], (hmm.CLASSES, 1))
+    model = random_model(np.random.default_rng(6), symbols.size)
+    schema = hmm.to_arrow_schema(hmm.StructType.fromDDL(hmm.ROWS))
+    batch = pa.RecordBatch.from_pydict({"doc_id": [4, None], "text": ["a b c b d " * 50, None], "held_out": [True, False]})
+    shared = type("Shared", (), {"value": (symbols, model, hmm.counts_of(symbols, counted, 11, 4, classes))})
+    [got] = hmm._documents(iter([batch]), shared, schema)
+    assert len(calls) == 2 + 50 + 2  # b and c once, each d, the ends
+    rows = got.to_pylist()
+    assert [(r["doc_id"], r["held_out"], r["n_tokens"], r["known"], r["term"], r["freq"]) for r in rows if r["n_tokens"]] == [(4, True, 251, 200, b"d", 50), (None, False, 1, 0, b"", 1)]
+    assert [(r["doc_id"], r["term"], r["freq"]) for r in rows if not r["n_tokens"]] == [(None, b"", 1)]
+    base = 50 * np.log10(5.5) + 100 * np.log10(3.5) + 50 * np.log10(2.5) - 251 * np.log10(11 + 0.5 * 5)
+    share = 100 * np.log10(3.5) + 50 * np.log10(2.5) - 201 * np.log10(5 + 0.5 * 3)
+    assert rows[0]["base"] == pytest.approx(base)
+    coded = symbols.encode(hmm.tokens_of("a b c b d " * 50))
+    assert rows[0]["hidden"] == pytest.approx(brute_expectation(model, coded)[3] / np.log(10) + share)
+
+
 SCORES: list[list[float]] = []
 
 
