@@ -69,10 +69,11 @@ class WordIds:
         memo, plain, other, built = self.memo, set(), [], []
         for chunk in missing:
             stem, tail = (chunk[:-1], chunk[-1]) if chunk[-1] in SIMPLE_TAILS else (chunk, "")
-            if not (stem.isalpha() and (stem.isascii() or unicodedata.normalize("NFC", stem.lower()).isalpha())):
+            ascii_only = stem.isascii()
+            if not (stem.isalpha() and (ascii_only or unicodedata.normalize("NFC", stem.lower()).isalpha())):
                 other.append(chunk)
                 continue
-            low = stem.lower() if stem.isascii() else stem
+            low = stem.lower() if ascii_only else stem
             if low not in memo:
                 plain.add(low)
             if low != chunk:
@@ -90,15 +91,13 @@ class WordIds:
         words = [t.replace("\n", " ").split(" ") for t in texts]
         if len(self.memo) > self.entries:
             self.memo = {"": b""}
-        get = self.memo.get
-        rows = [list(map(get, w)) for w in words]
-        short = [k for k, r in enumerate(rows) if None in r]
-        missing = {w for k in short for w, x in zip(words[k], rows[k]) if x is None}
+        distinct: set[str] = set()
+        distinct.update(*words)
+        missing = distinct.difference(self.memo)
         if missing:
             self._learn(missing)
-            for k in short:
-                rows[k] = map(self.memo.__getitem__, words[k])
-        out = list(map(b"".join, rows))
+        found = self.memo.__getitem__
+        out = [b"".join(map(found, w)) for w in words]
         for chunk in missing:
             if len(chunk) > MEMO_CHUNK:
                 del self.memo[chunk]

@@ -651,6 +651,29 @@ def test_hmm(spark):
     assert np.mean(np.array(gain) > 0) > 0.95
 
 
+class Counted(dict):
+    """A dictionary that counts what it is asked."""
+
+    asked = 0
+
+    def get(self, *a):
+        self.asked += 1
+        return super().get(*a)
+
+    def __getitem__(self, key):
+        self.asked += 1
+        return super().__getitem__(key)
+
+
+def test_a_chunk_is_looked_up_once_a_place():
+    ids = WordIds()
+    ids.memo = Counted(ids.memo)
+    text = "alpha beta, Gamma " * 1000
+    [got] = ids.encode([text])
+    assert ids.memo.asked <= 3001 + 20
+    assert np.frombuffer(got, "<u4").tolist() == ids.library.encode(text, add_special_tokens=False).ids
+
+
 def brute_expectation(model, s):
     """Starts, moves, emissions and log likelihood of one sequence, a step at a time."""
     k, n = len(model.start), len(s)
