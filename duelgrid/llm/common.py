@@ -42,15 +42,20 @@ def scratch_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def let_go(spark: SparkSession) -> None:
+    """Let go of shuffle files of steps that are done: Spark deletes them once the driver's JVM has collected what refers to them."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df once to a new table in the shared scratch folder and read it back.
 
     This cuts lineage with replicated, column-pruned storage: a lost executor never forces the upstream stages to
     run again, and several readers share one computation. Before that, shuffle files of steps that are written already are
-    let go of: Spark deletes them once the driver's JVM has collected what refers to them.
+    let go of.
     """
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
+    let_go(df.sparkSession)
     path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from duelgrid.llm.common import materialize, partition_id, small_batches, table, texts_of
+from duelgrid.llm.common import discard, let_go, materialize, partition_id, small_batches, table, texts_of
 from duelgrid.llm.terms import HEAD_TERMS, count_terms, head
 from duelgrid.llm.tokens import PIECE_MODEL, PieceCounts, per_worker, pre_tokens
 
@@ -81,6 +81,9 @@ def count_tokens(docs: DataFrame, model: str = PIECE_MODEL, limit: int = LIMIT,
     known = spark.sparkContext.broadcast(
         {u.decode(): p for u, p in zip(frequent["term"], frequent["pieces"], strict=True)}
     )
+    # the pieces have what the counts had, so that neither their table nor their shuffle lies beside the join's
+    discard(counted)
+    let_go(spark)
     line_end, arrow = PieceCounts(model).line_end, to_arrow_schema(StructType.fromDDL(ROWS))
     rows = source.mapInArrow(lambda it: _documents(it, known, line_end, arrow), ROWS)
     joined = rows.join(pieces.select("term", "pieces"), "term", "left")

@@ -4,6 +4,7 @@ import hashlib
 import random
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -674,6 +675,15 @@ def test_a_chunk_is_looked_up_once_a_place():
     assert np.frombuffer(got, "<u4").tolist() == ids.library.encode(text, add_special_tokens=False).ids
 
 
+def test_count_table_goes_once_pieces_are_written(spark, monkeypatch):
+    made, counted = [], tokencount.count_terms
+    monkeypatch.setattr(tokencount, "count_terms", lambda *a: made.append(counted(*a)) or made[-1])
+    out = tokencount.count_tokens(frame(spark, ["one two two", None, "two\nthree"]))
+    folder = Path(made[0].inputFiles()[0].removeprefix("file:")).parent
+    assert not folder.exists()
+    assert sorted(r.doc_id for r in out.collect()) == [0, 1, 2]
+
+
 def brute_expectation(model, s):
     """Starts, moves, emissions and log likelihood of one sequence, a step at a time."""
     k, n = len(model.start), len(s)
