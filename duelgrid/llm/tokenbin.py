@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from duelgrid.llm.common import hashed_sample, partition_id, scratch_dir, small_batches, table, texts_of
+from duelgrid.llm.common import hashed_sample, joined, partition_id, scratch_dir, small_batches, table, texts_of
 from duelgrid.llm.tokens import WORD_TOKENIZER, WordIds, per_worker
 
 END_ID = 1
@@ -93,7 +93,7 @@ def _write(source: Iterator[pa.RecordBatch], tokenizer: str, raw: bytes, schema:
         entries.clear()
         return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, schema)], schema=schema)
 
-    for batch in source:
+    for batch in joined(source):
         for doc, ids in zip(batch.column("doc_id").to_pylist(), ids_of.encode(texts_of(batch)), strict=True):
             frames.append(packer.compress(serialize(ids + end)))
             size += len(frames[-1])

@@ -1,25 +1,33 @@
 """Tokenizers inside tasks: ids of whole texts, with the work of the library done once per distinct word.
 
-The word tokenizer's pre-tokenizer never joins characters across white space, so a text's ids are those of its
-space-separated chunks one after the other. A worker keeps a bounded memo from chunk to id bytes, and a text costs one
-dictionary lookup per chunk; the library itself runs once for each chunk that the memo lacks.
+The word tokenizer's pre-tokenizer never joins characters across white space, and a run of letters ends before a punctuation
+mark. So a text's ids are those of its space-separated chunks one after the other, also with a space set in between the two.
+Arrow splits texts and numbers their distinct chunks. A worker remembers a bounded number of chunks and their ids as Arrow
+arrays, and the library itself runs for distinct chunks that are not among them.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import unicodedata
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 WORD_TOKENIZER = "word_bpe_49k.json"
 PIECE_MODEL = "piece_bpe_32k.model"
-#: Chunks that a worker remembers, and the longest chunk that it keeps.
+#: Chunks that a worker remembers, half of which stay when there are more, and the longest chunk that it keeps, in bytes.
 MEMO_ENTRIES = 900_000
 MEMO_CHUNK = 48
 #: Words that the library gets as one text.
 TOGETHER = 256
-SIMPLE_TAILS = frozenset(".,;:!?|")
+#: Small letters of Latin-1, and punctuation that ends a run of letters whatever follows; an apostrophe may begin a contraction.
+SMALL, MARK = "a-zß-öø-ÿ", r"!-&(-/:-@\[-`{-~"
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Characters whose small forms are single ones and which never compose: Latin-1, dashes, quotation marks and the like.
+EASY = r"\x00-\xff\x{2010}-\x{2027}\x{20ac}"
 
 
 def tokenizer_path(name: str) -> str:
@@ -39,70 +47,118 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(tokenizer_path(name))
+        # for words of small letters, which the normalizer leaves as they are
+        self.bare = Tokenizer.from_file(tokenizer_path(name))
+        self.bare.normalizer = None
         vocabulary = self.library.get_vocab()
         self.word_end = np.zeros(max(vocabulary.values()) + 1, bool)
         for piece, i in vocabulary.items():
             if piece.endswith("</w>"):
                 self.word_end[i] = True
+        # texts that keep their case and get no spaces: small letters may turn a word into an added token
+        added = [re.escape(t.content) for t in self.library.get_added_tokens_decoder().values()]
+        self.odd = "(?i)" + "|".join([f"[^{EASY}]", *added])
         self.entries = entries
+        # what the worker remembers: chunks, their ids, and in which call each was last met
+        self.chunks, self.ids = pa.array([], pa.large_string()), pa.array([], pa.large_binary())
+        self.met, self.calls = np.zeros(0, np.int64), 0
+        # stems and tails of chunks that are not small letters alone
         self.memo: dict[str, bytes] = {"": b""}
 
-    def _plain(self, words: list[str]) -> None:
-        """Words of letters alone, many to a text; the end-of-word pieces show where each ends."""
-        parts = [words[k : k + TOGETHER] for k in range(0, len(words), TOGETHER)]
-        for part, e in zip(parts, self.library.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False), strict=True):
-            ids = np.asarray(e.ids, "<u4")
-            ends = np.flatnonzero(self.word_end[ids]) + 1
-            if len(ends) == len(part) and (not len(ids) or ends[-1] == len(ids)):
-                raw, last = ids.tobytes(), 0
-                for w, end in zip(part, (ends * 4).tolist(), strict=True):
-                    self.memo[w] = raw[last:end]
-                    last = end
-            else:  # a letter that normalizes to more than one pre-token
-                self._any(part)
-
-    def _any(self, chunks: list[str]) -> None:
-        for c, e in zip(chunks, self.library.encode_batch_fast(chunks, add_special_tokens=False), strict=True):
-            self.memo[c] = np.asarray(e.ids, "<u4").tobytes()
-
-    def _learn(self, missing: set[str]) -> None:
-        memo, plain, other, built = self.memo, set(), [], []
-        for chunk in missing:
-            stem, tail = (chunk[:-1], chunk[-1]) if chunk[-1] in SIMPLE_TAILS else (chunk, "")
-            ascii_only = stem.isascii()
-            if not (stem.isalpha() and (ascii_only or unicodedata.normalize("NFC", stem.lower()).isalpha())):
-                other.append(chunk)
-                continue
-            low = stem.lower() if ascii_only else stem
-            if low not in memo:
-                plain.add(low)
-            if low != chunk:
-                built.append((chunk, low, tail))
-        words = sorted(plain)
-        for k in range(0, len(words), 4096):
-            self._plain(words[k : k + 4096])
-        tails = {t for _, _, t in built if t and t not in memo}
-        for k in range(0, len(other := [*other, *tails]), 1024):
-            self._any(other[k : k + 1024])
-        for chunk, low, tail in built:
-            memo[chunk] = memo[low] + memo[tail]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        words = [t.replace("\n", " ").split(" ") for t in texts]
+    def _words(self, words: list[str], library) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Ids of words of letters alone, many to a text, and the words' numbers of ids; the end-of-word pieces show where each ends."""
+        ids, sizes = [], []
+        for k in range(0, len(words), 16 * TOGETHER):
+            parts = [words[j : j + TOGETHER] for j in range(k, min(k + 16 * TOGETHER, len(words)), TOGETHER)]
+            for part, e in zip(parts, library.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False), strict=True):
+                got = np.array(e.ids, "<u4")
+                ends = np.flatnonzero(self.word_end[got]) + 1
+                if len(ends) != len(part) or ends[-1] != len(got):  # a letter that normalizes to more than one pre-token
+                    each = [np.array(x.ids, "<u4") for x in self.library.encode_batch_fast(part, add_special_tokens=False)]
+                    got, ends = np.concatenate(each), np.cumsum([len(x) for x in each])
+                ids.append(got)
+                sizes.append(np.diff(ends, prepend=0))
+        return ids, sizes
+
+    def _others(self, chunks: list[str]) -> list[bytes]:
+        """Ids of chunks that are not small letters alone: by their letters and what follows them, or as they are."""
         if len(self.memo) > self.entries:
             self.memo = {"": b""}
-        distinct: set[str] = set()
-        distinct.update(*words)
-        missing = distinct.difference(self.memo)
-        if missing:
-            self._learn(missing)
-        found = self.memo.__getitem__
-        out = [b"".join(map(found, w)) for w in words]
-        for chunk in missing:
-            if len(chunk) > MEMO_CHUNK:
-                del self.memo[chunk]
+        memo, plain, other, built = self.memo, {}, {}, []
+        for chunk in chunks:
+            stem = chunk.rstrip(MARKS)
+            if stem.isalpha() and unicodedata.normalize("NFC", stem.lower()).isalpha():
+                tail = chunk[len(stem) :]
+                built.append((chunk, stem, tail))
+                if stem not in memo:
+                    plain[stem] = None
+                chunk = tail
+            if chunk not in memo:
+                other[chunk] = None
+        ids, sizes = self._words(list(plain), self.library)
+        if plain:
+            raw, ends = np.concatenate(ids).tobytes(), (4 * np.cumsum(np.concatenate(sizes))).tolist()
+            memo.update(zip(plain, [raw[a:b] for a, b in zip([0, *ends], ends)], strict=True))
+        other = list(other)
+        for k in range(0, len(other), 1024):
+            for c, e in zip(part := other[k : k + 1024], self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                memo[c] = np.array(e.ids, "<u4").tobytes()
+        whole = {chunk: memo[stem] + memo[tail] for chunk, stem, tail in built}
+        out = [found if (found := whole.get(c)) is not None else memo[c] for c in chunks]
+        for c in [*plain, *other]:
+            if len(c) > MEMO_CHUNK:
+                del memo[c]
+        return out
+
+    def _learn(self, chunks: pa.Array) -> pa.Array:
+        """Ids of chunks by the library."""
+        small = pc.match_substring_regex(chunks, f"^[{SMALL}]+$")
+        ids, sizes = self._words(_strings(chunks.filter(small)), self.bare)
+        ends = 4 * np.cumsum(np.concatenate([np.zeros(1, np.int64), *sizes]))
+        raw = np.concatenate([np.zeros(0, "<u4"), *ids])
+        by_words = pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(raw)])
+        others = pa.array(self._others(_strings(chunks.filter(pc.invert(small)))), pa.large_binary())
+        small = small.to_numpy(zero_copy_only=False)
+        place = np.where(small, np.cumsum(small) - 1, len(by_words) + np.cumsum(~small) - 1)
+        return pa.concat_arrays([by_words, others]).take(pa.array(place))
+
+    def _ids(self, chunks: pa.Array) -> pa.Array:
+        """Ids of distinct chunks, from what the worker remembers or from the library."""
+        at = pc.index_in(chunks, value_set=self.chunks)
+        missing = chunks.filter(at.is_null())
+        at = at.fill_null(-1).to_numpy().astype(np.int64)
+        at[at < 0] = len(self.chunks) + np.arange(len(missing))
+        self.calls += 1
+        if len(missing):
+            self.chunks = pa.concat_arrays([self.chunks, missing])
+            self.ids = pa.concat_arrays([self.ids, self._learn(missing)])
+            self.met = np.concatenate([self.met, np.zeros(len(missing), np.int64)])
+        self.met[at] = self.calls
+        out = self.ids.take(pa.array(at))
+        if len(missing):
+            keep = pc.less_equal(pc.binary_length(self.chunks), MEMO_CHUNK).to_numpy(zero_copy_only=False)
+            if len(keep) > self.entries:
+                keep[np.argsort(self.met, kind="stable")[: len(keep) - self.entries // 2]] = False
+            if not keep.all():
+                self.chunks, self.ids, self.met = self.chunks.filter(pa.array(keep)), self.ids.filter(pa.array(keep)), self.met[keep]
         return out
 
+    def encode(self, texts: list[str]) -> list[bytes]:
+        given = pa.array(texts, pa.large_string())
+        spaced = pc.replace_substring_regex(pc.utf8_lower(given), f"([{SMALL}])([{MARK}])", r"\1 \2")
+        given = pc.if_else(pc.match_substring_regex(given, self.odd), given, spaced)
+        chunks = pc.split_pattern(pc.replace_substring(given, "\n", " "), " ")
+        numbered = chunks.flatten().dictionary_encode()
+        # the ids of all places, one after the other
+        placed = self._ids(numbered.dictionary).take(numbered.indices)
+        ends = np.frombuffer(placed.buffers()[1], np.int64)[chunks.offsets.to_numpy()].tolist() if len(placed) else []
+        data = placed.buffers()[2]
+        return [data[a:b].to_pybytes() for a, b in zip(ends, ends[1:])]
+
+
+def _strings(column: pa.Array) -> list[str]:
+    return column.to_numpy(zero_copy_only=False).tolist()
+
 
 class PieceCounts:
     """Number of pieces that a sentencepiece model gives for a pre-token.
