@@ -5,18 +5,20 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import product
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from duelgrid.llm.common import crc_mod, materialize, partition_id, small_batches, table, texts_of
+from duelgrid.llm.common import crc_mod, joined, materialize, partition_id, small_batches, table
 from duelgrid.llm.markov import TOGETHER, Hmm, expectation, log10_likelihoods
-from duelgrid.llm.terms import HEAD_TERMS, ascii_words, count_terms, head
+from duelgrid.llm.terms import HEAD_TERMS, ascii_words, count_words, head, words_and_ends
 
 STATES = 8
 #: Frequent tokens that are symbols of their own; the others fall into classes by their last two bytes.
@@ -42,6 +44,10 @@ class Symbols:
         self.own = {t: k for k, t in enumerate(own)}
         self.size = len(own) + CLASSES
         self._class: dict[bytes, int] = {}
+        self._own = pa.array(own, pa.large_binary())
+        # classes by the last two bytes, by the only one, and of no bytes
+        tails = [*(bytes(t) for t in product(range(256), repeat=2)), *(bytes([k]) for k in range(256)), b""]
+        self._of_tail = np.array([len(own) + zlib.crc32(t) % CLASSES for t in tails], np.int64)
 
     def __getstate__(self):
         return list(self.own)
@@ -57,8 +63,20 @@ class Symbols:
         return found
 
     def encode(self, tokens: list[bytes]) -> np.ndarray:
-        get, other = self.own.get, self.class_of
-        return np.array([k if (k := get(t)) is not None else other(t) for t in tokens], np.int64)
+        return self.encode_column(pa.array(tokens, pa.large_binary()))
+
+    def encode_column(self, tokens: pa.Array) -> np.ndarray:
+        out = pc.index_in(tokens, value_set=self._own).fill_null(-1).to_numpy().astype(np.int64)
+        others = np.flatnonzero(out < 0)
+        if len(others):
+            found = tokens.take(pa.array(others))
+            offsets = np.frombuffer(found.buffers()[1], np.int64)[: len(others) + 1]
+            # two bytes before all, so that every tail has two
+            raw = np.concatenate([np.zeros(2, np.int64), np.frombuffer(found.buffers()[2] or b"", np.uint8)])
+            sizes, ends = np.diff(offsets), offsets[1:] + 2
+            last, both = raw.take(ends - 1), raw.take(ends - 2) * 256
+            out[others] = self._of_tail.take(np.where(sizes > 1, both + last, np.where(sizes == 1, 65_536 + last, 65_792)))
+        return out
 
 
 def initial(counts: np.ndarray) -> Hmm:
@@ -93,8 +111,10 @@ def encoded(docs: DataFrame, symbols: Symbols) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(symbols)
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in source:
-            coded = [shared.value.encode(tokens_of(t)).astype("<u2").tobytes() for t in texts_of(batch)]
+        for batch in joined(source):
+            tokens, sizes = words_and_ends(batch.column("text"))
+            raw, ends = shared.value.encode_column(tokens).astype("<u2").tobytes(), (2 * np.cumsum(sizes)).tolist()
+            coded = [raw[a:b] for a, b in zip([0, *ends], ends)]
             yield pa.RecordBatch.from_arrays([pa.array(coded, pa.binary())], names=["coded"])
 
     return materialize(docs.select("text").mapInArrow(run, "coded binary"), "encoded")
@@ -167,26 +187,17 @@ def counts_of(symbols: Symbols, counted: dict[bytes, int], tokens: int, distinct
     return Counts(head, of, base, np.where(own, 0.0, base), float(np.log10(tokens + SMOOTHING * (distinct + 1))), share)
 
 
-class _Places(dict):
-    """Places of frequent tokens, and one place for all others."""
-
-    def __missing__(self, token: bytes) -> int:
-        return len(self)
-
-
 def _documents(source: Iterator[pa.RecordBatch], shared, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     """Rows of rare tokens; a document's first row carries its scores but for the rare tokens' counts."""
     symbols, model, counts = shared.value
-    places, idle = _Places(counts.head), list(counts.head)[:4096] or [None]
+    places, idle = pa.array(list(counts.head), pa.large_binary()), list(counts.head)[:4096] or [None]
     row = partition_id() << 40
-    for batch in source:
-        tokens = [tokens_of(t) for t in texts_of(batch)]
-        sizes = np.array([len(t) for t in tokens], np.int64)
-        flat = [t for words in tokens for t in words]
-        at = np.fromiter(map(places.__getitem__, flat), np.int64, len(flat))
+    for batch in joined(source):
+        tokens, sizes = words_and_ends(batch.column("text"))
+        at = pc.index_in(tokens, value_set=places).fill_null(len(places)).to_numpy().astype(np.int64)
         coded = counts.symbols.take(at)
         others = np.flatnonzero(at == len(places))
-        rare = [flat[k] for k in others.tolist()]
+        rare = tokens.take(pa.array(others)).to_numpy(zero_copy_only=False).tolist()
         coded[others] = [symbols.class_of(t) for t in rare]
         owner = np.repeat(np.arange(len(sizes)), sizes)
         sums = lambda values: np.bincount(owner, values, len(sizes))
@@ -225,7 +236,7 @@ def score(docs: DataFrame, train: DataFrame, most: int = HEAD_TERMS) -> DataFram
     """
     spark = docs.sparkSession
     small_batches(spark)
-    terms = count_terms(train, tokens_of)
+    terms = count_words(train)
     whole = terms.agg(F.sum("n").alias("n"), F.count("*").alias("v")).head()
     n, v = whole.n or 0, whole.v
     own = [(bytes(r.term), r.n) for r in terms.orderBy(F.desc("n"), "term").limit(OWN_SYMBOLS).collect()]

@@ -14,7 +14,7 @@ import numpy as np
 
 #: Steps of a block at most, symbols that callers hand over together, and symbols and pieces that advance together.
 STEPS, TOGETHER = 2048, 800_000
-ABREAST, WIDTH = 400_000, 2048
+ABREAST, WIDTH = 800_000, 2048
 #: Messages are scaled to a sum of one once in so many steps; in between they stay far above the least double.
 SCALED = 8
 #: Posteriors that are added up at a time.
@@ -173,7 +173,7 @@ def expectation(model: Hmm, sequences: list[np.ndarray], steps: int = STEPS) ->
             np.matmul(weight, back, out=now)
         start += alpha[: at[1]][~into.any(1)].sum(0)
         for k in range(0, len(alpha), COUNTED):
-            symbols, columns = group.symbols[k : k + COUNTED], np.ascontiguousarray(alpha[k : k + COUNTED].T)
+            symbols, columns = group.symbols[k : k + COUNTED].astype(np.intp), np.ascontiguousarray(alpha[k : k + COUNTED].T)
             emitted += [np.bincount(symbols, column, size) for column in columns]
     return Hmm(start, moves * model.move, emitted.T), total
 

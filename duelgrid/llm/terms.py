@@ -10,15 +10,19 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from duelgrid.llm.common import materialize, small_batches, texts_of
+from duelgrid.llm.common import joined, materialize, small_batches, texts_of
 
 #: Frequent terms that are broadcast, at most, and distinct terms that a task counts before it hands them on.
 HEAD_TERMS = 200_000
 FLUSH_TERMS = 150_000
+#: Bytes of texts whose words are counted together.
+COUNTED_BYTES = 16 << 20
 
 #: The terms of a text, with repeats, as bytes.
 Extract = Callable[[str], list[bytes]]
@@ -29,6 +33,26 @@ def ascii_words(text: str) -> list[bytes]:
     return text.encode().lower().split()
 
 
+def words_and_ends(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """For a column of texts, one after the other: ascii_words() and an empty string, which no word equals; and their number by text."""
+    empty, space = (pa.scalar(x, pa.large_string()) for x in ("", " "))
+    lower = pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), empty))
+    split = pc.ascii_split_whitespace(pc.binary_join_element_wise(lower, space, empty))
+    words, offsets = split.flatten().cast(pa.large_binary()), split.offsets.to_numpy()
+    # an empty string also stands before white space that begins a text
+    wanted = pc.greater(pc.binary_length(words), 0).to_numpy(zero_copy_only=False)
+    wanted[offsets[1:] - 1] = True
+    sizes = np.diff(np.concatenate([[0], np.cumsum(wanted)]).take(offsets))
+    return words if wanted.all() else words.filter(pa.array(wanted)), sizes
+
+
+def _count_words(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in joined(source, COUNTED_BYTES):
+        counted = words_and_ends(batch.column("text"))[0].value_counts()
+        table = pa.Table.from_arrays([counted.field(0).cast(pa.binary()), counted.field(1)], names=["term", "n"])
+        yield from table.to_batches(max_chunksize=20_000)
+
+
 def _count(source: Iterator[pa.RecordBatch], extract: Extract) -> Iterator[pa.RecordBatch]:
     counts: Counter[bytes] = Counter()
 
@@ -54,6 +78,13 @@ def count_terms(docs: DataFrame, extract: Extract) -> DataFrame:
     return materialize(counted.groupBy("term").agg(F.sum("n").alias("n")), "terms")
 
 
+def count_words(docs: DataFrame) -> DataFrame:
+    """count_terms() of words and ends."""
+    small_batches(docs.sparkSession)
+    counted = docs.select("text").mapInArrow(_count_words, "term binary, n long")
+    return materialize(counted.groupBy("term").agg(F.sum("n").alias("n")), "terms")
+
+
 def head(terms: DataFrame, most: int = HEAD_TERMS) -> DataFrame:
     """The terms whose count reaches the least count that at most `most` terms reach."""
     by_count = sorted(((r.n, r.k) for r in terms.groupBy("n").agg(F.count("*").alias("k")).collect()), reverse=True)
